@@ -22,8 +22,8 @@ def rows(spark):
     odd = [
         (10_000, None, "en", "x", None), (10_001, "", "en", "x", 0), (10_002, "  \n\t ", None, None, 5), (10_003, "ab", "en", "x", 2), (10_004, "12 34 !!", "en", "x", 8),
         (10_005, "a <|endoftext|> b<|endoftext|>", "en", "x", 1), (10_006, "tab\there  two\n\n three   x 　y it's we'll I'D 数字１２ 🙂🙂 é", "en", "x", 1),
-        (10_007, long, "en", "x", len(long)), (10_008, "x" * 3000, "en", "x", 3000), (10_009, "ab " * 900, "en", "x", 2700), (10_010, "é" * 700, "fr", "x", 700),
-        (10_011, got[0][1] * 3, "fr", "x", 1), (None, got[1][1], "en", "x", 1), (got[3][0], got[3][1], got[3][2], "x", 1), (10_012, got[5][1], "en", "x", 1),
+        (10_007, long, None, "x", len(long)), (10_008, "x" * 3000, "en", "x", 3000), (10_009, "ab " * 900, "en", "x", 2700), (10_010, "é" * 700, "fr", "x", 700),
+        (10_011, got[0][1] * 3, got[0][2], "x", 1), (None, got[1][1], got[1][2], "x", 1), (got[3][0], got[3][1], got[3][2], "x", 1), (10_012, got[5][1], got[5][2], "x", 1),
     ]
     return got + odd
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+PARTS = ("points", "maps")
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for part in PARTS for k, f in import_module(f"dopplerlake.plans.{part}").QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: q for part in PARTS for k, q in import_module(f"dopplerlake.plans.{part}").SQL.items()}

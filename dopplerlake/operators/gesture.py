@@ -96,7 +96,11 @@ def correlation(features: DataFrame, x: str = "azimuth", y: str = "doppler") ->
     """correlation over the last 20 frames; 0 before there are 20, and where either is constant."""
     w = Window.partitionBy("recording_id").orderBy("frame_idx").rowsBetween(-(CORRELATED - 1), 0)
     flat = (F.min(x).over(w) == F.max(x).over(w)) | (F.min(y).over(w) == F.max(y).over(w))
-    return features.withColumn("correlation", F.when((F.count("*").over(w) < CORRELATED) | flat, 0.0).otherwise(F.coalesce(F.corr(x, y).over(w), F.lit(0.0))))
+    # corr itself divides by the spread, even in branches not taken, so it is spelled out with guarded division
+    mean = lambda c: F.avg(c).over(w)
+    cov, var = mean(F.col(x) * F.col(y)) - mean(x) * mean(y), lambda c: mean(F.col(c) * F.col(c)) - mean(c) ** 2
+    r = F.coalesce(F.try_divide(cov, F.sqrt(F.greatest(var(x) * var(y), F.lit(0.0)))), F.lit(0.0))
+    return features.withColumn("correlation", F.when((F.count("*").over(w) < CORRELATED) | flat, 0.0).otherwise(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))))
 
 
 def windows(features: DataFrame, columns: list[str], means: list[float], sds: list[float], length: int = LENGTH) -> DataFrame:

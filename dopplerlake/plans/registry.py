@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ("points", "maps", "series", "gestures")
+PARTS = ("points", "maps", "series", "gestures", "ingest")
 
 
 def queries() -> dict:

@@ -23,3 +23,12 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(name)
         context._dopplerlake_shipped = True
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which all executors share; a temporary folder only where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="dopplerlake-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found

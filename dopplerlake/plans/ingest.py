@@ -112,9 +112,9 @@ QUERIES = {
     "l06_counters": lambda s, d: st.counters(fx.audit_frames(s, d)),
     "l07_track": lambda s, d: st.replay(st.online_track(_staged(s, _candidates(s, d), _unique("candidates"))), shared_folder(s)),
 }
-#: Results whose seventh digit is often an exact five: two more digits, so that no engine has to break a tie.
-FINE = {'s04_configs'}
-QUERIES = {k: (lambda s, d, f=f, n=9 if k in FINE else 6: rounded(f(s, d), n)) for k, f in QUERIES.items()}
+#: Results whose seventh digit is often an exact five: more digits, so that no engine has to break a tie.
+FINE = {"s04_configs"}
+QUERIES = {k: (lambda s, d, f=f, n=12 if k in FINE else 6: rounded(f(s, d), n)) for k, f in QUERIES.items()}
 
 SIZES = """, fr AS (SELECT recording_id, frame_idx, count(*) AS n FROM points GROUP BY 1, 2),
 pk AS (SELECT *, CAST(ceil((40 + 16 + n * 20) / 32.0) * 32 AS BIGINT) AS length, CASE WHEN frame_idx % 10 = 3 THEN 5 ELSE 0 END AS gap, row_number() OVER (PARTITION BY recording_id ORDER BY frame_idx) - 1 AS i FROM fr),
@@ -150,4 +150,4 @@ SQL = {
       SELECT *, CASE WHEN now - last_seen > 3 THEN 'stopped' ELSE 'ok' END AS health FROM n""",
     "l06_counters": sql("SELECT recording_id, count(*) AS n_frames, CAST(sum(num_points) AS BIGINT) AS n_points, CAST(sum(skipped_before) AS BIGINT) AS bytes_skipped FROM audit_frames GROUP BY 1", "audit_frames"),
 }
-SQL |= {k: SQL[k].replace(", 6)", ", 9)") for k in FINE}
+SQL |= {k: SQL[k].replace(", 6)", ", 12)") for k in FINE}

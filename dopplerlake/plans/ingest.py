@@ -34,7 +34,7 @@ def _lines(s, d):
     text = lambda *x: F.concat_ws(" ", *(y if not isinstance(y, str) else F.lit(y) for y in x))
     num = lambda x: x.cast("string")
     lines = F.array(
-        F.lit("% made from a table"), text("channelCfg", "15", num(k % 7 + 1), "0"), text("profileCfg", "0", num(k % 4 + 60), num(k % 50 + 7), "3", num(k % 30 + 24), "0", "0", num(k % 60 + 20), "1", num(k % 200 + 65), num(k % 5000 + 2000), "0", "0", "30"),
+        F.lit("% made from a table"), text("channelCfg", "15", num(k % 7 + 1), "0"), text("profileCfg", "0", num(k % 4 + 60), num(k % 50 + 7), "3", num(k % 30 + 24), "0", "0", F.concat(num(k % 60 + 20), F.lit(".013")), "1", num(k % 200 + 65), num(k % 5000 + 2000), "0", "0", "30"),
         text("frameCfg", "0", "2", num(k % 64 + 16), "0", num(k % 90 + 10), "1", "0", "% trigger"), text("calibDcRangeSig", "-1", "0"),
     )
     return fx.table(s, d, "part").select(k.alias("cfg_id"), F.posexplode(lines).alias("line_no", "line"))
@@ -112,9 +112,7 @@ QUERIES = {
     "l06_counters": lambda s, d: st.counters(fx.audit_frames(s, d)),
     "l07_track": lambda s, d: st.replay(st.online_track(_staged(s, _candidates(s, d), _unique("candidates"))), shared_folder(s)),
 }
-#: Results whose seventh digit is often an exact five: more digits, so that no engine has to break a tie.
-FINE = {"s04_configs"}
-QUERIES = {k: (lambda s, d, f=f, n=12 if k in FINE else 6: rounded(f(s, d), n)) for k, f in QUERIES.items()}
+QUERIES = {k: (lambda s, d, f=f: rounded(f(s, d))) for k, f in QUERIES.items()}
 
 SIZES = """, fr AS (SELECT recording_id, frame_idx, count(*) AS n FROM points GROUP BY 1, 2),
 pk AS (SELECT *, CAST(ceil((40 + 16 + n * 20) / 32.0) * 32 AS BIGINT) AS length, CASE WHEN frame_idx % 10 = 3 THEN 5 ELSE 0 END AS gap, row_number() OVER (PARTITION BY recording_id ORDER BY frame_idx) - 1 AS i FROM fr),
@@ -130,7 +128,7 @@ SQL = {
       FROM points p JOIN po USING (recording_id, frame_idx)""", "points"),
     "s03_header": sql(SIZES + "SELECT recording_id, i AS frame_idx, frame_idx AS frame_number, n AS num_obj, CAST(2 AS BIGINT) AS num_tlvs, '3.6.0.0' AS sdk, 'xWR6843' AS device FROM po", "points"),
     "s04_configs": f"""SELECT {_K} AS cfg_id, CAST(bit_count({_K} % 7 + 1) AS BIGINT) AS n_tx, CAST(pow(2, ceil(log2({_K} % 200 + 65))) AS BIGINT) AS range_bins, CAST({_K} % 64 + 16 AS DOUBLE) AS loops,
-      round(3e8 * ({_K} % 5000 + 2000) * 1e3 / (2 * ({_K} % 60 + 20) * 1e12 * pow(2, ceil(log2({_K} % 200 + 65)))), 6) AS range_spacing,
+      round(3e8 * ({_K} % 5000 + 2000) * 1e3 / (2 * ({_K} % 60 + 20.013e0) * 1e12 * pow(2, ceil(log2({_K} % 200 + 65)))), 6) AS range_spacing,
       round(3e8 / (4 * ({_K} % 4 + 60) * 1e9 * (({_K} % 50 + 7 + {_K} % 30 + 24) * 1e-6) * bit_count({_K} % 7 + 1)), 6) AS max_velocity,
       round(3e8 / (2 * ({_K} % 4 + 60) * 1e9 * (({_K} % 50 + 7 + {_K} % 30 + 24) * 1e-6) * bit_count({_K} % 7 + 1) * ({_K} % 64 + 16)), 6) AS velocity_spacing, round(1000 / ({_K} % 90 + 10), 6) AS fps, 'calibDcRangeSig' AS unread FROM part""",
     "s05_expected_tlvs": f"""SELECT {_K} AS cfg_id, concat_ws(',', CASE WHEN {_K} % 3 > 0 THEN 1 END, CASE WHEN {_K} % 3 = 1 THEN 7 END, CASE WHEN {_K} // 2 % 2 = 1 THEN 2 END, CASE WHEN {_K} // 3 % 2 = 1 THEN 3 END, CASE WHEN {_K} // 5 % 2 = 1 THEN 4 END,
@@ -150,4 +148,3 @@ SQL = {
       SELECT *, CASE WHEN now - last_seen > 3 THEN 'stopped' ELSE 'ok' END AS health FROM n""",
     "l06_counters": sql("SELECT recording_id, count(*) AS n_frames, CAST(sum(num_points) AS BIGINT) AS n_points, CAST(sum(skipped_before) AS BIGINT) AS bytes_skipped FROM audit_frames GROUP BY 1", "audit_frames"),
 }
-SQL |= {k: SQL[k].replace(", 6)", ", 12)") for k in FINE}

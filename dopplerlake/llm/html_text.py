@@ -3,8 +3,9 @@
 Method: markup is stripped to lines (one for each block element), and what cannot be prose (scripts, styles, menus,
 forms, and blocks whose tag, class or id says advert, notice, sidebar, comment, ...) leaves empty lines. Text lengths are
 summed over sliding windows of `WINDOW` lines; a region opens at a surge (the sum rises from nothing) and closes at a dive
-(it falls back to nothing). The heaviest region is the main text; other regions are kept where they lie in the same
-article or main element, or, on pages without one, where they are prose of comparable weight and not mostly links.
+(it falls back to nothing). On pages with an article or main element, the regions inside the weightiest one are the main
+text. On others, what lies beside the element that holds most of the page's prose counts as empty lines, and the regions
+that are of comparable weight with the heaviest and not mostly links are kept.
 
 Null or empty html, and pages without text: empty text, zero characters. Unclosed tags end with their parents; a page that
 breaks off inside a tag loses that tag only. Repeated rows: each gets its row. All other columns are kept.
@@ -25,12 +26,15 @@ WINDOW = 3
 #: Share of the heaviest region's text that another region needs on pages without an article or main element.
 COMPARABLE = 0.1
 MOST_LINKS = 0.5
+#: Share of the prose around it that a container needs to be looked into further, on such pages.
+MOST_PROSE = 0.6
 
 #: Element names by their role in the HTML standard.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 GONE = frozenset("nav footer aside form menu search dialog button select option textarea template noscript iframe svg canvas object head audio video map datalist".split())
 SCOPE = frozenset(("article", "main"))
+BOXES = frozenset("article body center div main section table tbody td tr".split())
 #: Words of class, id or role that mark blocks beside the article.
 BESIDE = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer login menu modal nav navbar navigation newsletter notice notices pagination popup promo related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 HEADING = frozenset(("header", "masthead"))
@@ -46,26 +50,28 @@ def hinted(attributes: str) -> set[str]:
     return {w for m in HINT.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())}
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, scope, characters in links) of each block in page order; what was left out becomes WINDOW empty lines."""
+def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
+    """(text, scope, characters in links, box) of each block in page order, and each box's parent; what was left out becomes
+    WINDOW empty lines."""
     page = RAW.sub("", page)
-    out: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # element, left out, scope
+    out: list[tuple[str, int, int, int]] = []
+    parents = [0]
+    stack: list[tuple[str, bool, int, int]] = []  # element, left out, scope, box
     buffer: list[str] = []
     links, in_link, at, scopes = 0, False, 0, 0
-    left_out, scope = False, 0
+    left_out, scope, box = False, 0, 0
 
     def flush() -> None:
         nonlocal links
         text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
-            out.append((text, scope, min(links, len(text))))
+            out.append((text, scope, min(links, len(text)), box))
         links = 0
 
     def reset() -> None:
-        nonlocal left_out, scope
-        _, left_out, scope = stack[-1] if stack else ("", False, 0)
+        nonlocal left_out, scope, box
+        _, left_out, scope, box = stack[-1] if stack else ("", False, 0, 0)
 
     for m in TAG.finditer(page):
         if not left_out and m.start() > at:
@@ -92,7 +98,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 was = left_out
                 reset()
                 if was and not left_out:
-                    out += [("", scope, 0)] * WINDOW
+                    out += [("", scope, 0, box)] * WINDOW
             continue
         if name in VOID or m[4]:
             continue
@@ -109,19 +115,46 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         hints = hinted(m[3]) if m[3] else set()
         leaves = name in GONE or (name == "header" and not scope) or bool(hints & BESIDE) or (not scope and bool(hints & HEADING))
         if leaves and not left_out:
-            out += [("", scope, 0)] * WINDOW
+            out += [("", scope, 0, box)] * WINDOW
         if name in SCOPE and not scope:
             scopes += 1
             scope = scopes
         left_out = left_out or leaves
-        stack.append((name, left_out, scope))
+        if name in BOXES and not left_out:
+            parents.append(box)
+            box = len(parents) - 1
+        stack.append((name, left_out, scope, box))
     if not left_out and at < len(page):
         buffer.append(html.unescape(page[at:]))
     flush()
-    return out
-
-
-def regions(lines: list[tuple[str, int, int]], window: int = WINDOW) -> list[tuple[int, int]]:
+    return out, parents
+
+
+def main_box(lines: list[tuple[str, int, int, int]], parents: list[int]) -> set[int]:
+    """The box that holds most prose and all boxes in it: looks into a box while it has no text of its own and one box in it
+    has MOST_PROSE of its text."""
+    own = [0] * len(parents)
+    for text, _, linked, box in lines:
+        own[box] += len(text) - linked
+    total, inside = own.copy(), [[] for _ in parents]
+    for b in range(len(parents) - 1, 0, -1):
+        total[parents[b]] += total[b]
+        inside[parents[b]].append(b)
+    at = 0
+    while not own[at] and inside[at]:
+        best = max(inside[at], key=lambda b: (total[b], -b))
+        if total[best] < MOST_PROSE * total[at] or not total[best]:
+            break
+        at = best
+    kept, todo = set(), [at]
+    while todo:
+        b = todo.pop()
+        kept.add(b)
+        todo += inside[b]
+    return kept
+
+
+def regions(lines: list[tuple[str, int, int, int]], window: int = WINDOW) -> list[tuple[int, int]]:
     """Line ranges between a surge and the next dive of the text lengths summed over sliding windows."""
     sizes = [len(x[0]) for x in lines]
     total, out, opened = 0, [], None
@@ -137,20 +170,20 @@ def regions(lines: list[tuple[str, int, int]], window: int = WINDOW) -> list[tup
 
 def main_text(page: str) -> str:
     """The article's blocks joined by newlines; empty if there is no text."""
-    lines = lines_of(page)
-    found = regions(lines)
-    if not found:
-        return ""
-    mass = lambda a, b: sum(len(x[0]) - x[2] for x in lines[a:b])
+    lines, parents = lines_of(page)
     scoped: dict[int, int] = {}
-    for text, scope, linked in lines:
+    for text, scope, linked, _ in lines:
         scoped[scope] = scoped.get(scope, 0) + len(text) - linked
     inside = max((s for s in scoped if s and scoped[s]), key=lambda s: (scoped[s], -s), default=0)
     if inside:
-        return "\n".join(x[0] for a, b in found for x in lines[a:b] if x[1] == inside and x[0])
-    most = max(mass(a, b) for a, b in found)
-    kept = [(a, b) for a, b in found if mass(a, b) >= max(1, COMPARABLE * most) and sum(x[2] for x in lines[a:b]) <= MOST_LINKS * sum(len(x[0]) for x in lines[a:b])]
-    return "\n".join(x[0] for a, b in kept for x in lines[a:b] if x[0])
+        return "\n".join(x[0] for a, b in regions(lines) for x in lines[a:b] if x[1] == inside and x[0])
+    boxes = main_box(lines, parents)
+    lines = [y for x in lines for y in ([x] if x[3] in boxes else [("", 0, 0, 0)] * WINDOW)]
+    found = regions(lines)
+    mass = lambda a, b: sum(len(x[0]) - x[2] for x in lines[a:b])
+    most = max((mass(a, b) for a, b in found), default=0)
+    linked = lambda a, b: sum(x[2] for x in lines[a:b]) > MOST_LINKS * sum(len(x[0]) for x in lines[a:b])
+    return "\n".join(x[0] for a, b in found if mass(a, b) >= max(1, COMPARABLE * most) and not linked(a, b) for x in lines[a:b] if x[0])
 
 
 def extract_text(pages: DataFrame, source: str = "html", target: str = "text") -> DataFrame:

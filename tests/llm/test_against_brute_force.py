@@ -222,6 +222,23 @@ def test_suffix_dedup_of_planted_edges(spark):
     assert Counter(tuple(r) for r in suffix_dedup.op4_suffix_dedup(docs).collect()) == want
 
 
+def test_windows_of_a_long_text_see_what_the_whole_sees():
+    rng = np.random.default_rng(8)
+    data = rng.integers(97, 100, 30_000).astype(np.uint8)
+    data[9_000:11_000] = data[20_000:22_000]
+    offsets = np.array([0, 100, 700, 26_000, 26_000, 30_000])
+    whole = suffix_dedup.Scan(data, offsets)
+    want = set(zip(whole.anchors.tolist(), whole.heads.tolist(), whole.reach.tolist(), (whole.low).tolist(), whole.high.tolist()))
+    starts = set(whole.strings_at(np.ones(len(whole.anchors), bool)).tolist())
+    got, seen = [], []
+    for a, s in suffix_dedup.windows_of(data, offsets, 3000):
+        c = s.core
+        got += zip((s.anchors[c] + a).tolist(), s.heads[c].tolist(), s.reach[c].tolist(), (s.low[c] + a).tolist(), (s.high[c] + a).tolist())
+        seen += (s.strings_at(c) + a).tolist()
+    assert len(got) == len(want) and set(got) == want
+    assert len(seen) == len(starts) and set(seen) == starts
+
+
 def test_family_levels_stay_few():
     family = suffix_dedup.Family()
     for i in range(11):
@@ -323,6 +340,10 @@ def test_html(spark):
     assert html_text.main_text("plain words") == "plain words"
     assert html_text.main_text("<article><p>Cut &am") == "Cut &am"
     assert html_text.main_text("<article><p>Cut</p><p cla") == "Cut"
+    plain = """<body><div id=top><a href=/>Home</a> <a href=/b>Blog</a></div><div class=wrap><div class=left><p>Short aside of the site.</p></div><div class=story><h2>Head</h2>
+    <div><p>A long first paragraph with many words in it, so that it weighs.</p></div><div class="share-buttons">Tweet</div><p>A long last paragraph with many words in it, too.</p></div></div><div>Copyright someone</div>"""
+    assert html_text.main_text(plain) == "Head\nA long first paragraph with many words in it, so that it weighs.\nA long last paragraph with many words in it, too."
+    assert html_text.main_text("<div>One</div><div>Two</div>") == "One\nTwo"
     df = spark.createDataFrame([(1, "u", page), (2, "u", None), (1, "u", page)], "page_id long, url string, html string")
     assert sorted((r[0], r[3]) for r in html_text.op7_html_text(df).collect()) == [(1, 46), (1, 46), (2, 0)]
 

@@ -83,7 +83,8 @@ def sliding(a: np.ndarray, width: int, op: np.ufunc, pad) -> np.ndarray:
 class Scan:
     """Anchors of some texts laid end to end, and hashes of any of their strings."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = ANCHOR):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, core: tuple[int, int] | None = None, length: int = LENGTH, k: int = ANCHOR):
+        """`core`: the range whose anchors count; bytes around it are only context."""
         self.length, self.k, n = length, k, len(data)
         lengths = np.diff(offsets)
         size = 1 << max(12, int(n + 1).bit_length())
@@ -102,6 +103,7 @@ class Scan:
         self.least[~self.starts] = 0
         high = sliding(self.least[::-1].copy(), length - k + 1, np.maximum, U(0))[::-1]
         self.anchors = np.flatnonzero((high == self.grams) & (self.grams != TOP) & (high != 0))
+        self.core = np.ones(len(self.anchors), bool) if core is None else (self.anchors >= core[0]) & (self.anchors < core[1])
         reach = length - k
         self.low = np.maximum(self.anchors - reach, self.begin_of[self.anchors])
         self.high = np.minimum(self.anchors + length, end[self.anchors])
@@ -129,11 +131,25 @@ class Scan:
         return near[marked[self.anchors[nxt]]]
 
 
-def _scans(batch, limit: int = PIECE):
+def windows_of(data: np.ndarray, offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, Scan]]:
+    """(start, scan) over texts laid end to end: as they are up to `limit` bytes, else cut with enough bytes around each
+    core that its anchors, reaches and strings are those of the whole text."""
+    size, around = int(offsets[-1]), 2 * LENGTH
+    if size < LENGTH:
+        return
+    if size <= 2 * limit:
+        yield 0, Scan(data, offsets)
+        return
+    for c in range(0, size, limit):
+        a, b = max(0, c - around), min(size, c + limit + around)
+        yield a, Scan(data[a:b], np.unique(np.clip(offsets - a, 0, b - a)), (c - a, min(c + limit, size) - a))
+
+
+def _scans(batch) -> Iterator[Scan]:
     data, offsets = utf8(batch.column("text"))
-    for i, j in pieces_of(offsets, limit):
-        if offsets[j] - offsets[i] >= LENGTH:
-            yield Scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+    for i, j in pieces_of(offsets, PIECE):
+        for _, s in windows_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+            yield s
 
 
 def _table(**columns) -> pa.RecordBatch:
@@ -150,13 +166,12 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = utf8(b.column("text"))
         heads, reaches, owners = [], [], []
         for i, j in pieces_of(offsets, PIECE):
-            if offsets[j] - offsets[i] < LENGTH:
-                continue
-            s = Scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            row = np.searchsorted(offsets[i : j + 1] - offsets[i], s.anchors, "right") - 1 + i
-            heads.append(s.heads)
-            reaches.append(s.reach)
-            owners.append(bundles[row])
+            own = offsets[i : j + 1] - offsets[i]
+            for a, s in windows_of(data[offsets[i] : offsets[j]], own):
+                row = np.searchsorted(own, s.anchors[s.core] + a, "right") - 1 + i
+                heads.append(s.heads[s.core])
+                reaches.append(s.reach[s.core])
+                owners.append(bundles[row])
         if not heads:
             continue
         h, r, o = np.concatenate(heads), np.concatenate(reaches), np.concatenate(owners).astype(np.int64)
@@ -264,7 +279,7 @@ def _strings(texts: pa.Table, hits: pa.Table) -> pa.Table:
     if len(edge) or len(tell):
         for s in _scans(texts):
             for keys, w in ((edge, 1), (tell, 2)):
-                at = s.strings_at(np.isin(s.reach, keys)) if len(keys) else np.zeros(0, np.int64)
+                at = s.strings_at(np.isin(s.reach, keys) & s.core) if len(keys) else np.zeros(0, np.int64)
                 if len(at):
                     found.append(s.hashes(at, at + LENGTH))
                     weight.append(np.full(len(at), w))
@@ -284,15 +299,14 @@ def _kept(texts: pa.Table, hits: pa.Table) -> Iterator[tuple[int, bytes, int, in
     data, offsets = utf8(texts.column("text"))
     for i, j in pieces_of(offsets, PIECE):
         raw, ends = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        delta = np.zeros(len(raw) + 1, np.int64)
-        if len(raw) >= LENGTH and (len(full) or len(single)):
-            s = Scan(raw, ends)
-            m = np.isin(s.reach, full)
-            np.add.at(delta, s.low[m], 1)
-            np.add.at(delta, s.high[m], -1)
+        delta = np.zeros(len(raw) + 1, np.int32)
+        for a, s in windows_of(raw, ends) if len(full) or len(single) else ():
+            m = np.isin(s.reach, full) & s.core
+            np.add.at(delta, s.low[m] + a, 1)
+            np.add.at(delta, s.high[m] + a, -1)
             if len(single):
-                at = s.strings_at(np.isin(s.reach, edge))
-                at = at[np.isin(s.hashes(at, at + LENGTH), single)]
+                at = s.strings_at(np.isin(s.reach, edge) & s.core)
+                at = at[np.isin(s.hashes(at, at + LENGTH), single)] + a
                 np.add.at(delta, at, 1)
                 np.add.at(delta, at + LENGTH, -1)
         gone = np.cumsum(delta)[:-1] > 0

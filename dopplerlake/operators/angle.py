@@ -52,7 +52,8 @@ def grid_weights(spark, size: int, spacing: float, ranges: int) -> DataFrame:
     top = (ranges - 1) * spacing
     g = spark.range(size * size).select((F.col("id") % size).alias("gx"), F.floor(F.col("id") / size).alias("gy"))
     g = g.withColumns({"x": -top + 2 * top * F.col("gx") / (size - 1), "y": top * F.col("gy") / (size - 1)})
-    g = g.withColumns({"r": F.hypot("x", "y") / spacing, "u": (N // 2 - 1) - F.when(F.hypot("x", "y") > 0, F.col("x") / F.hypot("x", "y")).otherwise(0.0) * N / 2})
+    g = g.withColumn("h", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")))
+    g = g.withColumns({"r": F.col("h") / spacing, "u": (N // 2 - 1) - F.when(F.col("h") > 0, F.col("x") / F.col("h")).otherwise(0.0) * N / 2})
     g = g.where((F.col("r") <= ranges - 1) & F.col("u").between(0, N - 2))
     corner = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1))))
     g = g.withColumns({"r0": F.floor("r"), "u0": F.floor("u")}).withColumn("c", corner)

@@ -133,6 +133,13 @@ CONF = """SELECT target, predicted, n, round(sum(n) FILTER (target = predicted)
 SQL = {
     "f02_suppress": sql(f"SELECT recording_id, frame_idx, dop_bin, range_bin, round(m, 6) + 0.0 AS value FROM {SUP.format(v='value')}", "rd_cells"),
     "f03_map_moments": sql(HEAT, "rd_cells"),
+    "f04_angle_moments": sql(f""", ce AS (SELECT recording_id, frame_idx, range_bin, ant // 4 AS dop_bin, ant % 4 AS ch, re, im, sum(sqrt(re * re + im * im)) OVER (PARTITION BY recording_id, frame_idx, range_bin, ant // 4) AS value FROM angle_cells),
+      gr AS (SELECT recording_id, frame_idx, range_bin, dop_bin, value, k, sum(re * cos(ph) + im * sin(ph)) AS a, sum(im * cos(ph) - re * sin(ph)) AS b
+        FROM (SELECT *, 2 * {np.pi!r} * ((k // 32 - 16) * (ch // 2) + (k % 32 - 16) * (ch % 2)) / 32 AS ph FROM ce, (SELECT unnest(range(1024)) AS k)) GROUP BY ALL),
+      pk AS (SELECT recording_id, frame_idx, value, arg_max(k, (round(sqrt(a * a + b * b), 9), -k)) AS k FROM gr GROUP BY recording_id, frame_idx, range_bin, dop_bin, value),
+      an AS (SELECT recording_id, frame_idx, value AS w, k % 32 - 16 AS az, k // 32 - 16 AS el FROM pk)
+      SELECT recording_id, frame_idx, round(sum(w * az) / sum(w), 6) + 0.0 AS azimuth, round(sum(w * el) / sum(w), 6) + 0.0 AS elevation, round(sum(w * az * az) / sum(w) - (sum(w * az) / sum(w)) ** 2, 6) + 0.0 AS azimuth_spread,
+        round(sum(w * el * el) / sum(w) - (sum(w * el) / sum(w)) ** 2, 6) + 0.0 AS elevation_spread FROM an GROUP BY 1, 2""", "angle_cells"),
     "f05_point_features": sql(POINT + "SELECT * FROM pt", "points", "frame_spine"),
     "f06_heatmap_features": sql(f""", hm AS (SELECT *, median(CASE WHEN m > 0 THEN m END) OVER (PARTITION BY recording_id, frame_idx) * 8 AS lim FROM {SUP.format(v='pow(2, value * 0.01e0)')} WHERE range_bin BETWEEN 1 AND 6)
       SELECT recording_id, frame_idx, {_MOMENTS}, CAST(count(*) FILTER (m > lim) AS DOUBLE) AS n_detections FROM hm GROUP BY 1, 2""", "rd_cells"),

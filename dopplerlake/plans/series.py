@@ -185,6 +185,20 @@ SQL = {
     "r01_background": sql(f"SELECT recording_id, frame_idx, chirp, sample, round(val, 6) + 0.0 AS val FROM ({_CLEAN})", "adc_cells"),
     "r02_range_time": sql(RFFT.format(source="SELECT * FROM adc_cells") + _RT, "adc_cells"),
     "r02_range_time_clean": sql(RFFT.format(source=_CLEAN) + _RT, "adc_cells"),
+    "r03_velocity_time": sql(RFFT.format(source="SELECT * FROM adc_cells") + f""", best AS (SELECT recording_id, frame_idx, arg_max(bin, (m, -bin)) AS bin FROM (SELECT recording_id, frame_idx, bin, round(avg(sqrt(re * re + im * im)), 9) AS m FROM rf GROUP BY 1, 2, 3) GROUP BY 1, 2),
+      co AS (SELECT recording_id, frame_idx, chirp, re * h AS re, im * h AS im FROM (SELECT *, 0.5 - 0.5 * cos(2 * {math.pi!r} * chirp / 8) AS h FROM rf) JOIN best USING (recording_id, frame_idx, bin))
+      SELECT recording_id, frame_idx, CAST((k + 4) % 8 AS INT) AS bin, round(sqrt(sum(re * cos(ph) + im * sin(ph)) ** 2 + sum(im * cos(ph) - re * sin(ph)) ** 2), 6) + 0.0 AS value
+      FROM (SELECT *, 2 * {math.pi!r} * ((k * chirp) % 8) / 8 AS ph FROM co, (SELECT unnest(range(8)) AS k)) GROUP BY 1, 2, 3""", "adc_cells"),
+    "t01_peaks": sql(""", p0 AS (SELECT recording_id, frame_idx, pos AS bin, abs(val) AS v FROM emb_cells),
+      p1 AS (SELECT recording_id, frame_idx, arg_max(bin, (v, -bin)) AS b1 FROM p0 WHERE v > 0 GROUP BY 1, 2),
+      p2 AS (SELECT recording_id, frame_idx, arg_max(bin, (v, -bin)) AS b2 FROM p0 JOIN p1 USING (recording_id, frame_idx) WHERE v > 0 AND abs(bin - b1) >= 5 GROUP BY 1, 2),
+      p3 AS (SELECT recording_id, frame_idx, arg_max(bin, (v, -bin)) AS b3 FROM p0 JOIN p1 USING (recording_id, frame_idx) JOIN p2 USING (recording_id, frame_idx) WHERE v > 0 AND abs(bin - b1) >= 5 AND abs(bin - b2) >= 5 GROUP BY 1, 2)
+      SELECT recording_id, frame_idx, bin, bin * 0.25e0 AS range_m FROM (SELECT recording_id, frame_idx, b1 AS bin FROM p1 UNION ALL SELECT recording_id, frame_idx, b2 FROM p2 UNION ALL SELECT recording_id, frame_idx, b3 FROM p3)""", "emb_cells"),
+    "b07_cartesian": sql(BEAM + """, g0 AS (SELECT gx, gy, -1.5e0 + 2 * 1.5e0 * gx / 15 AS x, 1.5e0 * gy / 15 AS y FROM (SELECT unnest(range(16)) AS gx), (SELECT unnest(range(16)) AS gy)),
+      g1 AS (SELECT *, sqrt(x * x + y * y) AS h FROM g0), g2 AS (SELECT gx, gy, h / 0.5e0 AS r, 31 - CASE WHEN h > 0 THEN x / h ELSE 0 END * 64 / 2 AS u FROM g1),
+      g3 AS (SELECT gx, gy, CAST(floor(r) AS BIGINT) + a AS range_bin, CAST(floor(u) AS BIGINT) + b AS angle_bin, (CASE WHEN a = 1 THEN r - floor(r) ELSE 1 - (r - floor(r)) END) * (CASE WHEN b = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) AS w
+        FROM g2, (SELECT unnest(range(2)) AS a), (SELECT unnest(range(2)) AS b) WHERE r <= 3 AND u BETWEEN 0 AND 62)
+      SELECT recording_id, frame_idx, gx, gy, round(sum(mag * w), 6) + 0.0 AS mag FROM bm JOIN g3 USING (range_bin, angle_bin) WHERE w > 0 GROUP BY 1, 2, 3, 4""", "angle_cells"),
     "d01_processing": f"SELECT recording_id, round(avg(load), 6) AS mean_load, round(min(margin_us / 1000), 6) AS min_margin_ms, min(margin_us / 1000) < 1 AS at_risk FROM {_STATS} GROUP BY 1",
     "d02_temperatures": f"SELECT recording_id, frame_idx, 'sensor' || k AS sensor, round(load / 2 + k, 6) AS celsius FROM {_STATS}, (SELECT unnest(range(9)) AS k)",
     "d03_rolling_load": f"SELECT recording_id, frame_idx, round(avg(load) OVER (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) + 0.0 AS rolling_load FROM {_STATS}",

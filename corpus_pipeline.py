@@ -16,15 +16,15 @@ from dopplerlake.llm.simhash import near_components
 from dopplerlake.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Below this mean posterior a text is no prose of a known language.
-LEAST_SCORE = 0.5
+#: Below this mean posterior of its words' own languages a text is no prose of known languages; mixed texts are far above.
+LEAST_CONFIDENCE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told; a missing label is filled with it."""
+    """Keeps documents whose words' languages are told, mixed ones too; a missing label is filled with the main one."""
     tagger = learn(docs.where(remainder("doc_id", 4) != 2))
     told = identify(docs.select(*COLUMNS), tagger, ("text", "lang", "source", "n_chars"))
-    kept = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    kept = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("confidence") >= LEAST_CONFIDENCE))
     return kept.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
 
 

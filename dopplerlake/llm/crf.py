@@ -188,10 +188,10 @@ class Tagger:
         ok = rows >= 0
         return self.table[rows[ok]].astype(np.float64), np.bincount(owner[ok], minlength=len(texts))
 
-    def tag(self, texts: list[str]) -> list[tuple[str, float, int, int]]:
-        """(language, score, words, switches between languages) of each text."""
+    def tag(self, texts: list[str]) -> list[tuple[str, float, int, int, float]]:
+        """(language, score, words, switches between languages, mean posterior of each word's own language) of each text."""
         scores, counts = self.emissions([t.lower().split() for t in texts])
-        out = [(UNKNOWN, 0.0, 0, 0)] * len(texts)
+        out = [(UNKNOWN, 0.0, 0, 0, 0.0)] * len(texts)
         full = np.flatnonzero(counts)
         if not len(full) or not self.langs:
             return out
@@ -202,9 +202,10 @@ class Tagger:
         turned = np.concatenate([[0], np.diff(best) != 0]).astype(np.int64)
         turned[edges] = 0
         turns = np.add.reduceat(turned, edges)
-        for i, row, n, k in zip(full.tolist(), mean, counts[full].tolist(), turns.tolist()):
+        sure = np.add.reduceat(gamma.max(axis=1), edges) / counts[full]
+        for i, row, n, k, c in zip(full.tolist(), mean, counts[full].tolist(), turns.tolist(), sure.tolist()):
             j = int(row.argmax())
-            out[i] = (self.langs[j], float(min(1.0, max(0.0, row[j]))), n, k)
+            out[i] = (self.langs[j], float(min(1.0, max(0.0, row[j]))), n, k, c)
         return out
 
 
@@ -263,7 +264,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
 
 
 def identify(docs: DataFrame, tagger: Tagger, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, `extra` columns, lang_pred, score, n_words and n_switches of every row; only the text is an input."""
+    """doc_id, `extra` columns, lang_pred, score, n_words, n_switches and confidence of every row; only the text is an input."""
     spark, state = docs.sparkSession, (tagger.langs, tagger.lexicon, tagger.weights.astype(np.float32), tagger.start, tagger.trans)
     shared = spark.sparkContext.broadcast(state)
     keep = ["doc_id", *extra]
@@ -277,13 +278,13 @@ def identify(docs: DataFrame, tagger: Tagger, extra: tuple[str, ...] = ()) -> Da
                 if total >= CHUNK or i == len(texts) - 1:
                     rows += t.tag([y or "" for y in texts[at : i + 1]])
                     at, total = i + 1, 0
-            cols = list(zip(*rows)) or [()] * 4
-            made = [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.float64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], [*keep, "lang_pred", "score", "n_words", "n_switches"])
+            cols = list(zip(*rows)) or [()] * 5
+            made = [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], [*keep, "lang_pred", "score", "n_words", "n_switches", "confidence"])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_words", T.LongType()), T.StructField("n_switches", T.LongType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_words", T.LongType()), T.StructField("n_switches", T.LongType()), T.StructField("confidence", T.DoubleType())])
     return docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"]))).mapInArrow(run, schema)
 
 

@@ -14,6 +14,7 @@ from dopplerlake.llm.crf import UNKNOWN, identify, learn
 from dopplerlake.llm.packing import op9_packing
 from dopplerlake.llm.simhash import near_components
 from dopplerlake.llm.suffix_dedup import remove_repeats
+from dopplerlake.plans.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this mean posterior of its words' own languages a text is no prose of known languages; mixed texts are far above.
@@ -22,6 +23,7 @@ LEAST_CONFIDENCE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose words' languages are told, mixed ones too; a missing label is filled with the main one."""
+    ship(spark)
     tagger = learn(docs.where(remainder("doc_id", 4) != 2))
     told = identify(docs.select(*COLUMNS), tagger, ("text", "lang", "source", "n_chars"))
     kept = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("confidence") >= LEAST_CONFIDENCE))
@@ -30,6 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group: the one with the smallest id, once. Rows without an id stay."""
+    ship(spark)
     groups = near_components(docs.select("doc_id", "text"))
     first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
@@ -38,6 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out every repeated passage of 400 bytes; a character cut in two goes with it."""
+    ship(spark)
     left = remove_repeats(docs.select(*COLUMNS))
     whole = F.try_validate_utf8(F.col("kept").cast("string"))
     repaired = F.make_valid_utf8(F.col("kept").cast("string"))
@@ -47,6 +51,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens."""
+    ship(spark)
     return op9_packing(docs)
 
 

@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BOOKS = 8
-ENTRIES = 64
+BOOKS = 16
+ENTRIES = 256
 BEAM = 4
 SAMPLE = 8192
-SHORTLIST = 64
+SHORTLIST = 256
 CHUNK = 8192
 BLOCK = 4096
 K = 5

@@ -330,6 +330,23 @@ def test_ann(spark):
     assert ann.op3_ann(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_ann_recall_on_the_larger_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    x = np.concatenate([x + 0.0, np.random.default_rng(1).normal(size=(9000, x.shape[1])) * x.std()])
+    ids = np.concatenate([ids, 100_001 + 7 * np.arange(9000)])
+    got = defaultdict(set)
+    for r in ann.op3_ann(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in got:
+        s = n @ n[np.flatnonzero(ids == q)[0]]
+        s[ids == q] = -9
+        hits += len(got[q] & set(ids[np.argsort(-s)[:5]].tolist()))
+    assert hits >= 0.97 * 5 * len(got)
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body><header><h1>Site</h1></header>
     <nav><ul><li><a href=/x>Menu</a></li></ul></nav><div class="cookie-notice">We use cookies</div><main><article><header><h1>Title &amp; more</h1></header>

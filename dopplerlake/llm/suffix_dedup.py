@@ -41,7 +41,9 @@ ANCHOR = 340
 BUNDLE = 256
 BATCHES = 8
 CROWD = 16
-PIECE = 1 << 20
+PIECE = 1 << 19
+#: Bytes of text whose entries are gathered before they are counted and sent.
+PORTION = 1 << 23
 FULL, EDGE, TELL = 1, 2, 3
 U = np.uint64
 TOP = U(2**64 - 1)
@@ -88,7 +90,7 @@ class Scan:
         self.length, self.k, n = length, k, len(data)
         lengths = np.diff(offsets)
         size = 1 << max(12, int(n + 1).bit_length())
-        self.power, self.inverse = _powers(max(size, 1 << 21))
+        self.power, self.inverse = _powers(max(size, 1 << 20))
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_letters()[data] * self.power[:n], out=self.sums[1:])
         end = np.repeat(offsets[1:], lengths)
@@ -159,9 +161,14 @@ def _table(**columns) -> pa.RecordBatch:
 ENTRY = "shard_key long, reach long, bundle long, places int, mixed boolean"
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for i, j in pieces_of(utf8(batch.column("text"))[1], PORTION):
+        yield batch.slice(i, j - i)
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffix entries of each bundle, equal ones counted (up to 2); starts that crowd a bundle are told once."""
-    for b in batches:
+    for b in (part for whole in batches for part in _portions(whole)):
         bundles = b.column("bundle").to_numpy(zero_copy_only=False)
         data, offsets = utf8(b.column("text"))
         heads, reaches, owners = [], [], []
@@ -323,11 +330,11 @@ def remove_repeats(docs: DataFrame, bundle: int = BUNDLE) -> DataFrame:
     """Every row with `kept` (binary, the remaining bytes), n_bytes, n_removed and n_spans instead of `text`."""
     rest = [c for c in docs.columns if c not in ("text", "kept", "n_bytes", "n_removed", "n_spans")]
     group = F.coalesce(F.floor(F.col("doc_id").cast("long") / bundle), F.lit(-1)).cast("long")
-    texts = docs.select(*(F.col(f"`{c}`") for c in rest), "text", group.alias("bundle"))
-    entries = texts.select("bundle", "text").mapInArrow(_entries, ENTRY)
+    texts = docs.select(*(F.col(f"`{c}`") for c in rest), "text", group.alias("__bundle"))
+    entries = texts.select(F.col("__bundle").alias("bundle"), "text").mapInArrow(_entries, ENTRY)
     codes = written(entries.repartition("shard_key").mapInArrow(_resolve, "bundle long, kind int, key long"), "suffixes")
 
-    by_text, by_code = texts.groupBy("bundle"), codes.where(F.col("kind") != FULL).groupBy("bundle")
+    by_text, by_code = texts.groupBy("__bundle"), codes.where(F.col("kind") != FULL).groupBy("bundle")
     strings = by_text.cogroup(by_code).applyInArrow(lambda t, h: _strings(t, h), "key long, bundle long, places int, asked boolean")
     counted = strings.withColumn("n", F.sum("places").over(Window.partitionBy("key")))
     singles = counted.where("asked and n > 1").select("bundle", F.lit(0).alias("kind"), "key")

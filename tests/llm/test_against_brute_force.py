@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from dopplerlake.llm import ann, bpe, common, crf, html_text, maxent_lm, media, packing, preference, simhash, suffix_dedup
 
@@ -392,6 +393,17 @@ def test_preference_sql(spark):
     assert sorted(tuple(r) for r in preference.op1_preference(spark.read.parquet(path)).collect()) == want
 
 
+def test_clashing_columns_and_a_single_source_change_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    clash = docs
+    for c in ("bundle", "fp", "variant", "component_id", "ids", "n_tokens", "kept", "held_out", "score", "uid", "h", "media", "n_bytes", "lang_pred", "sequence_id", "piece", "length", "key", "kind", "a", "b", "node", "root"):
+        clash = clash.withColumn(c, F.lit("x"))
+    for op in (bpe.op2_bpe_round_trip, suffix_dedup.op4_suffix_dedup, simhash.op8_simhash, media.op10_media, crf.op6_language):
+        assert Counter(map(tuple, op(docs).collect())) == Counter(map(tuple, op(clash).collect())), op
+    left = suffix_dedup.remove_repeats(clash.select("doc_id", "text", "bundle", "key", "kind"))
+    assert left.count() == docs.count() and left.where("bundle = 'x' and key = 'x'").count() == docs.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

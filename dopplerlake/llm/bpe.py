@@ -5,7 +5,7 @@ plain arrays; the minimum is searched again and again, its boundary deleted and
 Words beyond `SHORT` bytes take the same merges in the same order from a heap, since rescanning would be quadratic.
 
 Texts are cut at single spaces first: a piece that neither starts nor ends with white space is tokenized alike wherever
-it stands, so its ids can be kept. The memory of pieces is bounded (`KEPT`) and is emptied when it is full.
+it stands, so its ids can be kept. The memory of pieces is bounded (two generations of `KEPT`).
 
 Null text: as empty text (no ids). Any other column is kept. Ids travel as little-endian unsigned 32-bit integers in a
 binary column, which is compact in shuffles and needs no per-element boxing in the JVM.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ from .common import tokenizer_path
 #: The published pre-tokenization pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT = 192
-KEPT = 400_000
+KEPT = 220_000
 NONE = 1 << 30
 
 
@@ -43,15 +44,19 @@ def byte_letters() -> dict[str, int]:
 
 
 class _Kept(dict):
-    """Piece -> ids as bytes; computes what is missing and empties itself at KEPT entries."""
+    """Piece -> ids as bytes; computes what is missing. At KEPT entries a new generation begins: what is used again moves
+    over from the one before, the rest goes with the next change, so pieces in use survive and memory stays bounded."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= KEPT:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -62,9 +67,13 @@ class _Uneven(Exception):
 
 
 class RankBPE:
-    """Encoder and decoder for one vocabulary file of the `tokenizers` library (kind BPE, byte level)."""
+    """Encoder and decoder for one vocabulary file of the `tokenizers` library (kind BPE, byte level).
 
-    def __init__(self, path: str):
+    With `library`, pieces that are not kept are left to the tiktoken library instead of the rank array: for jobs whose
+    own work is another, such as packing.
+    """
+
+    def __init__(self, path: str, library: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], byte_letters()
@@ -87,8 +96,16 @@ class RankBPE:
             self.made.append(vocab[a + b])
         self.find = regex.compile(PATTERN).findall
         self.split_added = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.words = _Kept(lambda w: np.array(self.merge(w.encode()), "<u4").tobytes())
+        self.words = _Kept(lambda w: array("I", self.merge(w.encode())).tobytes())
         self.spaced = _Kept(self._spaced)
+        if library:
+            import tiktoken
+
+            ranks = {text: i for i, text in enumerate(self.texts) if i not in set(added.values())}
+            ordinary = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self._cut = lambda text: array("I", ordinary(text)).tobytes()
+        else:
+            self._cut = lambda text: b"".join(map(self.words.__getitem__, self.find(text)))
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token by the rank array."""
@@ -109,7 +126,6 @@ class RankBPE:
                 ranks[i - 1] = rank(ids[i - 1] << 20 | ids[i], NONE)
             if i < len(ranks):
                 ranks[i] = rank(ids[i] << 20 | ids[i + 1], NONE)
-        assert bounds[-1] == len(word) and len(bounds) == len(ids) + 1
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -134,18 +150,16 @@ class RankBPE:
     def _spaced(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Uneven
-        return b"".join(map(self.words.__getitem__, self.find(" " + piece)))
+        return self._cut(" " + piece)
 
     def _plain(self, text: str) -> bytes:
         head, *rest = text.split(" ")
         try:
             if head and head[-1].isspace():
                 raise _Uneven
-            found = [b"".join(map(self.words.__getitem__, self.find(head)))]
-            found += map(self.spaced.__getitem__, rest)
+            return b"".join([self._cut(head), *map(self.spaced.__getitem__, rest)])
         except _Uneven:
-            found = map(self.words.__getitem__, self.find(text))
-        return b"".join(found)
+            return self._cut(text)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; added tokens in the text become their own ids."""
@@ -163,9 +177,9 @@ class RankBPE:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> RankBPE:
+def encoder(path: str, library: bool = False) -> RankBPE:
     """One encoder for each worker and vocabulary file."""
-    return RankBPE(path)
+    return RankBPE(path, library)
 
 
 def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, arrow: pa.DataType, make) -> DataFrame:

@@ -36,7 +36,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, path: str |
     path, end = path or tokenizer_path(), np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path, library=True).encode
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):

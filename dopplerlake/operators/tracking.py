@@ -1,7 +1,12 @@
-"""Target tracking (T): candidates by windows in Spark, association in order by one small kernel a recording."""
+"""Target tracking (T): candidates by windows in Spark, association in frame order by a small step function.
+
+Association is sequential within a recording, so Spark partitions and sorts, and a task streams over its rows with the
+state of one recording and the rows of one frame in memory, however long the recording is.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import permutations
 
 import numpy as np
@@ -50,6 +55,37 @@ def greedy_match(distance: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def in_order(rows: DataFrame, within: str, make: Callable[[], Callable[[pd.DataFrame], list[tuple]]], schema: str) -> DataFrame:
+    """One pass over each recording by frame (and `within` it): `make()` gives a recording's step, which takes a frame's rows
+    and gives output rows without the two key columns."""
+    ordered = rows.repartition(R).sortWithinPartitions(R, "frame_idx", within)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, recording, step = None, None, None
+
+        def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal recording, step
+            out = []
+            for (rec, frame), g in pdf.groupby([R, "frame_idx"], sort=False):
+                if rec != recording:
+                    recording, step = rec, make()
+                out += [(rec, frame, *row) for row in step(g)]
+            return pd.DataFrame(out, columns=names)
+
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf])
+            if not len(pdf):
+                continue
+            open_ = (pdf[R] == pdf[R].iloc[-1]) & (pdf["frame_idx"] == pdf["frame_idx"].iloc[-1])
+            held = pdf[open_]
+            yield walk(pdf[~open_])
+        if held is not None:
+            yield walk(held)
+
+    return ordered.mapInPandas(run, schema)
+
+
 TRACK = "recording_id long, frame_idx long, target long, range_m double, coasted boolean"
 
 
@@ -58,30 +94,27 @@ def track_maps(candidates: DataFrame, spine: DataFrame, targets: int = 1, jump:
     total), no jump beyond `jump`, the last range held for `coast` frames. Targets start at the first frame with enough peaks."""
     rows = spine.select(*FRAME).join(candidates.select(*FRAME, "range_m"), FRAME, "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, out = pdf.sort_values(["frame_idx", "range_m"]), None, []
-        for frame, g in pdf.groupby("frame_idx", sort=True):
+    def make():
+        state: list[list] = []
+
+        def step(g: pd.DataFrame) -> list[tuple]:
             found = g["range_m"].dropna().to_numpy()
-            if state is None and len(found) >= targets:
-                state = [[float(x), 0] for x in found[:targets]]
-                out += [(frame, i, x, False) for i, (x, _) in enumerate(state)]
-                continue
-            if state is None:
-                out += [(frame, i, None, False) for i in range(targets)]
-                continue
+            if not state:
+                if len(found) < targets:
+                    return [(i, None, False) for i in range(targets)]
+                state.extend([float(x), 0] for x in found[:targets])
+                return [(i, x, False) for i, (x, _) in enumerate(state)]
             pairs = {}
             if len(found):
                 d = np.abs(np.array([s[0] for s in state])[:, None] - found[None, :])
                 pairs = {i: j for i, j in (best_match(d) if optimal else greedy_match(d)) if d[i, j] <= jump}
             for i, s in enumerate(state):
                 s[:] = [float(found[pairs[i]]), 0] if i in pairs else [s[0], s[1] + 1]
-                held = s[1] > 0
-                out.append((frame, i, s[0] if s[1] <= coast else None, held and s[1] <= coast))
-        o = pd.DataFrame(out, columns=["frame_idx", "target", "range_m", "coasted"])
-        o.insert(0, R, pdf[R].iloc[0])
-        return o
+            return [(i, x if missed <= coast else None, 0 < missed <= coast) for i, (x, missed) in enumerate(state)]
+
+        return step
 
-    return rows.groupBy(R).applyInPandas(run, TRACK)
+    return in_order(rows, "range_m", make, TRACK)
 
 
 def strongest_candidates(points: DataFrame, slowest: float | None = None, per_frame: int = 8) -> DataFrame:
@@ -97,25 +130,26 @@ def track_points(candidates: DataFrame, spine: DataFrame, jump: float = 0.6, hol
     `hold` misses with candidates present, never in frames without any."""
     rows = spine.select(*FRAME).join(candidates.select(*FRAME, "range_m", "weight", "place"), FRAME, "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, missed, out = pdf.sort_values(["frame_idx", "place"]), None, 0, []
-        for frame, g in pdf.groupby("frame_idx", sort=True):
-            found, value = g["range_m"].dropna().to_numpy(), None
-            if len(found):
-                near = found if last is None else found[np.abs(found - last) <= jump]
-                if len(near):
-                    value = last = float(near[0])
-                    missed = 0
-                else:
-                    missed += 1
-                    if missed > hold:
-                        last, missed = None, 0
-            out.append((frame, 0, value, value is None and last is not None))
-        o = pd.DataFrame(out, columns=["frame_idx", "target", "range_m", "coasted"])
-        o.insert(0, R, pdf[R].iloc[0])
-        return o
-
-    return rows.groupBy(R).applyInPandas(run, TRACK)
+    def make():
+        last, missed = None, 0
+
+        def step(g: pd.DataFrame) -> list[tuple]:
+            nonlocal last, missed
+            found = g["range_m"].dropna().to_numpy()
+            if not len(found):
+                return [(0, None, last is not None)]
+            near = found if last is None else found[np.abs(found - last) <= jump]
+            if len(near):
+                last, missed = float(near[0]), 0
+                return [(0, last, False)]
+            missed += 1
+            if missed > hold:
+                last, missed = None, 0
+            return [(0, None, last is not None)]
+
+        return step
+
+    return in_order(rows, "place", make, TRACK)
 
 
 def fill_track(tracks: DataFrame, edge: str = "clamp") -> DataFrame:
@@ -141,16 +175,16 @@ def separate_two(points: DataFrame, gate: float = 0.75, apart: float = 0.5, drop
     centroid within `gate`, forgotten after `drop` frames without points. Points of neither person: person -1."""
     rows = points.select(*FRAME, "point_idx", "x", "y")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_idx", "point_idx"])
-        centres, missed, person = [None, None], [0, 0], []
-        for _, g in pdf.groupby("frame_idx", sort=True):
+    def make():
+        centres, missed = [None, None], [0, 0]
+
+        def step(g: pd.DataFrame) -> list[tuple]:
             xy = g[["x", "y"]].to_numpy()
             if centres[0] is None and centres[1] is None and len(xy) >= 2:
                 d = np.hypot(*(xy[:, None, :] - xy[None, :, :]).transpose(2, 0, 1))
                 i, j = np.unravel_index(np.argmax(d), d.shape)
                 if d[i, j] >= apart:
-                    centres, missed = [xy[i], xy[j]], [0, 0]
+                    centres[:], missed[:] = [xy[i], xy[j]], [0, 0]
             cost = np.stack([np.full(len(xy), np.inf) if c is None else np.hypot(*(xy - c).T) for c in centres])
             who = np.where(cost.min(axis=0) <= gate, cost.argmin(axis=0), -1)
             for k in (0, 1):
@@ -161,7 +195,8 @@ def separate_two(points: DataFrame, gate: float = 0.75, apart: float = 0.5, drop
                     missed[k] += 1
                     if missed[k] > drop:
                         centres[k] = None
-            person += who.tolist()
-        return pdf[[R, "frame_idx", "point_idx"]].assign(person=np.array(person, np.int64))
+            return list(zip(g["point_idx"].tolist(), who.tolist()))
+
+        return step
 
-    return rows.groupBy(R).applyInPandas(run, "recording_id long, frame_idx long, point_idx long, person long")
+    return in_order(rows, "point_idx", make, "recording_id long, frame_idx long, point_idx long, person long")

@@ -236,6 +236,24 @@ def test_point_tracker_deletes_only_after_misses_with_candidates(spark):
     assert [x["range_m"] for x in r] == [1.0, None, None, None, 5.0, None]
 
 
+def test_trackers_do_not_depend_on_batches(spark):
+    rng = np.random.default_rng(11)
+    p = cloud(spark, [(f, rng.normal(), rng.uniform(0.5, 4), rng.choice([0.0, 0.5]), rng.uniform(0, 30)) for f in range(60) for _ in range(int(rng.integers(0, 6)))])
+    spine = spark.createDataFrame([(1, i) for i in range(60)], "recording_id long, frame_idx long")
+
+    def results():
+        c = tracking.strongest_candidates(p)
+        return [values(df, *df.columns[:3]) for df in (tracking.track_points(c, spine), tracking.track_maps(c, spine, 2), tracking.separate_two(p))]
+
+    want = results()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert results() == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_fill_at_the_ends(spark):
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate([None, 1.0, None, 3.0, None])], "recording_id long, frame_idx long, range_m double")
     assert [r["filled_m"] for r in tracking.fill_track(df).orderBy("frame_idx").collect()] == [1.0, 1.0, 2.0, 3.0, 3.0]

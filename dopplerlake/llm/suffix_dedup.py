@@ -329,7 +329,12 @@ def _kept(texts: pa.Table, hits: pa.Table) -> Iterator[tuple[int, bytes, int, in
 def remove_repeats(docs: DataFrame, bundle: int = BUNDLE) -> DataFrame:
     """Every row with `kept` (binary, the remaining bytes), n_bytes, n_removed and n_spans instead of `text`."""
     rest = [c for c in docs.columns if c not in ("text", "kept", "n_bytes", "n_removed", "n_spans")]
-    group = F.coalesce(F.floor(F.col("doc_id").cast("long") / bundle), F.lit(-1)).cast("long")
+    rows = docs.agg(F.count("*").alias("n"), F.min("doc_id").cast("long").alias("a"), F.max("doc_id").cast("long").alias("b")).first()
+    if rows["a"] is not None and rows["b"] - rows["a"] > 8 * rows["n"]:  # far apart ids: bundles by hash, or each text would be one
+        group = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(-(-rows["n"] // bundle)))
+    else:
+        group = F.floor(F.col("doc_id").cast("long") / bundle)
+    group = F.coalesce(F.when(F.col("doc_id").isNotNull(), group), F.lit(-1)).cast("long")
     texts = docs.select(*(F.col(f"`{c}`") for c in rest), "text", group.alias("__bundle"))
     entries = texts.select(F.col("__bundle").alias("bundle"), "text").mapInArrow(_entries, ENTRY)
     codes = written(entries.repartition("shard_key").mapInArrow(_resolve, "bundle long, kind int, key long"), "suffixes")

@@ -221,6 +221,8 @@ def test_suffix_dedup_of_planted_edges(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
     want = Counter((i, *x) for i, x in enumerate(brute_repeats(texts)))
     assert Counter(tuple(r) for r in suffix_dedup.op4_suffix_dedup(docs).collect()) == want
+    far = docs.withColumn("doc_id", F.col("doc_id") * 1_000_000_007)
+    assert Counter((r[0] // 1_000_000_007, *r[1:]) for r in suffix_dedup.op4_suffix_dedup(far).collect()) == want
 
 
 def test_windows_of_a_long_text_see_what_the_whole_sees():

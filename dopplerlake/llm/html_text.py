@@ -38,6 +38,9 @@ BOXES = frozenset("article body center div main section table tbody td tr".split
 #: Words of class, id or role that mark blocks beside the article.
 BESIDE = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer login menu modal nav navbar navigation newsletter notice notices pagination popup promo related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 HEADING = frozenset(("header", "masthead"))
+#: Of these, what also marks an article element as no article; and words that turn a class name's meaning.
+REMARKS = frozenset("comment comments disqus replies reply respond".split())
+TURNED = frozenset("has no non with without".split())
 
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(/?)>|<(?=/?[a-zA-Z])[^<>]*\Z")
@@ -46,8 +49,9 @@ WORD = re.compile(r"[a-z]+")
 
 
 def hinted(attributes: str) -> set[str]:
-    """Words of an element's class, id and role."""
-    return {w for m in HINT.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())}
+    """Words of an element's class, id and role; names such as has-sidebar say nothing about the element itself."""
+    names = [WORD.findall(name) for m in HINT.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").lower().split()]
+    return {w for words in names if not TURNED.intersection(words) for w in words}
 
 
 def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
@@ -113,7 +117,12 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
                 stack.pop()
             reset()
         hints = hinted(m[3]) if m[3] else set()
-        leaves = name in GONE or (name == "header" and not scope) or bool(hints & BESIDE) or (not scope and bool(hints & HEADING))
+        if name in ("body", "html", "main"):
+            leaves = False
+        elif name == "article":
+            leaves = bool(hints & REMARKS)
+        else:
+            leaves = name in GONE or (name == "header" and not scope) or bool(hints & BESIDE) or (not scope and bool(hints & HEADING))
         if leaves and not left_out:
             out += [("", scope, 0, box)] * WINDOW
         if name in SCOPE and not scope:

@@ -363,6 +363,7 @@ def test_html(spark):
     plain = """<body><div id=top><a href=/>Home</a> <a href=/b>Blog</a></div><div class=wrap><div class=left><p>Short aside of the site.</p></div><div class=story><h2>Head</h2>
     <div><p>A long first paragraph with many words in it, so that it weighs.</p></div><div class="share-buttons">Tweet</div><p>A long last paragraph with many words in it, too.</p></div></div><div>Copyright someone</div>"""
     assert html_text.main_text(plain) == "Head\nA long first paragraph with many words in it, so that it weighs.\nA long last paragraph with many words in it, too."
+    assert html_text.main_text("<body class='nav-open'><main class='with-sidebar'><article class='post share'><p>Kept.</p></article><div class='has-ads'>Kept too.</div><article class=comment>No</article></main></body>") == "Kept.\nKept too."
     assert html_text.main_text("<div>One</div><div>Two</div>") == "One\nTwo"
     df = spark.createDataFrame([(1, "u", page), (2, "u", None), (1, "u", page)], "page_id long, url string, html string")
     assert sorted((r[0], r[3]) for r in html_text.op7_html_text(df).collect()) == [(1, 46), (1, 46), (2, 0)]

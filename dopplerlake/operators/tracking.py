@@ -55,8 +55,8 @@ def greedy_match(distance: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def in_order(rows: DataFrame, within: str, make: Callable[[], Callable[[pd.DataFrame], list[tuple]]], schema: str) -> DataFrame:
-    """One pass over each recording by frame (and `within` it): `make()` gives a recording's step, which takes a frame's rows
+def in_order(rows: DataFrame, within: str, make: Callable[[], Callable[[dict[str, np.ndarray]], list[tuple]]], schema: str) -> DataFrame:
+    """One pass over each recording by frame (and `within` it): `make()` gives a recording's step, which takes a frame's columns
     and gives output rows without the two key columns."""
     ordered = rows.repartition(R).sortWithinPartitions(R, "frame_idx", within)
     names = [c.split()[0] for c in schema.split(", ")]
@@ -66,11 +66,15 @@ def in_order(rows: DataFrame, within: str, make: Callable[[], Callable[[pd.DataF
 
         def walk(pdf: pd.DataFrame) -> pd.DataFrame:
             nonlocal recording, step
-            out = []
-            for (rec, frame), g in pdf.groupby([R, "frame_idx"], sort=False):
-                if rec != recording:
-                    recording, step = rec, make()
-                out += [(rec, frame, *row) for row in step(g)]
+            out, columns = [], {c: pdf[c].to_numpy() for c in pdf.columns}
+            recs, frames = columns[R], columns["frame_idx"]
+            cuts = [0, *(np.flatnonzero((recs[1:] != recs[:-1]) | (frames[1:] != frames[:-1])) + 1).tolist(), len(pdf)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if recs[a] != recording:
+                    recording, step = recs[a], make()
+                out += [(recs[a], frames[a], *row) for row in step({c: v[a:b] for c, v in columns.items()})]
             return pd.DataFrame(out, columns=names)
 
         for pdf in batches:
@@ -97,8 +101,8 @@ def track_maps(candidates: DataFrame, spine: DataFrame, targets: int = 1, jump:
     def make():
         state: list[list] = []
 
-        def step(g: pd.DataFrame) -> list[tuple]:
-            found = g["range_m"].dropna().to_numpy()
+        def step(g: dict[str, np.ndarray]) -> list[tuple]:
+            found = g["range_m"][~np.isnan(g["range_m"])]
             if not state:
                 if len(found) < targets:
                     return [(i, None, False) for i in range(targets)]
@@ -133,9 +137,9 @@ def track_points(candidates: DataFrame, spine: DataFrame, jump: float = 0.6, hol
     def make():
         last, missed = None, 0
 
-        def step(g: pd.DataFrame) -> list[tuple]:
+        def step(g: dict[str, np.ndarray]) -> list[tuple]:
             nonlocal last, missed
-            found = g["range_m"].dropna().to_numpy()
+            found = g["range_m"][~np.isnan(g["range_m"])]
             if not len(found):
                 return [(0, None, last is not None)]
             near = found if last is None else found[np.abs(found - last) <= jump]
@@ -178,8 +182,8 @@ def separate_two(points: DataFrame, gate: float = 0.75, apart: float = 0.5, drop
     def make():
         centres, missed = [None, None], [0, 0]
 
-        def step(g: pd.DataFrame) -> list[tuple]:
-            xy = g[["x", "y"]].to_numpy()
+        def step(g: dict[str, np.ndarray]) -> list[tuple]:
+            xy = np.stack([g["x"], g["y"]], axis=1)
             if centres[0] is None and centres[1] is None and len(xy) >= 2:
                 d = np.hypot(*(xy[:, None, :] - xy[None, :, :]).transpose(2, 0, 1))
                 i, j = np.unravel_index(np.argmax(d), d.shape)

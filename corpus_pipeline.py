@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from dopplerlake.llm.common import remainder, written
 from dopplerlake.llm.crf import UNKNOWN, identify, learn
+from dopplerlake.llm.near_docs import first_of_groups
 from dopplerlake.llm.packing import op9_packing
-from dopplerlake.llm.simhash import near_components
 from dopplerlake.llm.suffix_dedup import remove_repeats
 from dopplerlake.plans.session import ship
 
@@ -31,12 +31,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group: the one with the smallest id, once. Rows without an id stay."""
+    """Keeps one row of each near-duplicate group (five-word shingles, Jaccard 0.8 or more): that with the smallest id."""
     ship(spark)
-    groups = near_components(docs.select("doc_id", "text"))
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
+    return first_of_groups(docs.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from dopplerlake.llm.common import remainder, written
 from dopplerlake.llm.crf import UNKNOWN, identify, learn
 from dopplerlake.llm.near_docs import first_of_groups
 from dopplerlake.llm.packing import op9_packing
-from dopplerlake.llm.suffix_dedup import remove_repeats
+from dopplerlake.llm.suffix_dedup import BYTES, PASSAGES, remove_repeats
 from dopplerlake.plans.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,9 +37,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out every repeated passage of 400 bytes; a character cut in two goes with it."""
+    """Takes out every repeated passage of over 50 words or of 400 bytes; a character cut in two goes with it."""
     ship(spark)
-    left = remove_repeats(docs.select(*COLUMNS))
+    left = remove_repeats(docs.select(*COLUMNS), rules=(BYTES, PASSAGES))
     whole = F.try_validate_utf8(F.col("kept").cast("string"))
     repaired = F.make_valid_utf8(F.col("kept").cast("string"))
     text = F.when(whole.isNotNull(), whole).otherwise(F.replace(repaired, F.lit("�"), F.lit("")))

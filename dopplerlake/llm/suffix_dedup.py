@@ -18,6 +18,10 @@ A hash of a k-byte start that is frequent within a bundle is told to its shard o
 reach, so no shard holds a passage that fills the corpus. Equality is of 64-bit polynomial hashes over random byte values
 (finished by a mixer): a false match has a chance near 1e-5 at 10^7 entries.
 
+The same holds over words: a rule with `words` takes each text as the hashes of its words (between ASCII white space), so
+its length and k count words, and what goes reaches from the first byte of the first word to the last of the last. Several
+rules are all decided on the whole texts, and a byte goes if any of them says so.
+
 Null or empty text: nothing to remove, digest of no bytes. Texts shorter than `length` keep everything. Repeated rows:
 each counts as another place. Null doc_id: an own bundle.
 """
@@ -27,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,21 @@ from .common import pieces_of, utf8, written
 
 LENGTH = 400
 ANCHOR = 340
+
+
+class Rule(NamedTuple):
+    """Strings of how many bytes or words count as repeated, and the bytes or words of an anchor."""
+
+    length: int
+    k: int
+    words: bool = False
+
+
+BYTES = Rule(LENGTH, ANCHOR)
+#: Passages of over 50 words.
+PASSAGES = Rule(51, 36, words=True)
+#: Kinds of the rules lie this far apart.
+APART = 8
 BUNDLE = 256
 BATCHES = 8
 CROWD = 16
@@ -82,6 +102,22 @@ def sliding(a: np.ndarray, width: int, op: np.ufunc, pad) -> np.ndarray:
     return op(behind[:n], ahead[width - 1 : n + width - 1])
 
 
+def units(raw: np.ndarray, offsets: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """What a rule counts in some texts laid end to end: symbols, their offsets, and for words their first and last + 1 bytes."""
+    if not rule.words:
+        return raw, offsets, None, None
+    n = len(raw)
+    white = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    before, after = np.concatenate([[True], white[:-1]])[:n], np.concatenate([white[1:], [True]])[:n]
+    before[offsets[:-1][offsets[:-1] < n]] = True
+    after[offsets[1:][offsets[1:] > 0] - 1] = True
+    begins, stops = np.flatnonzero(~white & before), np.flatnonzero(~white & after) + 1
+    power, inverse = _powers(max(1 << max(12, int(n + 1).bit_length()), 1 << 20))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_letters()[raw] * power[:n], out=sums[1:])
+    return mix((sums[stops] - sums[begins]) * inverse[begins]) | U(1), np.searchsorted(begins, offsets), begins, stops
+
+
 class Scan:
     """Anchors of some texts laid end to end, and hashes of any of their strings."""
 
@@ -92,7 +128,7 @@ class Scan:
         size = 1 << max(12, int(n + 1).bit_length())
         self.power, self.inverse = _powers(max(size, 1 << 20))
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_letters()[data] * self.power[:n], out=self.sums[1:])
+        np.cumsum((_letters()[data] if data.dtype == np.uint8 else data) * self.power[:n], out=self.sums[1:])
         end = np.repeat(offsets[1:], lengths)
         self.begin_of, self.end_of = np.repeat(offsets[:-1], lengths), end
         place = np.arange(n)
@@ -133,24 +169,25 @@ class Scan:
         return near[marked[self.anchors[nxt]]]
 
 
-def windows_of(data: np.ndarray, offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, Scan]]:
+def windows_of(data: np.ndarray, offsets: np.ndarray, limit: int = PIECE, rule: Rule = BYTES) -> Iterator[tuple[int, Scan]]:
     """(start, scan) over texts laid end to end: as they are up to `limit` bytes, else cut with enough bytes around each
     core that its anchors, reaches and strings are those of the whole text."""
-    size, around = int(offsets[-1]), 2 * LENGTH
-    if size < LENGTH:
+    size, around = int(offsets[-1]), 2 * rule.length
+    if size < rule.length:
         return
     if size <= 2 * limit:
-        yield 0, Scan(data, offsets)
+        yield 0, Scan(data, offsets, None, rule.length, rule.k)
         return
     for c in range(0, size, limit):
         a, b = max(0, c - around), min(size, c + limit + around)
-        yield a, Scan(data[a:b], np.unique(np.clip(offsets - a, 0, b - a)), (c - a, min(c + limit, size) - a))
+        yield a, Scan(data[a:b], np.unique(np.clip(offsets - a, 0, b - a)), (c - a, min(c + limit, size) - a), rule.length, rule.k)
 
 
-def _scans(batch) -> Iterator[Scan]:
+def _scans(batch, rule: Rule) -> Iterator[Scan]:
     data, offsets = utf8(batch.column("text"))
     for i, j in pieces_of(offsets, PIECE):
-        for _, s in windows_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+        symbols, own, _, _ = units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule)
+        for _, s in windows_of(symbols, own, PIECE, rule):
             yield s
 
 
@@ -166,15 +203,15 @@ def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, j - i)
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entries(batches: Iterator[pa.RecordBatch], rule: Rule = BYTES) -> Iterator[pa.RecordBatch]:
     """Suffix entries of each bundle, equal ones counted (up to 2); starts that crowd a bundle are told once."""
     for b in (part for whole in batches for part in _portions(whole)):
         bundles = b.column("bundle").to_numpy(zero_copy_only=False)
         data, offsets = utf8(b.column("text"))
         heads, reaches, owners = [], [], []
         for i, j in pieces_of(offsets, PIECE):
-            own = offsets[i : j + 1] - offsets[i]
-            for a, s in windows_of(data[offsets[i] : offsets[j]], own):
+            symbols, own, _, _ = units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule)
+            for a, s in windows_of(symbols, own, PIECE, rule):
                 row = np.searchsorted(own, s.anchors[s.core] + a, "right") - 1 + i
                 heads.append(s.heads[s.core])
                 reaches.append(s.reach[s.core])
@@ -279,16 +316,16 @@ def _chosen(hits: pa.Table, kind: int) -> np.ndarray:
     return np.unique(hits.column("key").to_numpy()[kinds == kind].view(np.uint64))
 
 
-def _strings(texts: pa.Table, hits: pa.Table) -> pa.Table:
+def _strings(texts: pa.Table, hits: pa.Table, rule: Rule) -> pa.Table:
     """Hashes of the single strings around edges (and those that are known to repeat), counted within the bundle."""
     edge, tell = _chosen(hits, EDGE), _chosen(hits, TELL)
     found, weight, asked = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     if len(edge) or len(tell):
-        for s in _scans(texts):
+        for s in _scans(texts, rule):
             for keys, w in ((edge, 1), (tell, 2)):
                 at = s.strings_at(np.isin(s.reach, keys) & s.core) if len(keys) else np.zeros(0, np.int64)
                 if len(at):
-                    found.append(s.hashes(at, at + LENGTH))
+                    found.append(s.hashes(at, at + rule.length))
                     weight.append(np.full(len(at), w))
                     asked.append(np.full(len(at), w == 1))
     h, back = np.unique(np.concatenate(found), return_inverse=True)
@@ -298,25 +335,46 @@ def _strings(texts: pa.Table, hits: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_table(key=h, bundle=np.full(len(h), bundle, np.int64), places=n, asked=q)])
 
 
-def _kept(texts: pa.Table, hits: pa.Table) -> Iterator[tuple[int, bytes, int, int]]:
+def _gone(raw: np.ndarray, offsets: np.ndarray, rule: Rule, full: np.ndarray, single: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Which bytes of some texts laid end to end a rule takes out."""
+    if not len(full) and not len(single):
+        return np.zeros(len(raw), bool)
+    symbols, own, begins, stops = units(raw, offsets, rule)
+    delta = np.zeros(len(symbols) + 1, np.int32)
+    for a, s in windows_of(symbols, own, PIECE, rule):
+        m = np.isin(s.reach, full) & s.core
+        np.add.at(delta, s.low[m] + a, 1)
+        np.add.at(delta, s.high[m] + a, -1)
+        if len(single):
+            at = s.strings_at(np.isin(s.reach, edge) & s.core)
+            at = at[np.isin(s.hashes(at, at + rule.length), single)] + a
+            np.add.at(delta, at, 1)
+            np.add.at(delta, at + rule.length, -1)
+    gone = np.cumsum(delta)[:-1] > 0
+    if not rule.words:
+        return gone
+    first = np.zeros(len(symbols) + 1, bool)
+    first[own] = True
+    joined = gone[1:] & gone[:-1] & ~first[1:-1]  # the white space between two words of a text that both go
+    covered = np.zeros(len(raw) + 1, np.int32)
+    np.add.at(covered, begins[gone], 1)
+    np.add.at(covered, np.where(np.append(joined, False), np.append(begins[1:], len(raw)), stops)[gone] if len(gone) else stops, -1)
+    return np.cumsum(covered)[:-1] > 0
+
+
+def _kept(texts: pa.Table, hits: pa.Table, rules: tuple[Rule, ...]) -> Iterator[tuple[int, bytes, int, int]]:
     """(row, remaining bytes, removed bytes, removed runs) of each text of a bundle."""
-    full = np.union1d(_chosen(hits, FULL), _chosen(hits, TELL)) if hits.num_rows else np.zeros(0, np.uint64)
-    single = _chosen(hits, 0) if hits.num_rows else full
-    edge = _chosen(hits, EDGE) if hits.num_rows else full
+    none = np.zeros(0, np.uint64)
+    sets = []
+    for n in range(len(rules)):
+        full, tell, single, edge = (_chosen(hits, kind + APART * n) if hits.num_rows else none for kind in (FULL, TELL, 0, EDGE))
+        sets.append((np.union1d(full, tell), single, edge))
     data, offsets = utf8(texts.column("text"))
     for i, j in pieces_of(offsets, PIECE):
         raw, ends = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        delta = np.zeros(len(raw) + 1, np.int32)
-        for a, s in windows_of(raw, ends) if len(full) or len(single) else ():
-            m = np.isin(s.reach, full) & s.core
-            np.add.at(delta, s.low[m] + a, 1)
-            np.add.at(delta, s.high[m] + a, -1)
-            if len(single):
-                at = s.strings_at(np.isin(s.reach, edge) & s.core)
-                at = at[np.isin(s.hashes(at, at + LENGTH), single)] + a
-                np.add.at(delta, at, 1)
-                np.add.at(delta, at + LENGTH, -1)
-        gone = np.cumsum(delta)[:-1] > 0
+        gone = np.zeros(len(raw), bool)
+        for rule, chosen in zip(rules, sets):
+            gone |= _gone(raw, ends, rule, *chosen)
         for r in range(i, j):
             a, b = ends[r - i], ends[r - i + 1]
             g = gone[a:b]
@@ -326,7 +384,18 @@ def _kept(texts: pa.Table, hits: pa.Table) -> Iterator[tuple[int, bytes, int, in
                 yield r, raw[a:b][~g].tobytes(), int(g.sum()), int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1]))
 
 
-def remove_repeats(docs: DataFrame, bundle: int = BUNDLE) -> DataFrame:
+def _hits(texts: DataFrame, rule: Rule) -> DataFrame:
+    """(bundle, kind, key): what repeats by a rule, told to each bundle it concerns."""
+    entries = texts.select(F.col("__bundle").alias("bundle"), "text").mapInArrow(lambda batches: _entries(batches, rule), ENTRY)
+    codes = written(entries.repartition("shard_key").mapInArrow(_resolve, "bundle long, kind int, key long"), "suffixes")
+    by_text, by_code = texts.groupBy("__bundle"), codes.where(F.col("kind") != FULL).groupBy("bundle")
+    strings = by_text.cogroup(by_code).applyInArrow(lambda t, h: _strings(t, h, rule), "key long, bundle long, places int, asked boolean")
+    counted = strings.withColumn("n", F.sum("places").over(Window.partitionBy("key")))
+    singles = counted.where("asked and n > 1").select("bundle", F.lit(0).alias("kind"), "key")
+    return codes.unionByName(singles.distinct())
+
+
+def remove_repeats(docs: DataFrame, bundle: int = BUNDLE, rules: tuple[Rule, ...] = (BYTES,)) -> DataFrame:
     """Every row with `kept` (binary, the remaining bytes), n_bytes, n_removed and n_spans instead of `text`."""
     rest = [c for c in docs.columns if c not in ("text", "kept", "n_bytes", "n_removed", "n_spans")]
     rows = docs.agg(F.count("*").alias("n"), F.min("doc_id").cast("long").alias("a"), F.max("doc_id").cast("long").alias("b")).first()
@@ -336,20 +405,16 @@ def remove_repeats(docs: DataFrame, bundle: int = BUNDLE) -> DataFrame:
         group = F.floor(F.col("doc_id").cast("long") / bundle)
     group = F.coalesce(F.when(F.col("doc_id").isNotNull(), group), F.lit(-1)).cast("long")
     texts = docs.select(*(F.col(f"`{c}`") for c in rest), "text", group.alias("__bundle"))
-    entries = texts.select(F.col("__bundle").alias("bundle"), "text").mapInArrow(_entries, ENTRY)
-    codes = written(entries.repartition("shard_key").mapInArrow(_resolve, "bundle long, kind int, key long"), "suffixes")
-
-    by_text, by_code = texts.groupBy("__bundle"), codes.where(F.col("kind") != FULL).groupBy("bundle")
-    strings = by_text.cogroup(by_code).applyInArrow(lambda t, h: _strings(t, h), "key long, bundle long, places int, asked boolean")
-    counted = strings.withColumn("n", F.sum("places").over(Window.partitionBy("key")))
-    singles = counted.where("asked and n > 1").select("bundle", F.lit(0).alias("kind"), "key")
-    hits = codes.unionByName(singles.distinct())
+    by_text, hits = texts.groupBy("__bundle"), None
+    for n, rule in enumerate(rules):
+        found = _hits(texts, rule).withColumn("kind", F.col("kind") + F.lit(APART * n))
+        hits = found if hits is None else hits.unionByName(found)
 
     names = [*rest, "kept", "n_bytes", "n_removed", "n_spans"]
 
     def finish(t: pa.Table, h: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        done = list(_kept(t, h)) if t.num_rows else []
+        done = list(_kept(t, h, rules)) if t.num_rows else []
         made = [pa.array([d[1] for d in done], pa.binary()), pa.array([len(d[1]) + d[2] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64()), pa.array([d[3] for d in done], pa.int64())]
         return pa.Table.from_arrays([*(t.column(c) for c in rest), *made], names)
 

@@ -1,6 +1,6 @@
 """Exact-substring dedup with a logarithmic family of suffix-array indexes (operator 4).
 
-A byte goes if a string of `length` bytes that covers it also starts anywhere else. Texts are bundled by doc_id; what is
+A byte goes if a string of `length` bytes that covers it also starts anywhere else. Texts are bundled by doc_id or row number; what is
 kept of a bundle is decided from its bytes and from sets of hashes that concern it, so rows need no identity.
 
 1. Sampled suffixes. Of the `length - k + 1` windows of k bytes inside each string of `length` bytes, the one with the
@@ -23,7 +23,7 @@ its length and k count words, and what goes reaches from the first byte of the f
 rules are all decided on the whole texts, and a byte goes if any of them says so.
 
 Null or empty text: nothing to remove, digest of no bytes. Texts shorter than `length` keep everything. Repeated rows:
-each counts as another place. Null doc_id: an own bundle.
+each counts as another place. Null or repeated doc_id: all rows are bundled by a row number that is written with them.
 """
 
 from __future__ import annotations
@@ -395,16 +395,21 @@ def _hits(texts: DataFrame, rule: Rule) -> DataFrame:
     return codes.unionByName(singles.distinct())
 
 
+def bundled(docs: DataFrame, bundle: int = BUNDLE) -> DataFrame:
+    """Every row with `__bundle`, which `bundle` rows share whatever their ids (about so many if ids lie far apart)."""
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.agg(F.count("*").alias("n"), F.count_distinct(doc_id).alias("ids"), F.min(doc_id).alias("a"), F.max(doc_id).alias("b")).first()
+    if rows["ids"] < rows["n"]:  # missing or repeated ids tell rows apart no more: their numbers are written down with them
+        return written(docs.withColumn("__bundle", F.floor(F.monotonically_increasing_id() / bundle).cast("long")), "numbered")
+    if rows["n"] and rows["b"] - rows["a"] > 8 * rows["n"]:  # far apart ids: bundles by hash, or each text would be one
+        return docs.withColumn("__bundle", F.pmod(F.xxhash64(doc_id), F.lit(-(-rows["n"] // bundle))).cast("long"))
+    return docs.withColumn("__bundle", F.floor(doc_id / bundle).cast("long"))
+
+
 def remove_repeats(docs: DataFrame, bundle: int = BUNDLE, rules: tuple[Rule, ...] = (BYTES,)) -> DataFrame:
     """Every row with `kept` (binary, the remaining bytes), n_bytes, n_removed and n_spans instead of `text`."""
     rest = [c for c in docs.columns if c not in ("text", "kept", "n_bytes", "n_removed", "n_spans")]
-    rows = docs.agg(F.count("*").alias("n"), F.min("doc_id").cast("long").alias("a"), F.max("doc_id").cast("long").alias("b")).first()
-    if rows["a"] is not None and rows["b"] - rows["a"] > 8 * rows["n"]:  # far apart ids: bundles by hash, or each text would be one
-        group = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(-(-rows["n"] // bundle)))
-    else:
-        group = F.floor(F.col("doc_id").cast("long") / bundle)
-    group = F.coalesce(F.when(F.col("doc_id").isNotNull(), group), F.lit(-1)).cast("long")
-    texts = docs.select(*(F.col(f"`{c}`") for c in rest), "text", group.alias("__bundle"))
+    texts = bundled(docs.select(*(F.col(f"`{c}`") for c in rest), "text"), bundle)
     by_text, hits = texts.groupBy("__bundle"), None
     for n, rule in enumerate(rules):
         found = _hits(texts, rule).withColumn("kind", F.col("kind") + F.lit(APART * n))

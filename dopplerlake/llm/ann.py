@@ -4,14 +4,21 @@ Index: a vector is coded as the sum of one entry from each of `BOOKS` full-dimen
 after the other on the residuals of a bounded sample (`SAMPLE` vectors, smallest by hash), and codes come from a beam
 search over them, with the norm of each reconstruction stored beside its code. Search: inner products of a query with all
 codebook entries make a lookup table; candidates are scored by table look-ups and stored norms; the best `SHORTLIST` of
-each block are reranked exactly on the original vectors.
+each chunk are reranked exactly on the original vectors.
 
-Equal vectors are indexed once, with their `k + 1` smallest ids, which is all that an exact answer can use. Candidates
-are dealt to chunks by hash; query blocks visit each chunk through an equi-join on (chunk, block), so neither side is
-collected or broadcast. Only codebooks are broadcast: BOOKS x ENTRIES x dimensions, whatever the size of the table.
+Every vector lies in the coarse cell of its nearest centre (spherical k-means on the sample, one cell for each `CELL`
+vectors, `CELLS` at most), and a query visits the `PROBES` cells whose centres are nearest to it: its cost does not grow with
+the table until CELLS cells are full. Up to PROBES cells the search visits all. Cells of more than `CHUNK` vectors are split
+by hash, and so are the queries that visit a cell beyond `BLOCK`, so no group grows with the table. The originals travel with
+their codes, once: a shortlist of hundreds for one query in fifty would fetch each of them several times.
 
-Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no part. Ties
-go to the smaller vec_id. Repeated ids with different vectors count as different rows. Empty table: no rows.
+Equal vectors are indexed once, with their `k + 1` smallest ids, which is all that an exact answer can use. Only codebooks,
+centres and the counts of cells are broadcast, all of a fixed size.
+
+Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no part. All
+others are scaled by a power of two first, so that no square overflows or vanishes; the cosine is the same. Ties go to the
+smaller vec_id. Repeated ids with different vectors count as different rows, and so does each as a query; exact repeats of
+a query ask once. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +38,10 @@ ENTRIES = 256
 BEAM = 4
 SAMPLE = 8192
 SHORTLIST = 256
-CHUNK = 8192
+CELL = 8192
+CELLS = 2048
+PROBES = 16
+CHUNK = 16_384
 BLOCK = 4096
 K = 5
 
@@ -53,6 +63,23 @@ def fit_books(x: np.ndarray, books: int = BOOKS, entries: int = ENTRIES, rounds:
     return np.stack(out)
 
 
+def fit_centres(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 4) -> np.ndarray:
+    """Centres (cells, d) of unit length by spherical k-means."""
+    rng = np.random.default_rng(seed)
+    c = x[rng.choice(len(x), min(cells, len(x)), replace=False)].astype(np.float32)
+    for _ in range(rounds):
+        near = (x.astype(np.float32) @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), c)
+    return c
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Codes by beam search over the codebooks, and norms of the reconstructions."""
     m, e, d = books.shape
@@ -82,36 +109,54 @@ def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(flat, pa.ChunkedArray):
         flat = pa.concat_arrays(flat.chunks) if flat.num_chunks else pa.array([], column.type)
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+    x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+    # powers of two: exact, and no product of scaled components can overflow
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None]) if x.size else x
 
 
 def usable(rows: DataFrame) -> DataFrame:
     """vec_id and v (array of double) of the rows that take part."""
     v = F.col("embedding").cast("array<double>")
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     ok = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
-    return ok.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)).where(norm >= 0)
+    return ok.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+
+
+def _index(shared):
+    """Adds code, norm and cell to distinct vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, centres = shared.value
+        for b in batches:
+            if b.num_rows:
+                x = unit(_matrix(b.column("v")))
+                codes, norms = encode(x, books)
+                cell = (x.astype(np.float32) @ centres.T).argmax(1).astype(np.int32)
+                made = [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32()), pa.array(cell)]
+                yield pa.RecordBatch.from_arrays([b.column("ids"), b.column("v"), *made], ["ids", "v", "code", "norm", "cell"])
+
+    return run
 
 
-def _index(books_of):
-    """Adds code and norm to distinct vectors."""
+def _probe(shared, probes: int):
+    """Adds the cells that a query visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = books_of.value
+        _, centres = shared.value
+        n = min(probes, len(centres))
         for b in batches:
             if b.num_rows:
-                x = _matrix(b.column("v"))
-                codes, norms = encode(x / np.linalg.norm(x, axis=1, keepdims=True), books)
-                yield pa.RecordBatch.from_arrays([b.column("ids"), b.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], ["ids", "v", "code", "norm"])
+                near = np.argpartition(-(_matrix(b.column("v")).astype(np.float32) @ centres.T), n - 1, axis=1)[:, :n].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * n, pa.int32()), pa.array(near.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "cells"])
 
     return run
 
 
-def _search(books_of, k: int, shortlist: int):
+def _search(shared, k: int, shortlist: int):
     def run(c: pa.Table, q: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"asked": [], "query_id": [], "vec_id": [], "score": []}
         if c.num_rows and q.num_rows:
-            books = books_of.value
+            books, _ = shared.value
             m, e, _ = books.shape
             ids = c.column("ids").combine_chunks()
             ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
@@ -125,7 +170,7 @@ def _search(books_of, k: int, shortlist: int):
             codes = np.frombuffer(b"".join(c.column("code").to_pylist()), np.uint8).reshape(-1, m)[order]
             norm = c.column("norm").to_numpy()[order]
             length = np.sqrt((x * x).sum(1))
-            y, y_ids = _matrix(q.column("v")), q.column("query_id").to_numpy()
+            y, y_ids, asked = _matrix(q.column("v")), q.column("query_id").to_numpy(), q.column("asked").to_numpy()
             width = min(shortlist, len(x))
             for at in range(0, len(y), 64):
                 part = y[at : at + 64]
@@ -142,15 +187,17 @@ def _search(books_of, k: int, shortlist: int):
                     pairs = [(w, float(exact[t])) for t in top for w in members[near[t]].tolist() if w != y_ids[at + i]]
                     pairs.sort(key=lambda p: (-p[1], p[0]))
                     for w, s in pairs[:k]:
+                        out["asked"].append(asked[at + i])
                         out["query_id"].append(y_ids[at + i])
                         out["vec_id"].append(w)
                         out["score"].append(s)
-        return pa.table([pa.array(out["query_id"], pa.int64()), pa.array(out["vec_id"], pa.int64()), pa.array(out["score"], pa.float64())], ["query_id", "vec_id", "score"])
+        kinds = {"asked": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
+        return pa.table([pa.array(out[c], kind) for c, kind in kinds.items()], list(kinds))
 
     return run
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = K, shortlist: int = SHORTLIST) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = K, shortlist: int = SHORTLIST, cell: int = CELL, probes: int = PROBES) -> DataFrame:
     """The k nearest rows (vec_id, embedding) of each query by cosine: query_id, rank, vec_id, score."""
     spark = rows.sparkSession
     all_rows = usable(rows)
@@ -161,19 +208,24 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, shortlist: int = SH
     same = all_rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     same = written(same.select("ids", "v"), "vectors")
     sample = same.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").toArrow()
-    x = _matrix(sample.column("v")) if sample.num_rows else np.ones((1, d))
-    books = spark.sparkContext.broadcast(fit_books(x / np.linalg.norm(x, axis=1, keepdims=True)))
-    n = same.count()
-    chunks = max(1, math.ceil(n / CHUNK))
-    asked = usable(queries).where(F.size("v") == d)
-    blocks = max(1, math.ceil(asked.count() / BLOCK))
-    indexed = same.mapInArrow(_index(books), "ids array<long>, v array<double>, code binary, norm float")
-    placed = indexed.withColumn("chunk", F.pmod(F.xxhash64("v"), F.lit(chunks)))
-    left = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.select(F.col("vec_id").alias("query_id"), "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-    found = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(_search(books, k, shortlist), "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    x = unit(_matrix(sample.column("v"))) if sample.num_rows else np.ones((1, d))
+    cells = max(1, min(CELLS, math.ceil(same.count() / cell)))
+    shared = spark.sparkContext.broadcast((fit_books(x), fit_centres(x, cells)))
+    asked = usable(queries).where(F.size("v") == d).distinct()
+    asked = asked.select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("vec_id", "v").alias("asked"))
+    probed = asked.mapInArrow(_probe(shared, probes), "query_id long, v array<double>, asked long, cells array<int>")
+    probed = written(probed.select("query_id", "v", "asked", F.explode("cells").alias("cell")), "probes")
+    indexed = written(same.mapInArrow(_index(shared), "ids array<long>, v array<double>, code binary, norm float, cell int"), "codes")
+    held = indexed.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    visits = probed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    plan = F.broadcast(held.join(visits, "cell"))  # one row a cell
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = indexed.join(plan, "cell").select("ids", "v", "code", "norm", "cell", part("v", "chunks").alias("chunk"), each("blocks").alias("block"))
+    right = probed.join(plan, "cell").select("query_id", "asked", "v", "cell", each("chunks").alias("chunk"), part("asked", "blocks").alias("block"))
+    keys = ("cell", "chunk", "block")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(shared, k, shortlist), "asked long, query_id long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("asked", "query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -7,7 +7,9 @@ segments whose transfer matrices are multiplied, so that all segments of many te
 exactly that of the plain recursion. The language of a text is the one with the largest mean posterior, which is the score.
 
 The classifier is fitted by gradient ascent on the conditional likelihood of a bounded sample: at most `SAMPLE` texts of
-each language with a label (smallest by hash of their id), whole. Everything else runs over all rows.
+each language with a label (smallest by hash of their id), whole. Labels are given for whole texts, so code-switched chains
+are made from them: every other pair of chains swaps runs of a few to some tens of words, which keep their languages. From
+these the transitions learn how long a language lasts and what may follow it. Everything else runs over all rows.
 
 Null text or text without letters: `und`, score 0. Null label: not learned from. No labelled row at all: all `und`.
 Ties between languages: the first in alphabetical order. Repeated rows: each gets its row.
@@ -28,8 +30,8 @@ from .common import remainder
 
 BUCKETS = 1 << 15
 SAMPLE = 150
-#: Languages that are told apart at most: those with most labelled rows.
-LANGUAGES = 64
+#: Lengths in words of the runs that mixed training chains swap, at least and at most.
+RUNS = (4, 60)
 LEXICON = 4000
 SEGMENT = 32
 KEPT = 300_000
@@ -209,6 +211,28 @@ class Tagger:
         return out
 
 
+def mixed_chains(chains: list[tuple[list[str], np.ndarray]], rng: np.random.Generator) -> list[tuple[list[str], np.ndarray]]:
+    """Chains of (words, label of each word): every other pair, in random order, swaps alternate runs of random lengths."""
+    order = rng.permutation(len(chains)).tolist()
+    out = []
+    for n, (i, j) in enumerate(zip(order[::2], order[1::2])):
+        (a, la), (b, lb) = chains[i], chains[j]
+        if n % 2:
+            out += [chains[i], chains[j]]
+            continue
+        cuts = np.cumsum(rng.integers(*RUNS, min(len(a), len(b)) // RUNS[0] + 1)).tolist()
+        edges = [0, *(c for c in cuts if c < min(len(a), len(b))), max(len(a), len(b))]
+        sides = ([], []), ([], [])
+        for k, (x, y) in enumerate(zip(edges, edges[1:])):
+            for side, (w, l) in ((k % 2, (a, la)), (1 - k % 2, (b, lb))):
+                sides[side][0].extend(w[x:y])
+                sides[side][1].append(l[x:y])
+        out += [(w, np.concatenate(l)) for w, l in sides if w]
+    if len(order) % 2:
+        out.append(chains[order[-1]])
+    return out
+
+
 def fit(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.3, seed: int = 5) -> Tagger:
     """A tagger from (text, language) pairs: stochastic gradient ascent (Adagrad) on the chains' conditional likelihood."""
     langs = sorted({lang for _, lang in rows})
@@ -219,15 +243,16 @@ def fit(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.3, seed: i
     chains = []
     for text, lang in rows:
         found = [w for w in map(letters, text.lower().split()) if w]
-        chains += [(found[i : i + 200], langs.index(lang)) for i in range(0, len(found), 200)]
+        chains += [(found[i : i + 200], np.full(min(200, len(found) - i), langs.index(lang))) for i in range(0, len(found), 200)]
     rng = np.random.default_rng(seed)
+    chains = mixed_chains(chains, rng)
     sq, sq_t, sq_s = np.full_like(tagger.weights, 1e-6), np.full((k, k), 1.0), np.full(k, 1.0)
     for _ in range(epochs):
         order = rng.permutation(len(chains))
         for at in range(0, len(order), 64):
             part = [chains[i] for i in order[at : at + 64]]
             lengths = np.array([len(c[0]) for c in part])
-            gold = np.repeat([c[1] for c in part], lengths)
+            gold = np.concatenate([c[1] for c in part])
             ids, first = word_features([w for c in part for w in c[0]], lexicon)
             e = np.add.reduceat(tagger.weights[ids], first, axis=0)
             gamma, pairs = posteriors(e, lengths, tagger.start, tagger.trans)
@@ -237,12 +262,12 @@ def fit(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.3, seed: i
             np.add.at(g, ids, np.repeat(diff, np.diff(np.append(first, len(ids))), axis=0) / len(gold))
             sq += g * g
             tagger.weights += rate * g / np.sqrt(sq)
-            seen = np.zeros((k, k))
-            np.add.at(seen, ([c[1] for c in part], [c[1] for c in part]), lengths - 1)
+            edges = np.cumsum(lengths) - lengths
+            inner = np.delete(np.arange(len(gold)), edges)
+            seen = np.bincount(gold[inner - 1] * k + gold[inner], minlength=k * k).reshape(k, k)
             gt = (seen - pairs) / len(gold) - 0.0005 * tagger.trans
             sq_t += gt * gt
             tagger.trans = tagger.trans + rate * gt / np.sqrt(sq_t)
-            edges = np.cumsum(lengths) - lengths
             gs = diff[edges].mean(axis=0)
             sq_s += gs * gs
             tagger.start = tagger.start + rate * gs / np.sqrt(sq_s)
@@ -252,7 +277,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.3, seed: i
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
     """Fits on at most `sample` labelled texts of each language, smallest by hash of doc_id and text, whole."""
     rows = docs.where(F.col("lang").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Tagger([], {}, np.zeros((BUCKETS + LEXICON, 0)), np.zeros(0), np.zeros((0, 0)))
     # a hash threshold for each language first, so that only about the sample's texts are sorted

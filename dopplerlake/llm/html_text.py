@@ -1,19 +1,27 @@
 """Main-text extraction by line-block distribution (operator 7).
 
-Method: markup is stripped to lines (one for each block element), and what cannot be prose (scripts, styles, menus,
-forms, and blocks whose tag, class or id says advert, notice, sidebar, comment, ...) leaves empty lines. Text lengths are
-summed over sliding windows of `WINDOW` lines; a region opens at a surge (the sum rises from nothing) and closes at a dive
-(it falls back to nothing). On pages with an article or main element, the regions inside the weightiest one are the main
-text. On others, what lies beside the element that holds most of the page's prose counts as empty lines, and the regions
-that are of comparable weight with the heaviest and not mostly links are kept.
+Method: markup is stripped to lines, one for each block element; scripts, styles, menus, forms and the other elements that
+a main text is without leave empty lines. The length of a line is that of its text less twice that of its links. Lengths are
+summed over sliding windows of `WINDOW` lines: a region opens at a surge, where the sum reaches `SURGE` times the geometric
+mean of the page's lines (or the largest sum, if none does), and closes at a dive, where it falls below `DIVE` times that
+mean. The regions, cut back to lines with half the length of the longest at either end, say where the main text lies: in the
+page's articles (article or main elements, all of them) if half of the regions' weight is there, else in the innermost box
+that holds them all. Of that place every block is kept, however short, since headings, lists and one-line paragraphs weigh
+little in a window.
+
+An element is left out for what HTML says it is, or for a class, id or role of which every word is in the lists below and one
+at least is in `BESIDE`: "cookie-notice" goes, "notice-period" and "related-work" stay.
 
 Null or empty html, and pages without text: empty text, zero characters. Unclosed tags end with their parents; a page that
-breaks off inside a tag loses that tag only. Repeated rows: each gets its row. All other columns are kept.
+breaks off inside a tag loses that tag only. Pages of links alone are measured by their links. Ties: a region opens at the
+first line of the first window that reaches the threshold. Very long pages: whole, in time linear in their length. Repeated
+rows: each gets its row. All other columns are kept.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,11 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 3
-#: Share of the heaviest region's text that another region needs on pages without an article or main element.
-COMPARABLE = 0.1
-MOST_LINKS = 0.5
-#: Share of the prose around it that a container needs to be looked into further, on such pages.
-MOST_PROSE = 0.6
+#: Multiples of the geometric mean of a page's lines at which a region opens and closes.
+SURGE = 1.5
+DIVE = 0.75
 
 #: Element names by their role in the HTML standard.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -35,23 +41,28 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 GONE = frozenset("nav footer aside form menu search dialog button select option textarea template noscript iframe svg canvas object head audio video map datalist".split())
 SCOPE = frozenset(("article", "main"))
 BOXES = frozenset("article body center div main section table tbody td tr".split())
-#: Words of class, id or role that mark blocks beside the article.
-BESIDE = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer login menu modal nav navbar navigation newsletter notice notices pagination popup promo related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+#: Words of class, id or role that mark blocks beside the article, and words that say only where or how.
+BESIDE = frozenset("ad ads advert adverts advertisement advertisements advertising alert alerts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus footer login menu menus modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser teasers toolbar widget widgets".split())
+PLAIN = frozenset("area bar block bottom box button buttons center container content fixed form global group inner item items left link links list main middle module outer page panel primary right row secondary section site slot small thread top unit wrap wrapper".split())
 HEADING = frozenset(("header", "masthead"))
-#: Of these, what also marks an article element as no article; and words that turn a class name's meaning.
-REMARKS = frozenset("comment comments disqus replies reply respond".split())
-TURNED = frozenset("has no non with without".split())
+#: Of these, what also marks an article element as no article.
+REMARKS = frozenset("comment comments disqus replies reply respond teaser teasers".split())
 
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*(?:>|\Z)", re.S | re.I)
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(/?)>|<(?=/?[a-zA-Z])[^<>]*\Z")
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^<>]*\Z")
 HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
 
 def hinted(attributes: str) -> set[str]:
-    """Words of an element's class, id and role; names such as has-sidebar say nothing about the element itself."""
-    names = [WORD.findall(name) for m in HINT.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").lower().split()]
-    return {w for words in names if not TURNED.intersection(words) for w in words}
+    """Words of those names in an element's class, id and role that are made of listed words only."""
+    out: set[str] = set()
+    for m in HINT.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = WORD.findall(name)
+            if words and all(w in BESIDE or w in PLAIN or w in HEADING for w in words):
+                out.update(words)
+    return out
 
 
 def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
@@ -104,7 +115,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
                 if was and not left_out:
                     out += [("", scope, 0, box)] * WINDOW
             continue
-        if name in VOID or m[4]:
+        if name in VOID:
             continue
         if stack and stack[-1][0] == "p":
             stack.pop()
@@ -139,60 +150,59 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
     return out, parents
 
 
-def main_box(lines: list[tuple[str, int, int, int]], parents: list[int]) -> set[int]:
-    """The box that holds most prose and all boxes in it: looks into a box while it has no text of its own and one box in it
-    has MOST_PROSE of its text."""
-    own = [0] * len(parents)
-    for text, _, linked, box in lines:
-        own[box] += len(text) - linked
-    total, inside = own.copy(), [[] for _ in parents]
-    for b in range(len(parents) - 1, 0, -1):
-        total[parents[b]] += total[b]
-        inside[parents[b]].append(b)
-    at = 0
-    while not own[at] and inside[at]:
-        best = max(inside[at], key=lambda b: (total[b], -b))
-        if total[best] < MOST_PROSE * total[at] or not total[best]:
-            break
-        at = best
-    kept, todo = set(), [at]
-    while todo:
-        b = todo.pop()
-        kept.add(b)
-        todo += inside[b]
-    return kept
-
-
-def regions(lines: list[tuple[str, int, int, int]], window: int = WINDOW) -> list[tuple[int, int]]:
-    """Line ranges between a surge and the next dive of the text lengths summed over sliding windows."""
-    sizes = [len(x[0]) for x in lines]
-    total, out, opened = 0, [], None
-    for i in range(len(sizes) + window):
-        total += (sizes[i] if i < len(sizes) else 0) - (sizes[i - window] if i >= window else 0)
-        if total and opened is None:
-            opened = i
-        elif not total and opened is not None:
-            out.append((opened, i - window + 1))
+def regions(sizes: list[int], window: int = WINDOW, surge: float = SURGE, dive: float = DIVE) -> list[tuple[int, int]]:
+    """Line ranges from a surge to the next dive of the sums over sliding windows, cut back to long lines at either end."""
+    weighing = [x for x in sizes if x]
+    if not weighing:
+        return []
+    sums, total = [], 0
+    for i, size in enumerate(sizes):  # the window that ends at line i
+        total += size - (sizes[i - window] if i >= window else 0)
+        sums.append(total)
+    mean = math.exp(sum(map(math.log, weighing)) / len(weighing))
+    high, low = min(surge * mean, max(sums)), min(dive * mean, max(sums))
+    long = lambda lines: [i for i in lines if 2 * sizes[i] >= max(sizes[j] for j in lines)]
+    out, opened = [], None
+    for i, total in enumerate([*sums, 0]):
+        if opened is None and total >= high:
+            opened = long(range(max(0, i - window + 1), i + 1))[0]
+        elif opened is not None and total < low:
+            out.append((opened, long(range(max(opened, i - window), i))[-1] + 1))
             opened = None
     return out
 
 
+def around(boxes: set[int], parents: list[int]) -> set[int]:
+    """The innermost box that holds all of `boxes`, and everything in it. A box comes after its parent."""
+    common = None
+    for b in boxes:
+        path = [b]
+        while path[-1]:
+            path.append(parents[path[-1]])
+        path.reverse()
+        if common is None:
+            common = path
+        else:
+            common = [x for x, y in zip(common, path) if x == y]
+    inside = {common[-1]} if common else set()
+    for b in range(1, len(parents)):
+        if parents[b] in inside:
+            inside.add(b)
+    return inside
+
+
 def main_text(page: str) -> str:
     """The article's blocks joined by newlines; empty if there is no text."""
     lines, parents = lines_of(page)
-    scoped: dict[int, int] = {}
-    for text, scope, linked, _ in lines:
-        scoped[scope] = scoped.get(scope, 0) + len(text) - linked
-    inside = max((s for s in scoped if s and scoped[s]), key=lambda s: (scoped[s], -s), default=0)
-    if inside:
-        return "\n".join(x[0] for a, b in regions(lines) for x in lines[a:b] if x[1] == inside and x[0])
-    boxes = main_box(lines, parents)
-    lines = [y for x in lines for y in ([x] if x[3] in boxes else [("", 0, 0, 0)] * WINDOW)]
-    found = regions(lines)
-    mass = lambda a, b: sum(len(x[0]) - x[2] for x in lines[a:b])
-    most = max((mass(a, b) for a, b in found), default=0)
-    linked = lambda a, b: sum(x[2] for x in lines[a:b]) > MOST_LINKS * sum(len(x[0]) for x in lines[a:b])
-    return "\n".join(x[0] for a, b in found if mass(a, b) >= max(1, COMPARABLE * most) and not linked(a, b) for x in lines[a:b] if x[0])
+    sizes = [max(0, len(text) - 2 * linked) for text, _, linked, _ in lines]
+    if not any(sizes):
+        sizes = [len(x[0]) for x in lines]
+    dense = [i for a, b in regions(sizes) for i in range(a, b)]
+    scoped = sum(sizes[i] for i in dense if lines[i][1])
+    if 2 * scoped >= sum(sizes[i] for i in dense):
+        return "\n".join(x[0] for x in lines if x[1] and x[0])
+    boxes = around({lines[i][3] for i in dense if sizes[i]}, parents)
+    return "\n".join(x[0] for x in lines if x[3] in boxes and x[0])
 
 
 def extract_text(pages: DataFrame, source: str = "html", target: str = "text") -> DataFrame:

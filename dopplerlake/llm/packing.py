@@ -2,11 +2,14 @@
 
 Method: bound-certified repacking. Pieces are dealt evenly to partitions; each partition packs best-fit decreasing and
 computes lower bounds on its bin count from dual-feasible functions. A partition whose bin count equals its bound is
-certified. Bins that are not nearly full are then given up by all partitions, exchanged, and packed again in fewer
-partitions, until one pool remains or nothing is left to exchange. What moves between rounds is a few bins a partition,
-so rounds shrink geometrically and no task ever sees all documents.
-
-Null text: empty text, one sequence item holding the end id alone. Repeated rows: each is packed. Empty table: no rows.
+certified: it could do no better alone, and keeps its bins but for the emptiest, which may fill another's gap. Partitions
+with a gap between bins and bound give up the bins that are not nearly full. What is given up is exchanged and packed
+again, `per_partition` pieces to a task at most. Rounds end when one task held all that was left, when nothing was given
+up, or when a round saved no bin, so pieces that no packing can pair (all over half a bin, say) are packed once.
+
+Null text: empty text, one sequence item holding the end id alone. Repeated rows: each is packed. Ties: equal lengths keep
+the order in which they reach the task; any order gives as many bins. Very long texts: cut into full pieces, which fill
+bins alone. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -95,23 +98,28 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return where, offset, np.array(room, np.int64)
 
 
+def given_up(room: np.ndarray, bound: int, capacity: int) -> np.ndarray:
+    """Which bins of a partition go into the exchange."""
+    up = np.zeros(len(room), bool)
+    if len(room) > bound:
+        up = room > capacity * SLACK
+    elif room.max() > capacity * SLACK:
+        up[room.argmax()] = True
+    return up
+
+
 def _pack(base: int, capacity: int, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tables = list(batches)
+        tables = [b for b in batches if b.num_rows]
         if not tables:
             return
         t = pa.Table.from_batches(tables)
-        if not t.num_rows:
-            return
         lengths = t.column("length").to_numpy()
         where, offset, room = best_fit_decreasing(lengths, capacity)
         bound = lower_bound(lengths, capacity)
-        gaps = room.sum() >= capacity * SLACK
-        up = (room > capacity * SLACK) & gaps & (not last)
-        if len(room) == bound and np.count_nonzero(up) == 1 and room.max() < capacity * 0.02:
-            up[:] = False
+        up = given_up(room, bound, capacity) & (not last)
         seq = (np.int64(base) << np.int64(56)) + (np.int64(TaskContext.get().partitionId()) << np.int64(32)) + where
         n = t.num_rows
         for name, a in (("sequence_id", seq), ("offset", offset), ("given_up", up[where]), ("bins", np.full(n, len(room))), ("bound", np.full(n, bound))):
@@ -124,18 +132,20 @@ def _pack(base: int, capacity: int, last: bool):
 def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = ITEMS) -> DataFrame:
     """Places items of `length` 1..capacity; returns them with sequence_id and offset, and bins and bound of their partition."""
     items = written(items, "pieces")
-    kept, round_ = [], 0
-    left = items.count()
-    parts = math.ceil(left / per_partition)
+    kept, round_, left, before = [], 0, items.count(), None
     while left:
+        parts = math.ceil(left / per_partition)
         dealt = items.repartition(parts) if parts > 1 else items.coalesce(1)
         placed = written(dealt.mapInArrow(_pack(round_, capacity, parts == 1), PLACED), "packed")
-        kept.append(placed.where(~F.col("given_up")))
-        items = placed.where("given_up").select("doc_id", "piece", "start", "length", "ids_crc32")
-        left, before = items.count(), left
-        parts, round_ = (1 if left <= per_partition else max(1, min(parts // 2, math.ceil(left / per_partition)))), round_ + 1
-        if left > 0.9 * before and parts > 1:
-            parts = max(1, parts // 4)
+        up = F.col("given_up")
+        first = F.col("offset") == 0  # one row for each bin
+        found = placed.agg(F.count_if(first).alias("bins"), F.count_if(first & up).alias("up"), F.count_if(up).alias("left")).first()
+        if before is not None and found["bins"] >= before:  # an exchange that saved nothing: no more of them
+            kept.append(placed)
+            break
+        kept.append(placed.where(~up))
+        items = placed.where(up).select("doc_id", "piece", "start", "length", "ids_crc32")
+        left, before, round_ = found["left"], found["up"], round_ + 1
     out = kept[0] if kept else items.sparkSession.createDataFrame([], PLACED)
     for more in kept[1:]:
         out = out.unionByName(more)

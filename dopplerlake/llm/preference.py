@@ -5,10 +5,14 @@ prompt; what follows is rendered as two completions. The result is one row for e
 its segment and whether its characters count in the loss (assistant messages of completions), so a conversation of any
 length is never gathered into one value.
 
-A turn of a pair is common if both sides have the same messages there and all earlier turns are common. Exact repeats of
-a row count once; several messages at one turn are ordered by role, then text. Null role: `unknown`; null text: empty.
-Rows without a conversation id or turn belong to no pair and are left out. A conversation without a partner is paired
-with an empty one: its prompt is empty. Empty table: no rows.
+A turn of a pair is common if both sides have the same messages there and all earlier turns are common; messages are
+compared as they are, one by one. Exact repeats of a row count once; several messages at one turn are ordered by role, then
+text. Null role: `unknown`; null text: empty. Rows without a conversation id or turn belong to no pair and are left out. A
+side without messages leaves the prompt empty; equal sides are all prompt. Empty table: no rows.
+
+The table of conversations has no pairs, so the query makes them: a conversation as it is is the chosen side; on the rejected
+side the answers at its last assistant turn are those at the last assistant turn of its neighbour (id with the lowest bit
+turned), or none if that has no answer. Conversations without an assistant turn pair with themselves.
 """
 
 from __future__ import annotations
@@ -23,13 +27,9 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     """Rows (pair_id, side 0 chosen or 1 rejected, turn, role, text) to rendered messages of prompt, chosen, rejected."""
     rows = turns.select("pair_id", "side", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.where("pair_id is not null and turn is not null").distinct()
-    mark = F.xxhash64("role", "text")
-    side = lambda s, c: F.when(F.col("side") == s, c)
-    cells = rows.groupBy("pair_id", "turn").agg(
-        *(f(side(s, c)).alias(f"{n}{s}") for s in (0, 1) for n, f, c in (("n", F.count, F.lit(1)), ("x", F.bit_xor, mark), ("h", F.sum, F.pmod(mark, F.lit(1 << 40)))))
-    )
-    differs = ~(F.col("n0").eqNullSafe(F.col("n1")) & F.col("x0").eqNullSafe(F.col("x1")) & F.col("h0").eqNullSafe(F.col("h1")))
-    cut = cells.groupBy("pair_id").agg(F.min(F.when(differs, F.col("turn"))).alias("cut"))
+    on = lambda s: F.max(F.when(F.col("side") == s, True)).isNotNull()
+    messages = rows.groupBy("pair_id", "turn", "role", "text").agg((on(0) & on(1)).alias("both"))
+    cut = messages.groupBy("pair_id").agg(F.min(F.when(~F.col("both"), F.col("turn"))).alias("cut"))
     segment = F.when(F.col("cut").isNull() | (F.col("turn") < F.col("cut")), "prompt").when(F.col("side") == 0, "chosen").otherwise("rejected")
     rendered = rows.join(cut, "pair_id").withColumn("segment", segment).where("segment <> 'prompt' or side = 0")
     rendered = rendered.withColumn("rendered", F.concat(F.lit(OPEN), "role", F.lit(CLOSE), "text", F.lit(END)))
@@ -42,16 +42,39 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
+def with_other_answers(conversations: DataFrame) -> DataFrame:
+    """Rows (pair_id, side, turn, role, text): each conversation, and the same with its neighbour's last answers."""
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = rows.where("conv_id is not null and turn is not null")
+    answers = F.col("role") == "assistant"
+    last = rows.where(answers).groupBy("conv_id").agg(F.max("turn").alias("last"))
+    marked = rows.join(last, "conv_id", "left").withColumn("final", F.coalesce(answers & (F.col("turn") == F.col("last")), F.lit(False)))
+    other = marked.where("final").select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), "role", "text")
+    sides = (
+        rows.withColumn("side", F.lit(0)),
+        marked.where("not final").drop("last", "final").withColumn("side", F.lit(1)),
+        other.join(last.withColumnRenamed("last", "turn"), "conv_id").withColumn("side", F.lit(1)),
+    )
+    chosen, rest, replaced = (x.select(F.col("conv_id").alias("pair_id"), "side", "turn", "role", "text") for x in sides)
+    return chosen.unionByName(rest).unionByName(replaced)
+
+
 def op1_preference(conversations: DataFrame) -> DataFrame:
-    """All conversations, each even id as chosen with the next id as rejected."""
-    return format_pairs(conversations.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), F.pmod("conv_id", F.lit(2)).cast("int").alias("side"), "turn", "role", "text"))
+    """All conversations as chosen sides, paired with themselves under another conversation's last answer."""
+    return format_pairs(with_other_answers(conversations))
 
 
 SQL = """
-WITH r AS (
-  SELECT DISTINCT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, CAST(((conv_id % 2) + 2) % 2 AS INT) AS side, CAST(turn AS BIGINT) AS turn,
-         coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+final AS (SELECT id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY id),
+sides AS (
+  SELECT id AS pair_id, 0 AS side, turn, role, text FROM t
+  UNION ALL
+  SELECT t.id, 1, turn, role, text FROM t LEFT JOIN final USING (id) WHERE NOT coalesce(role = 'assistant' AND turn = last, false)
+  UNION ALL
+  SELECT mine.id, 1, mine.last, t.role, t.text
+  FROM t JOIN final AS own ON t.id = own.id AND t.turn = own.last AND t.role = 'assistant' JOIN final AS mine ON mine.id = xor(t.id, 1)),
+r AS (SELECT DISTINCT pair_id, side, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM sides),
 cells AS (
   SELECT pair_id, turn, list(struct_pack(role := role, text := text) ORDER BY role, text) FILTER (side = 0) AS a,
          list(struct_pack(role := role, text := text) ORDER BY role, text) FILTER (side = 1) AS b

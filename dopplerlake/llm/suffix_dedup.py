@@ -216,7 +216,7 @@ def _entries(batches: Iterator[pa.RecordBatch], rule: Rule = BYTES) -> Iterator[
                 heads.append(s.heads[s.core])
                 reaches.append(s.reach[s.core])
                 owners.append(bundles[row])
-        if not heads:
+        if not any(map(len, heads)):
             continue
         h, r, o = np.concatenate(heads), np.concatenate(reaches), np.concatenate(owners).astype(np.int64)
         order = np.lexsort((r, h, o))
@@ -362,26 +362,29 @@ def _gone(raw: np.ndarray, offsets: np.ndarray, rule: Rule, full: np.ndarray, si
     return np.cumsum(covered)[:-1] > 0
 
 
-def _kept(texts: pa.Table, hits: pa.Table, rules: tuple[Rule, ...]) -> Iterator[tuple[int, bytes, int, int]]:
-    """(row, remaining bytes, removed bytes, removed runs) of each text of a bundle."""
+def _kept(texts: pa.Table, hits: pa.Table, rules: tuple[Rule, ...], watched: tuple[Rule, ...] = ()) -> Iterator[tuple[int, bytes, int, int, int]]:
+    """(row, remaining bytes, removed bytes, removed runs, bytes under `watched` rules) of each text of a bundle."""
     none = np.zeros(0, np.uint64)
     sets = []
-    for n in range(len(rules)):
+    for n in range(len(rules) + len(watched)):
         full, tell, single, edge = (_chosen(hits, kind + APART * n) if hits.num_rows else none for kind in (FULL, TELL, 0, EDGE))
         sets.append((np.union1d(full, tell), single, edge))
     data, offsets = utf8(texts.column("text"))
     for i, j in pieces_of(offsets, PIECE):
         raw, ends = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        gone = np.zeros(len(raw), bool)
-        for rule, chosen in zip(rules, sets):
-            gone |= _gone(raw, ends, rule, *chosen)
+        gone, seen = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+        for n, (rule, chosen) in enumerate(zip((*rules, *watched), sets)):
+            if n < len(rules):
+                gone |= _gone(raw, ends, rule, *chosen)
+            else:
+                seen |= _gone(raw, ends, rule, *chosen)
         for r in range(i, j):
             a, b = ends[r - i], ends[r - i + 1]
-            g = gone[a:b]
+            g, w = gone[a:b], int(np.count_nonzero(seen[a:b]))
             if not g.any():
-                yield r, raw[a:b].tobytes(), 0, 0
+                yield r, raw[a:b].tobytes(), 0, 0, w
             else:
-                yield r, raw[a:b][~g].tobytes(), int(g.sum()), int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1]))
+                yield r, raw[a:b][~g].tobytes(), int(g.sum()), int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])), w
 
 
 def _hits(texts: DataFrame, rule: Rule) -> DataFrame:
@@ -406,28 +409,32 @@ def bundled(docs: DataFrame, bundle: int = BUNDLE) -> DataFrame:
     return docs.withColumn("__bundle", F.floor(doc_id / bundle).cast("long"))
 
 
-def remove_repeats(docs: DataFrame, bundle: int = BUNDLE, rules: tuple[Rule, ...] = (BYTES,)) -> DataFrame:
-    """Every row with `kept` (binary, the remaining bytes), n_bytes, n_removed and n_spans instead of `text`."""
-    rest = [c for c in docs.columns if c not in ("text", "kept", "n_bytes", "n_removed", "n_spans")]
+def remove_repeats(docs: DataFrame, bundle: int = BUNDLE, rules: tuple[Rule, ...] = (BYTES,), watched: tuple[Rule, ...] = ()) -> DataFrame:
+    """Every row with `kept` (binary, the remaining bytes), n_bytes, n_removed, n_spans and n_watched instead of `text`.
+
+    What `watched` rules find stays in the text; n_watched tells how many bytes it is."""
+    made = ["kept", "n_bytes", "n_removed", "n_spans", "n_watched"]
+    rest = [c for c in docs.columns if c not in ("text", *made)]
     texts = bundled(docs.select(*(F.col(f"`{c}`") for c in rest), "text"), bundle)
     by_text, hits = texts.groupBy("__bundle"), None
-    for n, rule in enumerate(rules):
+    for n, rule in enumerate((*rules, *watched)):
         found = _hits(texts, rule).withColumn("kind", F.col("kind") + F.lit(APART * n))
         hits = found if hits is None else hits.unionByName(found)
 
-    names = [*rest, "kept", "n_bytes", "n_removed", "n_spans"]
-
     def finish(t: pa.Table, h: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        done = list(_kept(t, h, rules)) if t.num_rows else []
-        made = [pa.array([d[1] for d in done], pa.binary()), pa.array([len(d[1]) + d[2] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64()), pa.array([d[3] for d in done], pa.int64())]
-        return pa.Table.from_arrays([*(t.column(c) for c in rest), *made], names)
+        done = list(_kept(t, h, rules, watched)) if t.num_rows else []
+        columns = [[d[1] for d in done], [len(d[1]) + d[2] for d in done], *([d[i] for d in done] for i in (2, 3, 4))]
+        arrays = [pa.array(c, k) for c, k in zip(columns, (pa.binary(), *[pa.int64()] * 4))]
+        return pa.Table.from_arrays([*(t.column(c) for c in rest), *arrays], [*rest, *made])
 
-    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in names[-3:])])
+    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in made[1:])])
     return by_text.cogroup(hits.groupBy("bundle")).applyInArrow(finish, schema)
 
 
 def op4_suffix_dedup(docs: DataFrame) -> DataFrame:
-    """What is left of each text once every repeated string of 400 bytes is gone."""
+    """What is left of each text once every repeated string of 400 bytes is gone, and how many of its bytes lie in passages
+    of over 50 words that repeat (these stay, unless 400 bytes repeat)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return remove_repeats(rows).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    left = remove_repeats(rows, watched=(PASSAGES,))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("n_watched").alias("n_passage_bytes"))

@@ -20,5 +20,5 @@ def test_rows_without_ids_lose_what_repeats(spark):
     passage = "".join(chr(97 + (i * 7 + i // 5) % 26) for i in range(420))
     texts = [f"{i}<{passage}>{i}" for i in range(300)] + ["alone", None]
     docs = spark.createDataFrame([(None if i % 3 else 1, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
-    want = Counter((None if i % 3 else 1, *x) for i, x in enumerate(brute_repeats(texts)))
+    want = Counter((None if i % 3 else 1, *x, 0) for i, x in enumerate(brute_repeats(texts)))
     assert Counter(map(tuple, suffix_dedup.op4_suffix_dedup(docs).collect())) == want

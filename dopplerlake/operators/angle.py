@@ -19,11 +19,12 @@ def axis(spark) -> DataFrame:
 
 def beamform(cells: DataFrame) -> DataFrame:
     """Magnitude of the 64-point DFT over antennas; shifted, first column dropped, reversed: 63 angle bins."""
-    bins = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(N - 2).cast("long")))
-    c = cells.withColumn("angle_bin", bins).withColumn("phase", -2 * math.pi * F.pmod((N // 2 - 1 - F.col("angle_bin")) * F.col("ant"), F.lit(N)) / N)
-    re = F.sum(F.col("re") * F.cos("phase") - F.col("im") * F.sin("phase"))
-    im = F.sum(F.col("re") * F.sin("phase") + F.col("im") * F.cos("phase"))
-    return c.groupBy(*FRAME, "range_bin", "angle_bin").agg(F.hypot(re, im).alias("mag"))
+    a = cells.groupBy(*FRAME, "range_bin").agg(F.array_sort(F.collect_list(F.struct("ant", "re", "im"))).alias("a"))  # a few antennas
+    phase = lambda k, x: -2 * math.pi * F.pmod((N // 2 - 1 - k) * x["ant"], F.lit(N)) / N
+    re = lambda k: F.aggregate("a", F.lit(0.0), lambda s, x: s + x["re"] * F.cos(phase(k, x)) - x["im"] * F.sin(phase(k, x)))
+    im = lambda k: F.aggregate("a", F.lit(0.0), lambda s, x: s + x["re"] * F.sin(phase(k, x)) + x["im"] * F.cos(phase(k, x)))
+    mags = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(N - 2).cast("long")), lambda k: F.hypot(re(k), im(k)))
+    return a.select(*FRAME, "range_bin", F.posexplode(mags).alias("angle_bin", "mag")).withColumn("angle_bin", F.col("angle_bin").cast("long"))
 
 
 def azimuth_time(maps: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:

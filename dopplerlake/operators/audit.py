@@ -17,7 +17,7 @@ def summary(frames: DataFrame) -> DataFrame:
         F.count("*").alias("n_frames"), F.sum("total_len").alias("bytes_in_frames"), F.sum("skipped_before").alias("bytes_skipped"), F.count_if(F.col("skipped_before") > 0).alias("resyncs"),
         F.coalesce(F.sum(F.when(F.col("gap") > 1, F.col("gap") - 1)), F.lit(0)).alias("frames_lost"), F.min_by("frame_number", "frame_idx").alias("first_number"), F.max_by("frame_number", "frame_idx").alias("last_number"),
         F.count_if(F.col("num_points") == 0).alias("zero_point_frames"), F.count_if(F.col("num_obj") != F.col("num_points")).alias("count_mismatches"), F.sum("num_points").alias("n_points"),
-        F.count_if(~F.array_contains(F.split("tlv_order", ","), "7")).alias("frames_without_side_info"),
+        F.count_if(~F.array_contains(F.split("tlv_order", ","), "7")).alias("frames_without_side_info"), *([_rate("*").alias("fps")] if "t" in frames.columns else []),
     )
     verdict = F.when(F.col("n_frames") == 0, "none").when((F.col("bytes_skipped") > 0) & (F.col("count_mismatches") > 0), "not complete: bytes skipped, counts differ").when(F.col("bytes_skipped") > 0, "not complete: bytes skipped").when(F.col("count_mismatches") > 0, "not complete: counts differ").otherwise("complete")
     return s.withColumn("verdict", verdict)
@@ -66,16 +66,22 @@ def device_mismatch(devices: DataFrame, configs: DataFrame) -> DataFrame:
     return joined.where((F.col("platform") != F.col("cfg_platform")) | (F.col("sdk") != F.col("cfg_sdk"))).select(R, "cfg_id", "platform", "cfg_platform", "sdk", "cfg_sdk")
 
 
-def throughput(frames: DataFrame, period: float, baud: int) -> DataFrame:
-    """Frames and bytes a second, share of the link (baud / 10 bytes a second), and whether no byte was skipped."""
-    s = frames.groupBy(R).agg(F.count("*").alias("n"), F.sum("total_len").alias("b"), F.sum("skipped_before").alias("skipped"))
-    seconds = F.col("n") * period
-    return s.select(R, (F.col("n") / seconds).alias("fps"), (F.col("b") / seconds).alias("bytes_per_s"), (F.col("b") / seconds / (baud / 10)).alias("utilisation"), (F.col("skipped") == 0).alias("clean"))
+def _rate(what: str):
+    """Count or sum a second, over the time from the first frame to the last; null for less than two times."""
+    seconds = F.max("t") - F.min("t")
+    return F.when(seconds > 0, (F.count("*") if what == "*" else F.sum(what)) / seconds)
+
+
+def throughput(frames: DataFrame, baud: int) -> DataFrame:
+    """Frames and bytes a second as measured by the frames' times (`t`, seconds), share of the link (baud / 10 bytes a
+    second), and whether no byte was skipped."""
+    s = frames.groupBy(R).agg(_rate("*").alias("fps"), _rate("total_len").alias("bytes_per_s"), (F.sum("skipped_before") == 0).alias("clean"))
+    return s.select(R, "fps", "bytes_per_s", (F.col("bytes_per_s") / (baud / 10)).alias("utilisation"), "clean")
 
 
 def best_clean(rates: DataFrame) -> DataFrame:
     """The clean recording of highest throughput (ties: the smaller id), or nothing."""
-    return rates.where("clean").agg(F.max_by(F.struct(R, "bytes_per_s"), F.struct("bytes_per_s", -F.col(R))).alias("b")).where("b is not null").select("b.*")
+    return rates.where("clean and bytes_per_s is not null").agg(F.max_by(F.struct(R, "bytes_per_s"), F.struct("bytes_per_s", -F.col(R))).alias("b")).where("b is not null").select("b.*")
 
 
 def availability(frames: DataFrame) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dopplerlake.functions.scalars import range_of  # noqa: F401  re-exported for plans
-
 R, FRAME = "recording_id", ["recording_id", "frame_idx"]
 MAD = 1.4826
 
@@ -116,13 +114,17 @@ def intervals(step_rows: DataFrame) -> DataFrame:
     return step_rows.where("segment is not null").withColumn("interval", F.col("t") - F.lag("t").over(w)).where("interval is not null")
 
 
-def metrics(series: DataFrame, walking: DataFrame, step_rows: DataFrame) -> DataFrame:
-    """Steps, walking time and fraction, cadence 60 n / T, and mean, sd, median and CV of intervals; no division by zero."""
+def metrics(series: DataFrame, walking: DataFrame, step_rows: DataFrame, truth: DataFrame | None = None) -> DataFrame:
+    """Steps, walking time and fraction, cadence 60 n / T, and mean, sd, median and CV of intervals; no division by zero.
+    With `truth` (recording_id, n_true) also the error of the count in percent of the true one."""
     whole = series.groupBy(R).agg((F.max("t") - F.min("t")).alias("duration"))
     walk = walking.groupBy(R).agg(F.sum(F.col("t1") - F.col("t0")).alias("t_walk"), F.count("*").alias("n_segments"))
     n = step_rows.groupBy(R).agg(F.count("*").alias("n_steps"))
     i = intervals(step_rows).groupBy(R).agg(F.avg("interval").alias("mean_interval"), F.stddev_samp("interval").alias("sd_interval"), F.percentile("interval", F.lit(0.5)).alias("median_interval"))
     m = whole.join(walk, R, "left").join(n, R, "left").join(i, R, "left").na.fill(0, ["t_walk", "n_segments", "n_steps"])
+    if truth is not None:
+        error = F.when(F.col("n_true") > 0, 100 * F.abs(F.col("n_steps") - F.col("n_true")) / F.col("n_true"))
+        m = m.join(truth, R, "left").withColumn("mape_percent", error).drop("n_true")
     return m.withColumns({
         "cadence": F.when(F.col("t_walk") > 0, 60 * F.col("n_steps") / F.col("t_walk")).otherwise(0.0), "cv_percent": F.when(F.col("mean_interval") > 0, 100 * F.col("sd_interval") / F.col("mean_interval")),
         "walking_fraction": F.when(F.col("duration") > 0, F.col("t_walk") / F.col("duration")).otherwise(0.0),
@@ -132,17 +134,21 @@ def metrics(series: DataFrame, walking: DataFrame, step_rows: DataFrame) -> Data
 def spectral_cadence(series: DataFrame, period: float, low: float = 0.5, high: float = 4.0) -> DataFrame:
     """Strongest frequency of the de-meaned, Hann-weighted envelope between low and high Hz, in steps a minute, and its share.
 
-    A band-limited transform as a join with the frequencies of the band: a hash aggregate, whatever the recording's length.
+    One real transform a recording: n log n, and a recording's envelope (8 bytes a frame) is all that a task holds.
     """
-    w = Window.partitionBy(R)
-    s = series.select(R, "frame_idx", F.coalesce("v", F.lit(0.0)).alias("v")).withColumns({"n": F.count("*").over(w), "i": F.row_number().over(w.orderBy("frame_idx")) - 1, "mean": F.avg("v").over(w)}).where("n >= 4")
-    s = s.withColumn("x", (F.col("v") - F.col("mean")) * (0.5 - 0.5 * F.cos(2 * np.pi * F.col("i") / (F.col("n") - 1))))
-    k = F.sequence(F.ceil(low * F.col("n") * period - 1e-9), F.least(F.floor(high * F.col("n") * period + 1e-9), F.floor(F.col("n") / 2)))
-    s = s.where(F.ceil(low * F.col("n") * period - 1e-9) <= F.least(F.floor(high * F.col("n") * period + 1e-9), F.floor(F.col("n") / 2)))
-    turn = lambda f: F.sum(F.col("x") * f(2 * np.pi * ((F.col("k") * F.col("i")) % F.col("n")) / F.col("n")))
-    spec = s.select(R, "n", "i", "x", F.explode(k).alias("k")).groupBy(R, "n", "k").agg(turn(F.cos).alias("a"), turn(F.sin).alias("b")).withColumn("m", F.hypot("a", "b"))
-    best = spec.groupBy(R).agg(F.max(F.struct(F.round("m", 9), -F.col("k"), F.col("n"))).alias("z"), F.sum("m").alias("total"), F.max("m").alias("m"))
-    return best.select(R, (-60 * F.col("z.col2") / (F.col("z.n") * period)).alias("cadence_spectral"), F.when(F.col("total") > 0, F.col("m") / F.col("total")).otherwise(0.0).alias("confidence"))
+    out = f"{R} long, cadence_spectral double, confidence double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values("frame_idx")["v"].fillna(0.0).to_numpy()
+        n = len(v)
+        first, last = math.ceil(low * n * period - 1e-9), min(math.floor(high * n * period + 1e-9), n // 2)
+        if n < 4 or first > last:
+            return pd.DataFrame({R: [], "cadence_spectral": [], "confidence": []}).astype({R: "int64"})
+        m = np.abs(np.fft.rfft((v - v.mean()) * np.hanning(n)))[first : last + 1]
+        k, total = first + int(m.round(9).argmax()), m.sum()
+        return pd.DataFrame({R: [pdf[R].iloc[0]], "cadence_spectral": [60 * k / (n * period)], "confidence": [m.max() / total if total > 0 else 0.0]})
+
+    return series.select(R, "frame_idx", "v").groupBy(R).applyInPandas(run, out)
 
 
 def disagreement(metric_rows: DataFrame, spectral: DataFrame) -> DataFrame:

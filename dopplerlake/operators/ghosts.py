@@ -26,22 +26,22 @@ def register(name: str):
 
 def trend(points: DataFrame) -> DataFrame:
     """H3: SNR above its range trend: 16 equal bins, medians of bins with 3 points or more, linear between their centres."""
-    w = Window.partitionBy("recording_id")
-    p = points.withColumns({"lo": F.min(F.when(F.col("snr_db").isNotNull(), F.col("range_m"))).over(w), "hi": F.max(F.when(F.col("snr_db").isNotNull(), F.col("range_m"))).over(w)})
+    measured = points.where("snr_db is not null")
+    extent = measured.groupBy("recording_id").agg(F.min("range_m").alias("lo"), F.max("range_m").alias("hi"), F.percentile("snr_db", F.lit(0.5)).alias("overall"))
+    p = points.join(extent, "recording_id", "left")
     width = (F.col("hi") - F.col("lo")) / BINS
-    p = p.withColumn("b", F.when(F.col("hi") > F.col("lo"), clip(F.floor((F.col("range_m") - F.col("lo")) / width), 0, BINS - 1)))
-    known = p.where("snr_db is not null")
-    whole = known.groupBy("recording_id").agg(F.percentile("snr_db", F.lit(0.5)).alias("overall"))
-    knots = known.where("b is not null").groupBy("recording_id", "b").agg(F.percentile("snr_db", F.lit(0.5)).alias("m"), F.count("*").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi")).where("n >= 3")
+    bin_of = F.when(F.col("hi") > F.col("lo"), clip(F.floor((F.col("range_m") - F.col("lo")) / width), 0, BINS - 1))
+    known = measured.join(extent, "recording_id").withColumn("b", bin_of).where("b is not null")
+    knots = known.groupBy("recording_id", "b").agg(F.percentile("snr_db", F.lit(0.5)).alias("m"), F.count("*").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi")).where("n >= 3")
     knot = F.struct((F.col("lo") + (F.col("b") + 0.5) * (F.col("hi") - F.col("lo")) / BINS).alias("x"), F.col("m").alias("m"))
     curve = knots.groupBy("recording_id").agg(F.array_sort(F.collect_list(knot)).alias("knots"))
-    q = p.join(whole, "recording_id", "left").join(curve, "recording_id", "left")
+    q = p.join(curve, "recording_id", "left")
     below = F.array_max(F.filter("knots", lambda k: k["x"] <= F.col("range_m")))
     above = F.array_min(F.filter("knots", lambda k: k["x"] > F.col("range_m")))
     q = q.withColumns({"k0": below, "k1": above})
     inner = F.col("k0.m") + (F.col("k1.m") - F.col("k0.m")) * (F.col("range_m") - F.col("k0.x")) / (F.col("k1.x") - F.col("k0.x"))
     level = F.when(F.coalesce(F.size("knots"), F.lit(0)) < 2, F.col("overall")).otherwise(F.coalesce(inner, F.col("k0.m"), F.col("k1.m")))
-    return q.withColumn("excess_db", F.coalesce(F.col("snr_db") - level, F.lit(0.0))).drop("lo", "hi", "b", "overall", "knots", "k0", "k1")
+    return q.withColumn("excess_db", F.coalesce(F.col("snr_db") - level, F.lit(0.0))).drop("lo", "hi", "overall", "knots", "k0", "k1")
 
 
 def features(points: DataFrame, range_bin: float, velocity_bin: float) -> DataFrame:

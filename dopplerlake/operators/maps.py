@@ -45,20 +45,22 @@ def shift_doppler(frames: DataFrame, dopplers: int) -> DataFrame:
     return frames.withColumn("rd", F.transform("rd", lambda v, i: F.get("rd", place(i))))
 
 
-def _slices(name: str, start: int, stop: int, step: int) -> Column:
-    return reduce(lambda a, b: a + b, (F.coalesce(F.nanvl(F.get(name, F.lit(i)), F.lit(0.0)), F.lit(0.0)) for i in range(start, stop, step)))
+def _present(x: Column) -> Column:
+    return F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))
 
 
 def range_time_dense(frames: DataFrame, ranges: int, dopplers: int) -> DataFrame:
-    """M1: sums over Doppler, missing cells as zero."""
-    sums = F.array(*(_slices("rd", r * dopplers, (r + 1) * dopplers, 1) for r in range(ranges)))
+    """M1: sums over Doppler, missing cells as zero; one short expression whatever the size of the map."""
+    one = lambda r: F.aggregate(F.slice("rd", r * dopplers + 1, F.lit(dopplers)), F.lit(0.0), lambda s, x: s + _present(x))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(ranges - 1)), one)
     return frames.select(*FRAME, F.posexplode(sums).alias("bin", "value")).withColumn("bin", F.col("bin").cast("long"))
 
 
 def velocity_time_dense(frames: DataFrame, ranges: int, dopplers: int, first: int = 0, last: int | None = None) -> DataFrame:
-    """M5: sums over the range bins first..last."""
+    """M5: sums over the range bins first..last: the map's rows are added up as arrays."""
     last = ranges - 1 if last is None else last
-    sums = F.array(*(_slices("rd", first * dopplers + d, (last + 1) * dopplers, dopplers) for d in range(dopplers)))
+    add = lambda s, r: F.zip_with(s, F.slice("rd", r * dopplers + 1, F.lit(dopplers)), lambda a, x: a + _present(x))
+    sums = F.aggregate(F.sequence(F.lit(first), F.lit(last)), F.array_repeat(F.lit(0.0), dopplers), add)
     return frames.select(*FRAME, F.posexplode(sums).alias("bin", "value")).withColumn("bin", F.col("bin").cast("long"))
 
 

@@ -52,9 +52,9 @@ def _modes(s, d):
     return dense.unionByName(host).unionByName(chip)
 
 
-def _layers(sizes=(90, 30, 60, 10), seed: int = 3):
-    rng = np.random.default_rng(seed)
-    return [(rng.normal(scale=n**-0.5, size=(m, n)), rng.normal(scale=0.1, size=m)) for n, m in zip(sizes, sizes[1:])]
+def _layers(sizes=(90, 30, 60, 10)):
+    """Weights by a formula, so that SQL can state them too: sin((i + 1) (j + 2)) of output i and input j, over the root of the inputs."""
+    return [(np.sin(np.outer(np.arange(1, m + 1), np.arange(2, n + 2))) / n**0.5, np.cos(np.arange(1, m + 1)) / 10) for n, m in zip(sizes, sizes[1:])]
 
 
 def _windows(s, d):
@@ -129,6 +129,7 @@ ev AS (SELECT fi.*, state <> prev AND state <> 0 AS fired, prob FROM fi JOIN ges
 TRAIN = PIVOT + f""", tw AS (SELECT recording_id, frame_idx, greatest({', '.join(f'max({c}) OVER w - min({c}) OVER w' for c in ('f0', 'f5', 'f6'))}) AS motion, count(*) OVER w AS n FROM ft WINDOW w AS {_O} ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING)),
 tl AS (SELECT recording_id, frame_idx, motion, CAST(CASE WHEN motion >= quantile_cont(motion, 0.6) OVER (PARTITION BY recording_id) THEN recording_id % 10 ELSE 0 END AS INT) AS target FROM (SELECT * FROM tw WHERE n = 15))
 """
+_dense = lambda x, n, m, relu: f"list_transform(range(1, {m + 1}), lambda i: {'greatest(0, ' if relu else '('}cos(i) / 10 + list_sum(list_transform(range(1, {n + 1}), lambda j: {x}[j] * sin(i * (j + 1)))) / sqrt({n})))"
 CONF = """SELECT target, predicted, n, round(sum(n) FILTER (target = predicted) OVER () / sum(n) OVER (), 6) AS accuracy"""
 SQL = {
     "f02_suppress": sql(f"SELECT recording_id, frame_idx, dop_bin, range_bin, round(m, 6) + 0.0 AS value FROM {SUP.format(v='value')}", "rd_cells"),
@@ -146,6 +147,11 @@ SQL = {
     "f07_correlation": sql(PIVOT + f"SELECT recording_id, frame_idx, round(CASE WHEN count(*) OVER w < 20 THEN 0 ELSE coalesce(corr(f5, f0) OVER w, 0) END, 6) + 0.0 AS correlation FROM ft WINDOW w AS {_O} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)", "gesture_cells"),
     "f08_windows": sql(PIVOT + f"""SELECT recording_id, frame_idx, count(*) OVER w >= 15 AS ready, 90 AS size, round({_ROW[5]}, 6) + 0.0 AS newest,
       round(CASE WHEN count(*) OVER w >= 15 THEN lag({_ROW[0]}, 14) OVER {_O}) ELSE 0 END, 6) + 0.0 AS oldest, round(sum({' + '.join(_ROW)}) OVER w, 6) + 0.0 AS total FROM ft WINDOW w AS {_O} ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)""", "gesture_cells"),
+    "f09_score": sql(PIVOT + f""", w0 AS (SELECT recording_id, frame_idx, array_agg([{', '.join(_ROW)}]) OVER {_O} ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS l FROM ft),
+      w1 AS (SELECT recording_id, frame_idx, list_concat(list_transform(range(90 - 6 * len(l)), lambda z: 0.0e0), flatten(l)) AS x FROM w0),
+      w2 AS (SELECT recording_id, frame_idx, {_dense('x', 90, 30, True)} AS x FROM w1), w3 AS (SELECT recording_id, frame_idx, {_dense('x', 30, 60, True)} AS x FROM w2), w4 AS (SELECT recording_id, frame_idx, {_dense('x', 60, 10, False)} AS x FROM w3),
+      w5 AS (SELECT recording_id, frame_idx, list_transform(x, lambda y: exp(y - list_max(x))) AS e FROM w4)
+      SELECT recording_id, frame_idx, round(list_max(e) / list_sum(e), 6) AS top, 1.0e0 AS total FROM w5""", "gesture_cells"),
     "f10_debounce": sql(STATES + "SELECT recording_id, frame_idx, state, fired, round(CASE WHEN fired THEN prob END, 6) AS probability FROM ev", "gesture_cells"),
     "f12_repeats": sql(STATES + "SELECT recording_id, frame_idx, state, state = prev AND state <> 0 AND frame_idx % 3 = 0 AS repeated FROM ev", "gesture_cells"),
     "f13_event_counts": sql(STATES + "SELECT state, count(*) AS n FROM ev WHERE fired GROUP BY 1", "gesture_cells"),

@@ -11,6 +11,7 @@ from dopplerlake.operators import maps as m
 from dopplerlake.operators import points as p
 from dopplerlake.operators import tracking as t
 from dopplerlake.plans.gestures import EASY, FEW, STATES, _features, _probs
+from dopplerlake.plans.series import FOLLOW_POINTS
 from dopplerlake.plans.session import shared_folder
 from dopplerlake.sources import captures as c
 from dopplerlake.sources import fixtures as fx
@@ -35,6 +36,7 @@ def _lines(s, d):
     num = lambda x: x.cast("string")
     lines = F.array(
         F.lit("% made from a table"), text("channelCfg", "15", num(k % 7 + 1), "0"), text("profileCfg", "0", num(k % 4 + 60), num(k % 50 + 7), "3", num(k % 30 + 24), "0", "0", F.concat(num(k % 60 + 20), F.lit(".013")), "1", num(k % 200 + 65), num(k % 5000 + 2000), "0", "0", "30"),
+        text("chirpCfg", "0", "0", "0", "0", "0", "0", "0", "1"), text("chirpCfg", "1", "1", "0", "0", "0", "0", "0", F.when(k % 2 == 0, "4").otherwise("2")), F.when(k % 3 == 0, "chirpCfg 2 2 0 0 0 0 0 6").otherwise("chirpCfg 2 two"),
         text("frameCfg", "0", "2", num(k % 64 + 16), "0", num(k % 90 + 10), "1", "0", "% trigger"), text("calibDcRangeSig", "-1", "0"),
     )
     return fx.table(s, d, "part").select(k.alias("cfg_id"), F.posexplode(lines).alias("line_no", "line"))
@@ -84,6 +86,33 @@ def _candidates(s, d):
     return fx.frame_spine(s, d).select(*FRAME).join(a, FRAME, "left")
 
 
+def _damaged(s, d):
+    """Captures that begin in a packet, hold a magic word without a packet behind it, and end in a packet."""
+    head, tail = bytes([7]) * 13 + c.MAGIC + bytes(40), c.MAGIC + bytes(4) + (64).to_bytes(4, "little") + bytes(34)
+    return _captures(s, d).select("recording_id", F.concat(F.lit(head), "content", F.lit(tail)).alias("content"))
+
+
+def _payloads(s, d):
+    """Every payload type but points, encoded into packets, told apart again and decoded: one row a number."""
+    packets = c.encode_dense(fx.dense_frames(s, d))
+    kinds = (2, 3, 4, 5, 6, 8, 9, 1050, 1051)
+    p = c.decode(c.shred(packets), kinds, {2: 64, 3: 64, 4: 32, 5: 60, 8: 32})
+    plain = lambda name: F.transform(name, lambda x: x.cast("double"))
+    parts = lambda name: F.flatten(F.transform(name, lambda x: F.array(x["re"], x["im"])))
+    fields = lambda kind: F.array(*(F.col(f"{c.RECORDS[kind][0]}.{f}").cast("double") for f in c.RECORDS[kind][2]))
+    values = {2: plain("range_profile"), 3: plain("noise_profile"), 4: parts("azimuth_iq"), 5: plain("range_doppler"), 6: fields(6), 8: parts("antenna_iq"), 9: fields(9), 1050: plain("gesture_features"), 1051: plain("gesture_probs")}
+    each = F.array(*(F.struct(F.lit(k).alias("tlv"), v.alias("v")) for k, v in values.items()))
+    rows = p.select(*FRAME, F.array_join("anomalies", "; ").alias("anomalies"), F.explode(each).alias("e"))
+    return rows.select(*FRAME, "anomalies", "e.tlv", F.posexplode("e.v").alias("pos", "value"))
+
+
+def _sessions(s, d):
+    """raw features of labelled recordings, written by label and read back for three labels only."""
+    f = _features(s, d)
+    path = c.write_sessions(f.withColumn("t", F.col("frame_idx") * 0.035), "label", f"{shared_folder(s)}/{_unique('sessions')}")
+    return c.read_sessions(s, path, f.schema, "label", [1, 4, 7]).select(*FRAME, "label", "t", "f0", "f9")
+
+
 def _decoded(s, d):
     return p.flatten(c.decode(c.shred(c.cut(_captures(s, d)))))
 
@@ -96,8 +125,14 @@ def _manifest(s, d):
 QUERIES = {
     "s01_packets": lambda s, d: c.cut(_captures(s, d)).select(*FRAME, "byte_offset", "skipped_before", F.octet_length("packet").cast("long").alias("length")),
     "s02_points_decoded": _decoded,
+    "s02_payloads": _payloads,
+    "a01_bytes": lambda s, d: c.accounting(_damaged(s, d)),
+    "f21_sessions": _sessions,
     "s03_header": lambda s, d: c.header(c.cut(_captures(s, d))).select(*FRAME, "frame_number", "num_obj", "num_tlvs", "sdk", "device"),
-    "s04_configs": lambda s, d: c.parse_configs(_lines(s, d)).select("cfg_id", "n_tx", "range_bins", "loops", "range_spacing", "max_velocity", "velocity_spacing", "fps", F.array_join("unread", ",").alias("unread")),
+    "s04_configs": lambda s, d: c.parse_configs(_lines(s, d)).select(
+        "cfg_id", "n_tx", "n_virtual", "range_bins", "loops", "start_actual", "slope_actual", "centre_ghz", "range_spacing", "max_velocity", "velocity_spacing", "fps", "log_to_linear", "bins_per_db",
+        "compensation", "compensation_db", F.array_join(F.transform("slots", lambda x: x.cast("string")), ",").alias("slots"), F.array_join("unread", ",").alias("unread"), F.array_join("warnings", ",").alias("warnings"),
+    ),
     "s05_expected_tlvs": lambda s, d: c.expected_tlvs(_monitor(s, d)).select("cfg_id", "expected"),
     "s06_runs": lambda s, d: c.find_runs(_files(s, d), ["default.cfg"]),
     "s07_latest": lambda s, d: c.latest(_files(s, d)),
@@ -126,11 +161,33 @@ SQL = {
     "s01_packets": sql(SIZES + PACKETS, "points"),
     "s02_points_decoded": sql(SIZES + """SELECT p.recording_id, i AS frame_idx, point_idx, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z, CAST(v AS FLOAT) AS v, round(round_even(coalesce(snr_db, 0) * 10, 0) / 10, 6) + 0.0 AS snr_db, round(round_even(coalesce(noise_db, 0) * 10, 0) / 10, 6) + 0.0 AS noise_db
       FROM points p JOIN po USING (recording_id, frame_idx)""", "points"),
+    "s02_payloads": sql(""", ce AS (SELECT recording_id, frame_idx, pos, val, lead(val, CAST(63 - 2 * pos AS INT)) OVER w AS later, lag(val, CAST(2 * pos - 63 AS INT)) OVER w AS earlier FROM emb_cells WINDOW w AS (PARTITION BY recording_id, frame_idx ORDER BY pos)),
+      fr AS (SELECT DISTINCT recording_id, frame_idx AS f FROM emb_cells),
+      al AS (
+        SELECT recording_id, frame_idx, unnest([2, 5]) AS tlv, pos, floor(abs(val) * 1000) AS value FROM ce
+        UNION ALL SELECT recording_id, frame_idx, 3, pos, floor(abs(CASE WHEN pos < 32 THEN later ELSE earlier END) * 1000) FROM ce
+        UNION ALL SELECT recording_id, frame_idx, unnest([4, 8]), pos, floor(val * 1000) FROM ce
+        UNION ALL SELECT recording_id, f, 6, unnest(range(6)), unnest([f, 2, f * 3, 4, f % 100, 6]) FROM fr
+        UNION ALL SELECT recording_id, f, 9, unnest(range(12)), unnest([0, f * 40, 20 + f % 7, 19 + f % 7, 18 + f % 7, 17 + f % 7, 16 + f % 7, 15 + f % 7, 14 + f % 7, 13 + f % 7, 12 + f % 7, 11 + f % 7]) FROM fr
+        UNION ALL SELECT recording_id, frame_idx, 1050, pos, CAST(CAST(val * 10 AS FLOAT) AS DOUBLE) FROM ce WHERE pos < 10
+        UNION ALL SELECT recording_id, frame_idx, 1051, pos - 10, CAST(CAST(val AS FLOAT) AS DOUBLE) FROM ce WHERE pos BETWEEN 10 AND 19)
+      SELECT recording_id, frame_idx, 'range_doppler_size_mismatch (expected 60, got 64)' AS anomalies, CAST(tlv AS INT) AS tlv, CAST(pos AS INT) AS pos, round(value, 6) + 0.0 AS value FROM al""", "emb_cells"),
+    "a01_bytes": sql(SIZES + """SELECT recording_id, CAST(sum(length + gap) + 13 + 48 + 50 AS BIGINT) AS bytes_total, CAST(sum(length) AS BIGINT) AS bytes_in_frames, CAST(sum(gap) + 61 AS BIGINT) AS bytes_skipped, CAST(50 AS BIGINT) AS truncated_tail,
+      CAST(13 AS BIGINT) AS leading_partial, count(*) FILTER (gap > 0 AND i > 0) + 1 AS resyncs, CAST(1 AS BIGINT) AS false_magics, count(*) FILTER (length > 56 + n * 20) AS padded_frames, CAST(sum(length - 56 - n * 20) AS BIGINT) AS padding_bytes FROM po GROUP BY 1""", "points"),
+    "f21_sessions": sql(""", ft AS (SELECT recording_id, frame_idx, max(feature) FILTER (k = 0) AS f0, max(feature) FILTER (k = 9) AS f9 FROM gesture_cells GROUP BY 1, 2)
+      SELECT recording_id, frame_idx, CAST(recording_id % 10 AS INT) AS label, round((frame_idx - min(frame_idx) OVER (PARTITION BY recording_id)) * 0.035e0, 6) + 0.0 AS t, round(f0, 6) + 0.0 AS f0, round(f9, 6) + 0.0 AS f9 FROM ft WHERE recording_id % 10 IN (1, 4, 7)""", "gesture_cells"),
     "s03_header": sql(SIZES + "SELECT recording_id, i AS frame_idx, frame_idx AS frame_number, n AS num_obj, CAST(2 AS BIGINT) AS num_tlvs, '3.6.0.0' AS sdk, 'xWR6843' AS device FROM po", "points"),
-    "s04_configs": f"""SELECT {_K} AS cfg_id, CAST(bit_count({_K} % 7 + 1) AS BIGINT) AS n_tx, CAST(pow(2, ceil(log2({_K} % 200 + 65))) AS BIGINT) AS range_bins, CAST({_K} % 64 + 16 AS DOUBLE) AS loops,
-      round(3e8 * ({_K} % 5000 + 2000) * 1e3 / (2 * ({_K} % 60 + 20.013e0) * 1e12 * pow(2, ceil(log2({_K} % 200 + 65)))), 6) AS range_spacing,
-      round(3e8 / (4 * ({_K} % 4 + 60) * 1e9 * (({_K} % 50 + 7 + {_K} % 30 + 24) * 1e-6) * bit_count({_K} % 7 + 1)), 6) AS max_velocity,
-      round(3e8 / (2 * ({_K} % 4 + 60) * 1e9 * (({_K} % 50 + 7 + {_K} % 30 + 24) * 1e-6) * bit_count({_K} % 7 + 1) * ({_K} % 64 + 16)), 6) AS velocity_spacing, round(1000 / ({_K} % 90 + 10), 6) AS fps, 'calibDcRangeSig' AS unread FROM part""",
+    "s04_configs": """WITH a AS (
+      SELECT p_partkey AS k, bit_count(p_partkey % 7 + 1) AS tx, pow(2, ceil(log2(p_partkey % 200 + 65))) AS bins, p_partkey % 200 + 65 AS samples, p_partkey % 5000 + 2000 AS ksps, p_partkey % 64 + 16 AS loops,
+        (p_partkey % 50 + 7 + p_partkey % 30 + 24) * 1e-6 AS chirp, 2.7e0 / 67108864 AS unit, p_partkey % 4 + 60 AS start_ghz, CAST((p_partkey % 60 + 20) || '.013' AS DOUBLE) AS slope FROM part),
+    b AS (SELECT *, floor(start_ghz / unit) * unit AS start_actual, floor(slope / unit) * unit AS slope_actual FROM a),
+    c AS (SELECT *, start_actual + 0.5e0 * slope_actual * samples / ksps + slope_actual * 3 * 1e-8 AS centre FROM b)
+    SELECT k AS cfg_id, CAST(tx AS BIGINT) AS n_tx, CAST(tx * 4 AS BIGINT) AS n_virtual, CAST(bins AS BIGINT) AS range_bins, CAST(loops AS DOUBLE) AS loops,
+      round(start_actual, 6) AS start_actual, round(slope_actual, 6) AS slope_actual, round(centre, 6) AS centre_ghz,
+      round(3e8 * ksps * 1e3 / (2 * slope_actual * 1e12 * bins), 6) AS range_spacing, round(3e8 / (4 * centre * 1e9 * chirp * tx), 6) AS max_velocity, round(3e8 / (2 * centre * 1e9 * chirp * tx * loops), 6) AS velocity_spacing,
+      round(1000 / (k % 90 + 10), 6) AS fps, round(pow(2, ceil(log2(tx * 4))) / (tx * 4) / 256, 6) AS log_to_linear, round(20 * log10(2), 6) AS bins_per_db, round(32 / bins, 6) AS compensation, round(20 * log10(32 / bins), 6) + 0.0 AS compensation_db,
+      CASE WHEN k % 2 = 0 THEN CASE WHEN k % 3 = 0 THEN '0,2,1' ELSE '0,-1,1' END ELSE CASE WHEN k % 3 = 0 THEN '0,1,2' ELSE '0,1,-1' END END AS slots, 'calibDcRangeSig' AS unread,
+      CASE WHEN k % 3 = 0 THEN '' ELSE 'cannot read: chirpCfg 2 two' END AS warnings FROM c""",
     "s05_expected_tlvs": f"""SELECT {_K} AS cfg_id, concat_ws(',', CASE WHEN {_K} % 3 > 0 THEN 1 END, CASE WHEN {_K} % 3 = 1 THEN 7 END, CASE WHEN {_K} // 2 % 2 = 1 THEN 2 END, CASE WHEN {_K} // 3 % 2 = 1 THEN 3 END, CASE WHEN {_K} // 5 % 2 = 1 THEN 4 END,
       CASE WHEN {_K} // 7 % 2 = 1 THEN 5 END, CASE WHEN {_K} // 11 % 2 = 1 THEN 6 END, CASE WHEN {_K} // 11 % 2 = 1 THEN 9 END) AS expected FROM part""",
     "s06_runs": _files_sql("SELECT dir, 'a.dat' AS dat, CASE WHEN o % 4 <> 0 THEN 'a.cfg' ELSE 'default.cfg' END AS cfg, o % 4 = 0 AS cfg_is_fallback FROM fl WHERE o % 13 <> 0"),
@@ -146,5 +203,6 @@ SQL = {
       SELECT recording_id, frame_idx, round(CASE WHEN count(*) OVER w < 20 THEN 0 ELSE coalesce(corr(f5, f0) OVER w, 0) END, 6) + 0.0 AS correlation FROM ft WINDOW w AS (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""", "gesture_cells"),
     "l05_health": """WITH s AS (SELECT user_id AS recording_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS started, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_seen FROM events GROUP BY 1), n AS (SELECT *, max(last_seen) OVER (PARTITION BY recording_id % 10) AS now FROM s)
       SELECT *, CASE WHEN now - last_seen > 3 THEN 'stopped' ELSE 'ok' END AS health FROM n""",
+    "l07_track": sql(FOLLOW_POINTS + "SELECT recording_id, frame_idx, round(range_m, 6) AS range_m, range_m IS NULL AND last IS NOT NULL AS coasted FROM walk WHERE i > 0", "points", "frame_spine").replace("WITH", "WITH RECURSIVE", 1),
     "l06_counters": sql("SELECT recording_id, count(*) AS n_frames, CAST(sum(num_points) AS BIGINT) AS n_points, CAST(sum(skipped_before) AS BIGINT) AS bytes_skipped FROM audit_frames GROUP BY 1", "audit_frames"),
 }

@@ -77,26 +77,25 @@ def _out(source: str, value: str = "value") -> str:
     return f"SELECT recording_id, frame_idx, bin, round({value}, 6) + 0.0 AS value FROM ({source})"
 
 
-FEATURES = f""", f0 AS (SELECT *, {RANGE} AS range_m, {AZIMUTH} AS azimuth_deg FROM points),
+FEATURES = """, f0 AS (SELECT *, $RANGE AS range_m, $AZIMUTH AS azimuth_deg FROM points),
 f1 AS (SELECT *, CAST(round_even(range_m / 0.25e0, 0) AS BIGINT) AS range_bin, CAST(round_even(v / 0.5e0, 0) AS BIGINT) AS doppler_bin FROM f0),
-f2 AS (SELECT *, count(*) OVER (PARTITION BY recording_id, frame_idx, range_bin, doppler_bin) AS cocell,
+f2 AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY recording_id, frame_idx, range_bin, doppler_bin) AS cocell,
   row_number() OVER (PARTITION BY recording_id, frame_idx, range_bin, doppler_bin ORDER BY snr_db DESC NULLS LAST, point_idx) > 1 AS secondary,
   min(range_m) FILTER (snr_db IS NOT NULL) OVER r AS lo, max(range_m) FILTER (snr_db IS NOT NULL) OVER r AS hi FROM f1 WINDOW r AS (PARTITION BY recording_id)),
-f3 AS (SELECT *, CASE WHEN hi > lo THEN least(greatest(floor((range_m - lo) / ((hi - lo) / 16)), 0), 15) END AS b FROM f2),
+f3 AS MATERIALIZED (SELECT *, CASE WHEN hi > lo THEN least(greatest(floor((range_m - lo) / ((hi - lo) / 16)), 0), 15) END AS b FROM f2),
 whole AS (SELECT recording_id, median(snr_db) AS overall FROM f3 WHERE snr_db IS NOT NULL GROUP BY 1),
-knots AS (SELECT recording_id, lo + (b + 0.5) * (hi - lo) / 16 AS x, m, lead(lo + (b + 0.5) * (hi - lo) / 16) OVER k AS x1, lead(m) OVER k AS m1, count(*) OVER (PARTITION BY recording_id) AS n,
-  row_number() OVER k AS i FROM (SELECT recording_id, b, median(snr_db) AS m, count(*) AS n, min(lo) AS lo, min(hi) AS hi FROM f3 WHERE snr_db IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3) WINDOW k AS (PARTITION BY recording_id ORDER BY b)),
-f4 AS (SELECT f3.*, overall, CASE WHEN coalesce(n, 0) < 2 THEN overall WHEN i = 1 AND range_m < k.x THEN k.m WHEN x1 IS NULL THEN k.m ELSE k.m + (m1 - k.m) * (range_m - k.x) / (x1 - k.x) END AS level
-  FROM f3 LEFT JOIN whole USING (recording_id) LEFT JOIN knots k ON k.recording_id = f3.recording_id AND (range_m >= k.x OR i = 1) AND (range_m < x1 OR x1 IS NULL)),
+knots AS (SELECT recording_id, list({'x': lo + (b + 0.5) * (hi - lo) / 16, 'm': m} ORDER BY b) AS k FROM (SELECT recording_id, b, median(snr_db) AS m, min(lo) AS lo, min(hi) AS hi FROM f3 WHERE snr_db IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1),
+f4a AS (SELECT f3.*, overall, k, list_filter(k, lambda kn: kn.x <= range_m)[-1] AS k0, list_filter(k, lambda kn: kn.x > range_m)[1] AS k1 FROM f3 LEFT JOIN whole USING (recording_id) LEFT JOIN knots USING (recording_id)),
+f4 AS (SELECT * EXCLUDE (k, k0, k1), CASE WHEN coalesce(len(k), 0) < 2 THEN overall WHEN k0 IS NULL THEN k1.m WHEN k1 IS NULL THEN k0.m ELSE k0.m + (k1.m - k0.m) * (range_m - k0.x) / (k1.x - k0.x) END AS level FROM f4a),
 q AS (SELECT recording_id, frame_idx, quantile_cont(snr_db, 0.75) AS q, count(*) AS c FROM points GROUP BY 1, 2),
-f5 AS (SELECT f4.*, coalesce(snr_db - level, 0) AS excess_db, CASE WHEN c > 2 AND q IS NOT NULL THEN coalesce(snr_db >= q, false) ELSE true END AS eligible FROM f4 JOIN q USING (recording_id, frame_idx)),
+f5 AS MATERIALIZED (SELECT f4.*, coalesce(snr_db - level, 0) AS excess_db, CASE WHEN c > 2 AND q IS NOT NULL THEN coalesce(snr_db >= q, false) ELSE true END AS eligible FROM f4 JOIN q USING (recording_id, frame_idx)),
 pr AS (SELECT recording_id, frame_idx, range_m AS pr, azimuth_deg AS pa, v AS pv FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, frame_idx ORDER BY range_m, point_idx) AS k FROM f5 WHERE eligible) WHERE k = 1),
-feat AS (SELECT f5.*, range_m - pr AS d_range, azimuth_deg - pa AS d_azimuth, v - pv AS d_v FROM f5 JOIN pr USING (recording_id, frame_idx)),
+feat AS MATERIALIZED (SELECT f5.*, range_m - pr AS d_range, azimuth_deg - pa AS d_azimuth, v - pv AS d_v FROM f5 JOIN pr USING (recording_id, frame_idx)),
 g AS (SELECT *, abs(doppler_bin) <= 1 AS g1, secondary AS g2, excess_db <= -3 AND d_range >= 0.5 AS g3, d_range BETWEEN 0.5 AND 6 AND abs(d_v) <= 1.5 AND abs(v) >= 0.15 AND abs(d_azimuth) >= 8 AS g4 FROM feat),
 sc AS (SELECT *, CASE WHEN g2 THEN least(cocell / 3, 1.0) ELSE 0 END AS s2, CASE WHEN g3 THEN least(greatest(-excess_db / 12, 0), 1) ELSE 0 END AS s3, CASE WHEN g4 THEN 1 - abs(d_v) / 1.5 ELSE 0 END AS s4 FROM g),
 lab AS (SELECT recording_id, frame_idx, point_idx, unnest(['method0', 'method1', 'method2', 'method3', 'method4', 'method5']) AS method,
   unnest([0.0e0, CASE WHEN g1 THEN 1.0e0 ELSE 0 END, s2, s3, s4, (s2 + s3 + s4) / 3]) AS score, unnest([false, g1, g2, g3, g4, CAST(g2 AS INT) + CAST(g3 AS INT) + CAST(g4 AS INT) >= 2]) AS is_ghost FROM sc)
-"""
+""".replace("$RANGE", RANGE).replace("$AZIMUTH", AZIMUTH)
 SQL = {
     "rt_sparse": sql(_out(RT), "points"),
     "m01_range_time_dense": sql(_out(DENSE), "rd_cells"),

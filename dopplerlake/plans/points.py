@@ -61,8 +61,8 @@ QUERIES = {
     "a10_early_stop": lambda s, d: a.early_stop(fx.audit_frames(s, d)),
     "a11_bin_check": lambda s, d: a.bin_check(fx.profile_cells(s, d), 64),
     "a12_device_mismatch": _devices,
-    "a13_throughput": lambda s, d: a.throughput(fx.audit_frames(s, d), 0.1, 921600),
-    "a13_best_clean": lambda s, d: a.best_clean(a.throughput(fx.audit_frames(s, d), 0.1, 921600)),
+    "a13_throughput": lambda s, d: a.throughput(fx.audit_frames(s, d), 921600),
+    "a13_best_clean": lambda s, d: a.best_clean(a.throughput(fx.audit_frames(s, d), 921600)),
     "a16_availability": lambda s, d: a.availability(fx.audit_frames(s, d)),
     "a17_track_quality": lambda s, d: a.track_quality(_tracks(s, d)),
 }
@@ -104,8 +104,8 @@ SQL = {
     "a01_summary": sql(f""", g AS (SELECT *, frame_number - lag(frame_number) OVER (PARTITION BY recording_id ORDER BY frame_idx) AS gap FROM audit_frames),
     s AS (SELECT recording_id, count(*) AS n_frames, CAST(sum(total_len) AS BIGINT) AS bytes_in_frames, CAST(sum(skipped_before) AS BIGINT) AS bytes_skipped, count(*) FILTER (skipped_before > 0) AS resyncs,
       CAST(coalesce(sum(gap - 1) FILTER (gap > 1), 0) AS BIGINT) AS frames_lost, arg_min(frame_number, frame_idx) AS first_number, arg_max(frame_number, frame_idx) AS last_number, count(*) FILTER (num_points = 0) AS zero_point_frames,
-      count(*) FILTER (num_obj <> num_points) AS count_mismatches, CAST(sum(num_points) AS BIGINT) AS n_points, count(*) FILTER (NOT {_ARR.format(7)}) AS frames_without_side_info FROM g GROUP BY 1)
-    SELECT *, CASE WHEN bytes_skipped > 0 AND count_mismatches > 0 THEN 'not complete: bytes skipped, counts differ' WHEN bytes_skipped > 0 THEN 'not complete: bytes skipped' WHEN count_mismatches > 0 THEN 'not complete: counts differ' ELSE 'complete' END AS verdict FROM s""", "audit_frames"),
+      count(*) FILTER (num_obj <> num_points) AS count_mismatches, CAST(sum(num_points) AS BIGINT) AS n_points, count(*) FILTER (NOT {_ARR.format(7)}) AS frames_without_side_info, count(*) / nullif(max(t) - min(t), 0) AS rate FROM g GROUP BY 1)
+    SELECT * EXCLUDE (rate), round(rate, 6) AS fps, CASE WHEN bytes_skipped > 0 AND count_mismatches > 0 THEN 'not complete: bytes skipped, counts differ' WHEN bytes_skipped > 0 THEN 'not complete: bytes skipped' WHEN count_mismatches > 0 THEN 'not complete: counts differ' ELSE 'complete' END AS verdict FROM s""", "audit_frames"),
     "a05_tlv_counts": sql("SELECT recording_id, CAST(tlv AS INT) AS tlv, count(*) AS n FROM (SELECT recording_id, unnest(string_split(tlv_order, ',')) AS tlv FROM audit_frames) GROUP BY 1, 2", "audit_frames"),
     "a06_tlv_orders": sql("SELECT recording_id, tlv_order, count(*) AS n, row_number() OVER (PARTITION BY recording_id ORDER BY count(*) DESC, tlv_order) AS place FROM audit_frames GROUP BY 1, 2", "audit_frames"),
     "a07_anomaly_counts": sql("SELECT recording_id, string_split(anomaly, ' (')[1] AS anomaly, count(*) AS n FROM audit_frames WHERE anomaly IS NOT NULL GROUP BY 1, 2", "audit_frames"),
@@ -114,8 +114,8 @@ SQL = {
     "a10_early_stop": sql("SELECT recording_id, min(frame_idx) FILTER (num_obj = 0) AS first_empty, count(*) AS n_frames, count(*) FILTER (coalesce(string_split(tlv_order, ',')[2] <> '7', true)) AS second_not_side_info, coalesce(count(*) - min(frame_idx) FILTER (num_obj = 0), 0) AS frames_lost FROM audit_frames GROUP BY 1", "audit_frames"),
     "a11_bin_check": sql("SELECT recording_id, arg_min(size, frame_idx) AS observed, CAST(64 AS BIGINT) AS configured, arg_min(size, frame_idx) = 64 AS agrees FROM (SELECT recording_id, frame_idx, count(*) AS size FROM profile_cells GROUP BY 1, 2) GROUP BY 1", "profile_cells"),
     "a12_device_mismatch": "SELECT s_suppkey AS recording_id, CAST(s_nationkey % 5 AS BIGINT) AS cfg_id, CASE WHEN s_suppkey % 7 = 0 THEN 'xwr18xx' ELSE 'xwr68xx' END AS platform, 'xwr68xx' AS cfg_platform, CASE WHEN s_suppkey % 5 = 0 THEN '3.5' ELSE '3.6' END AS sdk, '3.6' AS cfg_sdk FROM supplier JOIN region ON s_nationkey % 5 = r_regionkey WHERE s_suppkey % 7 = 0 OR s_suppkey % 5 = 0",
-    "a13_throughput": sql("SELECT recording_id, round(count(*) / (count(*) * 0.1e0), 6) AS fps, round(sum(total_len) / (count(*) * 0.1e0), 6) AS bytes_per_s, round(sum(total_len) / (count(*) * 0.1e0) / 92160e0, 6) AS utilisation, sum(skipped_before) = 0 AS clean FROM audit_frames GROUP BY 1", "audit_frames"),
-    "a13_best_clean": sql("SELECT recording_id, round(b, 6) AS bytes_per_s FROM (SELECT recording_id, sum(total_len) / (count(*) * 0.1e0) AS b FROM audit_frames GROUP BY 1 HAVING sum(skipped_before) = 0) ORDER BY b DESC, recording_id LIMIT 1", "audit_frames"),
+    "a13_throughput": sql("SELECT recording_id, round(count(*) / nullif(max(t) - min(t), 0), 6) AS fps, round(sum(total_len) / nullif(max(t) - min(t), 0), 6) AS bytes_per_s, round(sum(total_len) / nullif(max(t) - min(t), 0) / 92160e0, 6) AS utilisation, sum(skipped_before) = 0 AS clean FROM audit_frames GROUP BY 1", "audit_frames"),
+    "a13_best_clean": sql("SELECT recording_id, round(b, 6) AS bytes_per_s FROM (SELECT recording_id, sum(total_len) / nullif(max(t) - min(t), 0) AS b FROM audit_frames GROUP BY 1 HAVING sum(skipped_before) = 0) WHERE b IS NOT NULL ORDER BY b DESC, recording_id LIMIT 1", "audit_frames"),
     "a16_availability": sql("SELECT *, CASE WHEN has_map THEN 'A' WHEN has_profile THEN 'B' WHEN has_side THEN 'C+' ELSE 'C' END AS tier FROM (SELECT recording_id, " + ", ".join(f"bool_or({_ARR.format(k)}) AS {n}" for k, n in ((1, "has_points"), (7, "has_side"), (2, "has_profile"), (5, "has_map"), (9, "has_temperature"))) + " FROM audit_frames GROUP BY 1)", "audit_frames"),
     "a17_track_quality": sql(""", m AS (SELECT recording_id, frame_idx, max(snr_db) AS best FROM points GROUP BY 1, 2), q AS (SELECT recording_id, avg(CASE WHEN best >= 25 THEN 1.0e0 ELSE 0 END) AS valid_fraction FROM frame_spine LEFT JOIN m USING (recording_id, frame_idx) GROUP BY 1)
     SELECT recording_id, round(valid_fraction, 6) AS valid_fraction, CASE WHEN valid_fraction = 0 THEN 'no target' WHEN valid_fraction < 0.25 THEN 'few measurements' ELSE 'none' END AS warning FROM q""", "points", "frame_spine"),

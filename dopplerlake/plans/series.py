@@ -35,7 +35,9 @@ def _maxima(s, d):
 
 def _metrics(s, d):
     e = g.smooth(fx.envelope(s, d))
-    return g.metrics(e, g.segments(e), _maxima(s, d))
+    # steps counted by hand, where somebody did
+    counted = fx.table(s, d, "events").select(F.col("user_id").alias("recording_id")).distinct().where("recording_id % 3 = 0").withColumn("n_true", F.col("recording_id") % 5)
+    return g.metrics(e, g.segments(e), _maxima(s, d), counted)
 
 
 def _steps(s, d):
@@ -64,10 +66,6 @@ def _adc_cells(s, d):
     return fx.emb_cells(s, d).select(*FRAME, F.floor(F.col("pos") / 8).alias("chirp"), (F.col("pos") % 8).alias("sample"), "val")
 
 
-def _dense_track(s, d):
-    return t.track_maps(_peaks(s, d, 1), fx.dense_frames(s, d).select(*FRAME), jump=4.0)
-
-
 def _slots(s):
     return s.range(8).select(F.col("id").alias("ant"), (F.col("id") - 4).alias("position")).where("ant >= 4")
 
@@ -104,7 +102,7 @@ QUERIES = {
     "r02_range_time": lambda s, d: r.range_time(fx.adc_frames(s, d), 8, 8),
     "r02_range_time_clean": lambda s, d: r.range_time(r.frames_of(r.remove_background(_adc_cells(s, d))), 8, 8),
     "r03_velocity_time": lambda s, d: r.velocity_time(fx.adc_frames(s, d), 8, 8),
-    "r04_velocity_following": lambda s, d: r.velocity_time_following(fx.adc_frames(s, d), _dense_track(s, d).where("target = 0"), 8, 8, 0.25),
+    "r04_velocity_following": lambda s, d: r.velocity_time_following(fx.adc_frames(s, d), _peaks(s, d, 1), 8, 8, 2.0, width=1.0),
     "d01_processing": lambda s, d: r.processing(_stats(s, d)),
     "d02_temperatures": _temperatures,
     "d03_rolling_load": lambda s, d: r.rolling_load(_stats(s, d)),
@@ -157,7 +155,54 @@ rf AS (SELECT recording_id, frame_idx, chirp, bin, sum(y * cos(2 * {math.pi!r} *
 """
 _CLEAN = "SELECT recording_id, frame_idx, chirp, sample, val - avg(val) OVER (PARTITION BY recording_id, chirp, sample) AS val FROM adc_cells"
 _RT = "SELECT recording_id, frame_idx, CAST(bin AS INT) AS bin, round(avg(sqrt(re * re + im * im)), 6) + 0.0 AS value FROM rf GROUP BY 1, 2, 3"
+#: One target from points, frame by frame: the candidates of a frame as a list, the track's state in a recursion.
+FOLLOW_POINTS = f""", ca AS (SELECT recording_id, frame_idx, list(range_m ORDER BY place) AS c FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, frame_idx ORDER BY w DESC, point_idx) AS place
+    FROM (SELECT recording_id, frame_idx, point_idx, {RANGE} AS range_m, {W} AS w FROM points WHERE abs(v) >= 0.15)) WHERE place <= 8 GROUP BY 1, 2),
+fr AS MATERIALIZED (SELECT recording_id, frame_idx, row_number() OVER (PARTITION BY recording_id ORDER BY frame_idx) AS i, coalesce(c, []) AS c FROM frame_spine LEFT JOIN ca USING (recording_id, frame_idx)),
+walk AS (
+  SELECT DISTINCT recording_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame_idx, CAST(NULL AS DOUBLE) AS range_m, CAST(NULL AS DOUBLE) AS last, 0 AS missed FROM fr
+  UNION ALL
+  SELECT recording_id, i, frame_idx, near, CASE WHEN near IS NOT NULL THEN near WHEN len(c) > 0 AND missed >= 10 THEN NULL ELSE last END, CASE WHEN near IS NOT NULL THEN 0 WHEN len(c) = 0 THEN missed WHEN missed >= 10 THEN 0 ELSE missed + 1 END
+  FROM (SELECT fr.*, last, missed, list_filter(c, lambda x: last IS NULL OR abs(x - last) <= 0.6)[1] AS near FROM walk JOIN fr ON fr.recording_id = walk.recording_id AND fr.i = walk.i + 1))
+"""
+#: Up to `n` profile peaks of a frame as a sorted list of ranges, and frames in order.
+PEAKS = """, p0 AS (SELECT recording_id, frame_idx, pos AS bin, abs(val) AS v FROM emb_cells),
+p1 AS (SELECT recording_id, frame_idx, arg_max(bin, (v, -bin)) AS b1 FROM p0 WHERE v > 0 GROUP BY 1, 2),
+p2 AS (SELECT recording_id, frame_idx, arg_max(bin, (v, -bin)) AS b2 FROM p0 JOIN p1 USING (recording_id, frame_idx) WHERE v > 0 AND abs(bin - b1) >= 5 GROUP BY 1, 2),
+p3 AS (SELECT recording_id, frame_idx, arg_max(bin, (v, -bin)) AS b3 FROM p0 JOIN p1 USING (recording_id, frame_idx) JOIN p2 USING (recording_id, frame_idx) WHERE v > 0 AND abs(bin - b1) >= 5 AND abs(bin - b2) >= 5 GROUP BY 1, 2)
+"""
+_lists = lambda n: PEAKS + f""", pl AS (SELECT recording_id, frame_idx, list_sort(list(bin * 0.25e0)) AS c FROM ({' UNION ALL '.join(f'SELECT recording_id, frame_idx, b{k} AS bin FROM p{k}' for k in range(1, n + 1))}) GROUP BY 1, 2),
+fr AS MATERIALIZED (SELECT recording_id, frame_idx, row_number() OVER (PARTITION BY recording_id ORDER BY frame_idx) AS i, coalesce(c, []) AS c FROM (SELECT DISTINCT recording_id, frame_idx FROM emb_cells) LEFT JOIN pl USING (recording_id, frame_idx)),
+"""
+ONE = """walk AS (
+  SELECT DISTINCT recording_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame_idx, CAST(NULL AS DOUBLE) AS x, 0 AS missed FROM fr
+  UNION ALL
+  SELECT recording_id, i, frame_idx, CASE WHEN x IS NULL THEN c[1] WHEN best.d <= 0.6 THEN best.y ELSE x END, CASE WHEN x IS NULL OR best.d <= 0.6 THEN 0 ELSE missed + 1 END
+  FROM (SELECT fr.*, x, missed, list_sort(list_transform(c, lambda y: {'d': abs(y - x), 'y': y}))[1] AS best FROM walk JOIN fr ON fr.recording_id = walk.recording_id AND fr.i = walk.i + 1))
+SELECT recording_id, frame_idx, CAST(0 AS BIGINT) AS target, round(CASE WHEN missed <= 10 THEN x END, 6) AS range_m, x IS NOT NULL AND missed BETWEEN 1 AND 10 AS coasted FROM walk WHERE i > 0"""
+_GREEDY = """SELECT *, list_filter(pairs, lambda q: q.i <> p.i AND q.j <> p.j)[1] AS q FROM (SELECT *, pairs[1] AS p FROM (SELECT *, list_sort(list_concat(
+    list_transform(range(1, len(c) + 1), lambda j: {'d': abs(x0 - c[j]), 'i': 0, 'j': j}), list_transform(range(1, len(c) + 1), lambda j: {'d': abs(x1 - c[j]), 'i': 1, 'j': j}))) AS pairs FROM st))"""
+_OPTIMAL = """SELECT *, CASE WHEN len(c) = 0 THEN NULL WHEN len(c) = 1 THEN CASE WHEN abs(x0 - c[1]) <= abs(x1 - c[1]) THEN {'d': abs(x0 - c[1]), 'i': 0, 'j': 1} ELSE {'d': abs(x1 - c[1]), 'i': 1, 'j': 1} END
+      WHEN abs(x0 - c[1]) + abs(x1 - c[2]) <= abs(x0 - c[2]) + abs(x1 - c[1]) THEN {'d': abs(x0 - c[1]), 'i': 0, 'j': 1} ELSE {'d': abs(x0 - c[2]), 'i': 0, 'j': 2} END AS p,
+    CASE WHEN len(c) < 2 THEN NULL WHEN abs(x0 - c[1]) + abs(x1 - c[2]) <= abs(x0 - c[2]) + abs(x1 - c[1]) THEN {'d': abs(x1 - c[2]), 'i': 1, 'j': 2} ELSE {'d': abs(x1 - c[1]), 'i': 1, 'j': 1} END AS q FROM st"""
+_two = lambda match: f"""walk AS (
+  SELECT DISTINCT recording_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame_idx, CAST(NULL AS DOUBLE) AS x0, CAST(NULL AS DOUBLE) AS x1, 0 AS m0, 0 AS m1 FROM fr
+  UNION ALL
+  SELECT recording_id, i, frame_idx, CASE WHEN x0 IS NULL THEN CASE WHEN len(c) >= 2 THEN c[1] END ELSE coalesce(c[j0], x0) END, CASE WHEN x0 IS NULL THEN CASE WHEN len(c) >= 2 THEN c[2] END ELSE coalesce(c[j1], x1) END,
+    CASE WHEN x0 IS NULL OR j0 IS NOT NULL THEN 0 ELSE m0 + 1 END, CASE WHEN x0 IS NULL OR j1 IS NOT NULL THEN 0 ELSE m1 + 1 END
+  FROM (SELECT *, CASE WHEN p.i = 0 AND p.d <= 0.6 THEN p.j WHEN q.i = 0 AND q.d <= 0.6 THEN q.j END AS j0, CASE WHEN p.i = 1 AND p.d <= 0.6 THEN p.j WHEN q.i = 1 AND q.d <= 0.6 THEN q.j END AS j1 FROM ({match.replace('FROM st', 'FROM (SELECT fr.*, x0, x1, m0, m1 FROM walk JOIN fr ON fr.recording_id = walk.recording_id AND fr.i = walk.i + 1)')})))
+SELECT recording_id, frame_idx, CAST(0 AS BIGINT) AS target, round(CASE WHEN m0 <= 10 THEN x0 END, 6) AS range_m, x0 IS NOT NULL AND m0 BETWEEN 1 AND 10 AS coasted FROM walk WHERE i > 0
+UNION ALL SELECT recording_id, frame_idx, CAST(1 AS BIGINT), round(CASE WHEN m1 <= 10 THEN x1 END, 6), x1 IS NOT NULL AND m1 BETWEEN 1 AND 10 FROM walk WHERE i > 0"""
+_recursive = lambda body, *views: sql(body, *views).replace("WITH", "WITH RECURSIVE", 1)
 SQL = {
+    "t02_track_one": _recursive(_lists(3) + ONE, "emb_cells"),
+    "t02_track_two": _recursive(_lists(3) + _two(_GREEDY), "emb_cells"),
+    "t05_track_optimal": _recursive(_lists(2) + _two(_OPTIMAL), "emb_cells"),
+    "t03_track_points": _recursive(FOLLOW_POINTS + "SELECT recording_id, frame_idx, CAST(0 AS BIGINT) AS target, round(range_m, 6) AS range_m, range_m IS NULL AND last IS NOT NULL AS coasted FROM walk WHERE i > 0", "points", "frame_spine"),
+    "r04_velocity_following": sql(RFFT.format(source="SELECT * FROM adc_cells") + PEAKS + f""", co AS (SELECT recording_id, frame_idx, chirp, sum(re) * any_value(0.5 - 0.5 * cos(2 * {math.pi!r} * chirp / 8)) AS re, sum(im) * any_value(0.5 - 0.5 * cos(2 * {math.pi!r} * chirp / 8)) AS im
+        FROM rf JOIN p1 USING (recording_id, frame_idx) WHERE abs(bin * 2.0e0 - b1 * 0.25e0) <= 1 GROUP BY 1, 2, 3)
+      SELECT recording_id, frame_idx, CAST((k + 4) % 8 AS INT) AS bin, round(sqrt(sum(re * cos(ph) + im * sin(ph)) ** 2 + sum(im * cos(ph) - re * sin(ph)) ** 2), 6) + 0.0 AS value
+      FROM (SELECT *, 2 * {math.pi!r} * ((k * chirp) % 8) / 8 AS ph FROM co, (SELECT unnest(range(8)) AS k)) GROUP BY 1, 2, 3""", "emb_cells", "adc_cells"),
     "g01_robust_mask": sql("SELECT recording_id, frame_idx, bin, round(value, 6) + 0.0 AS value, kept FROM (" + MASK.format(k=1, source=VT) + ")", "rd_cells"),
     "g02_dense_envelope": sql("SELECT recording_id, frame_idx, round(quantile_cont(abs((bin - 4) * 0.5e0), 0.98) FILTER (kept AND abs(bin - 4) > 1), 6) AS v, round(count(*) FILTER (kept AND abs(bin - 4) > 1) / count(*), 6) AS mask_fraction FROM (" + MASK.format(k=0, source=VT) + ") GROUP BY 1, 2", "rd_cells"),
     "g03_point_envelope": sql(", e AS (SELECT recording_id, frame_idx, CASE WHEN count(*) < 3 THEN max(value) ELSE coalesce(quantile_cont(value, 0.98) FILTER (kept), quantile_cont(value, 0.98) FILTER (value >= med)) END AS v FROM (" + MASK.format(k=3, source="SELECT recording_id, frame_idx, abs(v) AS value FROM points")
@@ -166,7 +211,7 @@ SQL = {
     "g05_segments": sql(WALK + 'SELECT recording_id, "first", "last", round(t0, 6) + 0.0 AS t0, round(t1, 6) + 0.0 AS t1, segment FROM walk', "envelope"),
     "g08_intervals": sql(WALK + 'SELECT recording_id, segment, frame_idx, round(interval_s, 6) AS "interval" FROM iv', "envelope"),
     "g09_metrics": sql(WALK + """SELECT recording_id, round(duration, 6) + 0.0 AS duration, round(t_walk, 6) + 0.0 AS t_walk, n_segments, n_steps, round(mean_interval, 6) AS mean_interval, round(sd_interval, 6) AS sd_interval, round(median_interval, 6) AS median_interval,
-      round(cadence, 6) + 0.0 AS cadence, round(CASE WHEN mean_interval > 0 THEN 100 * sd_interval / mean_interval END, 6) AS cv_percent, round(CASE WHEN duration > 0 THEN t_walk / duration ELSE 0 END, 6) + 0.0 AS walking_fraction FROM met""", "envelope"),
+      round(cadence, 6) + 0.0 AS cadence, round(CASE WHEN mean_interval > 0 THEN 100 * sd_interval / mean_interval END, 6) AS cv_percent, round(CASE WHEN duration > 0 THEN t_walk / duration ELSE 0 END, 6) + 0.0 AS walking_fraction, round(CASE WHEN recording_id % 3 = 0 AND recording_id % 5 > 0 THEN 100.0e0 * abs(n_steps - recording_id % 5) / (recording_id % 5) END, 6) + 0.0 AS mape_percent FROM met""", "envelope"),
     "g10_spectral_cadence": sql(SPECTRUM + "SELECT recording_id, round(cadence_spectral, 6) AS cadence_spectral, round(confidence, 6) AS confidence FROM sp", "envelope"),
     "g11_disagreement": sql(WALK + SPECTRUM + "SELECT recording_id, round(cadence, 6) + 0.0 AS cadence, round(cadence_spectral, 6) AS cadence_spectral, round(CASE WHEN cadence > 0 THEN 100 * abs(cadence - cadence_spectral) / cadence END, 6) + 0.0 AS disagreement_percent FROM met JOIN sp USING (recording_id)", "envelope"),
     "g12_interval_band": sql(WALK + """SELECT recording_id, segment, round(t, 6) AS t, round(interval_s, 6) AS "interval", round(avg(interval_s) OVER w, 6) AS mean, round(avg(interval_s) OVER w - coalesce(stddev_samp(interval_s) OVER w, 0), 6) + 0.0 AS low,

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The wire format. Magic word, then eight unsigned 32-bit little-endian fields, then payloads of (type, length, bytes).
 MAGIC = bytes((2, 1, 4, 3, 6, 5, 8, 7))
@@ -35,11 +38,14 @@ def plausible(data: bytes, at: int) -> int:
 
 
 def chain(data: bytes, start: int = 0) -> Iterator[tuple[int, int, int]]:
-    """(offset, length, bytes skipped before) of each whole packet; follows lengths, and searches the magic word only after a loss."""
+    """(offset, length, bytes skipped before) of each whole packet; follows lengths, and searches the magic word only after a
+    loss. A plausible packet that the bytes end inside is waited for: nothing in it is taken for a packet."""
     at, skipped = start, 0
     while True:
         n = plausible(data, at)
-        if n and at + n <= len(data):
+        if n and at + n > len(data):
+            return
+        if n:
             yield at, n, skipped
             at, skipped = at + n, 0
             continue
@@ -66,6 +72,54 @@ def cut(captures: DataFrame) -> DataFrame:
     return captures.select("recording_id", "content").mapInArrow(run, PACKETS)
 
 
+def account(data: bytes) -> dict[str, int]:
+    """A1: where a capture's bytes went: packets, losses, false magic words, padding, and partial packets at either end."""
+    end, tail, lost, c = 0, len(data), [], dict.fromkeys(COUNTS, 0)
+    for at, n, gap in chain(data):
+        lost.append((at - gap, at))
+        end = at + n
+        used, k = HEADER, struct.unpack_from("<I", data, at + 32)[0]
+        for _ in range(k):
+            if used + 8 > n:
+                break
+            used = min(n, used + 8 + struct.unpack_from("<I", data, at + used + 4)[0])
+        c["bytes_in_frames"] += n
+        c["padded_frames"] += used < n
+        c["padding_bytes"] += n - used
+    at = data.find(MAGIC, end)
+    while at >= 0:
+        if plausible(data, at):
+            tail = at
+            break
+        at = data.find(MAGIC, at + 1)
+    lost.append((end, tail))
+    first = data.find(MAGIC)
+    for a, b in lost:
+        c["bytes_skipped"] += b - a
+        at = data.find(MAGIC, a, b)
+        if a < b < len(data) and a and at != a:
+            c["resyncs"] += 1
+        while at >= 0 and len(data) - at >= HEADER:
+            c["false_magics"] += 1
+            c["resyncs"] += data.find(MAGIC, at + 1) >= 0
+            at = data.find(MAGIC, at + 1, b)
+    return c | {"bytes_total": len(data), "truncated_tail": len(data) - tail, "leading_partial": first if first >= 0 else len(data)}
+
+
+COUNTS = ("bytes_total", "bytes_in_frames", "bytes_skipped", "truncated_tail", "leading_partial", "resyncs", "false_magics", "padded_frames", "padding_bytes")
+
+
+def accounting(captures: DataFrame) -> DataFrame:
+    """A1: one row of byte counts a capture."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [account(x or b"") for x in b.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("recording_id"), *(pa.array([r[c] for r in rows], pa.int64()) for c in COUNTS)], ["recording_id", *COUNTS])
+
+    return captures.select("recording_id", "content").mapInArrow(run, "recording_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+
+
 def word(column: str, at: int) -> Column:
     """Unsigned little-endian 32-bit integer at byte `at`, by built-in functions."""
     byte = lambda k: F.conv(F.hex(F.substring(column, at + k + 1, 1)), 16, 10).cast("long")
@@ -119,22 +173,96 @@ def payload(kind: int) -> Column:
     return F.when(t.isNotNull(), F.substring(F.col("packet"), t["start"] + 1, t["length"]))
 
 
-def decode(shredded: DataFrame) -> DataFrame:
-    """`points`, `side` and `range_profile` arrays of each packet, for the point operators."""
+#: What a payload of each type holds: column, type of its numbers, and numbers of one element (fields, divisor).
+CELLS = {
+    POINTS: ("points", "<f4", ("x", "y", "z", "v"), None), SIDE: ("side", "<i2", ("snr_db", "noise_db"), 10.0), PROFILE: ("range_profile", "<u2", (), None), NOISE: ("noise_profile", "<u2", (), None),
+    4: ("azimuth_iq", "<i2", ("re", "im"), 1.0), 5: ("range_doppler", "<u2", (), None), 8: ("antenna_iq", "<i2", ("re", "im"), 1.0), 1050: ("gesture_features", "<f4", (), None), 1051: ("gesture_probs", "<f4", (), None),
+}
+#: Payloads of one record each, fields in the order of their bytes.
+RECORDS = {
+    6: ("stats", "<6I", ("processing_us", "output_us", "margin_us", "chirp_margin_us", "active_load", "idle_load")),
+    9: ("temperature", "<iI10h", ("valid", "time_ms", "rx0", "rx1", "rx2", "rx3", "tx0", "tx1", "tx2", "pm", "dig0", "dig1")),
+}
+ARROW = {"<f4": pa.float32(), "<u2": pa.int32(), "<i2": pa.float64()}
+
+
+def _cells(raw: list[bytes | None], kind: int) -> pa.Array:
+    """Lists of one payload type, made from the bytes of a whole batch at once; a partial element at a payload's end is left out."""
+    _, dtype, fields, divisor = CELLS[kind]
+    step = np.dtype(dtype).itemsize * max(1, len(fields))
+    sizes = [0 if r is None else len(r) // step for r in raw]
+    flat = np.frombuffer(b"".join(r[: n * step] for r, n in zip(raw, sizes) if r is not None), dtype)
+    to = lambda a: pa.array((a / divisor if divisor else a).astype(ARROW[dtype].to_pandas_dtype()), ARROW[dtype])
+    values = pa.StructArray.from_arrays([to(flat[i :: len(fields)]) for i in range(len(fields))], list(fields)) if fields else to(flat)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.array([*(r is None for r in raw), False])), values)
+
+
+def _records(raw: list[bytes | None], kind: int) -> pa.Array:
+    """One struct a payload; null where it is missing or too short."""
+    _, form, fields = RECORDS[kind]
+    size = struct.calcsize(form)
+    rows = [None if r is None or len(r) < size else dict(zip(fields, struct.unpack_from(form, r))) for r in raw]
+    return pa.array(rows, pa.struct([(f, pa.int64()) for f in fields]))
+
+
+def decode(shredded: DataFrame, kinds: tuple[int, ...] = (POINTS, SIDE, PROFILE), sizes: dict[int, int] | None = None) -> DataFrame:
+    """Payloads of the given types as one column each, in Arrow batches; `sizes` gives how many elements a configuration
+    implies, and other numbers are anomalies, as are records that are too short."""
+    sizes = {1050: 10, 1051: 10} | (sizes or {})
+    keep = [c for c in shredded.columns if c != "anomalies"]
+    names = {k: (CELLS.get(k) or RECORDS[k])[0] for k in kinds}
+    fields = [*(shredded.schema[c] for c in keep), shredded.schema["anomalies"]]
+    spark_of = {"<f4": T.FloatType(), "<u2": T.IntegerType(), "<i2": T.DoubleType()}
+    for k in kinds:
+        if k in RECORDS:
+            kind = T.StructType([T.StructField(f, T.LongType()) for f in RECORDS[k][2]])
+        else:
+            one = spark_of[CELLS[k][1]]
+            kind = T.ArrayType(T.StructType([T.StructField(f, one) for f in CELLS[k][2]]) if CELLS[k][2] else one)
+        fields.append(T.StructField(names[k], kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            notes, made = [list(x or []) for x in b.column("anomalies").to_pylist()], []
+            for k in kinds:
+                raw = b.column(f"__{k}").to_pylist()
+                made.append(_records(raw, k) if k in RECORDS else _cells(raw, k))
+                least = struct.calcsize(RECORDS[k][1]) if k in RECORDS else 0
+                step = np.dtype(CELLS[k][1]).itemsize * max(1, len(CELLS[k][2])) if k in CELLS else 1
+                for note, r in zip(notes, raw):
+                    if r is not None and k in RECORDS and len(r) < least:
+                        note.append(f"{names[k]}_too_short ({len(r)})")
+                    if r is not None and k in sizes and len(r) // step != sizes[k]:
+                        note.append(f"{names[k]}_size_mismatch (expected {sizes[k]}, got {len(r) // step})")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(notes, pa.list_(pa.string())), *made], [*keep, "anomalies", *names.values()])
+
+    return shredded.select(*keep, "anomalies", *(payload(k).alias(f"__{k}") for k in kinds)).mapInArrow(run, T.StructType(fields))
+
+
+def pack(frame: int, objects: int, payloads: list[tuple[int, bytes]]) -> bytes:
+    """One packet with the given payloads, padded to 32 bytes."""
+    body = b"".join(struct.pack("<II", kind, len(data)) + data for kind, data in payloads)
+    n = -(-(HEADER + len(body)) // PAD) * PAD
+    return (MAGIC + struct.pack("<8I", 0x03060000, n, 0xA6843, frame, frame * 8_000_000 % 2**32, objects, len(payloads), 0) + body).ljust(n, b"\x0f")
 
-    @F.pandas_udf("array<struct<x:float,y:float,z:float,v:float>>")
-    def points(raw: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else [dict(zip("xyzv", q)) for q in np.frombuffer(r[: len(r) // 16 * 16], "<f4").reshape(-1, 4).tolist()] for r in raw])
 
-    @F.pandas_udf("array<struct<snr_db:double,noise_db:double>>")
-    def side(raw: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else [{"snr_db": q[0] / 10, "noise_db": q[1] / 10} for q in np.frombuffer(r[: len(r) // 4 * 4], "<i2").reshape(-1, 2).tolist()] for r in raw])
+def encode_dense(frames: DataFrame) -> DataFrame:
+    """Packets (recording_id, frame_idx, packet) of all payload types but points, from frames of 64 `values`."""
 
-    @F.pandas_udf("array<int>")
-    def profile(raw: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else np.frombuffer(r[: len(r) // 2 * 2], "<u2").astype(np.int32) for r in raw])
+    @F.pandas_udf("binary")
+    def build(frame: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for f, v in zip(frame, values):
+            v = np.asarray(v, float)
+            size, turned, real = np.floor(np.abs(v) * 1000).astype("<u2").tobytes(), np.floor(np.abs(v[::-1]) * 1000).astype("<u2").tobytes(), np.floor(v * 1000).astype("<i2").tobytes()
+            out.append(pack(f, 0, [
+                (2, size), (3, turned), (4, real), (5, size), (6, struct.pack("<6I", f, 2, f * 3, 4, f % 100, 6)), (8, real), (9, struct.pack("<iI10h", 0, f * 40, *(20 + f % 7 - k for k in range(10)))),
+                (1050, (v[:10] * 10).astype("<f4").tobytes()), (1051, v[10:20].astype("<f4").tobytes()),
+            ]))
+        return pd.Series(out)
 
-    return shredded.withColumns({"points": points(payload(POINTS)), "side": side(payload(SIDE)), "range_profile": profile(payload(PROFILE))})
+    return frames.select("recording_id", "frame_idx", build("frame_idx", "values").alias("packet"))
 
 
 def encode(frames: DataFrame) -> DataFrame:
@@ -144,11 +272,7 @@ def encode(frames: DataFrame) -> DataFrame:
     def build(frame: pd.Series, xyzv: pd.Series, side: pd.Series) -> pd.Series:
         out = []
         for f, p, s in zip(frame, xyzv, side):
-            body = b""
-            for kind, data in ((POINTS, np.asarray(p, "<f4").tobytes()), (SIDE, np.asarray(s, "<i2").tobytes())):
-                body += struct.pack("<II", kind, len(data)) + data
-            n = -(-(HEADER + len(body)) // PAD) * PAD
-            out.append((MAGIC + struct.pack("<8I", 0x03060000, n, 0xA6843, f, f * 8_000_000 % 2**32, len(p) // 4, 2, 0) + body).ljust(n, b"\x0f"))
+            out.append(pack(f, len(p) // 4, [(POINTS, np.asarray(p, "<f4").tobytes()), (SIDE, np.asarray(s, "<i2").tobytes())]))
         return pd.Series(out)
 
     flat = F.flatten(F.transform("points", lambda q: F.array(q["x"], q["y"], q["z"], q["v"])))
@@ -167,20 +291,39 @@ def parse_configs(lines: DataFrame) -> DataFrame:
     """Command lines (cfg_id, line_no, line) to one row a configuration with derived bins, resolutions and limits."""
     text = F.trim(F.regexp_replace("line", "%.*$", ""))
     cmd = lines.withColumn("w", F.split(text, r"\s+")).withColumn("name", F.get("w", F.lit(0))).where("name <> ''")
-    arg = lambda name, i: F.max_by(F.when(F.col("name") == name, F.get("w", F.lit(i + 1))), F.when(F.col("name") == name, F.col("line_no"))).cast("double")
-    known = ("profileCfg", "frameCfg", "channelCfg", "guiMonitor")
+    need = {"profileCfg": 14, "frameCfg": 7, "channelCfg": 3, "chirpCfg": 8, "guiMonitor": 7}
+    numbers = F.forall(F.slice("w", 2, 100), lambda x: x.try_cast("double").isNotNull())
+    sound = reduce(lambda a, b: a | b, ((F.col("name") == k) & (F.size("w") > n) & numbers for k, n in need.items()))
+    cmd = cmd.withColumn("ok", sound)
+    given = lambda name, i: F.when(F.col("ok") & (F.col("name") == name), F.get("w", F.lit(i + 1)))
+    arg = lambda name, i: F.max_by(given(name, i), F.when(F.col("ok") & (F.col("name") == name), F.col("line_no"))).cast("double")
+    # the first chirp in which each transmitter fires; transmitters take slots in that order
+    fires = lambda tx: F.min(F.when(given("chirpCfg", 7).cast("int").bitwiseAND(F.lit(1 << tx)) > 0, given("chirpCfg", 0).cast("long") * 3 + tx))
     c = cmd.groupBy("cfg_id").agg(
-        arg("profileCfg", 1).alias("start_ghz"), arg("profileCfg", 2).alias("idle_us"), arg("profileCfg", 4).alias("ramp_us"), arg("profileCfg", 7).alias("slope"), arg("profileCfg", 9).alias("samples"), arg("profileCfg", 10).alias("ksps"),
-        arg("frameCfg", 0).alias("first_chirp"), arg("frameCfg", 1).alias("last_chirp"), arg("frameCfg", 2).alias("loops"), arg("frameCfg", 4).alias("period_ms"), arg("channelCfg", 1).cast("int").alias("tx_mask"),
-        F.collect_list(F.when(~F.col("name").isin(*known), F.col("name"))).alias("unread"),
+        arg("profileCfg", 1).alias("start_ghz"), arg("profileCfg", 2).alias("idle_us"), arg("profileCfg", 3).alias("adc_start"), arg("profileCfg", 4).alias("ramp_us"), arg("profileCfg", 7).alias("slope"),
+        arg("profileCfg", 9).alias("samples"), arg("profileCfg", 10).alias("ksps"), arg("frameCfg", 0).alias("first_chirp"), arg("frameCfg", 1).alias("last_chirp"), arg("frameCfg", 2).alias("loops"),
+        arg("frameCfg", 4).alias("period_ms"), arg("channelCfg", 0).cast("int").alias("rx_mask"), arg("channelCfg", 1).cast("int").alias("tx_mask"), *(fires(tx).alias(f"fires{tx}") for tx in range(3)),
+        F.collect_list(F.when(~F.col("name").isin(*need), F.col("name"))).alias("unread"),
+        F.array_sort(F.collect_list(F.when(F.col("name").isin(*need) & ~F.col("ok"), F.concat(F.lit("cannot read: "), text)))).alias("warnings"),
     )
-    c = c.withColumns({"n_tx": F.bit_count("tx_mask").cast("long"), "range_bins": F.pow(F.lit(2.0), F.ceil(F.log2("samples"))).cast("long")})
+    c = c.withColumns({"n_tx": F.bit_count("tx_mask").cast("long"), "range_bins": F.pow(F.lit(2.0), F.ceil(F.log2("samples"))).cast("long"), "n_virtual": (F.bit_count("tx_mask") * F.bit_count("rx_mask")).cast("long")})
+    # frequencies as the device holds them: whole steps of a 26-bit synthesiser, cut off towards zero
+    unit = F.when(F.col("start_ghz") >= 76, 3.6).otherwise(2.7) / float(1 << 26)
+    steps = lambda x: F.signum(x) * F.floor(F.abs(x) / unit)
+    c = c.withColumns({"start_actual": steps(F.col("start_ghz")) * unit, "slope_actual": steps(F.col("slope")) * unit})
+    c = c.withColumn("centre_ghz", F.col("start_actual") + 0.5 * F.col("slope_actual") * F.col("samples") / F.col("ksps") + F.col("slope_actual") * F.col("adc_start") * 1e-8)
     chirp = (F.col("idle_us") + F.col("ramp_us")) * 1e-6
     light = 3e8
-    return c.withColumns({
-        "range_spacing": light * F.col("ksps") * 1e3 / (2 * F.col("slope") * 1e12 * F.col("range_bins")), "max_velocity": light / (4 * F.col("start_ghz") * 1e9 * chirp * F.col("n_tx")),
-        "velocity_spacing": light / (2 * F.col("start_ghz") * 1e9 * chirp * F.col("n_tx") * F.col("loops")), "fps": 1000 / F.col("period_ms"), "unread": F.array_sort("unread"),
+    order = F.array_sort(F.array_compact(F.array("fires0", "fires1", "fires2")))
+    c = c.withColumns({
+        "range_spacing": light * F.col("ksps") * 1e3 / (2 * F.abs("slope_actual") * 1e12 * F.col("range_bins")), "max_velocity": light / (4 * F.col("centre_ghz") * 1e9 * chirp * F.col("n_tx")),
+        "velocity_spacing": light / (2 * F.col("centre_ghz") * 1e9 * chirp * F.col("n_tx") * F.col("loops")), "fps": 1000 / F.col("period_ms"), "unread": F.array_sort("unread"),
+        "log_to_linear": F.pow(F.lit(2.0), F.ceil(F.log2("n_virtual"))) / F.col("n_virtual") / 256, "bins_per_db": F.lit(20 * math.log10(2)),
+        "slots": F.array(*(F.when(F.col(f"fires{tx}").isNull(), -1).otherwise(F.array_position(order, F.col(f"fires{tx}")).cast("int") - 1) for tx in range(3))),
     })
+    # what the fixed-point stages of the range transform take off
+    comp = F.lit(32.0) / F.col("range_bins")
+    return c.withColumns({"compensation": comp, "compensation_db": 20 * F.log10(comp)}).drop("fires0", "fires1", "fires2")
 
 
 def expected_tlvs(monitor: DataFrame) -> DataFrame:
@@ -216,6 +359,18 @@ def write_manifest(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).json(path)
 
 
+def write_sessions(features: DataFrame, label: str, path: str) -> str:
+    """raw features of labelled sessions, one folder a label; times count from each session's start."""
+    start = F.min("t").over(Window.partitionBy("recording_id"))
+    features.withColumn("t", F.col("t") - start).write.partitionBy(label).parquet(path)
+    return path
+
+
+def read_sessions(spark: SparkSession, path: str, schema: T.StructType, label: str, labels: list) -> DataFrame:
+    """sessions of some labels; folders of other labels are not read."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("t", T.DoubleType())])).parquet(path).where(F.col(label).isin(labels))
+
+
 def in_order(parts: list[DataFrame]) -> DataFrame:
     """Rows of several parts with the part's number as explicit order key."""
     tagged = [p.withColumn("part", F.lit(i).cast("long")) for i, p in enumerate(parts)]

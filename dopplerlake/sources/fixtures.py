@@ -49,7 +49,7 @@ def audit_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("recording_id"), (F.row_number().over(order) - 1).cast("long").alias("frame_idx"), e.alias("frame_number"), (whole % 6).alias("num_obj"),
         F.when(e % 11 == 0, F.lit(0).cast("long")).otherwise(whole % 6).alias("num_points"), (32 * (2 + whole % 40)).alias("total_len"),
-        F.when(e % 97 == 0, e % 31).otherwise(F.lit(0).cast("long")).alias("skipped_before"), tlv.alias("tlv_order"),
+        F.when(e % 97 == 0, e % 31).otherwise(F.lit(0).cast("long")).alias("skipped_before"), tlv.alias("tlv_order"), F.unix_timestamp("ts").alias("t"),
         F.when(e % 13 == 0, F.concat(F.lit("unknown_tlv_type ("), "event_type", F.lit(")"))).alias("anomaly"),
     )
 
@@ -123,7 +123,7 @@ SQL = {
        CAST(floor(value) % 6 AS BIGINT) AS num_obj, CAST(CASE WHEN event_id % 11 = 0 THEN 0 ELSE floor(value) % 6 END AS BIGINT) AS num_points,
        CAST(32 * (2 + floor(value) % 40) AS BIGINT) AS total_len, CASE WHEN event_id % 97 = 0 THEN event_id % 31 ELSE 0 END AS skipped_before,
        CASE event_type WHEN 'view' THEN '1,7,2,6' WHEN 'click' THEN '1,2' WHEN 'error' THEN '2,6' WHEN 'signup' THEN '1,7' ELSE '1,2,7,6,9' END AS tlv_order,
-       CASE WHEN event_id % 13 = 0 THEN concat('unknown_tlv_type (', event_type, ')') END AS anomaly FROM events""",
+       CASE WHEN event_id % 13 = 0 THEN concat('unknown_tlv_type (', event_type, ')') END AS anomaly, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events""",
     "envelope": """SELECT user_id AS recording_id, row_number() OVER w - 1 AS frame_idx, (row_number() OVER w - 1) * 0.2e0 AS t,
        CASE WHEN event_type = 'error' THEN NULL ELSE value / 100 END AS v FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
     "emb_cells": """SELECT CAST(label AS BIGINT) AS recording_id, frame_idx, unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS val FROM

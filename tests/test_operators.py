@@ -369,6 +369,79 @@ def test_reassembly_does_not_depend_on_the_cuts(spark, stream, tmp_path):
         assert values(stateful.replay(stateful.reassemble(source), str(tmp_path / f"out{size}")), "frame_idx") == want
 
 
+def nested():
+    """A packet whose payload holds a whole plausible packet, between two plain ones; the last is cut off."""
+    inner = captures.pack(77, 0, [])
+    big = captures.pack(5, 0, [(9999, b"x" * 24 + inner + b"y" * 60)])
+    return captures.pack(4, 0, []) + big + captures.pack(6, 0, [(1, bytes(32))]) + big[:150]
+
+
+def test_a_packet_inside_a_packet_is_not_found(spark):
+    data = nested()
+    whole = list(captures.chain(data))
+    assert [n for _, n, _ in whole] == [64, 224, 96] and all(gap == 0 for _, _, gap in whole)
+    for cut in range(len(data)):
+        assert list(captures.chain(data[:cut])) == [w for w in whole if w[0] + w[1] <= cut]
+
+
+@pytest.mark.parametrize("size", [1, 40, 64, 100, 1000])
+def test_nested_packets_at_every_chunk_size(spark, tmp_path, size):
+    data = nested()
+    chunks = [(1, i, data[at : at + size]) for i, at in enumerate(range(0, len(data), size))]
+    spark.createDataFrame(chunks, "recording_id long, seq long, bytes binary").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("recording_id long, seq long, bytes binary").parquet(str(tmp_path / "in"))
+    got = stateful.replay(stateful.reassemble(source), str(tmp_path / "out")).orderBy("frame_idx").collect()
+    assert [(r["byte_offset"], r["length"], r["skipped_before"]) for r in got] == list(captures.chain(data))
+
+
+def test_where_the_bytes_of_a_capture_went(stream):
+    a = captures.account(b"abc" + captures.MAGIC + bytes(40) + nested())
+    assert a == {"bytes_total": 51 + 534, "bytes_in_frames": 384, "bytes_skipped": 51, "truncated_tail": 150, "leading_partial": 3, "resyncs": 1, "false_magics": 1, "padded_frames": 3, "padding_bytes": 24 + 28 + 16}
+    assert captures.account(b"") == dict.fromkeys(captures.account(b""), 0)
+    assert captures.account(b"no packet")["bytes_skipped"] == 9
+    for data in (stream, stream[13:], stream[:-40]):
+        c = captures.account(data)
+        assert c["bytes_in_frames"] + c["bytes_skipped"] + c["truncated_tail"] == c["bytes_total"] == len(data)
+
+
+def test_short_and_odd_payloads(spark):
+    payloads = [(5, bytes(6)), (6, bytes(10)), (9, bytes(28)), (1050, bytes(12)), (1, bytes(20)), (12, b"?")]
+    rows = spark.createDataFrame([(1, captures.pack(0, 0, payloads)), (2, captures.pack(1, 0, []))], "recording_id long, packet binary")
+    d = captures.decode(captures.shred(rows), (5, 6, 9, 1050, 1), {5: 4}).orderBy("recording_id").collect()
+    assert d[0]["range_doppler"] == [0, 0, 0] and d[0]["stats"] is None and d[0]["temperature"]["dig1"] == 0 and len(d[0]["points"]) == 1
+    assert d[0]["anomalies"] == ["unknown_tlv_type (12)", "range_doppler_size_mismatch (expected 4, got 3)", "stats_too_short (10)", "gesture_features_size_mismatch (expected 10, got 3)"]
+    assert d[1]["range_doppler"] is None and d[1]["points"] is None and d[1]["anomalies"] == []
+
+
+def test_maps_of_full_size(spark):
+    rd = [float(i % 97) for i in range(128 * 64)]
+    frames = spark.createDataFrame([(1, 0, rd)], "recording_id long, frame_idx long, rd array<double>")
+    x = np.array(rd).reshape(128, 64)
+    assert [r["value"] for r in maps.range_time_dense(frames, 128, 64).orderBy("bin").collect()] == x.sum(axis=1).tolist()
+    assert [r["value"] for r in maps.velocity_time_dense(frames, 128, 64, 3, 90).orderBy("bin").collect()] == x[3:91].sum(axis=0).tolist()
+
+
+def test_cadence_of_a_long_recording(spark):
+    s = spark.range(80_000).selectExpr("1L as recording_id", "id as frame_idx", "id * 0.04 as t", "1 + sin(2 * pi() * 1.5 * id * 0.04) as v")
+    r = gait.spectral_cadence(s, 0.04).first()
+    assert r["cadence_spectral"] == pytest.approx(90) and r["confidence"] > 0.4
+
+
+def test_classes_are_balanced_by_repeating_rows(spark):
+    rows = spark.createDataFrame([(i, 0, [float(i % 7), 1.0], 0 if i % 10 else 1) for i in range(400)], "recording_id long, frame_idx long, window array<double>, target int")
+    model = gesture.train(rows, hidden=(4,), classes=2, rounds=3)
+    assert model.numFeatures == 2
+
+
+def test_sessions_are_read_by_label(spark, tmp_path):
+    f = spark.createDataFrame([(1, 5, "a", 2.0, 3.0), (1, 6, "a", 2.5, 4.0), (2, 0, "b", 9.0, 5.0)], "recording_id long, frame_idx long, label string, t double, f0 double")
+    path = captures.write_sessions(f, "label", str(tmp_path / "s"))
+    got = captures.read_sessions(spark, path, f.drop("t").schema, "label", ["a"])
+    assert sorted((r["frame_idx"], r["t"], r["f0"]) for r in got.collect()) == [(5, 0.0, 3.0), (6, 0.5, 4.0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+
+
 def test_streamed_decisions_equal_the_batch(spark, tmp_path):
     rng = np.random.default_rng(5)
     rows = [(r, i, rng.dirichlet([0.5] * 4).tolist()) for i in range(60) for r in (1, 2)]

@@ -36,8 +36,8 @@ CLASSES = 1 + SINGLES + SHAPES
 SKIPS = 1 + SINGLES
 ENDINGS = 4096
 FREQUENT = 65_536
-PAIRS = 1024
-STEPS = 10
+PAIRS = 4096
+STEPS = 12
 PARTS = 3
 KEPT = 300_000
 PIECE = 1_000_000

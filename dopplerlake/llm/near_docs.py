@@ -8,8 +8,11 @@ Nodes are distinct texts. Candidate pairs come from two sources and nothing is t
 2. MinHash: `BANDS` bands of `ROWS` minima each. A pair at 0.8 shares a band with 1 - (1 - 0.8^5)^16 = 0.998.
 
 Members of one bucket are paired with the next `BESIDE` of them in an order of its own for each bucket: all pairs of a
-bucket of up to 9, and at most 8 pairs a row of a larger one. Pairs are verified by exact Jaccard >= `LEAST` in joins with
-the sets of shingle hashes (64 bits), and the verified pairs' components are the groups.
+bucket of up to 9, and at most 8 pairs a row of a larger one. This happens in two steps: first the very next member, whose
+verified pairs form groups; then the others, but only where the two lie in different groups, since a further link inside a
+group changes nothing. So a group of thousands of near copies is linked by its first step and makes no more pairs. Pairs
+are verified by exact Jaccard >= `LEAST` in joins with the sets of shingle hashes (64 bits), and the components of all
+verified pairs are the groups.
 
 Texts of under five words are one shingle; texts without words are equal to each other.
 """
@@ -34,6 +37,8 @@ BANDS = 16
 ROWS = 5
 BESIDE = 8
 PIECE = 4096
+#: Node ids (8 bytes each) that are broadcast at most.
+LISTED = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -93,27 +98,35 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
 
 
-def beside(members: DataFrame) -> DataFrame:
-    """(a, b): members (key, node) of a bucket with the next of them in an order that differs from bucket to bucket."""
+def beside(nodes: DataFrame, nearest: int, farthest: int) -> DataFrame:
+    """(a, b): nodes (node, root, fp, bands) of a bucket with the members `nearest` to `farthest` places on, in an order that
+    differs from bucket to bucket, where their roots differ."""
+    keys = F.explode(F.concat("bands", F.array("fp"))).alias("key")
+    members = nodes.select("node", "root", keys)
     order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
-    nexts = F.filter(F.array(*(F.lead("node", d).over(order) for d in range(1, BESIDE + 1))), lambda x: x.isNotNull())
-    return members.select("node", nexts.alias("nexts")).select(F.col("node").alias("a"), F.explode("nexts").alias("b"))
+    ahead = F.array(*(F.lead(F.struct("node", "root"), d).over(order) for d in range(nearest, farthest + 1)))
+    other = F.transform(F.filter("ahead", lambda x: x["root"] != F.col("root")), lambda x: x["node"])
+    return members.withColumn("ahead", ahead).select(F.col("node").alias("a"), F.explode(other).alias("b"))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a < b) of nodes (node, fp, bands)."""
-    members = nodes.select("node", F.explode("bands").alias("key")).unionByName(nodes.select("node", F.col("fp").alias("key")))
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair once, the smaller node first."""
+    return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+
+
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Links of fingerprints within 4 bits, as pairs of nodes that have them."""
     heads = written(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
     links = near_links(heads.select("fp"))
     ends = [heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab"]
-    linked = links.join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
-    pairs = beside(members).unionByName(linked)
-    return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    return links.join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose texts (node, text) have a Jaccard similarity of LEAST or more."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    involved = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
+    if involved.count() <= LISTED:  # else the texts are shuffled to meet them
+        involved = F.broadcast(involved)
     made = texts.join(involved, "node", "left_semi").mapInArrow(_sets, "node long, grams array<long>")
     sets = written(made.groupBy("node").agg(F.first("grams").alias("grams")), "sets")
     a, b = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"grams_{c}"), F.size("grams").alias(f"n_{c}")) for c in "ab")
@@ -128,9 +141,18 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     texts = keyed.select(F.col("__node").alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = texts.mapInArrow(_sketches, "node long, doc_id long, fp long, bands array<long>")
     nodes = written(sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
-    roots = components(verified(candidates(nodes), texts.select("node", "text")))
+    texts = texts.select("node", "text")
+    alone = nodes.withColumn("root", F.col("node"))
+    first_links = written(verified(ordered(beside(alone, 1, 1).unionByName(by_fingerprint(nodes))), texts), "links")
+    rooted = nodes.join(components(first_links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more_links = verified(ordered(beside(rooted, 2, BESIDE)), texts)
+    roots = components(first_links.unionByName(more_links))
     grouped = nodes.select(F.col("node").alias("n"), "least").join(roots, F.col("n") == F.col("node"), "left").select("n", "least", F.coalesce("root", "n").alias("root"))
     chosen = grouped.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "n")).alias("first"))
     first = written(chosen.select(F.col("first.n").alias("__n"), F.col("first.least").alias("__least")), "first")
-    on = (keyed["__node"] == first["__n"]) & keyed["doc_id"].cast("long").eqNullSafe(first["__least"])
-    return keyed.join(first, on, "left_semi").dropDuplicates(["__node"]).drop("__node")
+    # exact repeats of a row meet in the join already, so taking one of them needs no further shuffle
+    keys = ["__node", "__id", "__none"]
+    least = [F.col("__n").alias("__node"), F.coalesce("__least", F.lit(0)).cast("long").alias("__id"), F.col("__least").isNull().alias("__none")]
+    doc_id = F.col("doc_id").cast("long")
+    rows = keyed.withColumns({"__id": F.coalesce(doc_id, F.lit(0)).cast("long"), "__none": doc_id.isNull()})
+    return rows.join(first.select(*least), keys, "left_semi").dropDuplicates(keys).drop(*keys)

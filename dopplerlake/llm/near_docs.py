@@ -10,9 +10,15 @@ Nodes are distinct texts. Candidate pairs come from two sources and nothing is t
 Members of one bucket are paired with the next `BESIDE` of them in an order of its own for each bucket: all pairs of a
 bucket of up to 9, and at most 8 pairs a row of a larger one. This happens in two steps: first the very next member, whose
 verified pairs form groups; then the others, but only where the two lie in different groups, since a further link inside a
-group changes nothing. So a group of thousands of near copies is linked by its first step and makes no more pairs. Pairs
-are verified by exact Jaccard >= `LEAST` in joins with the sets of shingle hashes (64 bits), and the components of all
-verified pairs are the groups.
+group changes nothing. So a group of thousands of near copies is linked by its first step and makes no more pairs.
+
+Buckets of more than 9 that hold several groups after that are settled exactly: their members meet in a prefix join. Each
+set is ordered from its rarest shingle on; two sets of Jaccard >= `LEAST` share one of their first n - ceil(LEAST n) + 1,
+and what follows the first that they share is long enough for the overlap they need. Shingles seen in one group only make
+no pairs, and elsewhere the members outside the largest group meet all others.
+
+Pairs are verified by exact Jaccard >= `LEAST` in joins with the sets of shingle hashes (64 bits), and the components of
+all verified pairs are the groups.
 
 Texts of under five words are one shingle; texts without words are equal to each other.
 """
@@ -98,15 +104,46 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
 
 
+def in_buckets(nodes: DataFrame) -> DataFrame:
+    """(node, root, key): every node in each of its buckets."""
+    return nodes.select("node", "root", F.explode(F.concat("bands", F.array("fp"))).alias("key"))
+
+
 def beside(nodes: DataFrame, nearest: int, farthest: int) -> DataFrame:
     """(a, b): nodes (node, root, fp, bands) of a bucket with the members `nearest` to `farthest` places on, in an order that
     differs from bucket to bucket, where their roots differ."""
-    keys = F.explode(F.concat("bands", F.array("fp"))).alias("key")
-    members = nodes.select("node", "root", keys)
     order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
     ahead = F.array(*(F.lead(F.struct("node", "root"), d).over(order) for d in range(nearest, farthest + 1)))
     other = F.transform(F.filter("ahead", lambda x: x["root"] != F.col("root")), lambda x: x["node"])
-    return members.withColumn("ahead", ahead).select(F.col("node").alias("a"), F.explode(other).alias("b"))
+    return in_buckets(nodes).withColumn("ahead", ahead).select(F.col("node").alias("a"), F.explode(other).alias("b"))
+
+
+def unsettled(nodes: DataFrame) -> DataFrame:
+    """(node, root): nodes of buckets that hold several roots and more members than `beside` pairs with each other."""
+    members = in_buckets(nodes)
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    crowded = sizes.where((F.col("n") > BESIDE + 1) & (F.col("low") < F.col("high"))).select("key")
+    return written(members.join(crowded, "key", "left_semi").select("node", "root").distinct(), "unsettled")
+
+
+def sharing_prefixes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): nodes (node, root) of different roots whose sets (node, grams) can reach LEAST, by the prefix principle."""
+    grams = sets.select("node", F.explode("grams").alias("gram"))
+    ranked = grams.join(grams.groupBy("gram").agg(F.count("*").alias("often")), "gram")
+    sorted_ = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("grams"))
+    length = F.size("grams")
+    prefix = F.slice("grams", 1, (length - F.ceil(LEAST * length - 1e-9) + 1).cast("int"))
+    heads = sorted_.join(nodes, "node").select("node", "root", length.alias("n"), F.posexplode(prefix).alias("at", "head"))
+    left = (F.col("n") - F.col("at")).alias("left")
+    heads = written(heads.where("head.often > 1").select("node", "root", "n", left, F.col("head.gram").alias("gram")), "heads")
+    shares = heads.groupBy("gram", "root").agg(F.count("*").alias("members"))
+    largest = shares.groupBy("gram").agg(F.max_by("root", F.struct("members", "root")).alias("largest"), F.count("*").alias("roots"))
+    mixed = written(heads.join(largest.where("roots > 1"), "gram"), "mixed")
+    a, b = (mixed.select("gram", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "left", "largest"))) for side in "ab")
+    sizes = F.least("n_a", "n_b") >= LEAST * F.greatest("n_a", "n_b")
+    enough = F.least("left_a", "left_b") >= LEAST / (1 + LEAST) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    met = a.where("root_a <> largest_a").join(b, "gram").where(F.expr("root_a <> root_b") & sizes & enough)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -122,19 +159,33 @@ def by_fingerprint(nodes: DataFrame) -> DataFrame:
     return links.join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose texts (node, text) have a Jaccard similarity of LEAST or more."""
-    involved = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
-    if involved.count() <= LISTED:  # else the texts are shuffled to meet them
-        involved = F.broadcast(involved)
-    made = texts.join(involved, "node", "left_semi").mapInArrow(_sets, "node long, grams array<long>")
-    sets = written(made.groupBy("node").agg(F.first("grams").alias("grams")), "sets")
+def sets_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, grams): the set of shingle hashes of each of `nodes`, from texts (node, text)."""
+    if nodes.count() <= LISTED:  # else the texts are shuffled to meet them
+        nodes = F.broadcast(nodes)
+    made = texts.join(nodes, "node", "left_semi").mapInArrow(_sets, "node long, grams array<long>")
+    return written(made.groupBy("node").agg(F.first("grams").alias("grams")), "sets")
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (node, grams) have a Jaccard similarity of LEAST or more."""
     a, b = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"grams_{c}"), F.size("grams").alias(f"n_{c}")) for c in "ab")
     close = pairs.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") >= LEAST * F.greatest("n_a", "n_b"))
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
     return close.where(shared >= LEAST * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
 
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose texts (node, text) have a Jaccard similarity of LEAST or more."""
+    involved = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
+    return alike(pairs, sets_of(involved, texts))
+
+
+def rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """`nodes` with the root of their component over `links`."""
+    return nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def first_of_groups(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicate texts: that with the smallest id (a row without an id only if all have none)."""
     keyed = docs.withColumn("__node", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -143,11 +194,15 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     nodes = written(sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     texts = texts.select("node", "text")
     alone = nodes.withColumn("root", F.col("node"))
-    first_links = written(verified(ordered(beside(alone, 1, 1).unionByName(by_fingerprint(nodes))), texts), "links")
-    rooted = nodes.join(components(first_links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more_links = verified(ordered(beside(rooted, 2, BESIDE)), texts)
-    roots = components(first_links.unionByName(more_links))
-    grouped = nodes.select(F.col("node").alias("n"), "least").join(roots, F.col("n") == F.col("node"), "left").select("n", "least", F.coalesce("root", "n").alias("root"))
+    links = written(verified(ordered(beside(alone, 1, 1).unionByName(by_fingerprint(nodes))), texts), "links")
+    links = written(links.unionByName(verified(ordered(beside(rooted(nodes, links), 2, BESIDE)), texts)), "links")
+    grouped = written(rooted(nodes, links), "rooted")
+    rest = unsettled(grouped)
+    if not rest.isEmpty():
+        sets = sets_of(rest.select("node"), texts)
+        more = alike(ordered(sharing_prefixes(rest, sets)), sets)
+        grouped = rooted(nodes, links.unionByName(more))
+    grouped = grouped.select(F.col("node").alias("n"), "least", "root")
     chosen = grouped.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "n")).alias("first"))
     first = written(chosen.select(F.col("first.n").alias("__n"), F.col("first.least").alias("__least")), "first")
     # exact repeats of a row meet in the join already, so taking one of them needs no further shuffle

@@ -62,3 +62,17 @@ def test_missing_and_repeated_ids(spark):
     got = kept(spark, rows)
     assert [x for x in got if x[0] is None] in ([(None, b)], [(None, b + " end")])
     assert [x for x in got if x[0] is not None] == [(5, a), (7, c), (7, "some other text of the same id"), (8, None)]
+
+
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_docs, "bands", lambda hashes: np.arange(near_docs.BANDS, dtype=np.uint64))  # one bucket for all
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(150):
+        words = [f"w{n}" for n in rng.integers(0, 5000, 120)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, edited(words, {30, 80}))]
+    texts = spark.createDataFrame(rows, "node long, text string")
+    nodes = texts.selectExpr("node", "node as root")
+    sets = near_docs.sets_of(nodes.select("node"), texts)
+    got = near_docs.alike(near_docs.ordered(near_docs.sharing_prefixes(nodes, sets)), sets)
+    assert {tuple(r) for r in got.collect()} == {(2 * i, 2 * i + 1) for i in range(150)}

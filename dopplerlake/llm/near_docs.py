@@ -181,9 +181,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return alike(pairs, sets_of(involved, texts))
 
 
-def rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """`nodes` with the root of their component over `links`."""
-    return nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+def rooted(nodes: DataFrame, stars: DataFrame) -> DataFrame:
+    """`nodes` with their root by `stars` (node, root): every node that is not its own root."""
+    return nodes.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def grown(stars: DataFrame, links: DataFrame) -> DataFrame:
+    """The stars of the components after further links; what was linked before is in them, so few rounds are left."""
+    return components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
@@ -194,14 +199,14 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     nodes = written(sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     texts = texts.select("node", "text")
     alone = nodes.withColumn("root", F.col("node"))
-    links = written(verified(ordered(beside(alone, 1, 1).unionByName(by_fingerprint(nodes))), texts), "links")
-    links = written(links.unionByName(verified(ordered(beside(rooted(nodes, links), 2, BESIDE)), texts)), "links")
-    grouped = written(rooted(nodes, links), "rooted")
+    stars = components(verified(ordered(beside(alone, 1, 1).unionByName(by_fingerprint(nodes))), texts))
+    stars = grown(stars, verified(ordered(beside(rooted(nodes, stars), 2, BESIDE)), texts))
+    grouped = written(rooted(nodes, stars), "rooted")
     rest = unsettled(grouped)
     if not rest.isEmpty():
         sets = sets_of(rest.select("node"), texts)
         more = alike(ordered(sharing_prefixes(rest, sets)), sets)
-        grouped = rooted(nodes, links.unionByName(more))
+        grouped = rooted(nodes, grown(stars, more))
     grouped = grouped.select(F.col("node").alias("n"), "least", "root")
     chosen = grouped.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "n")).alias("first"))
     first = written(chosen.select(F.col("first.n").alias("__n"), F.col("first.least").alias("__least")), "first")

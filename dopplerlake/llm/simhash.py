@@ -156,22 +156,25 @@ def near_links(fps: DataFrame, radius: int = RADIUS, most: int = PAIRED) -> Data
     return links
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every node of the edges (a, b) is either a leaf of one edge or a centre: then `b` is the component of `a`."""
+    leaves = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    centres = edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    ends = leaves.unionByName(centres).groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return ends.where("out > 1 or (out > 0 and into > 0)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every linked node that is not its own root; large-star and small-star by turns."""
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
-    while True:  # until a round changes no edge
+    while not are_stars(edges):  # every edge leads to a smaller node, so the centre of a star is its smallest
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = written(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = written(small.where("a <> b").distinct(), "small")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == seen:
-            break
-        seen = now
-    return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_components(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from .html_text import op7_html_text
 from .maxent_lm import op5_maxent
 from .media import op10_media
 from .packing import op9_packing
+from .periodic import op12_periodic
 from .preference import SQL, op1_preference
 from .simhash import op8_simhash
 from .suffix_dedup import op4_suffix_dedup
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_simhash": over(op8_simhash, "documents"),
         "op9_packing": over(op9_packing, "documents"),
         "op10_media": over(op10_media, "documents"),
+        "op12_periodic": over(op12_periodic, "documents"),
     }
 
 

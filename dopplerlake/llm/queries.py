@@ -9,6 +9,8 @@ from .crf import op6_language
 from .html_text import op7_html_text
 from .maxent_lm import op5_maxent
 from .media import op10_media
+from .negatives import SQL as NEGATIVES_SQL
+from .negatives import op11_negatives
 from .packing import op9_packing
 from .periodic import op12_periodic
 from .preference import SQL, op1_preference
@@ -29,9 +31,10 @@ def queries() -> dict:
         "op8_simhash": over(op8_simhash, "documents"),
         "op9_packing": over(op9_packing, "documents"),
         "op10_media": over(op10_media, "documents"),
+        "op11_negatives": over(op11_negatives, "embeddings"),
         "op12_periodic": over(op12_periodic, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference": SQL}
+    return {"op1_preference": SQL, "op11_negatives": NEGATIVES_SQL}

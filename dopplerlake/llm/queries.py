@@ -16,6 +16,7 @@ from .periodic import op12_periodic
 from .preference import SQL, op1_preference
 from .simhash import op8_simhash
 from .suffix_dedup import op4_suffix_dedup
+from .url_filter import op13_url_filter
 
 
 def queries() -> dict:
@@ -33,6 +34,7 @@ def queries() -> dict:
         "op10_media": over(op10_media, "documents"),
         "op11_negatives": over(op11_negatives, "embeddings"),
         "op12_periodic": over(op12_periodic, "documents"),
+        "op13_url_filter": lambda spark, sf_dir: op13_url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")),
     }
 
 

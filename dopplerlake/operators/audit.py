@@ -48,10 +48,12 @@ def field_of_view(points: DataFrame, far: float | None = None, fastest: float |
 
 
 def early_stop(frames: DataFrame) -> DataFrame:
-    """A10: what a reader loses that stops at the first empty frame, and frames whose second payload is not side info."""
-    first = F.min(F.when(F.col("num_obj") == 0, F.col("frame_idx")))
-    second = F.get(F.split("tlv_order", ","), F.lit(1))
-    return frames.groupBy(R).agg(first.alias("first_empty"), F.count("*").alias("n_frames"), F.count_if(F.coalesce(second != "7", F.lit(True))).alias("second_not_side_info")).withColumn("frames_lost", F.coalesce(F.col("n_frames") - F.col("first_empty"), F.lit(0)))
+    """A10: what a reader loses that stops at the first empty frame, and frames whose first payload is points and whose second is
+    another one than side info."""
+    first_empty = F.min(F.when(F.col("num_obj") == 0, F.col("frame_idx")))
+    order = F.split("tlv_order", ",")
+    other = (F.get(order, F.lit(0)) == "1") & (F.get(order, F.lit(1)) != "7")
+    return frames.groupBy(R).agg(first_empty.alias("first_empty"), F.count("*").alias("n_frames"), F.count_if(F.coalesce(other, F.lit(False))).alias("second_not_side_info")).withColumn("frames_lost", F.coalesce(F.col("n_frames") - F.col("first_empty"), F.lit(0)))
 
 
 def bin_check(profiles: DataFrame, bins: int) -> DataFrame:
@@ -84,11 +86,17 @@ def best_clean(rates: DataFrame) -> DataFrame:
     return rates.where("clean and bytes_per_s is not null").agg(F.max_by(F.struct(R, "bytes_per_s"), F.struct("bytes_per_s", -F.col(R))).alias("b")).where("b is not null").select("b.*")
 
 
+#: What a payload type says about a recording.
+PAYLOADS = {"has_profile": (2,), "has_noise": (3,), "has_angle": (4, 8), "has_map": (5,), "has_stats": (6,), "has_side": (7,), "has_temperature": (9,)}
+
+
 def availability(frames: DataFrame) -> DataFrame:
-    """Which payloads a recording has, and its fidelity tier: A with maps, B with profiles, C+ with side info, C."""
-    has = lambda k: F.bool_or(F.array_contains(F.split("tlv_order", ","), k))
-    s = frames.groupBy(R).agg(has("1").alias("has_points"), has("7").alias("has_side"), has("2").alias("has_profile"), has("5").alias("has_map"), has("9").alias("has_temperature"))
-    return s.withColumn("tier", F.when(F.col("has_map"), "A").when(F.col("has_profile"), "B").when(F.col("has_side"), "C+").otherwise("C"))
+    """Which payloads a recording has, and its fidelity tier: B with range-Doppler maps or angle samples, C+ with range
+    profiles, C with points alone. Points count where a frame has any."""
+    order = F.split("tlv_order", ",").cast("array<int>")
+    has = [F.bool_or(F.arrays_overlap(order, F.array(*map(F.lit, kinds)))).alias(name) for name, kinds in PAYLOADS.items()]
+    s = frames.groupBy(R).agg(F.coalesce(F.bool_or(F.col("num_points") > 0), F.lit(False)).alias("has_points"), *has)
+    return s.withColumn("tier", F.when(F.col("has_map") | F.col("has_angle"), "B").when(F.col("has_profile"), "C+").otherwise("C"))
 
 
 def track_quality(tracks: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,34 +61,41 @@ def segments(series: DataFrame, on: float = 0.35, off: float = 0.20, shortest: f
     return kept.withColumn("segment", F.row_number().over(Window.partitionBy(R).orderBy("first")).cast("long")).drop("island")
 
 
+def _bases(v: np.ndarray) -> np.ndarray:
+    """For each sample the least one between it and the nearest higher sample before it: one pass, with a stack of the samples
+    that no later one has reached."""
+    out, stack = np.empty(len(v)), []
+    for i, x in enumerate(v.tolist()):
+        low = x
+        while stack and stack[-1][0] <= x:
+            low = min(low, stack.pop()[1])
+        stack.append((x, low))
+        out[i] = low
+    return out
+
+
 def pick_peaks(v: np.ndarray, height: float, distance: int, prominence: float) -> np.ndarray:
-    """Local maxima (middles of plateaus) at `height` or more, thinned to `distance` highest first, of `prominence` or more."""
-    n, peaks, i = len(v), [], 1
-    while i < n - 1:
-        if v[i - 1] < v[i]:
-            j = i
-            while j < n - 1 and v[j + 1] == v[i]:
-                j += 1
-            if j < n - 1 and v[j + 1] < v[i]:
-                peaks.append((i + j) // 2)
-            i = j
-        i += 1
-    p = np.array([x for x in peaks if v[x] >= height], int)
+    """Local maxima (middles of plateaus) at `height` or more, thinned to `distance` highest first, of `prominence` or more.
+
+    Every part is one pass over the samples or over neighbouring peaks.
+    """
+    if len(v) < 3:
+        return np.zeros(0, int)
+    start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))  # level stretches
+    stop, level = np.concatenate((start[1:], [len(v)])) - 1, v[start]
+    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
+    p = ((start[top] + stop[top]) // 2)[level[top] >= height]
     alive = np.ones(len(p), bool)
-    for i in np.argsort(v[p], kind="stable")[::-1]:
+    for i in np.argsort(v[p], kind="stable")[::-1].tolist():
         if alive[i]:
-            near = np.abs(p - p[i]) < distance
-            near[i] = False
-            alive &= ~near
-    out = []
-    for x in p[alive]:
-        left, right = v[:x][::-1], v[x + 1 :]
-        a = np.flatnonzero(left > v[x])
-        b = np.flatnonzero(right > v[x])
-        base = max(left[: a[0] if len(a) else None].min(initial=v[x]), right[: b[0] if len(b) else None].min(initial=v[x]))
-        if v[x] - base >= prominence:
-            out.append(x)
-    return np.array(out, int)
+            for way in (-1, 1):
+                j = i + way
+                while 0 <= j < len(p) and abs(p[j] - p[i]) < distance:
+                    alive[j] = False
+                    j += way
+    p = p[alive]
+    base = np.maximum(_bases(v)[p], _bases(v[::-1])[::-1][p])
+    return p[v[p] - base >= prominence]
 
 
 def steps(series: DataFrame, walking: DataFrame, v_min: float = 0.20, spacing: float = 0.25) -> DataFrame:
@@ -132,23 +141,31 @@ def metrics(series: DataFrame, walking: DataFrame, step_rows: DataFrame, truth:
 
 
 def spectral_cadence(series: DataFrame, period: float, low: float = 0.5, high: float = 4.0) -> DataFrame:
-    """Strongest frequency of the de-meaned, Hann-weighted envelope between low and high Hz, in steps a minute, and its share.
+    """Strongest frequency of the de-meaned, Hann-weighted envelope between low and high Hz, in steps a minute, and its
+    share; null and 0 for recordings of fewer than 8 frames, or without a frequency between them.
 
-    One real transform a recording: n log n, and a recording's envelope (8 bytes a frame) is all that a task holds.
+    A task transforms an Arrow batch of recordings, one array each (8 bytes a frame); a transform is n log n.
     """
-    out = f"{R} long, cadence_spectral double, confidence double"
+    a = F.array_sort(F.collect_list(F.struct("frame_idx", F.coalesce(F.nanvl("v", F.lit(None).cast("double")), F.lit(0.0)).alias("v"))))
+    rows = series.groupBy(R).agg(F.transform(a, lambda x: x["v"]).alias("v"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("frame_idx")["v"].fillna(0.0).to_numpy()
+    def one(v: np.ndarray) -> tuple[float | None, float]:
         n = len(v)
         first, last = math.ceil(low * n * period - 1e-9), min(math.floor(high * n * period + 1e-9), n // 2)
-        if n < 4 or first > last:
-            return pd.DataFrame({R: [], "cadence_spectral": [], "confidence": []}).astype({R: "int64"})
+        if n < 8 or first > last:
+            return None, 0.0
         m = np.abs(np.fft.rfft((v - v.mean()) * np.hanning(n)))[first : last + 1]
         k, total = first + int(m.round(9).argmax()), m.sum()
-        return pd.DataFrame({R: [pdf[R].iloc[0]], "cadence_spectral": [60 * k / (n * period)], "confidence": [m.max() / total if total > 0 else 0.0]})
+        return 60 * k / (n * period), m.max() / total if total > 0 else 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column("v")
+            flat, at = v.flatten().to_numpy(), v.offsets.to_numpy() - (v.offsets[0].as_py() if len(v) else 0)
+            got = [one(flat[i:j]) for i, j in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(R), pa.array([x for x, _ in got], pa.float64()), pa.array([x for _, x in got], pa.float64())], [R, "cadence_spectral", "confidence"])
 
-    return series.select(R, "frame_idx", "v").groupBy(R).applyInPandas(run, out)
+    return rows.mapInArrow(run, f"{R} long, cadence_spectral double, confidence double")
 
 
 def disagreement(metric_rows: DataFrame, spectral: DataFrame) -> DataFrame:

@@ -72,24 +72,40 @@ def point_features(points: DataFrame, spine: DataFrame, near: float, far: float,
     return spine.select(*FRAME).join(f, FRAME, "left").na.fill(0.0)
 
 
-def angle_moments(cells: DataFrame, top: int = 10) -> DataFrame:
-    """angle moments over the strongest cells of each frame: a 32 x 32 angle transform of four channels, its peak bin a
-    cell, weighted by magnitude. Input: one row a cell with `re`, `im` arrays of four channels and `value`."""
+#: What stands in the places of the antenna vector, as (channel, sign), for a module whose second and fourth
+#: receivers are fed from the other side; the last four places are of a transmitter that is off. The vector is scaled by 1 / 64.
+ANTENNAS = ((3, -1), (2, 1), (1, -1), (0, 1))
+ANGLES, SCALE = 32, 64
+
+
+def angle_peaks(re: np.ndarray, im: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signed (azimuth, elevation) bins of the strongest of 32 x 32 angles of each cell of four channels (ties: the first).
+
+    Two transforms follow each other: over the two antennas of a pair, then over the pairs; the first index is that of the pairs.
+    """
+    z = (re + 1j * im)[:, [c for c, _ in ANTENNAS]] * np.array([sign for _, sign in ANTENNAS]) / SCALE
+    within = np.fft.fft(z.reshape(-1, 2, 2), ANGLES, axis=2)
+    m = np.abs(np.fft.fft(within, ANGLES, axis=1)).reshape(len(z), -1)
+    at = np.round(m, 9).argmax(axis=1)
+    signed = lambda k: np.where(k > ANGLES // 2 - 1, k - ANGLES, k).astype(float)
+    return signed(at // ANGLES), signed(at % ANGLES)
+
+
+def angle_moments(cells: DataFrame, stop: int = 8, top: int = 10) -> DataFrame:
+    """angle moments over the `top` strongest cells of each frame in range bins below `stop`, weighted by magnitude; frames
+    without a positive cell are zero. Input: one row a cell with `re`, `im` arrays of four channels and `value`."""
     w = Window.partitionBy(*FRAME).orderBy(F.desc("value"), "range_bin", "dop_bin")
-    best = cells.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+    best = cells.where((F.col("range_bin") < stop) & (F.col("value") > 0)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
 
     @F.pandas_udf("struct<az:double,el:double>")
     def peak(re: pd.Series, im: pd.Series) -> pd.DataFrame:
-        z = np.stack(re.to_numpy()) + 1j * np.stack(im.to_numpy())
-        grid = np.zeros((len(z), 32, 32), complex)
-        grid[:, :2, :2] = z.reshape(-1, 2, 2)
-        m = np.abs(np.fft.fftshift(np.fft.fft2(grid), axes=(1, 2))).reshape(len(z), -1)
-        k = np.round(m, 9).argmax(axis=1)
-        return pd.DataFrame({"az": k % 32 - 16.0, "el": k // 32 - 16.0})
+        az, el = angle_peaks(np.stack(re.to_numpy()), np.stack(im.to_numpy())) if len(re) else (np.zeros(0), np.zeros(0))
+        return pd.DataFrame({"az": az, "el": el})
 
     p = best.withColumn("p", peak("re", "im")).select(*FRAME, "value", "p.az", "p.el")
-    m = lambda x: F.sum(F.col("value") * x) / F.sum("value")
-    return p.groupBy(*FRAME).agg(m(F.col("az")).alias("azimuth"), m(F.col("el")).alias("elevation"), (m(F.col("az") ** 2) - m(F.col("az")) ** 2).alias("azimuth_spread"), (m(F.col("el") ** 2) - m(F.col("el")) ** 2).alias("elevation_spread"))
+    m = lambda x: F.try_divide(F.sum(F.col("value") * x), F.sum("value"))
+    a = p.groupBy(*FRAME).agg(m(F.col("az")).alias("azimuth"), m(F.col("el")).alias("elevation"), (m(F.col("az") ** 2) - m(F.col("az")) ** 2).alias("azimuth_spread"), (m(F.col("el") ** 2) - m(F.col("el")) ** 2).alias("elevation_spread"))
+    return cells.select(*FRAME).distinct().join(a, FRAME, "left").na.fill(0.0)
 
 
 def correlation(features: DataFrame, x: str = "azimuth", y: str = "doppler") -> DataFrame:
@@ -147,6 +163,40 @@ def repeats(states: DataFrame, every: int) -> DataFrame:
     return states.withColumn("repeated", (F.col("state") == before) & (F.col("state") != 0) & (F.col("frame_idx") % every == 0))
 
 
+#: The features of one frame, in the order in which boards send them.
+NAMES = ("doppler", "doppler_up", "doppler_down", "range_bins", "n_detections", "azimuth", "elevation", "correlation", "azimuth_spread", "elevation_spread")
+ANGLE_COLUMNS = ("azimuth", "elevation", "azimuth_spread", "elevation_spread")
+#: The features that the network reads, in its order.
+NETWORK_ORDER = ("doppler", "azimuth", "elevation", "n_detections", "range_bins", "correlation")
+
+
+def features_of(mode: str, board: DataFrame | None = None, points: DataFrame | None = None, heatmap: DataFrame | None = None) -> DataFrame:
+    """the ten features of each frame by mode. `onchip` and `onchip_features` take those that the board sent (frames without
+    are not there), `points` those of the point cloud; `heatmap` takes the map's, with the angles of the point cloud, as a map
+    has no phase (zero where the frame has no points). The host's correlation is over the mode's own azimuth and Doppler."""
+    if mode in ("onchip", "onchip_features"):
+        return board.select(*FRAME, *NAMES)
+    if mode == "points":
+        f = points.select(*FRAME, *(c for c in NAMES if c != "correlation"))
+    elif mode == "heatmap":
+        f = heatmap.select(*FRAME, *(c for c in NAMES[:5])).join(points.select(*FRAME, *ANGLE_COLUMNS), FRAME, "left").na.fill(0.0, list(ANGLE_COLUMNS))
+    else:
+        raise ValueError(f"mode must be onchip, onchip_features, points or heatmap, not {mode}")
+    return correlation(f).select(*FRAME, *NAMES)
+
+
+def recognise(mode: str, features: DataFrame, layers=None, means=None, sds=None, board_probs: DataFrame | None = None, thresholds=PROBABILITY, votes=VOTES, warm_up: bool = True) -> DataFrame:
+    """decisions of each frame by mode. `onchip` decides on the board's probabilities; the other modes window, normalise and
+    score the features here. With `warm_up` only frames with a full window reach the decision stage: before, the state is 0."""
+    if mode == "onchip":
+        scored = features.select(*FRAME).join(board_probs.select(*FRAME, "probs"), FRAME).withColumn("ready", F.lit(True))
+    else:
+        scored = score(windows(features, list(NETWORK_ORDER), means, sds), layers)
+    fed = scored.where("ready") if warm_up else scored
+    told = debounce(fed, thresholds, votes).select(*FRAME, "state", "fired")
+    return scored.join(told, FRAME, "left").select(*FRAME, "ready", "probs", F.coalesce("state", F.lit(0)).alias("state"), F.coalesce("fired", F.lit(False)).alias("fired"))
+
+
 def event_counts(states: DataFrame) -> DataFrame:
     """events of each class."""
     return states.where("fired").groupBy("state").agg(F.count("*").alias("n"))

@@ -26,11 +26,14 @@ def velocity_axis(bins: int, spacing: float) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: (i - bins // 2) * spacing)
 
 
-def axes(spark, range_bins: int, range_spacing: float, bias: float, velocity_bins: int, velocity_spacing: float) -> DataFrame:
-    one = spark.range(1)
-    r = one.select(F.lit("range").alias("axis"), F.posexplode(range_axis(range_bins, range_spacing, bias)).alias("bin", "value"))
-    v = one.select(F.lit("velocity").alias("axis"), F.posexplode(velocity_axis(velocity_bins, velocity_spacing)).alias("bin", "value"))
-    return r.unionByName(v)
+def axes(configs: DataFrame) -> DataFrame:
+    """Both axes of every configuration (cfg_id, range_bins, range_spacing, range_bias, velocity_bins, velocity_spacing):
+    (cfg_id, axis, bin, value). A bias is taken off dense axes, never off points."""
+    bins = lambda n: F.sequence(F.lit(0), F.col(n).cast("int") - 1)
+    ranges = F.transform(bins("range_bins"), lambda i: F.greatest(i * F.col("range_spacing") - F.col("range_bias"), F.lit(0.0)))
+    velocities = F.transform(bins("velocity_bins"), lambda i: (i - F.floor(F.col("velocity_bins") / 2)) * F.col("velocity_spacing"))
+    each = F.explode(F.array(F.struct(F.lit("range").alias("axis"), ranges.alias("v")), F.struct(F.lit("velocity").alias("axis"), velocities.alias("v")))).alias("e")
+    return configs.select("cfg_id", each).select("cfg_id", "e.axis", F.posexplode("e.v").alias("bin", "value"))
 
 
 def true_resolution(configs: DataFrame) -> DataFrame:
@@ -117,10 +120,10 @@ def display_limits(values: DataFrame, low: float = 0.35, high: float = 0.995) ->
     return values.groupBy("recording_id").agg(q.alias("q")).select("recording_id", F.coalesce(F.get("q", F.lit(0)), F.lit(0.0)).alias("low"), F.coalesce(F.get("q", F.lit(1)), F.lit(1.0)).alias("high"))
 
 
-def best_source(dense: DataFrame, profile: DataFrame, sparse: DataFrame, tiers: DataFrame) -> DataFrame:
-    """Each recording's map from its best payload: tier A the dense map, B the profile, else points."""
-    take = lambda df, source, keep: df.join(tiers.where(keep).select("recording_id"), "recording_id", "left_semi").withColumn("source", F.lit(source))
-    return take(dense, "rd", "tier = 'A'").unionByName(take(profile, "profile", "tier = 'B'")).unionByName(take(sparse, "points", "tier not in ('A', 'B')"))
+def best_source(dense: DataFrame, profile: DataFrame, sparse: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Each recording's map from its best payload, by the flags of A16: the dense map, else the profile, else points."""
+    take = lambda df, source, keep: df.join(payloads.where(keep).select("recording_id"), "recording_id", "left_semi").withColumn("source", F.lit(source))
+    return take(dense, "rd", "has_map").unionByName(take(profile, "profile", "has_profile and not has_map")).unionByName(take(sparse, "points", "not has_profile and not has_map"))
 
 
 def frame_pair(frames: DataFrame, frame: int, ranges: int, dopplers: int) -> DataFrame:

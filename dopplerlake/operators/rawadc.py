@@ -2,24 +2,91 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FRAME = ["recording_id", "frame_idx"]
 
 
-def remove_background(cells: DataFrame) -> DataFrame:
-    """Takes each sample's mean over the frames of its recording off."""
-    return cells.withColumn("val", F.col("val") - F.avg("val").over(Window.partitionBy("recording_id", "chirp", "sample")))
+@dataclass(frozen=True)
+class Cube:
+    """The samples of one frame, `adc`: chirp by chirp, in each all receivers, in each all samples (receiver and sample fastest).
+    Complex samples have their imaginary parts in a second column `adc_im`."""
+
+    chirps: int
+    receivers: int
+    samples: int
+
+    @property
+    def size(self) -> int:
+        return self.chirps * self.receivers * self.samples
+
+
+def _parts(frames: DataFrame) -> list[str]:
+    return [c for c in ("adc", "adc_im") if c in frames.columns]
+
+
+def mean_cubes(frames: DataFrame, cube: Cube) -> DataFrame:
+    """Mean frame of each recording (recording_id, mean_adc, ...): each task adds up whole frames, and only sums are shuffled.
+    A frame of another size is an error."""
+    parts = _parts(frames)
+    schema = T.StructType([T.StructField("recording_id", T.LongType()), T.StructField("n", T.LongType()), *(T.StructField(f"sum_{c}", T.ArrayType(T.DoubleType())) for c in parts)])
+
+    def rows(sums: dict) -> pa.RecordBatch:
+        made = [[None if v is None else v[1][k].tolist() for v in sums.values()] for k in range(len(parts))]
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([n for n, _ in sums.values()], pa.int64()), *(pa.array(m, pa.list_(pa.float64())) for m in made)], schema.fieldNames())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for b in batches:
+            data = [_matrix(b.column(c), cube) for c in parts]
+            recs = np.array(b.column("recording_id").to_pylist())
+            for rec in dict.fromkeys(recs.tolist()):
+                here = recs == rec
+                n, held = sums.get(rec, (0, [np.zeros(cube.size) for _ in parts]))
+                sums[rec] = (n + int(here.sum()), [h + x[here].sum(axis=0) for h, x in zip(held, data)])
+                if len(sums) * cube.size * 8 * len(parts) > 64 << 20:
+                    yield rows(sums)
+                    sums = {}
+        if sums:
+            yield rows(sums)
+
+    def merge(pdf: pa.Table) -> pa.Table:
+        n = pc.sum(pdf.column("n")).as_py()
+        means = [(_matrix(pdf.column(f"sum_{c}").combine_chunks(), cube).sum(axis=0) / n).tolist() for c in parts]
+        return pa.table([pdf.column("recording_id").slice(0, 1), pa.array([n], pa.int64()), *(pa.array([m], pa.list_(pa.float64())) for m in means)], names=schema.fieldNames())
+
+    partial = frames.select("recording_id", *parts).mapInArrow(run, schema)
+    return partial.groupBy("recording_id").applyInArrow(merge, schema).select("recording_id", *(F.col(f"sum_{c}").alias(f"mean_{c}") for c in parts))
+
+
+def remove_background(frames: DataFrame, background: DataFrame, pairs: DataFrame, cube: Cube) -> DataFrame:
+    """Takes the mean frame of another recording, an empty room, off each frame, sample by sample for every chirp and receiver.
+
+    `pairs` names the background of each recording (recording_id, background_id); recordings without one are not there. Where
+    the two have different numbers of frames, both count only as many as the shorter has, from their start.
+    """
+    n = lambda df, key, name: df.groupBy("recording_id").agg(F.count("*").alias(name)).withColumnRenamed("recording_id", key)
+    both = pairs.join(n(frames, "recording_id", "own"), "recording_id").join(n(background, "background_id", "other"), "background_id").select("recording_id", "background_id", F.least("own", "other").alias("kept"))
+    place = lambda df: df.withColumn("__i", F.row_number().over(Window.partitionBy("recording_id").orderBy("frame_idx")))
+    parts = _parts(frames)
+    rooms = place(background).withColumnRenamed("recording_id", "background_id").join(both, "background_id").where(F.col("__i") <= F.col("kept")).select("recording_id", "frame_idx", *parts)
+    walks = place(frames).join(both, "recording_id").where(F.col("__i") <= F.col("kept")).drop("__i", "kept", "background_id")
+    less = lambda c: F.zip_with(c, f"mean_{c}", lambda x, m: x - m).alias(c)
+    return walks.join(mean_cubes(rooms, cube), "recording_id").select(*(less(c) if c in parts else c for c in frames.columns))
 
 
 def frames_of(cells: DataFrame) -> DataFrame:
-    """Samples of a frame in one array, chirp by chirp."""
-    a = F.array_sort(F.collect_list(F.struct("chirp", "sample", "val")))
+    """Samples of a frame (chirp, rx, sample, val) in one array."""
+    a = F.array_sort(F.collect_list(F.struct("chirp", "rx", "sample", "val")))
     return cells.groupBy(*FRAME).agg(F.transform(a, lambda s: s["val"]).alias("adc"))
 
 
@@ -27,47 +94,72 @@ def _hann(n: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
 
 
-def _spectrum(adc: pd.Series, chirps: int, samples: int, size: int) -> np.ndarray:
-    x = np.stack(adc.to_numpy()).reshape(-1, chirps, samples)
-    return np.fft.rfft(x * _hann(samples), size, axis=2)
+def _matrix(column: pa.Array, cube: Cube) -> np.ndarray:
+    """Rows of a list column as a matrix (frames, samples of a cube); missing samples are zero."""
+    if len(column) and set(np.diff(column.offsets.to_numpy()).tolist()) != {cube.size}:
+        raise ValueError(f"a frame does not hold {cube.chirps} x {cube.receivers} x {cube.samples} samples")
+    return np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False)).reshape(-1, cube.size)
+
+
+def _spectra(batch: pa.RecordBatch, parts: list[str], cube: Cube, rx: int, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, range spectra (frames, chirps, size) of one receiver): periodic Hann, zero-padded to `size`; some frames at a time."""
+    step = max(1, (4 << 20) // (cube.chirps * size))
+    for at in range(0, batch.num_rows, step):
+        data = [_matrix(batch.column(c).slice(at, step), cube).reshape(-1, cube.chirps, cube.receivers, cube.samples)[:, :, rx] for c in parts]
+        x = data[0] if len(data) == 1 else data[0] + 1j * data[1]
+        yield at, np.fft.fft(x * _hann(cube.samples), size, axis=2)
+
+
+def _doppler(column: np.ndarray, size: int) -> np.ndarray:
+    return np.abs(np.fft.fftshift(np.fft.fft(column * _hann(column.shape[1]), size, axis=1), axes=1))
+
+
+def _kernel(frames: DataFrame, cube: Cube, rx: int, size: int, columns: list[str], made) -> DataFrame:
+    """(frame, bin, value): `made(spectra, extra columns)` gives one array a frame."""
+    parts = _parts(frames)
+    if not 0 <= rx < cube.receivers:
+        raise ValueError(f"receiver {rx} of {cube.receivers}")
+    keys = [*FRAME]
+    schema = T.StructType([*(frames.schema[k] for k in keys), T.StructField("v", T.ArrayType(T.DoubleType()))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, s in _spectra(b, parts, cube, rx, size):
+                v = made(s, *(b.column(c).slice(at, len(s)).to_numpy(zero_copy_only=False) for c in columns))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(np.ascontiguousarray(v).ravel()))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, len(s)) for k in keys), flat], [*keys, "v"])
 
-def range_time(frames: DataFrame, chirps: int, samples: int, size: int = 16) -> DataFrame:
-    """R2: range transform (periodic Hann, zero-padded to `size`) and mean magnitude over chirps: one array a frame, exploded."""
+    return frames.select(*keys, *parts, *columns).mapInArrow(run, schema).select(*keys, F.posexplode("v").alias("bin", "value"))
 
-    @F.pandas_udf("array<double>")
-    def kernel(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for adc in batches:
-            yield pd.Series(list(np.abs(_spectrum(adc, chirps, samples, size)).mean(axis=1)))
 
-    return frames.select(*FRAME, F.posexplode(kernel("adc")).alias("bin", "value"))
+def range_time(frames: DataFrame, cube: Cube, rx: int = 0, size: int = 1024) -> DataFrame:
+    """R2: range transform of one receiver and its mean magnitude over chirps."""
+    return _kernel(frames, cube, rx, size, [], lambda s: np.abs(s).mean(axis=1))
 
 
-def velocity_time(frames: DataFrame, chirps: int, samples: int, size: int = 16, first: int = 0, last: int | None = None) -> DataFrame:
-    """Doppler spectrum at the strongest range bin of first..last of each frame."""
+def velocity_time(frames: DataFrame, cube: Cube, rx: int = 0, size: int = 1024, first: int = 0, last: int | None = None, dopplers: int | None = None) -> DataFrame:
+    """Doppler spectrum at the strongest range bin of first..last of each frame (ties: the nearer), over `dopplers` bins."""
 
-    @F.pandas_udf("array<double>")
-    def kernel(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for adc in batches:
-            s = _spectrum(adc, chirps, samples, size)[:, :, first : None if last is None else last + 1]
-            at = np.round(np.abs(s).mean(axis=1), 9).argmax(axis=1)
-            column = np.take_along_axis(s, at[:, None, None], axis=2)[:, :, 0]
-            yield pd.Series(list(np.abs(np.fft.fftshift(np.fft.fft(column * _hann(chirps), axis=1), axes=1))))
+    def made(s: np.ndarray) -> np.ndarray:
+        gate = s[:, :, first : None if last is None else last + 1]
+        at = np.round(np.abs(gate).mean(axis=1), 9).argmax(axis=1)
+        return _doppler(np.take_along_axis(gate, at[:, None, None], axis=2)[:, :, 0], dopplers or cube.chirps)
 
-    return frames.select(*FRAME, F.posexplode(kernel("adc")).alias("bin", "value"))
+    return _kernel(frames, cube, rx, size, [], made)
 
 
-def velocity_time_following(frames: DataFrame, tracks: DataFrame, chirps: int, samples: int, spacing: float, size: int = 16, width: float = 0.25) -> DataFrame:
-    """Doppler spectrum of the coherent sum of the range bins within `width` of the track of the frame."""
+def velocity_time_following(frames: DataFrame, tracks: DataFrame, cube: Cube, spacing: float, rx: int = 0, size: int = 1024, width: float = 0.25, dopplers: int | None = None) -> DataFrame:
+    """Doppler spectrum of the coherent sum of the range bins around the track of each frame: the bin nearest to it and
+    `width` / `spacing` (rounded, at least one) to either side, inside the axis. Frames without a track are not there."""
     rows = frames.join(tracks.where("range_m is not null").select(*FRAME, "range_m"), FRAME)
+    half = max(1, math.floor(width / spacing + 0.5))
 
-    @F.pandas_udf("array<double>")
-    def kernel(adc: pd.Series, at: pd.Series) -> pd.Series:
-        s = _spectrum(adc, chirps, samples, size)
-        near = np.abs(np.arange(s.shape[2])[None, :] * spacing - at.to_numpy()[:, None]) <= width
-        return pd.Series(list(np.abs(np.fft.fftshift(np.fft.fft((s * near[:, None, :]).sum(axis=2) * _hann(chirps), axis=1), axes=1))))
+    def made(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+        nearest = np.abs(np.arange(size)[None, :] * spacing - at[:, None]).argmin(axis=1)
+        near = np.abs(np.arange(size)[None, :] - nearest[:, None]) <= half
+        return _doppler((s * near[:, None, :]).sum(axis=2), dopplers or cube.chirps)
 
-    return rows.select(*FRAME, F.posexplode(kernel("adc", "range_m")).alias("bin", "value"))
+    return _kernel(rows, cube, rx, size, ["range_m"], made)
 
 
 def processing(stats: DataFrame, at_risk: float = 1.0) -> DataFrame:

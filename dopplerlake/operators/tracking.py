@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dopplerlake.functions.scalars import amplitude, range_of
+from dopplerlake.streaming.apps import tracker
+from dopplerlake.streaming.fold import run_batch
 
 R, FRAME = "recording_id", ["recording_id", "frame_idx"]
 
@@ -121,39 +123,25 @@ def track_maps(candidates: DataFrame, spine: DataFrame, targets: int = 1, jump:
     return in_order(rows, "range_m", make, TRACK)
 
 
-def strongest_candidates(points: DataFrame, slowest: float | None = None, per_frame: int = 8) -> DataFrame:
-    """The strongest points of each frame by weight 10^(SNR/20), with an optional speed floor."""
+def strongest_candidates(points: DataFrame, targets: int = 1, slowest: float | None = None, apart: float = 0.4) -> DataFrame:
+    """Up to `targets` ranges of each frame's strongest points by weight 10^(SNR/20) (ties: wire order), each at least
+    `apart` from those before it, in that order; with an optional speed floor. All points of a frame stand to choose."""
     p = points if slowest is None else points.where(F.abs("v") >= slowest)
-    p = p.select(*FRAME, "point_idx", range_of().alias("range_m"), amplitude(F.col("snr_db")).alias("weight"))
-    w = Window.partitionBy(*FRAME).orderBy(F.desc("weight"), "point_idx")
-    return p.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_frame)
-
-
-def track_points(candidates: DataFrame, spine: DataFrame, jump: float = 0.6, hold: int = 10) -> DataFrame:
-    """One target: strongest candidate within `jump` of the last; re-seeded only when no track is alive; deleted after
-    `hold` misses with candidates present, never in frames without any."""
-    rows = spine.select(*FRAME).join(candidates.select(*FRAME, "range_m", "weight", "place"), FRAME, "left")
-
-    def make():
-        last, missed = None, 0
-
-        def step(g: dict[str, np.ndarray]) -> list[tuple]:
-            nonlocal last, missed
-            found = g["range_m"][~np.isnan(g["range_m"])]
-            if not len(found):
-                return [(0, None, last is not None)]
-            near = found if last is None else found[np.abs(found - last) <= jump]
-            if len(near):
-                last, missed = float(near[0]), 0
-                return [(0, last, False)]
-            missed += 1
-            if missed > hold:
-                last, missed = None, 0
-            return [(0, None, last is not None)]
+    found = F.struct(amplitude(F.col("snr_db")).alias("weight"), (-F.col("point_idx")).alias("order"), range_of().alias("range_m"))
+    a = p.groupBy(*FRAME).agg(F.collect_list(found).alias("left")).withColumn("ranges", F.array().cast("array<double>"))
+    for _ in range(targets):
+        a = a.withColumn("top", F.array_max("left")["range_m"])
+        a = a.select(
+            *FRAME, F.when(F.col("top").isNull(), F.col("left")).otherwise(F.filter("left", lambda q: F.abs(q["range_m"] - F.col("top")) >= apart)).alias("left"),
+            F.when(F.col("top").isNull(), F.col("ranges")).otherwise(F.array_append("ranges", F.col("top"))).alias("ranges"),
+        )
+    return a.select(*FRAME, "ranges")
 
-        return step
 
-    return in_order(rows, "place", make, TRACK)
+def track_points(candidates: DataFrame, spine: DataFrame, targets: int = 1, jump: float = 0.6, hold: int = 10) -> DataFrame:
+    """The tracker over the candidates (`ranges`) of every frame of the spine: range (measured, or held and then `coasted`)
+    of each target."""
+    return run_batch(tracker(targets, jump, hold), spine.select(*FRAME).join(candidates.select(*FRAME, "ranges"), FRAME, "left"))
 
 
 def fill_track(tracks: DataFrame, edge: str = "clamp") -> DataFrame:
@@ -174,29 +162,48 @@ def fill_track(tracks: DataFrame, edge: str = "clamp") -> DataFrame:
     return tracks.withColumn("filled_m", value).withColumn("interpolated", F.col("range_m").isNull() & F.col("filled_m").isNotNull())
 
 
+def two_means(xyz: np.ndarray) -> np.ndarray:
+    """Centres of two clusters: from the farthest pair of points, by means until no point changes sides (ties to the second)."""
+    d = np.sqrt(((xyz[:, None, :] - xyz[None, :, :]) ** 2).sum(axis=2))
+    i, j = np.unravel_index(np.argmax(d), d.shape)
+    centres, side = xyz[[i, j]], None
+    while True:
+        near = np.linalg.norm(xyz - centres[0], axis=1) < np.linalg.norm(xyz - centres[1], axis=1)
+        if side is not None and (near == side).all() or near.all() or not near.any():
+            return centres
+        centres, side = np.stack([xyz[near].mean(axis=0), xyz[~near].mean(axis=0)]), near
+
+
 def separate_two(points: DataFrame, gate: float = 0.75, apart: float = 0.5, drop: int = 10) -> DataFrame:
-    """Splits points between two moving centroids: seeded by the farthest pair of a frame (at least `apart`), nearest
-    centroid within `gate`, forgotten after `drop` frames without points. Points of neither person: person -1."""
-    rows = points.select(*FRAME, "point_idx", "x", "y")
+    """Splits points between two moving centroids in space: the nearest one within `gate`, ties to the second; a centroid is
+    the mean of its points of the last frame that had any, and is forgotten after more than `drop` frames of points without its own.
+
+    While either centroid is missing, a frame of two or more points seeds both by its two clusters if their centres are more
+    than `apart` from each other; points of such a frame, and points of neither person, are of person -1.
+    """
+    rows = points.select(*FRAME, "point_idx", "x", "y", "z")
 
     def make():
         centres, missed = [None, None], [0, 0]
 
         def step(g: dict[str, np.ndarray]) -> list[tuple]:
-            xy = np.stack([g["x"], g["y"]], axis=1)
-            if centres[0] is None and centres[1] is None and len(xy) >= 2:
-                d = np.hypot(*(xy[:, None, :] - xy[None, :, :]).transpose(2, 0, 1))
-                i, j = np.unravel_index(np.argmax(d), d.shape)
-                if d[i, j] >= apart:
-                    centres[:], missed[:] = [xy[i], xy[j]], [0, 0]
-            cost = np.stack([np.full(len(xy), np.inf) if c is None else np.hypot(*(xy - c).T) for c in centres])
-            who = np.where(cost.min(axis=0) <= gate, cost.argmin(axis=0), -1)
-            for k in (0, 1):
-                mine = xy[who == k]
-                if len(mine):
-                    centres[k], missed[k] = mine.mean(axis=0), 0
-                elif centres[k] is not None:
-                    missed[k] += 1
+            xyz = np.stack([g["x"], g["y"], g["z"]], axis=1)
+            who = np.full(len(xyz), -1)
+            if centres[0] is None or centres[1] is None:
+                if len(xyz) >= 2:
+                    a, b = two_means(xyz)
+                    if np.linalg.norm(a - b) > apart:
+                        centres[:] = [a, b]
+            else:
+                first, second = (np.linalg.norm(xyz - c, axis=1) for c in centres)
+                who[(first < second) & (first < gate)] = 0
+                who[(second <= first) & (second < gate)] = 1
+                for k in (0, 1):
+                    mine = xyz[who == k]
+                    if len(mine):
+                        centres[k], missed[k] = mine.mean(axis=0), 0
+                    else:
+                        missed[k] += 1
                     if missed[k] > drop:
                         centres[k] = None
             return list(zip(g["point_idx"].tolist(), who.tolist()))

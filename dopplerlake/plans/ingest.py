@@ -6,40 +6,32 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dopplerlake.functions.scalars import rounded
+from dopplerlake.operators import gait as g_
 from dopplerlake.operators import gesture as g
 from dopplerlake.operators import maps as m
 from dopplerlake.operators import points as p
 from dopplerlake.operators import tracking as t
 from dopplerlake.plans.gestures import EASY, FEW, STATES, _features, _probs
-from dopplerlake.plans.series import FOLLOW_POINTS
+from dopplerlake.plans.series import FOLLOW_TWO, WALK
 from dopplerlake.plans.session import shared_folder
 from dopplerlake.sources import captures as c
+from dopplerlake.sources import fixture_captures as fc
 from dopplerlake.sources import fixtures as fx
 from dopplerlake.sources.fixtures import sql
+from dopplerlake.sources.wire import MAGIC
+from dopplerlake.streaming import apps
 from dopplerlake.streaming import stateful as st
+from dopplerlake.streaming.fold import run_stream, staged
 
 FRAME = ["recording_id", "frame_idx"]
 
 
 def _packets(s, d):
-    return c.encode(p.nest(fx.points(s, d)))
+    return fc.encode(p.nest(fx.points(s, d)))
 
 
-def _captures(s, d):
-    return c.as_captures(_packets(s, d))
-
-
-def _lines(s, d):
-    """Five command lines a configuration, from the part table."""
-    k = F.col("p_partkey")
-    text = lambda *x: F.concat_ws(" ", *(y if not isinstance(y, str) else F.lit(y) for y in x))
-    num = lambda x: x.cast("string")
-    lines = F.array(
-        F.lit("% made from a table"), text("channelCfg", "15", num(k % 7 + 1), "0"), text("profileCfg", "0", num(k % 4 + 60), num(k % 50 + 7), "3", num(k % 30 + 24), "0", "0", F.concat(num(k % 60 + 20), F.lit(".013")), "1", num(k % 200 + 65), num(k % 5000 + 2000), "0", "0", "30"),
-        text("chirpCfg", "0", "0", "0", "0", "0", "0", "0", "1"), text("chirpCfg", "1", "1", "0", "0", "0", "0", "0", F.when(k % 2 == 0, "4").otherwise("2")), F.when(k % 3 == 0, "chirpCfg 2 2 0 0 0 0 0 6").otherwise("chirpCfg 2 two"),
-        text("frameCfg", "0", "2", num(k % 64 + 16), "0", num(k % 90 + 10), "1", "0", "% trigger"), text("calibDcRangeSig", "-1", "0"),
-    )
-    return fx.table(s, d, "part").select(k.alias("cfg_id"), F.posexplode(lines).alias("line_no", "line"))
+def _pieces(s, d, size=1 << 16):
+    return fc.as_pieces(_packets(s, d), size)
 
 
 def _monitor(s, d):
@@ -61,18 +53,14 @@ def _stream(s, d, name):
     return s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d}/{name}.parq*")
 
 
-def _staged(s, df, name):
-    """A table as a stream source: written to the shared folder, read back as a stream."""
-    path = f"{shared_folder(s)}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return s.readStream.schema(df.schema).parquet(path)
+def _staged(s, df, order, name, **k):
+    """A table as a stream source: written to the shared folder in several pieces, read back over several micro-batches."""
+    return staged(df, order, f"{shared_folder(s)}/{_unique(name)}", **k)
 
 
 def _chunks(s, d):
-    """Captures in chunks of 1000 bytes."""
-    n = F.ceil(F.octet_length("content") / 1000).cast("int")
-    cut = _captures(s, d).select("recording_id", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
-    return cut.select("recording_id", F.col("seq").cast("long").alias("seq"), F.expr("substring(content, seq * 1000 + 1, 1000)").alias("bytes"))
+    """Captures in chunks of 1000 bytes, ten a second."""
+    return _pieces(s, d, 1000).withColumn("ts", 100 + F.col("seq") / 10)
 
 
 def _unique(name):
@@ -81,20 +69,58 @@ def _unique(name):
     return f"{name}-{uuid.uuid4().hex}"
 
 
-def _candidates(s, d):
-    a = t.strongest_candidates(fx.points(s, d), 0.15).groupBy(*FRAME).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "range_m"))), lambda x: x["range_m"]).alias("ranges"))
-    return fx.frame_spine(s, d).select(*FRAME).join(a, FRAME, "left")
+def _candidates(s, d, targets=1):
+    return fx.frame_spine(s, d).select(*FRAME).join(t.strongest_candidates(fx.points(s, d), targets, 0.15), FRAME, "left")
+
+
+def _walks(s, d):
+    return g_.smooth(fx.envelope(s, d)).select(*FRAME, "t", "v")
 
 
 def _damaged(s, d):
     """Captures that begin in a packet, hold a magic word without a packet behind it, and end in a packet."""
-    head, tail = bytes([7]) * 13 + c.MAGIC + bytes(40), c.MAGIC + bytes(4) + (64).to_bytes(4, "little") + bytes(34)
-    return _captures(s, d).select("recording_id", F.concat(F.lit(head), "content", F.lit(tail)).alias("content"))
+    head, tail = bytes([7]) * 13 + MAGIC + bytes(40), MAGIC + bytes(4) + (64).to_bytes(4, "little") + bytes(34)
+    return fc.as_pieces(_packets(s, d), 1 << 12, head, tail)
+
+
+def _index(s, d, part):
+    """L2: the captures as a stream of chunks into raw packets and their index."""
+    folder = f"{shared_folder(s)}/{_unique('pair')}"
+    return st.dual_sink(st.reassemble(_staged(s, _chunks(s, d), "seq", "chunks")), folder)[part]
+
+
+def _reports(s, d):
+    """What recordings report: sign-ups without bytes, and errors of the reader."""
+    e = fx.table(s, d, "events")
+    kind = F.col("event_type")
+    return e.select(F.col("user_id").alias("recording_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(kind.isin("signup", "error"), 0).otherwise(F.ceil("value")).cast("long").alias("n_bytes"), (kind == "error").alias("failed"))
+
+
+#: Seconds of silence in the query; reports are hours apart.
+SILENCE = 20 * 3600
+
+
+def _health(s, d):
+    told = st.health(_staged(s, _reports(s, d).withColumn("at", F.unix_micros("ts").cast("double")), "at", "reports", key=None), SILENCE)
+    return st.replay(told, shared_folder(s))
+
+
+def _counters(s, d):
+    """The counts as they stand after each micro-batch of a stream of frames, the last of them."""
+    folder = f"{shared_folder(s)}/{_unique('counters')}"
+    frames = _staged(s, fx.audit_frames(s, d).select(*FRAME, "num_points", "skipped_before"), "frame_idx", "frames")
+    return st.latest_counters(st.running_counters(frames, folder))
+
+
+def _axes(s, d):
+    """Axes of the configurations; the bias of the range axis is a centimetre for each unit of the id."""
+    cfg = c.parse_configs(fc.config_lines(s, d)).withColumns({"range_bias": F.col("cfg_id") % 10 * 0.01, "velocity_bins": F.col("loops").cast("long")})
+    return m.axes(cfg)
 
 
 def _payloads(s, d):
     """Every payload type but points, encoded into packets, told apart again and decoded: one row a number."""
-    packets = c.encode_dense(fx.dense_frames(s, d))
+    packets = fc.encode_dense(fx.dense_frames(s, d))
     kinds = (2, 3, 4, 5, 6, 8, 9, 1050, 1051)
     p = c.decode(c.shred(packets), kinds, {2: 64, 3: 64, 4: 32, 5: 60, 8: 32})
     plain = lambda name: F.transform(name, lambda x: x.cast("double"))
@@ -114,7 +140,7 @@ def _sessions(s, d):
 
 
 def _decoded(s, d):
-    return p.flatten(c.decode(c.shred(c.cut(_captures(s, d)))))
+    return p.flatten(c.decode(c.shred(c.cut(_pieces(s, d)))))
 
 
 def _manifest(s, d):
@@ -123,13 +149,13 @@ def _manifest(s, d):
 
 
 QUERIES = {
-    "s01_packets": lambda s, d: c.cut(_captures(s, d)).select(*FRAME, "byte_offset", "skipped_before", F.octet_length("packet").cast("long").alias("length")),
+    "s01_packets": lambda s, d: c.cut(_pieces(s, d)).select(*FRAME, "byte_offset", "skipped_before", F.octet_length("packet").cast("long").alias("length")),
     "s02_points_decoded": _decoded,
     "s02_payloads": _payloads,
     "a01_bytes": lambda s, d: c.accounting(_damaged(s, d)),
     "f21_sessions": _sessions,
-    "s03_header": lambda s, d: c.header(c.cut(_captures(s, d))).select(*FRAME, "frame_number", "num_obj", "num_tlvs", "sdk", "device"),
-    "s04_configs": lambda s, d: c.parse_configs(_lines(s, d)).select(
+    "s03_header": lambda s, d: c.header(c.cut(_pieces(s, d))).select(*FRAME, "frame_number", "num_obj", "num_tlvs", "sdk", "device"),
+    "s04_configs": lambda s, d: c.parse_configs(fc.config_lines(s, d)).select(
         "cfg_id", "n_tx", "n_virtual", "range_bins", "loops", "start_actual", "slope_actual", "centre_ghz", "range_spacing", "max_velocity", "velocity_spacing", "fps", "log_to_linear", "bins_per_db",
         "compensation", "compensation_db", F.array_join(F.transform("slots", lambda x: x.cast("string")), ",").alias("slots"), F.array_join("unread", ",").alias("unread"), F.array_join("warnings", ",").alias("warnings"),
     ),
@@ -139,13 +165,17 @@ QUERIES = {
     "s08_background_runs": lambda s, d: c.background_runs(c.find_runs(_files(s, d), ["default.cfg"])),
     "s09_manifest": _manifest,
     "s10_in_order": lambda s, d: c.in_order([fx.frame_spine(s, d).where("frame_idx < 50"), fx.frame_spine(s, d).where("frame_idx >= 50")]).select(*FRAME, "part"),
-    "l01_reassemble": lambda s, d: st.replay(st.reassemble(_staged(s, _chunks(s, d), _unique("chunks"))), shared_folder(s)),
+    "m13_axes": _axes,
+    "l01_reassemble": lambda s, d: st.replay(st.reassemble(_staged(s, _chunks(s, d), "seq", "chunks")), shared_folder(s)).drop("packet"),
+    "l02_raw": lambda s, d: _index(s, d, 0).select(*FRAME, "byte_offset", F.octet_length("packet").cast("long").alias("length")),
+    "l02_index": lambda s, d: _index(s, d, 1).withColumns({"tlvs": F.array_join(F.col("tlvs").cast("array<string>"), ","), "anom": F.array_join("anom", "; ")}),
     "l03_stream_gate": lambda s, d: st.replay(_stream(s, d, "lineitem").where("l_quantity >= 25").select(F.col("l_suppkey").alias("recording_id"), (F.col("l_partkey") % 100).alias("frame_idx"), "l_quantity"), shared_folder(s)),
-    "l04_decisions": lambda s, d: st.replay(st.online_decisions(_staged(s, _probs(s, d), _unique("probs")), EASY, FEW), shared_folder(s)),
-    "l04_correlation": lambda s, d: st.replay(st.online_correlation(_staged(s, _features(s, d).select(*FRAME, F.col("f5").alias("azimuth"), F.col("f0").alias("doppler")), _unique("features"))), shared_folder(s)),
-    "l05_health": lambda s, d: st.health(fx.table(s, d, "events").groupBy(F.col("user_id").alias("recording_id")).agg(F.min(F.unix_timestamp("ts")).alias("started"), F.max(F.unix_timestamp("ts")).alias("last_seen")).withColumn("now", F.max("last_seen").over(Window.partitionBy(F.pmod("recording_id", F.lit(10)))))),
-    "l06_counters": lambda s, d: st.counters(fx.audit_frames(s, d)),
-    "l07_track": lambda s, d: st.replay(st.online_track(_staged(s, _candidates(s, d), _unique("candidates"))), shared_folder(s)),
+    "l03_walking": lambda s, d: st.replay(run_stream(apps.walking(), _staged(s, _walks(s, d), "frame_idx", "walks")), shared_folder(s)),
+    "l04_decisions": lambda s, d: st.replay(st.online_decisions(_staged(s, _probs(s, d), "frame_idx", "probs"), EASY, FEW), shared_folder(s)),
+    "l04_correlation": lambda s, d: st.replay(st.online_correlation(_staged(s, _features(s, d).select(*FRAME, F.col("f5").alias("azimuth"), F.col("f0").alias("doppler")), "frame_idx", "features")), shared_folder(s)),
+    "l05_health": _health,
+    "l06_counters": _counters,
+    "l07_track": lambda s, d: st.replay(st.online_track(_staged(s, _candidates(s, d, 2), "frame_idx", "candidates"), 2), shared_folder(s)),
 }
 QUERIES = {k: (lambda s, d, f=f: rounded(f(s, d))) for k, f in QUERIES.items()}
 
@@ -157,6 +187,12 @@ PACKETS = "SELECT recording_id, i AS frame_idx, byte_offset, CAST(gap AS BIGINT)
 FILES = ", fl AS (SELECT '/data/site' || (o_custkey % 50) || CASE WHEN o_orderkey % 9 = 0 THEN '/empty_room_' ELSE '/run_' END || o_orderkey AS dir, CAST(epoch(o_orderdate) AS BIGINT) AS modified_at, o_orderkey AS o FROM orders)\n"
 _files_sql = lambda body: "WITH " + FILES[2:] + body
 _K = "p_partkey"
+CONFIGS = """WITH a AS (
+      SELECT p_partkey AS k, bit_count(p_partkey % 7 + 1) AS tx, pow(2, ceil(log2(p_partkey % 200 + 65))) AS bins, p_partkey % 200 + 65 AS samples, p_partkey % 5000 + 2000 AS ksps, p_partkey % 64 + 16 AS loops,
+        (p_partkey % 50 + 7 + p_partkey % 30 + 24) * 1e-6 AS chirp, 2.7e0 / 67108864 AS unit, p_partkey % 4 + 60 AS start_ghz, CAST((p_partkey % 60 + 20) || '.013' AS DOUBLE) AS slope FROM part),
+    b AS (SELECT *, floor(start_ghz / unit) * unit AS start_actual, floor(slope / unit) * unit AS slope_actual FROM a),
+    c AS (SELECT *, start_actual + 0.5e0 * slope_actual * samples / ksps + slope_actual * 3 * 1e-8 AS centre FROM b)
+"""
 SQL = {
     "s01_packets": sql(SIZES + PACKETS, "points"),
     "s02_points_decoded": sql(SIZES + """SELECT p.recording_id, i AS frame_idx, point_idx, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z, CAST(v AS FLOAT) AS v, round(round_even(coalesce(snr_db, 0) * 10, 0) / 10, 6) + 0.0 AS snr_db, round(round_even(coalesce(noise_db, 0) * 10, 0) / 10, 6) + 0.0 AS noise_db
@@ -173,16 +209,11 @@ SQL = {
         UNION ALL SELECT recording_id, frame_idx, 1051, pos - 10, CAST(CAST(val AS FLOAT) AS DOUBLE) FROM ce WHERE pos BETWEEN 10 AND 19)
       SELECT recording_id, frame_idx, 'range_doppler_size_mismatch (expected 60, got 64)' AS anomalies, CAST(tlv AS INT) AS tlv, CAST(pos AS INT) AS pos, round(value, 6) + 0.0 AS value FROM al""", "emb_cells"),
     "a01_bytes": sql(SIZES + """SELECT recording_id, CAST(sum(length + gap) + 13 + 48 + 50 AS BIGINT) AS bytes_total, CAST(sum(length) AS BIGINT) AS bytes_in_frames, CAST(sum(gap) + 61 AS BIGINT) AS bytes_skipped, CAST(50 AS BIGINT) AS truncated_tail,
-      CAST(13 AS BIGINT) AS leading_partial, count(*) FILTER (gap > 0 AND i > 0) + 1 AS resyncs, CAST(1 AS BIGINT) AS false_magics, count(*) FILTER (length > 56 + n * 20) AS padded_frames, CAST(sum(length - 56 - n * 20) AS BIGINT) AS padding_bytes FROM po GROUP BY 1""", "points"),
+      CAST(13 AS BIGINT) AS leading_partial, count(*) FILTER (gap > 0 AND i > 0) + 1 AS resyncs, CAST(1 AS BIGINT) AS false_magics, count(*) FILTER (length > 56 + n * 20) AS padded_frames, CAST(sum(length - 56 - n * 20) AS BIGINT) AS padding_bytes, CAST(0 AS BIGINT) AS anomalous_frames FROM po GROUP BY 1""", "points"),
     "f21_sessions": sql(""", ft AS (SELECT recording_id, frame_idx, max(feature) FILTER (k = 0) AS f0, max(feature) FILTER (k = 9) AS f9 FROM gesture_cells GROUP BY 1, 2)
       SELECT recording_id, frame_idx, CAST(recording_id % 10 AS INT) AS label, round((frame_idx - min(frame_idx) OVER (PARTITION BY recording_id)) * 0.035e0, 6) + 0.0 AS t, round(f0, 6) + 0.0 AS f0, round(f9, 6) + 0.0 AS f9 FROM ft WHERE recording_id % 10 IN (1, 4, 7)""", "gesture_cells"),
     "s03_header": sql(SIZES + "SELECT recording_id, i AS frame_idx, frame_idx AS frame_number, n AS num_obj, CAST(2 AS BIGINT) AS num_tlvs, '3.6.0.0' AS sdk, 'xWR6843' AS device FROM po", "points"),
-    "s04_configs": """WITH a AS (
-      SELECT p_partkey AS k, bit_count(p_partkey % 7 + 1) AS tx, pow(2, ceil(log2(p_partkey % 200 + 65))) AS bins, p_partkey % 200 + 65 AS samples, p_partkey % 5000 + 2000 AS ksps, p_partkey % 64 + 16 AS loops,
-        (p_partkey % 50 + 7 + p_partkey % 30 + 24) * 1e-6 AS chirp, 2.7e0 / 67108864 AS unit, p_partkey % 4 + 60 AS start_ghz, CAST((p_partkey % 60 + 20) || '.013' AS DOUBLE) AS slope FROM part),
-    b AS (SELECT *, floor(start_ghz / unit) * unit AS start_actual, floor(slope / unit) * unit AS slope_actual FROM a),
-    c AS (SELECT *, start_actual + 0.5e0 * slope_actual * samples / ksps + slope_actual * 3 * 1e-8 AS centre FROM b)
-    SELECT k AS cfg_id, CAST(tx AS BIGINT) AS n_tx, CAST(tx * 4 AS BIGINT) AS n_virtual, CAST(bins AS BIGINT) AS range_bins, CAST(loops AS DOUBLE) AS loops,
+    "s04_configs": CONFIGS + """    SELECT k AS cfg_id, CAST(tx AS BIGINT) AS n_tx, CAST(tx * 4 AS BIGINT) AS n_virtual, CAST(bins AS BIGINT) AS range_bins, CAST(loops AS DOUBLE) AS loops,
       round(start_actual, 6) AS start_actual, round(slope_actual, 6) AS slope_actual, round(centre, 6) AS centre_ghz,
       round(3e8 * ksps * 1e3 / (2 * slope_actual * 1e12 * bins), 6) AS range_spacing, round(3e8 / (4 * centre * 1e9 * chirp * tx), 6) AS max_velocity, round(3e8 / (2 * centre * 1e9 * chirp * tx * loops), 6) AS velocity_spacing,
       round(1000 / (k % 90 + 10), 6) AS fps, round(pow(2, ceil(log2(tx * 4))) / (tx * 4) / 256, 6) AS log_to_linear, round(20 * log10(2), 6) AS bins_per_db, round(32 / bins, 6) AS compensation, round(20 * log10(32 / bins), 6) + 0.0 AS compensation_db,
@@ -192,17 +223,33 @@ SQL = {
       CASE WHEN {_K} // 7 % 2 = 1 THEN 5 END, CASE WHEN {_K} // 11 % 2 = 1 THEN 6 END, CASE WHEN {_K} // 11 % 2 = 1 THEN 9 END) AS expected FROM part""",
     "s06_runs": _files_sql("SELECT dir, 'a.dat' AS dat, CASE WHEN o % 4 <> 0 THEN 'a.cfg' ELSE 'default.cfg' END AS cfg, o % 4 = 0 AS cfg_is_fallback FROM fl WHERE o % 13 <> 0"),
     "s07_latest": _files_sql("SELECT dir, modified_at, CASE WHEN o % 13 = 0 THEN 'b.dat' ELSE 'a.dat' END AS name FROM fl ORDER BY modified_at DESC, dir DESC LIMIT 1"),
-    "s08_background_runs": _files_sql(""", r AS (SELECT dir, regexp_extract(dir, '^(.*)/[^/]*$', 1) AS parent FROM fl WHERE o % 13 <> 0), e AS (SELECT parent, min(dir) AS background FROM r WHERE dir LIKE '%empty%' GROUP BY 1)
+    "s08_background_runs": _files_sql(""", r AS (SELECT dir, regexp_extract(dir, '^(.*)/[^/]*$', 1) AS parent, o % 4 <> 0 AS has_cfg FROM fl WHERE o % 13 <> 0), e AS (SELECT parent, min(dir) AS background FROM r WHERE regexp_extract(dir, '[^/]*$') LIKE '%empty%' AND has_cfg GROUP BY 1)
       SELECT dir, background FROM r LEFT JOIN e USING (parent) WHERE background IS NULL OR dir <> background"""),
     "s09_manifest": sql("SELECT recording_id, count(*) AS cells, 'C+' AS tier, 'points' AS provenance, recording_id % 4 AS bucket FROM (SELECT DISTINCT recording_id, frame_idx, least(greatest(round_even(sqrt(x * x + y * y + z * z) / 0.25e0, 0), 0), 63) AS bin FROM points) GROUP BY 1", "points"),
     "s10_in_order": sql("SELECT recording_id, frame_idx, CAST(CASE WHEN frame_idx < 50 THEN 0 ELSE 1 END AS BIGINT) AS part FROM frame_spine", "frame_spine"),
-    "l01_reassemble": sql(SIZES + PACKETS, "points"),
+    "l01_reassemble": sql(SIZES + "SELECT recording_id, i AS frame_idx, byte_offset, CAST(gap AS BIGINT) AS skipped_before, length, round(((byte_offset + length - 1) // 1000 - min((byte_offset + length - 1) // 1000) OVER (PARTITION BY recording_id)) / 10, 6) + 0.0 AS t FROM po", "points"),
+    "l02_raw": sql(SIZES + "SELECT recording_id, i AS frame_idx, byte_offset, length FROM po", "points"),
+    "l02_index": sql(SIZES + """SELECT recording_id, i AS frame_idx, round(((byte_offset + length - 1) // 1000 - min((byte_offset + length - 1) // 1000) OVER (PARTITION BY recording_id)) / 10, 6) + 0.0 AS t, frame_idx AS frame, CAST(0 AS BIGINT) AS sub,
+      CAST(frame_idx * 8000000 AS BIGINT) AS cycles, byte_offset AS off, n AS n_pts, '1,7' AS tlvs, CAST(NULL AS VARCHAR) AS anom FROM po""", "points"),
     "l03_stream_gate": "SELECT l_suppkey AS recording_id, l_partkey % 100 AS frame_idx, round(l_quantity, 6) AS l_quantity FROM lineitem WHERE l_quantity >= 25",
+    "l03_walking": sql(WALK + """, rows_ AS (SELECT s3.*, CASE WHEN st = 1 THEN (sum(CASE WHEN turn = 1 AND st = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY frame_idx)) END AS walk, CASE WHEN st = 1 THEN t - min(t) OVER (PARTITION BY recording_id, island) END AS seconds,
+        coalesce(v, 0) AS x, lag(coalesce(v, 0)) OVER w AS b, lag(coalesce(v, 0), 2) OVER w AS a, lag(st) OVER w AS was FROM s3 WINDOW w AS (PARTITION BY recording_id ORDER BY frame_idx))
+      SELECT recording_id, frame_idx, st = 1 AS walking, CAST(walk AS BIGINT) AS walk, round(seconds, 6) + 0.0 AS seconds, coalesce(was = 1 AND a < b AND b > x AND b >= 0.2, false) AS step_before FROM rows_""", "envelope"),
+    "m13_axes": CONFIGS + """, ax AS (SELECT k, 'range' AS axis, unnest(range(CAST(bins AS BIGINT))) AS bin, 3e8 * ksps * 1e3 / (2 * slope_actual * 1e12 * bins) AS w FROM c
+      UNION ALL SELECT k, 'velocity', unnest(range(loops)), 3e8 / (2 * centre * 1e9 * chirp * tx * loops) FROM c)
+    SELECT ax.k AS cfg_id, axis, CAST(bin AS INT) AS bin, round(CASE axis WHEN 'range' THEN greatest(bin * w - ax.k % 10 * 0.01e0, 0) ELSE (bin - loops // 2) * w END, 6) + 0.0 AS value FROM ax JOIN c ON c.k = ax.k""",
     "l04_decisions": sql(STATES + "SELECT recording_id, frame_idx, state, fired FROM ev", "gesture_cells"),
     "l04_correlation": sql(""", ft AS (SELECT recording_id, frame_idx, max(feature) FILTER (k = 5) AS f5, max(feature) FILTER (k = 0) AS f0 FROM gesture_cells GROUP BY 1, 2)
       SELECT recording_id, frame_idx, round(CASE WHEN count(*) OVER w < 20 THEN 0 ELSE coalesce(corr(f5, f0) OVER w, 0) END, 6) + 0.0 AS correlation FROM ft WINDOW w AS (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""", "gesture_cells"),
-    "l05_health": """WITH s AS (SELECT user_id AS recording_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS started, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_seen FROM events GROUP BY 1), n AS (SELECT *, max(last_seen) OVER (PARTITION BY recording_id % 10) AS now FROM s)
-      SELECT *, CASE WHEN now - last_seen > 3 THEN 'stopped' ELSE 'ok' END AS health FROM n""",
-    "l07_track": sql(FOLLOW_POINTS + "SELECT recording_id, frame_idx, round(range_m, 6) AS range_m, range_m IS NULL AND last IS NOT NULL AS coasted FROM walk WHERE i > 0", "points", "frame_spine").replace("WITH", "WITH RECURSIVE", 1),
+    "l05_health": f"""WITH RECURSIVE r AS (SELECT user_id AS recording_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms, event_type NOT IN ('signup', 'error') AND value > 0 AS b, event_type = 'error' AS f FROM events),
+    w AS (SELECT DISTINCT recording_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS deadline, 'new' AS st, false AS seen, CAST([] AS STRUCT(m BIGINT, h VARCHAR)[]) AS told FROM r
+      UNION ALL
+      SELECT recording_id, i, CASE WHEN b OR st1 = 'new' THEN ms + {SILENCE * 1000} ELSE deadline END, CASE WHEN f THEN 'stopped' WHEN b THEN 'ok' WHEN st1 = 'new' THEN 'waiting' ELSE st1 END, seen OR b,
+        list_concat(list_concat(CASE WHEN st1 <> st THEN [{{'m': deadline, 'h': st1}}] ELSE [] END, CASE WHEN b AND st1 <> 'ok' THEN [{{'m': ms, 'h': 'ok'}}] ELSE [] END), CASE WHEN f AND st1 <> 'stopped' THEN [{{'m': ms, 'h': 'stopped'}}] ELSE [] END)
+      FROM (SELECT r.*, st, seen, deadline, CASE WHEN st IN ('waiting', 'ok') AND ms > deadline THEN CASE WHEN seen THEN 'stopped' ELSE 'no data' END ELSE st END AS st1 FROM w JOIN r ON r.recording_id = w.recording_id AND r.i = w.i + 1)),
+    tail AS (SELECT recording_id, deadline, st, seen FROM w QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY i DESC) = 1)
+    SELECT recording_id, u.m AS at_ms, u.h AS health FROM (SELECT recording_id, unnest(told) AS u FROM w)
+    UNION ALL SELECT recording_id, deadline, CASE WHEN seen THEN 'stopped' ELSE 'no data' END FROM tail WHERE st IN ('waiting', 'ok') AND deadline < (SELECT max(ms) FROM r) - 1""",
+    "l07_track": FOLLOW_TWO,
     "l06_counters": sql("SELECT recording_id, count(*) AS n_frames, CAST(sum(num_points) AS BIGINT) AS n_points, CAST(sum(skipped_before) AS BIGINT) AS bytes_skipped FROM audit_frames GROUP BY 1", "audit_frames"),
 }

@@ -17,8 +17,9 @@ def _profile(s, d):
     return m.range_time_profile(fx.profile_cells(s, d))
 
 
-def _tiers(s, d):
-    return fx.table(s, d, "embeddings").select(F.col("label").cast("long").alias("recording_id")).distinct().withColumn("tier", F.when(F.col("recording_id") % 3 == 0, "A").when(F.col("recording_id") % 3 == 1, "B").otherwise("C"))
+def _payloads(s, d):
+    k = F.col("recording_id") % 3
+    return fx.table(s, d, "embeddings").select(F.col("label").cast("long").alias("recording_id")).distinct().select("recording_id", (k == 0).alias("has_map"), (k < 2).alias("has_profile"))
 
 
 def _noise(s, d):
@@ -30,7 +31,8 @@ def _features(s, d):
 
 
 def _configs(s, d):
-    return fx.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("cfg_id"), (0.1 + F.col("n_nationkey") * 0.01).alias("velocity_spacing"), F.lit(64).alias("velocity_bins"), (F.col("n_nationkey") % 8 + 57).alias("chirps"))
+    k = F.col("p_partkey")
+    return fx.table(s, d, "part").select(k.alias("cfg_id"), (0.1 + k % 25 * 0.01).alias("velocity_spacing"), F.lit(64).alias("velocity_bins"), (k % 8 + 57).alias("chirps"))
 
 
 QUERIES = {
@@ -44,9 +46,8 @@ QUERIES = {
     "m08_gate_range": lambda s, d: m.gate_range(m.sparse_range_time(fx.points(s, d), 0.25, 64), 0.25, 1.0, 3.0),
     "m09_decibels": lambda s, d: m.decibels(m.range_time_dense(fx.rd_frames(s, d), 8, 8)),
     "m10_display_limits": lambda s, d: m.display_limits(m.decibels(m.range_time_dense(fx.rd_frames(s, d), 8, 8))),
-    "m11_best_source": lambda s, d: m.best_source(m.range_time_dense(fx.rd_frames(s, d), 8, 8), _profile(s, d), m.sparse_range_time(fx.points(s, d), 0.25, 64), _tiers(s, d)),
+    "m11_best_source": lambda s, d: m.best_source(m.range_time_dense(fx.rd_frames(s, d), 8, 8), _profile(s, d), m.sparse_range_time(fx.points(s, d), 0.25, 64), _payloads(s, d)),
     "m12_profile_scaled": lambda s, d: m.profile_scaled(fx.dense_frames(s, d).withColumn("raw", F.transform("values", lambda v: F.floor(F.abs(v) * 1000).cast("double"))), 0.01),
-    "m13_axes": lambda s, d: fx.table(s, d, "region").select("r_regionkey", F.posexplode(m.range_axis(64, 0.25, 0.07)).alias("bin", "range_m")).withColumn("velocity", (F.col("bin") - 32) * 0.5),
     "m14_true_resolution": lambda s, d: m.true_resolution(_configs(s, d)).select("cfg_id", "velocity_resolution"),
     "m15_shift_doppler": lambda s, d: m.shift_doppler(fx.rd_frames(s, d), 8).select(*m.FRAME, F.posexplode("rd").alias("pos", "value")),
     "m16_frame_pair": lambda s, d: m.frame_pair(fx.rd_frames(s, d), 3, 8, 8),
@@ -111,8 +112,7 @@ SQL = {
     a AS (SELECT *, 'rd' AS source FROM ({DENSE}) WHERE recording_id % 3 = 0 UNION ALL SELECT *, 'profile' FROM ({PROFILE}) WHERE recording_id % 3 = 1 UNION ALL SELECT *, 'points' FROM ({RT}) WHERE recording_id % 3 = 2)
     SELECT recording_id, frame_idx, bin, round(value, 6) + 0.0 AS value, source FROM a WHERE recording_id IN (SELECT recording_id FROM e)""", "points", "rd_cells", "profile_cells"),
     "m12_profile_scaled": sql("SELECT recording_id, frame_idx, pos AS bin, round(floor(abs(val) * 1000) * 0.01e0 * (20 * 0.30102999566398120e0), 6) + 0.0 AS db, round(pow(2.0e0, floor(abs(val) * 1000) * 0.01e0), 6) AS linear FROM emb_cells", "emb_cells"),
-    "m13_axes": "SELECT r_regionkey, CAST(bin AS INT) AS bin, round(greatest(bin * 0.25e0 - 0.07e0, 0), 6) + 0.0 AS range_m, (bin - 32) * 0.5e0 AS velocity FROM region, (SELECT unnest(range(64)) AS bin)",
-    "m14_true_resolution": "SELECT CAST(n_nationkey AS BIGINT) AS cfg_id, round((0.1e0 + n_nationkey * 0.01e0) * 64 / (n_nationkey % 8 + 57), 6) AS velocity_resolution FROM nation",
+    "m14_true_resolution": "SELECT p_partkey AS cfg_id, round((0.1e0 + p_partkey % 25 * 0.01e0) * 64 / (p_partkey % 8 + 57), 6) AS velocity_resolution FROM part",
     "m15_shift_doppler": sql("SELECT recording_id, frame_idx, CAST(range_bin * 8 + (dop_bin + 4) % 8 AS INT) AS pos, round(value, 6) + 0.0 AS value FROM rd_cells", "rd_cells"),
     "m16_frame_pair": sql("SELECT recording_id, frame_idx, bin, round(value, 6) AS value, map FROM (SELECT recording_id, frame_idx, range_bin AS bin, sum(value) AS value, 'RT' AS map FROM rd_cells GROUP BY 1, 2, 3 UNION ALL SELECT recording_id, frame_idx, dop_bin, sum(value), 'VT' FROM rd_cells GROUP BY 1, 2, 3) WHERE frame_idx = 3", "rd_cells"),
     "m17_mean_profiles": sql("SELECT recording_id, range_bin, round(avg(value_db), 6) AS signal_db, round(avg(-40.0e0 + range_bin * 0.1e0), 6) AS noise_db, round(avg(value_db) - avg(-40.0e0 + range_bin * 0.1e0), 6) AS margin_db, avg(value_db) - avg(-40.0e0 + range_bin * 0.1e0) > 15 AS passes FROM profile_cells GROUP BY 1, 2", "profile_cells"),

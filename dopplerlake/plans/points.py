@@ -37,6 +37,13 @@ def _devices(s, d):
     return a.device_mismatch(devices, configs)
 
 
+def _payload_frames(s, d):
+    """Frame headers of recordings with different payloads: maps, angle samples of either kind, profiles, points alone, no points."""
+    k, order = F.col("recording_id") % 5, F.col("tlv_order")
+    tlv = F.when(k == 0, F.concat(order, F.lit(",5"))).when(k == 1, F.concat(order, F.lit(",3,8"))).when(k == 2, F.concat(order, F.lit(",4"))).when(k == 3, "1,7").otherwise(order)
+    return fx.audit_frames(s, d).withColumns({"tlv_order": tlv, "num_points": F.when(F.col("recording_id") % 7 == 3, 0).otherwise(F.col("num_points"))})
+
+
 QUERIES = {
     "p01_flatten": lambda s, d: p.flatten(_frames(s, d)),
     "p02_geometry": lambda s, d: p.geometry(fx.points(s, d)).select(*p.FRAME, "point_idx", "range_m", "azimuth_deg", "elevation_deg", "peak_db"),
@@ -63,7 +70,7 @@ QUERIES = {
     "a12_device_mismatch": _devices,
     "a13_throughput": lambda s, d: a.throughput(fx.audit_frames(s, d), 921600),
     "a13_best_clean": lambda s, d: a.best_clean(a.throughput(fx.audit_frames(s, d), 921600)),
-    "a16_availability": lambda s, d: a.availability(fx.audit_frames(s, d)),
+    "a16_availability": lambda s, d: a.availability(_payload_frames(s, d)),
     "a17_track_quality": lambda s, d: a.track_quality(_tracks(s, d)),
 }
 #: Results whose seventh digit is often an exact five: two more digits, so that no engine has to break a tie.
@@ -80,6 +87,11 @@ def _density(y: str, nx: int, ny: int) -> str:
 _r = lambda c: f"round({c}, 6) + 0.0 AS "
 KEY = "recording_id, frame_idx, point_idx"
 _ARR = "list_contains(string_split(tlv_order, ','), '{}')"
+PAYLOADS = f""", pf AS (SELECT recording_id, frame_idx, CASE WHEN recording_id % 7 = 3 THEN 0 ELSE num_points END AS num_points,
+    CASE recording_id % 5 WHEN 0 THEN tlv_order || ',5' WHEN 1 THEN tlv_order || ',3,8' WHEN 2 THEN tlv_order || ',4' WHEN 3 THEN '1,7' ELSE tlv_order END AS tlv_order FROM audit_frames),
+fl AS (SELECT recording_id, bool_or(num_points > 0) AS has_points, bool_or({_ARR.format(2)}) AS has_profile, bool_or({_ARR.format(3)}) AS has_noise, bool_or({_ARR.format(4)} OR {_ARR.format(8)}) AS has_angle, bool_or({_ARR.format(5)}) AS has_map,
+    bool_or({_ARR.format(6)}) AS has_stats, bool_or({_ARR.format(7)}) AS has_side, bool_or({_ARR.format(9)}) AS has_temperature FROM pf GROUP BY 1)
+"""
 SQL = {
     "p01_flatten": sql(f"SELECT {KEY}, {_r('x')}x, {_r('y')}y, {_r('z')}z, {_r('v')}v, round(CASE WHEN frame_idx % 7 <> 3 THEN snr_db END, 6) + 0.0 AS snr_db, round(CASE WHEN frame_idx % 7 <> 3 THEN noise_db END, 6) + 0.0 AS noise_db FROM points", "points"),
     "p02_geometry": sql(f"SELECT {KEY}, {_r(RANGE)}range_m, {_r(AZIMUTH)}azimuth_deg, {_r('degrees(atan2(z, sqrt(x * x + y * y)))')}elevation_deg, {_r('snr_db + noise_db')}peak_db FROM points", "points"),
@@ -111,12 +123,13 @@ SQL = {
     "a07_anomaly_counts": sql("SELECT recording_id, string_split(anomaly, ' (')[1] AS anomaly, count(*) AS n FROM audit_frames WHERE anomaly IS NOT NULL GROUP BY 1, 2", "audit_frames"),
     "a08_field_of_view": sql("SELECT recording_id, " + ", ".join(f"round({f}({c}), 6) + 0.0 AS {f}_{n}" for n, c in (("range", RANGE), ("v", "v"), ("azimuth", AZIMUTH), ("snr", "snr_db"), ("noise", "noise_db")) for f in ("min", "max"))
         + f", count(*) FILTER (v = 0) AS zero_doppler, count(*) FILTER ({RANGE} > 4) AS beyond_range, CAST(NULL AS BIGINT) AS beyond_doppler, count(*) FILTER (snr_db < 0) AS negative_snr, count(*) FILTER (noise_db < 0) AS negative_noise FROM points GROUP BY 1", "points"),
-    "a10_early_stop": sql("SELECT recording_id, min(frame_idx) FILTER (num_obj = 0) AS first_empty, count(*) AS n_frames, count(*) FILTER (coalesce(string_split(tlv_order, ',')[2] <> '7', true)) AS second_not_side_info, coalesce(count(*) - min(frame_idx) FILTER (num_obj = 0), 0) AS frames_lost FROM audit_frames GROUP BY 1", "audit_frames"),
+    "a10_early_stop": sql("""SELECT recording_id, min(frame_idx) FILTER (num_obj = 0) AS first_empty, count(*) AS n_frames, count(*) FILTER (string_split(tlv_order, ',')[1] = '1' AND len(string_split(tlv_order, ',')) >= 2 AND string_split(tlv_order, ',')[2] <> '7') AS second_not_side_info,
+      coalesce(count(*) - min(frame_idx) FILTER (num_obj = 0), 0) AS frames_lost FROM audit_frames GROUP BY 1""", "audit_frames"),
     "a11_bin_check": sql("SELECT recording_id, arg_min(size, frame_idx) AS observed, CAST(64 AS BIGINT) AS configured, arg_min(size, frame_idx) = 64 AS agrees FROM (SELECT recording_id, frame_idx, count(*) AS size FROM profile_cells GROUP BY 1, 2) GROUP BY 1", "profile_cells"),
     "a12_device_mismatch": "SELECT s_suppkey AS recording_id, CAST(s_nationkey % 5 AS BIGINT) AS cfg_id, CASE WHEN s_suppkey % 7 = 0 THEN 'xwr18xx' ELSE 'xwr68xx' END AS platform, 'xwr68xx' AS cfg_platform, CASE WHEN s_suppkey % 5 = 0 THEN '3.5' ELSE '3.6' END AS sdk, '3.6' AS cfg_sdk FROM supplier JOIN region ON s_nationkey % 5 = r_regionkey WHERE s_suppkey % 7 = 0 OR s_suppkey % 5 = 0",
     "a13_throughput": sql("SELECT recording_id, round(count(*) / nullif(max(t) - min(t), 0), 6) AS fps, round(sum(total_len) / nullif(max(t) - min(t), 0), 6) AS bytes_per_s, round(sum(total_len) / nullif(max(t) - min(t), 0) / 92160e0, 6) AS utilisation, sum(skipped_before) = 0 AS clean FROM audit_frames GROUP BY 1", "audit_frames"),
     "a13_best_clean": sql("SELECT recording_id, round(b, 6) AS bytes_per_s FROM (SELECT recording_id, sum(total_len) / nullif(max(t) - min(t), 0) AS b FROM audit_frames GROUP BY 1 HAVING sum(skipped_before) = 0) WHERE b IS NOT NULL ORDER BY b DESC, recording_id LIMIT 1", "audit_frames"),
-    "a16_availability": sql("SELECT *, CASE WHEN has_map THEN 'A' WHEN has_profile THEN 'B' WHEN has_side THEN 'C+' ELSE 'C' END AS tier FROM (SELECT recording_id, " + ", ".join(f"bool_or({_ARR.format(k)}) AS {n}" for k, n in ((1, "has_points"), (7, "has_side"), (2, "has_profile"), (5, "has_map"), (9, "has_temperature"))) + " FROM audit_frames GROUP BY 1)", "audit_frames"),
+    "a16_availability": sql(PAYLOADS + """SELECT *, CASE WHEN has_map OR has_angle THEN 'B' WHEN has_profile THEN 'C+' ELSE 'C' END AS tier FROM fl""", "audit_frames"),
     "a17_track_quality": sql(""", m AS (SELECT recording_id, frame_idx, max(snr_db) AS best FROM points GROUP BY 1, 2), q AS (SELECT recording_id, avg(CASE WHEN best >= 25 THEN 1.0e0 ELSE 0 END) AS valid_fraction FROM frame_spine LEFT JOIN m USING (recording_id, frame_idx) GROUP BY 1)
     SELECT recording_id, round(valid_fraction, 6) AS valid_fraction, CASE WHEN valid_fraction = 0 THEN 'no target' WHEN valid_fraction < 0.25 THEN 'few measurements' ELSE 'none' END AS warning FROM q""", "points", "frame_spine"),
 }

@@ -16,6 +16,8 @@ from dopplerlake.operators import tracking as t
 from dopplerlake.plans.maps import TRACKS, VBIN, W
 from dopplerlake.plans.points import RANGE, _tracks
 from dopplerlake.sources import fixtures as fx
+from dopplerlake.sources.captures import parse_configs
+from dopplerlake.sources.fixture_captures import config_lines
 from dopplerlake.sources.fixtures import sql
 
 FRAME = ["recording_id", "frame_idx"]
@@ -62,12 +64,23 @@ def _temperatures(s, d):
     return r.temperatures(_stats(s, d).select(*FRAME, *((F.col("load") / 2 + k).alias(f"sensor{k}") for k in range(9))), [f"sensor{k}" for k in range(9)])
 
 
-def _adc_cells(s, d):
-    return fx.emb_cells(s, d).select(*FRAME, F.floor(F.col("pos") / 8).alias("chirp"), (F.col("pos") % 8).alias("sample"), "val")
+#: Frames of four chirps, two receivers and eight samples.
+CUBE = r.Cube(4, 2, 8)
 
 
-def _slots(s):
-    return s.range(8).select(F.col("id").alias("ant"), (F.col("id") - 4).alias("position")).where("ant >= 4")
+def _rooms(s, d):
+    """Each recording's empty room is the one of the next number."""
+    own = fx.table(s, d, "embeddings").select(F.col("label").cast("long").alias("recording_id")).distinct()
+    return own.withColumn("background_id", (F.col("recording_id") + 1) % 10)
+
+
+def _clean(s, d):
+    return r.remove_background(fx.adc_frames(s, d), fx.adc_frames(s, d), _rooms(s, d), CUBE)
+
+
+def _arrays(s, d):
+    """Configurations of the recordings: those of the same number in the configuration table; cells hold eight antennas."""
+    return parse_configs(config_lines(s, d)).select(F.col("cfg_id").alias("recording_id"), "n_tx", F.lit(4).alias("n_rx"), F.lit(8).alias("n_virtual"), "slots")
 
 
 QUERIES = {
@@ -86,23 +99,24 @@ QUERIES = {
     "t01_peaks": lambda s, d: _peaks(s, d, 3),
     "t02_track_one": lambda s, d: t.track_maps(_peaks(s, d, 3), fx.dense_frames(s, d).select(*FRAME), 1),
     "t02_track_two": lambda s, d: t.track_maps(_peaks(s, d, 3), fx.dense_frames(s, d).select(*FRAME), 2),
-    "t03_track_points": lambda s, d: t.track_points(t.strongest_candidates(fx.points(s, d), 0.15), fx.frame_spine(s, d)),
+    "t03_track_points": lambda s, d: t.track_points(t.strongest_candidates(fx.points(s, d), 1, 0.15), fx.frame_spine(s, d)),
+    "t03_track_points_two": lambda s, d: t.track_points(t.strongest_candidates(fx.points(s, d), 2, 0.15), fx.frame_spine(s, d), 2),
     "t04_fill": lambda s, d: t.fill_track(_tracks(s, d)).select(*FRAME, "filled_m", "interpolated"),
     "t04_fill_linear": lambda s, d: t.fill_track(_tracks(s, d), "linear").select(*FRAME, "filled_m", "interpolated"),
     "t05_track_optimal": lambda s, d: t.track_maps(_peaks(s, d, 2), fx.dense_frames(s, d).select(*FRAME), 2, optimal=True),
     "t06_separate_two": lambda s, d: t.separate_two(fx.points(s, d)),
-    "b01_axis": lambda s, d: b.axis(s).join(fx.table(s, d, "region").select("r_regionkey"), F.col("angle_bin") >= F.col("r_regionkey")),
+    "b01_axis": lambda s, d: b.with_angle(b.beam_pattern(b.beamform(fx.angle_cells(s, d)), 1)),
     "b02_beamform": lambda s, d: b.beamform(fx.angle_cells(s, d)),
     "b04_azimuth_time": lambda s, d: b.azimuth_time(b.beamform(fx.angle_cells(s, d)), 1, 2),
     "b04_azimuth_following": lambda s, d: b.azimuth_time_following(b.beamform(fx.angle_cells(s, d)), _tracks(s, d), 0.5),
     "b05_beam_pattern": lambda s, d: b.beam_pattern(b.beamform(fx.angle_cells(s, d)), 1),
-    "b06_azimuth_symbols": lambda s, d: b.azimuth_symbols(fx.angle_cells(s, d), _slots(s)),
+    "b06_azimuth_symbols": lambda s, d: b.azimuth_symbols(fx.angle_cells(s, d), _arrays(s, d)),
     "b07_cartesian": lambda s, d: b.to_cartesian(b.beamform(fx.angle_cells(s, d)), b.grid_weights(s, 16, 0.5, 4)),
-    "r01_background": lambda s, d: r.remove_background(_adc_cells(s, d)),
-    "r02_range_time": lambda s, d: r.range_time(fx.adc_frames(s, d), 8, 8),
-    "r02_range_time_clean": lambda s, d: r.range_time(r.frames_of(r.remove_background(_adc_cells(s, d))), 8, 8),
-    "r03_velocity_time": lambda s, d: r.velocity_time(fx.adc_frames(s, d), 8, 8),
-    "r04_velocity_following": lambda s, d: r.velocity_time_following(fx.adc_frames(s, d), _peaks(s, d, 1), 8, 8, 2.0, width=1.0),
+    "r01_background": lambda s, d: _clean(s, d).select(*FRAME, F.posexplode("adc").alias("pos", "val")),
+    "r02_range_time": lambda s, d: r.range_time(fx.adc_frames(s, d), CUBE, 1, 16),
+    "r02_range_time_clean": lambda s, d: r.range_time(_clean(s, d), CUBE, 1, 16),
+    "r03_velocity_time": lambda s, d: r.velocity_time(_clean(s, d), CUBE, 0, 16, 1, 7, 8),
+    "r04_velocity_following": lambda s, d: r.velocity_time_following(_clean(s, d), _peaks(s, d, 1), CUBE, 1.0, 1, 16, 1.0, 8),
     "d01_processing": lambda s, d: r.processing(_stats(s, d)),
     "d02_temperatures": _temperatures,
     "d03_rolling_load": lambda s, d: r.rolling_load(_stats(s, d)),
@@ -130,10 +144,11 @@ met AS (SELECT d.recording_id, duration, coalesce(t_walk, 0) AS t_walk, coalesce
   LEFT JOIN (SELECT recording_id, avg(interval_s) AS mean_interval, stddev_samp(interval_s) AS sd_interval, median(interval_s) AS median_interval FROM iv GROUP BY 1) USING (recording_id))
 """
 SPECTRUM = f""", e0 AS (SELECT recording_id, coalesce(v, 0) AS v, count(*) OVER (PARTITION BY recording_id) AS n, row_number() OVER (PARTITION BY recording_id ORDER BY frame_idx) - 1 AS i, avg(coalesce(v, 0)) OVER (PARTITION BY recording_id) AS mean FROM envelope),
-e1 AS (SELECT *, (v - mean) * (0.5 - 0.5 * cos(2 * {math.pi!r} * i / (n - 1))) AS x FROM e0 WHERE n >= 4),
+e1 AS (SELECT *, (v - mean) * (0.5 - 0.5 * cos(2 * {math.pi!r} * i / (n - 1))) AS x FROM e0 WHERE n >= 8),
 e2 AS (SELECT recording_id, n, k, sqrt(sum(x * cos(2 * {math.pi!r} * ((k * i) % n) / n)) ** 2 + sum(x * sin(2 * {math.pi!r} * ((k * i) % n) / n)) ** 2) AS m FROM e1, (SELECT unnest(range(20000)) AS k)
   WHERE k BETWEEN ceil(0.5e0 * n * 0.2e0 - 1e-9) AND least(floor(2.4e0 * n * 0.2e0 + 1e-9), floor(n / 2)) GROUP BY 1, 2, 3),
-sp AS (SELECT recording_id, 60.0e0 * arg_max(k, (round(m, 9), -k)) / (any_value(n) * 0.2e0) AS cadence_spectral, CASE WHEN sum(m) > 0 THEN max(m) / sum(m) ELSE 0 END AS confidence FROM e2 GROUP BY 1)
+sp AS (SELECT recording_id, 60.0e0 * arg_max(k, (round(m, 9), -k)) / (any_value(n) * 0.2e0) AS cadence_spectral, CASE WHEN sum(m) > 0 THEN max(m) / sum(m) ELSE 0 END AS confidence FROM e2 GROUP BY 1
+  UNION ALL SELECT recording_id, NULL, 0 FROM e0 GROUP BY 1 HAVING count(*) < 8)
 """
 FILL = f""", tr AS (SELECT recording_id, frame_idx, range_m FROM frame_spine LEFT JOIN ({TRACKS}) USING (recording_id, frame_idx)),
 fl AS (SELECT *, count(range_m) OVER (PARTITION BY recording_id) AS n, last_value(range_m IGNORE NULLS) OVER p AS v0, last_value(CASE WHEN range_m IS NOT NULL THEN frame_idx END IGNORE NULLS) OVER p AS i0,
@@ -150,21 +165,42 @@ _sum = lambda where: sql(BEAM + f"SELECT recording_id, frame_idx, angle_bin, rou
 _STATS = "(SELECT user_id AS recording_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, value % 100 AS load, event_id % 5000 AS margin_us FROM events)"
 FOLLOW = f"SELECT recording_id, frame_idx, {VBIN} AS bin, sum({W}) AS value FROM points JOIN ({TRACKS}) USING (recording_id, frame_idx) WHERE abs({RANGE} - range_m) <= 0.25 GROUP BY 1, 2, 3"
 FIXED = f"SELECT recording_id, frame_idx, {VBIN} AS bin, sum({W}) AS value FROM points GROUP BY 1, 2, 3"
-RFFT = f""", w0 AS (SELECT *, val * (0.5 - 0.5 * cos(2 * {math.pi!r} * sample / 8)) AS y FROM ({{source}})),
-rf AS (SELECT recording_id, frame_idx, chirp, bin, sum(y * cos(2 * {math.pi!r} * ((bin * sample) % 16) / 16)) AS re, -sum(y * sin(2 * {math.pi!r} * ((bin * sample) % 16) / 16)) AS im FROM w0, (SELECT unnest(range(9)) AS bin) GROUP BY 1, 2, 3, 4)
+CLEAN = """, ac AS (SELECT recording_id, frame_idx, pos, pos // 16 AS chirp, pos // 8 % 2 AS rx, pos % 8 AS sample, val, row_number() OVER (PARTITION BY recording_id, pos ORDER BY frame_idx) AS i, count(*) OVER (PARTITION BY recording_id, pos) AS n FROM emb_cells),
+nf AS (SELECT DISTINCT recording_id, n FROM ac), pr AS (SELECT a.recording_id, b.recording_id AS room, least(a.n, b.n) AS kept FROM nf a JOIN nf b ON b.recording_id = (a.recording_id + 1) % 10),
+mn AS (SELECT pr.recording_id, pos, avg(val) AS mean FROM pr JOIN ac ON ac.recording_id = room AND i <= kept GROUP BY 1, 2),
+cl AS (SELECT recording_id, frame_idx, pos, chirp, rx, sample, val - mean AS val FROM ac JOIN pr USING (recording_id) JOIN mn USING (recording_id, pos) WHERE i <= kept)
 """
-_CLEAN = "SELECT recording_id, frame_idx, chirp, sample, val - avg(val) OVER (PARTITION BY recording_id, chirp, sample) AS val FROM adc_cells"
+RFFT = lambda source, rx: f""", w0 AS (SELECT *, val * (0.5 - 0.5 * cos(2 * {math.pi!r} * sample / 8)) AS y FROM {source} WHERE rx = {rx}),
+rf AS (SELECT recording_id, frame_idx, chirp, bin, sum(y * cos(2 * {math.pi!r} * ((bin * sample) % 16) / 16)) AS re, -sum(y * sin(2 * {math.pi!r} * ((bin * sample) % 16) / 16)) AS im FROM w0, (SELECT unnest(range(16)) AS bin) GROUP BY 1, 2, 3, 4)
+"""
 _RT = "SELECT recording_id, frame_idx, CAST(bin AS INT) AS bin, round(avg(sqrt(re * re + im * im)), 6) + 0.0 AS value FROM rf GROUP BY 1, 2, 3"
-#: One target from points, frame by frame: the candidates of a frame as a list, the track's state in a recursion.
-FOLLOW_POINTS = f""", ca AS (SELECT recording_id, frame_idx, list(range_m ORDER BY place) AS c FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, frame_idx ORDER BY w DESC, point_idx) AS place
-    FROM (SELECT recording_id, frame_idx, point_idx, {RANGE} AS range_m, {W} AS w FROM points WHERE abs(v) >= 0.15)) WHERE place <= 8 GROUP BY 1, 2),
-fr AS MATERIALIZED (SELECT recording_id, frame_idx, row_number() OVER (PARTITION BY recording_id ORDER BY frame_idx) AS i, coalesce(c, []) AS c FROM frame_spine LEFT JOIN ca USING (recording_id, frame_idx)),
-walk AS (
-  SELECT DISTINCT recording_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame_idx, CAST(NULL AS DOUBLE) AS range_m, CAST(NULL AS DOUBLE) AS last, 0 AS missed FROM fr
-  UNION ALL
-  SELECT recording_id, i, frame_idx, near, CASE WHEN near IS NOT NULL THEN near WHEN len(c) > 0 AND missed >= 10 THEN NULL ELSE last END, CASE WHEN near IS NOT NULL THEN 0 WHEN len(c) = 0 THEN missed WHEN missed >= 10 THEN 0 ELSE missed + 1 END
-  FROM (SELECT fr.*, last, missed, list_filter(c, lambda x: last IS NULL OR abs(x - last) <= 0.6)[1] AS near FROM walk JOIN fr ON fr.recording_id = walk.recording_id AND fr.i = walk.i + 1))
+#: Doppler over eight bins of the four chirps in `co`.
+_VT = f"""SELECT recording_id, frame_idx, CAST((k + 4) % 8 AS INT) AS bin, round(sqrt(sum(re * cos(ph) + im * sin(ph)) ** 2 + sum(im * cos(ph) - re * sin(ph)) ** 2), 6) + 0.0 AS value
+  FROM (SELECT *, 2 * {math.pi!r} * ((k * chirp) % 8) / 8 AS ph FROM co, (SELECT unnest(range(8)) AS k)) GROUP BY 1, 2, 3"""
+_H = f"(0.5 - 0.5 * cos(2 * {math.pi!r} * chirp / 4))"
+#: Candidates of each frame from points: the strongest, and the strongest of those 0.4 m or more from it.
+CANDIDATES = f""", cp AS (SELECT recording_id, frame_idx, point_idx, {RANGE} AS range_m, {W} AS w FROM points WHERE abs(v) >= 0.15),
+c1 AS (SELECT recording_id, frame_idx, arg_max(range_m, (w, -point_idx)) AS a FROM cp GROUP BY 1, 2),
+c2 AS (SELECT recording_id, frame_idx, arg_max(range_m, (w, -point_idx)) AS b FROM cp JOIN c1 USING (recording_id, frame_idx) WHERE abs(range_m - a) >= 0.4 GROUP BY 1, 2),
+fr AS MATERIALIZED (SELECT recording_id, frame_idx, row_number() OVER (PARTITION BY recording_id ORDER BY frame_idx) AS i, a, b FROM frame_spine LEFT JOIN c1 USING (recording_id, frame_idx) LEFT JOIN c2 USING (recording_id, frame_idx)),
 """
+#: One target from points, frame by frame: x is the track's range, m its misses, y what the frame shows.
+FOLLOW_ONE = """walk AS (
+  SELECT DISTINCT recording_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame_idx, CAST(NULL AS DOUBLE) AS x, 0 AS m, CAST(NULL AS DOUBLE) AS y FROM fr
+  UNION ALL
+  SELECT recording_id, i, frame_idx, CASE WHEN hit THEN a WHEN a IS NOT NULL AND m >= 10 THEN NULL ELSE x END, CASE WHEN hit THEN 0 WHEN x IS NULL THEN m WHEN a IS NOT NULL AND m >= 10 THEN 0 ELSE m + 1 END, CASE WHEN hit THEN a WHEN m < 10 THEN x END
+  FROM (SELECT fr.*, x, m, a IS NOT NULL AND (x IS NULL OR abs(a - x) <= 0.6) AS hit FROM walk JOIN fr ON fr.recording_id = walk.recording_id AND fr.i = walk.i + 1))
+SELECT recording_id, frame_idx, CAST(0 AS BIGINT) AS target, round(y, 6) AS range_m, y IS NOT NULL AND m > 0 AS coasted FROM walk WHERE i > 0"""
+_PAIRS = "list_sort(list_filter([{'d': abs(a - x0), 'k': 0, 'j': 1}, {'d': abs(b - x0), 'k': 0, 'j': 2}, {'d': abs(a - x1), 'k': 1, 'j': 1}, {'d': abs(b - x1), 'k': 1, 'j': 2}], lambda q: q.d IS NOT NULL AND q.d <= 0.6))"
+_kept = lambda k: f"CASE WHEN h{k} IS NOT NULL THEN h{k} WHEN a IS NOT NULL AND m{k} >= 10 THEN NULL ELSE x{k} END, CASE WHEN h{k} IS NOT NULL THEN 0 WHEN x{k} IS NULL THEN m{k} WHEN a IS NOT NULL AND m{k} >= 10 THEN 0 ELSE m{k} + 1 END, CASE WHEN h{k} IS NOT NULL THEN h{k} WHEN m{k} < 10 THEN x{k} END"
+_hit = lambda k: f"CASE WHEN x0 IS NULL AND x1 IS NULL THEN {('CASE WHEN b IS NULL THEN a ELSE least(a, b) END', 'greatest(a, b) + 0 * b')[k]} WHEN p.k = {k} THEN CASE p.j WHEN 1 THEN a ELSE b END WHEN q.k = {k} THEN CASE q.j WHEN 1 THEN a ELSE b END END AS h{k}"
+FOLLOW_TWO_BODY = f"""walk AS (
+  SELECT DISTINCT recording_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame_idx, CAST(NULL AS DOUBLE) AS x0, 0 AS m0, CAST(NULL AS DOUBLE) AS y0, CAST(NULL AS DOUBLE) AS x1, 0 AS m1, CAST(NULL AS DOUBLE) AS y1 FROM fr
+  UNION ALL
+  SELECT recording_id, i, frame_idx, {_kept(0)}, {_kept(1)}
+  FROM (SELECT *, {_hit(0)}, {_hit(1)} FROM (SELECT *, list_filter(pairs, lambda q: q.k <> p.k AND q.j <> p.j)[1] AS q FROM (SELECT *, pairs[1] AS p FROM (SELECT fr.*, x0, m0, x1, m1, {_PAIRS} AS pairs FROM walk JOIN fr ON fr.recording_id = walk.recording_id AND fr.i = walk.i + 1)))))
+SELECT recording_id, frame_idx, CAST(0 AS BIGINT) AS target, round(y0, 6) AS range_m, y0 IS NOT NULL AND m0 > 0 AS coasted FROM walk WHERE i > 0
+UNION ALL SELECT recording_id, frame_idx, CAST(1 AS BIGINT), round(y1, 6), y1 IS NOT NULL AND m1 > 0 FROM walk WHERE i > 0"""
 #: Up to `n` profile peaks of a frame as a sorted list of ranges, and frames in order.
 PEAKS = """, p0 AS (SELECT recording_id, frame_idx, pos AS bin, abs(val) AS v FROM emb_cells),
 p1 AS (SELECT recording_id, frame_idx, arg_max(bin, (v, -bin)) AS b1 FROM p0 WHERE v > 0 GROUP BY 1, 2),
@@ -194,15 +230,15 @@ _two = lambda match: f"""walk AS (
 SELECT recording_id, frame_idx, CAST(0 AS BIGINT) AS target, round(CASE WHEN m0 <= 10 THEN x0 END, 6) AS range_m, x0 IS NOT NULL AND m0 BETWEEN 1 AND 10 AS coasted FROM walk WHERE i > 0
 UNION ALL SELECT recording_id, frame_idx, CAST(1 AS BIGINT), round(CASE WHEN m1 <= 10 THEN x1 END, 6), x1 IS NOT NULL AND m1 BETWEEN 1 AND 10 FROM walk WHERE i > 0"""
 _recursive = lambda body, *views: sql(body, *views).replace("WITH", "WITH RECURSIVE", 1)
+FOLLOW_TWO = _recursive(CANDIDATES + FOLLOW_TWO_BODY, "points", "frame_spine")
 SQL = {
     "t02_track_one": _recursive(_lists(3) + ONE, "emb_cells"),
     "t02_track_two": _recursive(_lists(3) + _two(_GREEDY), "emb_cells"),
     "t05_track_optimal": _recursive(_lists(2) + _two(_OPTIMAL), "emb_cells"),
-    "t03_track_points": _recursive(FOLLOW_POINTS + "SELECT recording_id, frame_idx, CAST(0 AS BIGINT) AS target, round(range_m, 6) AS range_m, range_m IS NULL AND last IS NOT NULL AS coasted FROM walk WHERE i > 0", "points", "frame_spine"),
-    "r04_velocity_following": sql(RFFT.format(source="SELECT * FROM adc_cells") + PEAKS + f""", co AS (SELECT recording_id, frame_idx, chirp, sum(re) * any_value(0.5 - 0.5 * cos(2 * {math.pi!r} * chirp / 8)) AS re, sum(im) * any_value(0.5 - 0.5 * cos(2 * {math.pi!r} * chirp / 8)) AS im
-        FROM rf JOIN p1 USING (recording_id, frame_idx) WHERE abs(bin * 2.0e0 - b1 * 0.25e0) <= 1 GROUP BY 1, 2, 3)
-      SELECT recording_id, frame_idx, CAST((k + 4) % 8 AS INT) AS bin, round(sqrt(sum(re * cos(ph) + im * sin(ph)) ** 2 + sum(im * cos(ph) - re * sin(ph)) ** 2), 6) + 0.0 AS value
-      FROM (SELECT *, 2 * {math.pi!r} * ((k * chirp) % 8) / 8 AS ph FROM co, (SELECT unnest(range(8)) AS k)) GROUP BY 1, 2, 3""", "emb_cells", "adc_cells"),
+    "t03_track_points": _recursive(CANDIDATES + FOLLOW_ONE, "points", "frame_spine"),
+    "t03_track_points_two": FOLLOW_TWO,
+    "r04_velocity_following": sql(CLEAN + RFFT("cl", 1) + PEAKS + f""", co AS (SELECT recording_id, frame_idx, chirp, sum(re) * any_value({_H}) AS re, sum(im) * any_value({_H}) AS im
+        FROM rf JOIN (SELECT recording_id, frame_idx, arg_min(k, (abs(k - b1 * 0.25e0), k)) AS nb FROM p1, (SELECT unnest(range(16)) AS k) GROUP BY 1, 2) USING (recording_id, frame_idx) WHERE abs(bin - nb) <= 1 GROUP BY 1, 2, 3) {_VT}""", "emb_cells"),
     "g01_robust_mask": sql("SELECT recording_id, frame_idx, bin, round(value, 6) + 0.0 AS value, kept FROM (" + MASK.format(k=1, source=VT) + ")", "rd_cells"),
     "g02_dense_envelope": sql("SELECT recording_id, frame_idx, round(quantile_cont(abs((bin - 4) * 0.5e0), 0.98) FILTER (kept AND abs(bin - 4) > 1), 6) AS v, round(count(*) FILTER (kept AND abs(bin - 4) > 1) / count(*), 6) AS mask_fraction FROM (" + MASK.format(k=0, source=VT) + ") GROUP BY 1, 2", "rd_cells"),
     "g03_point_envelope": sql(", e AS (SELECT recording_id, frame_idx, CASE WHEN count(*) < 3 THEN max(value) ELSE coalesce(quantile_cont(value, 0.98) FILTER (kept), quantile_cont(value, 0.98) FILTER (value >= med)) END AS v FROM (" + MASK.format(k=3, source="SELECT recording_id, frame_idx, abs(v) AS value FROM points")
@@ -221,19 +257,20 @@ SQL = {
     "t04_fill": sql(FILL + f"SELECT recording_id, frame_idx, round(x, 6) AS filled_m, range_m IS NULL AND x IS NOT NULL AS interpolated FROM (SELECT *, CASE WHEN range_m IS NOT NULL THEN range_m WHEN n >= 2 THEN CASE WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL THEN v0 ELSE {_INNER} END END AS x FROM fl)", "points", "frame_spine"),
     "t04_fill_linear": sql(FILL + f"""SELECT recording_id, frame_idx, round(x, 6) AS filled_m, range_m IS NULL AND x IS NOT NULL AS interpolated FROM (SELECT *, CASE WHEN range_m IS NOT NULL THEN range_m WHEN n >= 2 THEN
       CASE WHEN v0 IS NULL THEN q1 + (q2 - q1) * (frame_idx - p1) / (p2 - p1) WHEN v1 IS NULL THEN x2 + (x1 - x2) * (frame_idx - y2) / (y1 - y2) ELSE {_INNER} END END AS x FROM fl LEFT JOIN en USING (recording_id))""", "points", "frame_spine"),
-    "b01_axis": "SELECT angle_bin, round(degrees(asin(2 * (31 - angle_bin) / 64)), 6) + 0.0 AS angle_deg, r_regionkey FROM (SELECT unnest(range(63)) AS angle_bin), region WHERE angle_bin >= r_regionkey",
+    "b01_axis": sql(BEAM + "SELECT recording_id, frame_idx, angle_bin, round(sum(mag), 6) + 0.0 AS mag, round(degrees(asin(2 * (31 - angle_bin) / 64)), 6) + 0.0 AS angle_deg FROM bm WHERE abs(range_bin - 1) <= 1 GROUP BY 1, 2, 3", "angle_cells"),
     "b02_beamform": sql(BEAM + "SELECT recording_id, frame_idx, range_bin, angle_bin, round(mag, 6) + 0.0 AS mag FROM bm", "angle_cells"),
     "b04_azimuth_time": _sum("WHERE range_bin BETWEEN 1 AND 2"),
     "b04_azimuth_following": sql(BEAM + f"SELECT recording_id, frame_idx, angle_bin, round(sum(mag), 6) + 0.0 AS mag FROM bm JOIN ({TRACKS}) USING (recording_id, frame_idx) WHERE abs(range_bin * 0.5e0 - range_m) <= 0.5 GROUP BY 1, 2, 3", "points", "angle_cells"),
     "b05_beam_pattern": _sum("WHERE abs(range_bin - 1) <= 1"),
-    "b06_azimuth_symbols": sql("SELECT recording_id, frame_idx, range_bin, ant - 4 AS ant, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM angle_cells WHERE ant >= 4", "angle_cells"),
-    "r01_background": sql(f"SELECT recording_id, frame_idx, chirp, sample, round(val, 6) + 0.0 AS val FROM ({_CLEAN})", "adc_cells"),
-    "r02_range_time": sql(RFFT.format(source="SELECT * FROM adc_cells") + _RT, "adc_cells"),
-    "r02_range_time_clean": sql(RFFT.format(source=_CLEAN) + _RT, "adc_cells"),
-    "r03_velocity_time": sql(RFFT.format(source="SELECT * FROM adc_cells") + f""", best AS (SELECT recording_id, frame_idx, arg_max(bin, (m, -bin)) AS bin FROM (SELECT recording_id, frame_idx, bin, round(avg(sqrt(re * re + im * im)), 9) AS m FROM rf GROUP BY 1, 2, 3) GROUP BY 1, 2),
-      co AS (SELECT recording_id, frame_idx, chirp, re * h AS re, im * h AS im FROM (SELECT *, 0.5 - 0.5 * cos(2 * {math.pi!r} * chirp / 8) AS h FROM rf) JOIN best USING (recording_id, frame_idx, bin))
-      SELECT recording_id, frame_idx, CAST((k + 4) % 8 AS INT) AS bin, round(sqrt(sum(re * cos(ph) + im * sin(ph)) ** 2 + sum(im * cos(ph) - re * sin(ph)) ** 2), 6) + 0.0 AS value
-      FROM (SELECT *, 2 * {math.pi!r} * ((k * chirp) % 8) / 8 AS ph FROM co, (SELECT unnest(range(8)) AS k)) GROUP BY 1, 2, 3""", "adc_cells"),
+    "b06_azimuth_symbols": sql(""", cf AS (SELECT p_partkey AS recording_id, bit_count(p_partkey % 7 + 1) AS n_tx, CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN p_partkey % 3 = 0 THEN [0, 2, 1] ELSE [0, -1, 1] END ELSE CASE WHEN p_partkey % 3 = 0 THEN [0, 1, 2] ELSE [0, 1, -1] END END AS sl FROM part),
+      pr AS (SELECT recording_id, CASE WHEN n_tx = 1 AND sl[2] < 0 AND sl[3] < 0 THEN [3, 1] WHEN n_tx = 2 AND sl[2] >= 0 AND sl[3] < 0 THEN [sl[2] * 4 + 3, sl[2] * 4 + 1] WHEN n_tx = 2 AND sl[2] < 0 AND sl[3] >= 0 THEN [sl[3] * 4 + 3, sl[3] * 4 + 1]
+        WHEN n_tx = 3 AND sl[2] >= 0 AND sl[3] >= 0 THEN [sl[3] * 4 + 3, sl[3] * 4 + 1, sl[2] * 4 + 3, sl[2] * 4 + 1] END AS places FROM cf)
+      SELECT recording_id, frame_idx, range_bin, CAST(list_position(places, ant) - 1 AS BIGINT) AS ant, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM angle_cells JOIN pr USING (recording_id) WHERE list_max(places) < 8 AND list_position(places, ant) > 0""", "angle_cells"),
+    "r01_background": sql(CLEAN + "SELECT recording_id, frame_idx, CAST(pos AS INT) AS pos, round(val, 6) + 0.0 AS val FROM cl", "emb_cells"),
+    "r02_range_time": sql(CLEAN + RFFT("ac", 1) + _RT, "emb_cells"),
+    "r02_range_time_clean": sql(CLEAN + RFFT("cl", 1) + _RT, "emb_cells"),
+    "r03_velocity_time": sql(CLEAN + RFFT("cl", 0) + f""", best AS (SELECT recording_id, frame_idx, arg_max(bin, (m, -bin)) AS bin FROM (SELECT recording_id, frame_idx, bin, round(avg(sqrt(re * re + im * im)), 9) AS m FROM rf WHERE bin BETWEEN 1 AND 7 GROUP BY 1, 2, 3) GROUP BY 1, 2),
+      co AS (SELECT recording_id, frame_idx, chirp, re * {_H} AS re, im * {_H} AS im FROM rf JOIN best USING (recording_id, frame_idx, bin)) {_VT}""", "emb_cells"),
     "t01_peaks": sql(""", p0 AS (SELECT recording_id, frame_idx, pos AS bin, abs(val) AS v FROM emb_cells),
       p1 AS (SELECT recording_id, frame_idx, arg_max(bin, (v, -bin)) AS b1 FROM p0 WHERE v > 0 GROUP BY 1, 2),
       p2 AS (SELECT recording_id, frame_idx, arg_max(bin, (v, -bin)) AS b2 FROM p0 JOIN p1 USING (recording_id, frame_idx) WHERE v > 0 AND abs(bin - b1) >= 5 GROUP BY 1, 2),

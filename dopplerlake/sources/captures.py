@@ -14,14 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The wire format. Magic word, then eight unsigned 32-bit little-endian fields, then payloads of (type, length, bytes).
-MAGIC = bytes((2, 1, 4, 3, 6, 5, 8, 7))
-FIELDS = ("version", "total_len", "platform", "frame_number", "cycles", "num_obj", "num_tlvs", "sub_frame")
-HEADER = 40
-PAD = 32
-POINTS, PROFILE, NOISE, SIDE = 1, 2, 3, 7
-KNOWN = (1, 2, 3, 4, 5, 6, 7, 8, 9, 1050, 1051)
-SMALLEST, LARGEST, MOST_TLVS, MOST_SUB, MOST_OBJ = 40, 4 << 20, 64, 3, 4096
+from dopplerlake.sources.wire import FIELDS, MAGIC, NOISE, POINTS, PROFILE, SIDE, directory
+from dopplerlake.streaming import apps
+from dopplerlake.streaming.fold import Fold, run_batch
 
 
 def read_captures(spark: SparkSession, path: str, pattern: str = "*.dat") -> DataFrame:
@@ -29,95 +24,49 @@ def read_captures(spark: SparkSession, path: str, pattern: str = "*.dat") -> Dat
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
-def plausible(data: bytes, at: int) -> int:
-    """Length of the packet that starts at `at`, or 0 if no plausible header does."""
-    if data[at : at + 8] != MAGIC or len(data) - at < HEADER:
-        return 0
-    _, n, _, _, _, obj, tlvs, sub = struct.unpack_from("<8I", data, at + 8)
-    return n if SMALLEST <= n <= LARGEST and tlvs <= MOST_TLVS and sub <= MOST_SUB and obj <= MOST_OBJ else 0
+PIECE = 1 << 16
 
 
-def chain(data: bytes, start: int = 0) -> Iterator[tuple[int, int, int]]:
-    """(offset, length, bytes skipped before) of each whole packet; follows lengths, and searches the magic word only after a
-    loss. A plausible packet that the bytes end inside is waited for: nothing in it is taken for a packet."""
-    at, skipped = start, 0
-    while True:
-        n = plausible(data, at)
-        if n and at + n > len(data):
-            return
-        if n:
-            yield at, n, skipped
-            at, skipped = at + n, 0
-            continue
-        nxt = data.find(MAGIC, at + 1)
-        if nxt < 0:
-            return
-        skipped, at = skipped + nxt - at, nxt
+def read_pieces(spark: SparkSession, path: str, pattern: str = "*.dat") -> DataFrame:
+    """Captures of any size as (path, block, piece, bytes), read by many tasks at once: a file is divided at every magic word,
+    real or not, whatever its length, so no file and no recording is one cell. A piece lacks the word before it."""
+    rows = spark.read.option("lineSep", MAGIC.decode()).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("piece"), F.col("value").cast("binary").alias("bytes"))
 
 
-PACKETS = "recording_id long, frame_idx long, byte_offset long, skipped_before long, packet binary"
+def slices(captures: DataFrame, size: int = PIECE) -> DataFrame:
+    """Captures that are one cell each (recording_id, content) as pieces (recording_id, seq, bytes) of `size` bytes."""
+    n = F.ceil(F.octet_length("content") / size).cast("int")
+    cut_ = captures.where(n > 0).select("recording_id", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
+    return cut_.select("recording_id", F.col("seq").cast("long").alias("seq"), F.expr(f"substring(content, seq * {size} + 1, {size})").alias("bytes"))
 
 
-def cut(captures: DataFrame) -> DataFrame:
-    """Packets of each capture (recording_id, content); a task holds one file's bytes at a time."""
+def _with_word(fold: Fold) -> Fold:
+    """The same fold over pieces that lack the magic word before them, all but a file's first."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for rec, data in zip(b.column("recording_id").to_pylist(), b.column("content").to_pylist()):
-                rows = [(rec, i, at, gap, data[at : at + n]) for i, (at, n, gap) in enumerate(chain(data or b""))]
-                for k in range(0, len(rows), 2000):
-                    cols = list(zip(*rows[k : k + 2000]))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["recording_id", "frame_idx", "byte_offset", "skipped_before", "packet"])
-
-    return captures.select("recording_id", "content").mapInArrow(run, PACKETS)
-
-
-def account(data: bytes) -> dict[str, int]:
-    """A1: where a capture's bytes went: packets, losses, false magic words, padding, and partial packets at either end."""
-    end, tail, lost, c = 0, len(data), [], dict.fromkeys(COUNTS, 0)
-    for at, n, gap in chain(data):
-        lost.append((at - gap, at))
-        end = at + n
-        used, k = HEADER, struct.unpack_from("<I", data, at + 32)[0]
-        for _ in range(k):
-            if used + 8 > n:
-                break
-            used = min(n, used + 8 + struct.unpack_from("<I", data, at + used + 4)[0])
-        c["bytes_in_frames"] += n
-        c["padded_frames"] += used < n
-        c["padding_bytes"] += n - used
-    at = data.find(MAGIC, end)
-    while at >= 0:
-        if plausible(data, at):
-            tail = at
-            break
-        at = data.find(MAGIC, at + 1)
-    lost.append((end, tail))
-    first = data.find(MAGIC)
-    for a, b in lost:
-        c["bytes_skipped"] += b - a
-        at = data.find(MAGIC, a, b)
-        if a < b < len(data) and a and at != a:
-            c["resyncs"] += 1
-        while at >= 0 and len(data) - at >= HEADER:
-            c["false_magics"] += 1
-            c["resyncs"] += data.find(MAGIC, at + 1) >= 0
-            at = data.find(MAGIC, at + 1, b)
-    return c | {"bytes_total": len(data), "truncated_tail": len(data) - tail, "leading_partial": first if first >= 0 else len(data)}
-
-
-COUNTS = ("bytes_total", "bytes_in_frames", "bytes_skipped", "truncated_tail", "leading_partial", "resyncs", "false_magics", "padded_frames", "padding_bytes")
-
-
-def accounting(captures: DataFrame) -> DataFrame:
-    """A1: one row of byte counts a capture."""
+    def step(state, row):
+        (inner, begun), (_, _, data, *rest) = state, row
+        inner, out = fold.step(inner, (0, MAGIC * begun + bytes(data or b""), *rest))
+        return (inner, True), out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [account(x or b"") for x in b.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("recording_id"), *(pa.array([r[c] for r in rows], pa.int64()) for c in COUNTS)], ["recording_id", *COUNTS])
+    finish = fold.finish and (lambda s: fold.finish(s[0]))
+    return Fold(fold.name, ("block", "piece"), fold.columns, fold.output, "", lambda: (fold.start(), False), step, finish)
+
+
+def _fold(fold: Fold, pieces: DataFrame) -> DataFrame:
+    """Runs a fold over (recording_id, seq, bytes), or over pieces as `read_pieces` gives them with a recording_id."""
+    rows = pieces if "ts" in pieces.columns or "ts" not in fold.columns else pieces.withColumn("ts", F.lit(None).cast("double"))
+    return run_batch(_with_word(fold) if "piece" in pieces.columns else fold, rows)
 
-    return captures.select("recording_id", "content").mapInArrow(run, "recording_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+
+def cut(pieces: DataFrame) -> DataFrame:
+    """Packets of each capture, its chain carried from piece to piece; a task holds one packet and one piece."""
+    return _fold(apps.packets(), pieces).select("recording_id", "frame_idx", "byte_offset", "skipped_before", "packet")
+
+
+def accounting(pieces: DataFrame) -> DataFrame:
+    """A1: one row of byte counts a capture."""
+    return _fold(apps.accounts(), pieces)
 
 
 def word(column: str, at: int) -> Column:
@@ -137,34 +86,16 @@ TLVS = "array<struct<type:int,start:int,length:int>>"
 
 
 def shred(packets: DataFrame) -> DataFrame:
-    """Payload directory of each packet by type, and anomalies: unknown types, overruns, and lengths that count their own header."""
-
-    @F.pandas_udf(f"struct<tlvs:{TLVS},anomalies:array<string>>")
-    def directory(packet: pd.Series) -> pd.DataFrame:
-        tlvs, notes = [], []
-        for p in packet:
-            n, at, got, odd = struct.unpack_from("<I", p, 32)[0], HEADER, [], []
-            for _ in range(n):
-                if at + 8 > len(p):
-                    odd.append(f"tlv_header_overrun ({at})")
-                    break
-                kind, size = struct.unpack_from("<II", p, at)
-                # the next header decides whether a length counts its own eight bytes
-                if at + 8 + size > len(p) and at + size <= len(p):
-                    size -= 8
-                    odd.append(f"length_includes_header ({kind})")
-                if at + 8 + size > len(p):
-                    odd.append(f"tlv_overrun ({kind})")
-                    break
-                if kind not in KNOWN:
-                    odd.append(f"unknown_tlv_type ({kind})")
-                got.append({"type": kind, "start": at + 8, "length": size})
-                at += 8 + size
-            tlvs.append(got)
-            notes.append(odd)
-        return pd.DataFrame({"tlvs": tlvs, "anomalies": notes})
-
-    return packets.withColumn("d", directory("packet")).select(*packets.columns, "d.tlvs", "d.anomalies")
+    """Payload directory of each packet by type, anomalies (unknown types, overruns, lengths that count their own header,
+    other counts than the header's, bytes left over) and padding."""
+
+    @F.pandas_udf(f"struct<tlvs:{TLVS},anomalies:array<string>,padding:int>")
+    def parts(packet: pd.Series) -> pd.DataFrame:
+        rows = [directory(p) for p in packet]
+        tlvs = [[{"type": k, "start": at, "length": n} for k, at, n in found] for found, _, _ in rows]
+        return pd.DataFrame({"tlvs": tlvs, "anomalies": [odd for _, odd, _ in rows], "padding": [pad for _, _, pad in rows]})
+
+    return packets.withColumn("d", parts("packet")).select(*packets.columns, "d.tlvs", "d.anomalies", "d.padding")
 
 
 def payload(kind: int) -> Column:
@@ -240,53 +171,6 @@ def decode(shredded: DataFrame, kinds: tuple[int, ...] = (POINTS, SIDE, PROFILE)
     return shredded.select(*keep, "anomalies", *(payload(k).alias(f"__{k}") for k in kinds)).mapInArrow(run, T.StructType(fields))
 
 
-def pack(frame: int, objects: int, payloads: list[tuple[int, bytes]]) -> bytes:
-    """One packet with the given payloads, padded to 32 bytes."""
-    body = b"".join(struct.pack("<II", kind, len(data)) + data for kind, data in payloads)
-    n = -(-(HEADER + len(body)) // PAD) * PAD
-    return (MAGIC + struct.pack("<8I", 0x03060000, n, 0xA6843, frame, frame * 8_000_000 % 2**32, objects, len(payloads), 0) + body).ljust(n, b"\x0f")
-
-
-def encode_dense(frames: DataFrame) -> DataFrame:
-    """Packets (recording_id, frame_idx, packet) of all payload types but points, from frames of 64 `values`."""
-
-    @F.pandas_udf("binary")
-    def build(frame: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
-        for f, v in zip(frame, values):
-            v = np.asarray(v, float)
-            size, turned, real = np.floor(np.abs(v) * 1000).astype("<u2").tobytes(), np.floor(np.abs(v[::-1]) * 1000).astype("<u2").tobytes(), np.floor(v * 1000).astype("<i2").tobytes()
-            out.append(pack(f, 0, [
-                (2, size), (3, turned), (4, real), (5, size), (6, struct.pack("<6I", f, 2, f * 3, 4, f % 100, 6)), (8, real), (9, struct.pack("<iI10h", 0, f * 40, *(20 + f % 7 - k for k in range(10)))),
-                (1050, (v[:10] * 10).astype("<f4").tobytes()), (1051, v[10:20].astype("<f4").tobytes()),
-            ]))
-        return pd.Series(out)
-
-    return frames.select("recording_id", "frame_idx", build("frame_idx", "values").alias("packet"))
-
-
-def encode(frames: DataFrame) -> DataFrame:
-    """The inverse: `packet` from frame arrays (recording_id, frame_idx, points, side), padded to 32 bytes."""
-
-    @F.pandas_udf("binary")
-    def build(frame: pd.Series, xyzv: pd.Series, side: pd.Series) -> pd.Series:
-        out = []
-        for f, p, s in zip(frame, xyzv, side):
-            out.append(pack(f, len(p) // 4, [(POINTS, np.asarray(p, "<f4").tobytes()), (SIDE, np.asarray(s, "<i2").tobytes())]))
-        return pd.Series(out)
-
-    flat = F.flatten(F.transform("points", lambda q: F.array(q["x"], q["y"], q["z"], q["v"])))
-    tenths = F.flatten(F.transform("side", lambda q: F.array(F.rint(F.coalesce(q["snr_db"], F.lit(0.0)) * 10), F.rint(F.coalesce(q["noise_db"], F.lit(0.0)) * 10))))
-    return frames.select("recording_id", "frame_idx", build("frame_idx", flat, tenths).alias("packet"))
-
-
-def as_captures(packets: DataFrame) -> DataFrame:
-    """Packets of a recording end to end, with a few foreign bytes before every tenth: what a lossy recording looks like."""
-    noisy = F.when(F.col("frame_idx") % 10 == 3, F.concat(F.lit(bytes(5)), "packet")).otherwise(F.col("packet"))
-    a = F.array_sort(F.collect_list(F.struct("frame_idx", F.hex(noisy).alias("h"))))
-    return packets.groupBy("recording_id").agg(F.unhex(F.array_join(F.transform(a, lambda x: x["h"]), "")).alias("content"))
-
-
 def parse_configs(lines: DataFrame) -> DataFrame:
     """Command lines (cfg_id, line_no, line) to one row a configuration with derived bins, resolutions and limits."""
     text = F.trim(F.regexp_replace("line", "%.*$", ""))
@@ -347,9 +231,11 @@ def latest(files: DataFrame) -> DataFrame:
 
 
 def background_runs(runs: DataFrame) -> DataFrame:
-    """For each run the first directory beside it whose name holds `empty`."""
+    """For each run the first directory beside it whose own name holds `empty` and that has a capture and a configuration of
+    its own."""
     parent = lambda c: F.regexp_extract(c, "^(.*)/[^/]*$", 1)
-    empty = runs.where(F.lower("dir").contains("empty")).groupBy(parent("dir").alias("parent")).agg(F.min("dir").alias("background"))
+    own_name = F.lower(F.substring_index("dir", "/", -1))
+    empty = runs.where(own_name.contains("empty") & ~F.col("cfg_is_fallback")).groupBy(parent("dir").alias("parent")).agg(F.min("dir").alias("background"))
     return runs.withColumn("parent", parent("dir")).join(empty, "parent", "left").where("background is null or dir <> background").select("dir", "background")
 
 

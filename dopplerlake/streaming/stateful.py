@@ -1,115 +1,98 @@
-"""Streaming equivalents (L): the batch operators' meaning kept in per-recording state; replay is trigger(availableNow)."""
+"""Streams (L): replays, the raw and index sink, running counters, and health by timers; applications are in `apps`."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from dopplerlake.operators.gesture import CORRELATED, LENGTH, PROBABILITY, VOTES
-from dopplerlake.sources.captures import HEADER, MAGIC, chain, plausible
+from dopplerlake.sources.captures import header, shred
 
-LIMIT = 8 << 20
+from . import apps
+from .fold import run_stream
+
+
+def _run(stream: DataFrame, base: str, mode: str, to: Callable) -> None:
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    to(w).start().awaitTermination()
 
 
 def replay(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """L2, L3: runs a stream over all that is there into Parquet, with its checkpoint beside it, and reads the result."""
     spark, base = stream.sparkSession, f"{folder}/stream-{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/rows").trigger(availableNow=True).start().awaitTermination()
+    _run(stream, base, mode, lambda w: w.format("parquet").option("path", f"{base}/rows"))
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
 def reassemble(chunks: DataFrame) -> DataFrame:
-    """Packets from byte chunks (recording_id, seq, bytes) that arrive in order; a partial tail waits in the state;
-    lost bytes are counted; a buffer beyond 8 MiB is given up and counted too."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, base, frame, lost = state.get if state.exists else (b"", 0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        data, out = bytes(tail) + b"".join(rows["bytes"]), []
-        end = 0
-        for at, n, gap in chain(data):
-            out.append((key[0], frame, base + at, lost + gap, n))
-            frame, lost, end = frame + 1, 0, at + n
-        # what follows the last packet: skip to the next place where a packet may begin
-        rest = data[end:]
-        start = rest.find(MAGIC)
-        while start >= 0 and len(rest) - start >= HEADER and not plausible(rest, start):
-            start = rest.find(MAGIC, start + 1)
-        if start < 0:
-            start = max(0, len(rest) - len(MAGIC) + 1)
-        if len(rest) - start > LIMIT:
-            start = len(rest)
-        state.update((rest[start:], base + end + start, frame, lost + start))
-        yield pd.DataFrame(out, columns=["recording_id", "frame_idx", "byte_offset", "skipped_before", "length"])
-
-    return chunks.groupBy("recording_id").applyInPandasWithState(step, "recording_id long, frame_idx long, byte_offset long, skipped_before long, length long", "tail binary, base long, frame long, lost long", "append", GroupStateTimeout.NoTimeout)
-
-
-def online_decisions(probs: DataFrame, thresholds=PROBABILITY, votes=VOTES, length: int = LENGTH) -> DataFrame:
-    """L4: debounced state and events of each frame, as the batch operator gives them."""
-    k, limit, need = len(thresholds), np.array(thresholds), np.array(votes)
+    """Packets from byte chunks (recording_id, seq, ts, bytes); a partial tail waits in the state, lost bytes are counted."""
+    return run_stream(apps.packets(), chunks if "ts" in chunks.columns else chunks.withColumn("ts", F.lit(None).cast("double")))
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, before = state.get if state.exists else ([], 0)
-        past = np.array(kept, int).reshape(-1, k)
-        rows, out = pd.concat(list(batches)).sort_values("frame_idx"), []
-        for frame, p in zip(rows["frame_idx"], rows["probs"]):
-            past = np.concatenate([past, (np.asarray(p) >= limit).astype(int)[None, :]])[-length:]
-            passing = np.flatnonzero(past.sum(axis=0) > need)
-            now = int(passing[-1]) if len(passing) else 0
-            out.append((key[0], frame, now, now != before and now != 0))
-            before = now
-        state.update((past.ravel().tolist(), before))
-        yield pd.DataFrame(out, columns=["recording_id", "frame_idx", "state", "fired"])
 
-    return probs.groupBy("recording_id").applyInPandasWithState(step, "recording_id long, frame_idx long, state int, fired boolean", "past array<int>, before int", "append", GroupStateTimeout.NoTimeout)
+def online_decisions(probs: DataFrame, thresholds=apps.PROBABILITY, votes=apps.VOTES, length: int = apps.LENGTH) -> DataFrame:
+    """L4: debounced state and events of each frame, as the batch operator gives them."""
+    return run_stream(apps.decisions(thresholds, votes, length), probs)
 
 
-def online_correlation(features: DataFrame, length: int = CORRELATED) -> DataFrame:
+def online_correlation(features: DataFrame, length: int = apps.CORRELATED) -> DataFrame:
     """L4: correlation of azimuth and Doppler over the last frames, kept as two short arrays a recording."""
+    return run_stream(apps.correlation(length), features)
+
+
+def online_track(candidates: DataFrame, targets: int = 1, jump: float = 0.6, hold: int = 10) -> DataFrame:
+    """The point tracker of the batch operator in a stream."""
+    return run_stream(apps.tracker(targets, jump, hold), candidates)
+
+
+def index_rows(packets: DataFrame) -> DataFrame:
+    """L2: one row a packet: time since the first, header fields, place, points, payload types in order, anomalies (null if none)."""
+    p = header(shred(packets))
+    n = F.filter("tlvs", lambda x: x["type"] == 1)
+    return p.select(
+        "recording_id", "frame_idx", "t", F.col("frame_number").alias("frame"), F.col("sub_frame").alias("sub"), "cycles", F.col("byte_offset").alias("off"),
+        F.coalesce(F.floor(F.get(n, F.lit(0))["length"] / 16), F.lit(0)).alias("n_pts"), F.transform("tlvs", lambda x: x["type"]).alias("tlvs"), F.when(F.size("anomalies") > 0, F.col("anomalies")).alias("anom"),
+    )
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    try:
+        return spark.read.parquet(path).limit(1).count() > 0
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+
+
+def write_pair(packets: DataFrame, batch: int, folder: str) -> bool:
+    """L2: one micro-batch into `raw`, then its index, then its mark in `commits`; False if the mark is there already.
+
+    Raw packets come first, as they can't be had again, and the index is made from what was written. A batch that broke off has no
+    mark: written again, it replaces its own folders.
+    """
+    spark = packets.sparkSession
+    if _there(spark, f"{folder}/commits/batch={batch}"):
+        return False
+    packets.write.mode("overwrite").parquet(f"{folder}/raw/batch={batch}")
+    index_rows(spark.read.schema(packets.schema).parquet(f"{folder}/raw/batch={batch}")).write.mode("overwrite").parquet(f"{folder}/index/batch={batch}")
+    spark.range(1).select(F.lit(batch).alias("n")).write.mode("overwrite").parquet(f"{folder}/commits/batch={batch}")
+    return True
+
+
+def dual_sink(packets: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """L2: runs a packet stream into raw packets and index rows, both or neither of each micro-batch; gives both tables."""
+    _run(packets, folder, "append", lambda w: w.foreachBatch(lambda df, batch: write_pair(df, batch, folder)))
+    return committed(packets.sparkSession, folder, "raw"), committed(packets.sparkSession, folder, "index")
+
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        a, d = map(list, state.get) if state.exists else ([], [])
-        rows, out = pd.concat(list(batches)).sort_values("frame_idx"), []
-        for frame, x, y in zip(rows["frame_idx"], rows["azimuth"], rows["doppler"]):
-            a, d = [*a, float(x)][-length:], [*d, float(y)][-length:]
-            full = len(a) == length and min(a) < max(a) and min(d) < max(d)
-            out.append((key[0], frame, float(np.corrcoef(a, d)[0, 1]) if full else 0.0))
-        state.update((a, d))
-        yield pd.DataFrame(out, columns=["recording_id", "frame_idx", "correlation"])
-
-    return features.groupBy("recording_id").applyInPandasWithState(step, "recording_id long, frame_idx long, correlation double", "a array<double>, d array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-def online_track(candidates: DataFrame, jump: float = 0.6, hold: int = 10) -> DataFrame:
-    """The point tracker of the batch operator; state is the last range and the misses. One row a frame with its
-    candidates as an array of ranges, strongest first."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, missed = state.get if state.exists else (None, 0)
-        rows, out = pd.concat(list(batches)).sort_values("frame_idx"), []
-        for frame, found in zip(rows["frame_idx"], rows["ranges"]):
-            value = None
-            if found is not None and len(found):
-                near = [x for x in found if last is None or abs(x - last) <= jump]
-                if near:
-                    value = last = float(near[0])
-                    missed = 0
-                else:
-                    missed += 1
-                    if missed > hold:
-                        last, missed = None, 0
-            out.append((key[0], frame, value, value is None and last is not None))
-        state.update((last, missed))
-        yield pd.DataFrame(out, columns=["recording_id", "frame_idx", "range_m", "coasted"]).astype({"range_m": "float64"})
-
-    return candidates.groupBy("recording_id").applyInPandasWithState(step, "recording_id long, frame_idx long, range_m double, coasted boolean", "last double, missed int", "append", GroupStateTimeout.NoTimeout)
+def committed(spark: SparkSession, folder: str, part: str) -> DataFrame:
+    """Rows of the batches that were written wholly."""
+    marks = spark.read.parquet(f"{folder}/commits").select("batch")
+    return spark.read.parquet(f"{folder}/{part}").join(F.broadcast(marks), "batch", "left_semi").drop("batch")  # one row a micro-batch
 
 
 def counters(frames: DataFrame) -> DataFrame:
@@ -117,7 +100,72 @@ def counters(frames: DataFrame) -> DataFrame:
     return frames.groupBy("recording_id").agg(F.count("*").alias("n_frames"), F.sum("num_points").alias("n_points"), F.sum("skipped_before").alias("bytes_skipped"))
 
 
-def health(seen: DataFrame, silence: float = 3.0) -> DataFrame:
-    """Recordings (recording_id, started, last_seen, now in seconds) without data `silence` after their start, or that stopped since."""
-    state = F.when(F.col("last_seen").isNull() & (F.col("now") - F.col("started") > silence), "no data").when(F.col("now") - F.col("last_seen") > silence, "stopped").otherwise("ok")
-    return seen.withColumn("health", state)
+def running_counters(frames: DataFrame, folder: str) -> DataFrame:
+    """The counts after each micro-batch of a stream of frames (column `batch`), written as it runs: never hidden, never reset."""
+    schema = counters(frames).schema
+
+    def put(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/totals/batch={batch}")
+
+    _run(counters(frames), folder, "complete", lambda w: w.foreachBatch(put))
+    return frames.sparkSession.read.schema(schema.add("batch", "long")).parquet(f"{folder}/totals")
+
+
+def latest_counters(totals: DataFrame) -> DataFrame:
+    """The counts after the last micro-batch."""
+    last = totals.agg(F.max("batch").alias("batch"))
+    return totals.join(F.broadcast(last), "batch", "left_semi").drop("batch")  # one row
+
+
+HEALTH = "recording_id long, at_ms long, health string"
+
+
+def health(reports: DataFrame, silence: float = 3.0, late: str = "0 seconds") -> DataFrame:
+    """How a recording's health turns, from reports (recording_id, ts, n_bytes, failed) in a stream.
+
+    The first report is the start. `no data` comes `silence` seconds after it if no bytes do; `ok` with the first bytes, and
+    after a silence; `stopped` when `silence` passes after the last bytes, or at once where the reader reports that it failed.
+    Event-time timers in keyed state tell silence when nothing comes: they run out as the other recordings' reports move the
+    watermark (`late` behind the newest report) on.
+    """
+    wait = round(silence * 1000)
+    ms = lambda c: F.expr(f"unix_millis({c})")
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        out: list[tuple[int, str]] = []
+        if group.exists:
+            at, seen, status = group.get
+        else:
+            at, seen, status = None, False, "new"
+
+        def silent(now: int | None) -> None:
+            nonlocal status
+            if status in ("waiting", "ok") and (now is None or now > at + wait):
+                status = "stopped" if seen else "no data"
+                out.append((at + wait, status))
+
+        if group.hasTimedOut:
+            silent(None)
+        else:
+            rows = sorted(r for pdf in batches for r in zip(pdf["ms"].tolist(), pdf["n_bytes"].fillna(0).tolist(), pdf["failed"].fillna(False).tolist()))
+            for now, n, failed in rows:
+                if status == "new":
+                    at, status = now, "waiting"
+                silent(now)
+                if n > 0:
+                    if status != "ok":
+                        out.append((now, "ok"))
+                    at, seen, status = now, True, "ok"
+                if failed and status != "stopped":
+                    out.append((now, "stopped"))
+                    status = "stopped"
+        if status in ("waiting", "ok"):
+            if at + wait < group.getCurrentWatermarkMs():
+                silent(None)
+            else:
+                group.setTimeoutTimestamp(at + wait + 1)
+        group.update((at, seen, status))
+        yield pd.DataFrame({"recording_id": pd.Series([key[0]] * len(out), dtype="int64"), "at_ms": pd.Series([m for m, _ in out], dtype="int64"), "health": pd.Series([h for _, h in out], dtype=object)})
+
+    timed = reports.withWatermark("ts", late).select("recording_id", "ts", ms("ts").alias("ms"), "n_bytes", "failed")
+    return timed.groupBy("recording_id").applyInPandasWithState(step, HEALTH, "at long, seen boolean, status string", "append", GroupStateTimeout.EventTimeTimeout)

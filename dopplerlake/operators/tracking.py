@@ -96,8 +96,9 @@ TRACK = "recording_id long, frame_idx long, target long, range_m double, coasted
 
 
 def track_maps(candidates: DataFrame, spine: DataFrame, targets: int = 1, jump: float = 0.6, coast: int = 10, optimal: bool = False) -> DataFrame:
-    """Follows peaks (recording_id, frame_idx, range_m) through all frames: nearest assignment (greedy or of least
-    total), no jump beyond `jump`, the last range held for `coast` frames. Targets start at the first frame with enough peaks."""
+    """Follows peaks (recording_id, frame_idx, range_m) through all frames: nearest assignment (greedy, or of least total),
+    no jump beyond `jump`, the last range held for `coast` frames. A recording's first frame seeds the targets, nearest first;
+    those that it has no peak for stay without."""
     rows = spine.select(*FRAME).join(candidates.select(*FRAME, "range_m"), FRAME, "left")
 
     def make():
@@ -106,17 +107,18 @@ def track_maps(candidates: DataFrame, spine: DataFrame, targets: int = 1, jump:
         def step(g: dict[str, np.ndarray]) -> list[tuple]:
             found = g["range_m"][~np.isnan(g["range_m"])]
             if not state:
-                if len(found) < targets:
-                    return [(i, None, False) for i in range(targets)]
-                state.extend([float(x), 0] for x in found[:targets])
+                state.extend([float(found[i]) if i < len(found) else None, 0] for i in range(targets))
                 return [(i, x, False) for i, (x, _) in enumerate(state)]
-            pairs = {}
-            if len(found):
-                d = np.abs(np.array([s[0] for s in state])[:, None] - found[None, :])
-                pairs = {i: j for i, j in (best_match(d) if optimal else greedy_match(d)) if d[i, j] <= jump}
-            for i, s in enumerate(state):
+            alive, pairs = [i for i, s in enumerate(state) if s[0] is not None], {}
+            if len(found) and alive:
+                d = np.abs(np.array([state[i][0] for i in alive])[:, None] - found[None, :])
+                if not optimal:
+                    d[d > jump] = np.inf
+                pairs = {alive[i]: j for i, j in (best_match(d) if optimal else greedy_match(d)) if d[i, j] <= jump}
+            for i in alive:
+                s = state[i]
                 s[:] = [float(found[pairs[i]]), 0] if i in pairs else [s[0], s[1] + 1]
-            return [(i, x if missed <= coast else None, 0 < missed <= coast) for i, (x, missed) in enumerate(state)]
+            return [(i, x if missed <= coast else None, x is not None and 0 < missed <= coast) for i, (x, missed) in enumerate(state)]
 
         return step
 

@@ -6,17 +6,22 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dopplerlake.functions.scalars import rounded
+from dopplerlake.operators import audit as a
 from dopplerlake.operators import gait as g_
 from dopplerlake.operators import gesture as g
+from dopplerlake.operators import ghosts as h
 from dopplerlake.operators import maps as m
 from dopplerlake.operators import points as p
 from dopplerlake.operators import tracking as t
 from dopplerlake.plans.gestures import EASY, FEW, STATES, _features, _probs
-from dopplerlake.plans.series import FOLLOW_TWO, WALK
+from dopplerlake.plans.maps import FEATURES, TRACKS
+from dopplerlake.plans.points import PAYLOADS, _payload_frames, _tracks
+from dopplerlake.plans.series import FOLLOW_TWO, SPECTRUM, WALK, _metrics
 from dopplerlake.plans.session import shared_folder
 from dopplerlake.sources import captures as c
 from dopplerlake.sources import fixture_captures as fc
 from dopplerlake.sources import fixtures as fx
+from dopplerlake.sources import manifest as mf
 from dopplerlake.sources.fixtures import sql
 from dopplerlake.sources.wire import MAGIC
 from dopplerlake.streaming import apps
@@ -144,8 +149,19 @@ def _decoded(s, d):
 
 
 def _manifest(s, d):
-    rows = m.sparse_range_time(fx.points(s, d), 0.25, 64).groupBy("recording_id").agg(F.count("*").alias("cells"), F.lit("C+").alias("tier"), F.lit("points").alias("provenance"))
-    return c.write_manifest(rows.withColumn("bucket", F.col("recording_id") % 4), f"{shared_folder(s)}/{_unique('manifest')}")
+    """Manifests of all recordings and ghost methods, written by bucket and read back."""
+    frames = fx.audit_frames(s, d)
+    cfg = c.parse_configs(fc.config_lines(s, d)).withColumnRenamed("cfg_id", "recording_id")
+    geometry = cfg.select("recording_id", "range_bins", "range_spacing", "velocity_spacing", "max_velocity", "fps", "n_virtual")
+    # thresholds as the configuration allows: no step slower than a velocity bin, no region beyond the last range bin
+    parameters = cfg.select("recording_id", F.greatest(F.lit(0.2), "velocity_spacing").alias("v_min"), F.least(F.lit(8.0), F.col("range_bins") * F.col("range_spacing")).alias("far_m"))
+    tagged = h.tagged(h.labels(h.features(fx.points(s, d), 0.25, 0.5), 0.5)).where("recording_id is not null")
+    rows = mf.manifest(
+        a.summary(frames).drop("fps"), a.anomaly_counts(frames), a.availability(_payload_frames(s, d)), geometry, _metrics(s, d), g_.spectral_cadence(fx.envelope(s, d), 0.2, 0.5, 2.4), tagged, a.track_quality(_tracks(s, d)), parameters,
+    )
+    path = mf.write_manifest(rows, f"{shared_folder(s)}/{_unique('manifest')}")
+    read = mf.read_manifest(s, path, rows.schema)
+    return read.select(*mf.flat(read))
 
 
 QUERIES = {
@@ -225,7 +241,23 @@ SQL = {
     "s07_latest": _files_sql("SELECT dir, modified_at, CASE WHEN o % 13 = 0 THEN 'b.dat' ELSE 'a.dat' END AS name FROM fl ORDER BY modified_at DESC, dir DESC LIMIT 1"),
     "s08_background_runs": _files_sql(""", r AS (SELECT dir, regexp_extract(dir, '^(.*)/[^/]*$', 1) AS parent, o % 4 <> 0 AS has_cfg FROM fl WHERE o % 13 <> 0), e AS (SELECT parent, min(dir) AS background FROM r WHERE regexp_extract(dir, '[^/]*$') LIKE '%empty%' AND has_cfg GROUP BY 1)
       SELECT dir, background FROM r LEFT JOIN e USING (parent) WHERE background IS NULL OR dir <> background"""),
-    "s09_manifest": sql("SELECT recording_id, count(*) AS cells, 'C+' AS tier, 'points' AS provenance, recording_id % 4 AS bucket FROM (SELECT DISTINCT recording_id, frame_idx, least(greatest(round_even(sqrt(x * x + y * y + z * z) / 0.25e0, 0), 0), 63) AS bin FROM points) GROUP BY 1", "points"),
+    "s09_manifest": sql(PAYLOADS + WALK + SPECTRUM + FEATURES + CONFIGS.replace("WITH a AS", ", a AS", 1) + """, ag AS (SELECT *, frame_number - lag(frame_number) OVER (PARTITION BY recording_id ORDER BY frame_idx) AS gap FROM audit_frames),
+      su AS (SELECT recording_id, count(*) AS n_frames, CAST(sum(num_points) AS BIGINT) AS n_points, CAST(sum(skipped_before) AS BIGINT) AS lost, count(*) FILTER (skipped_before > 0) AS resyncs, CAST(coalesce(sum(gap - 1) FILTER (gap > 1), 0) AS BIGINT) AS frames_lost,
+        count(*) FILTER (num_obj <> num_points) AS mism, count(anomaly) AS odd FROM ag GROUP BY 1),
+      tq AS (SELECT recording_id, avg(CASE WHEN range_m IS NOT NULL THEN 1.0e0 ELSE 0 END) AS vf FROM frame_spine LEFT JOIN (""" + TRACKS + """) USING (recording_id, frame_idx) GROUP BY 1),
+      tg AS (SELECT recording_id, method, count(*) AS n, count(*) FILTER (is_ghost) AS tagged FROM lab GROUP BY 1, 2 UNION ALL SELECT recording_id, NULL, NULL, NULL FROM su)
+    SELECT su.recording_id, coalesce(tg.method, 'raw_unfiltered') AS bucket, n_frames, n_points, lost AS integrity_lost_bytes, resyncs AS integrity_resyncs, frames_lost AS integrity_frames_lost, mism AS integrity_count_mismatches,
+      CASE WHEN lost > 0 AND mism > 0 THEN 'not complete: bytes skipped, counts differ' WHEN lost > 0 THEN 'not complete: bytes skipped' WHEN mism > 0 THEN 'not complete: counts differ' ELSE 'complete' END AS integrity_verdict,
+      CASE WHEN odd > 0 THEN '{"unknown_tlv_type":' || odd || '}' END AS integrity_anomalies, CASE WHEN has_map OR has_angle THEN 'B' WHEN has_profile THEN 'C+' ELSE 'C' END AS tier,
+      CAST(to_json(list_filter([CASE WHEN has_points THEN 'points' END, CASE WHEN has_profile THEN 'profile' END, CASE WHEN has_noise THEN 'noise' END, CASE WHEN has_angle THEN 'angle' END, CASE WHEN has_map THEN 'map' END, CASE WHEN has_stats THEN 'stats' END, CASE WHEN has_side THEN 'side' END, CASE WHEN has_temperature THEN 'temperature' END], lambda x: x IS NOT NULL)) AS VARCHAR) AS payloads,
+      CASE WHEN has_map THEN 'range-Doppler map' WHEN has_profile THEN 'range profile' ELSE 'points' END AS provenance_range_time, CASE WHEN coalesce(vf, 0) > 0 THEN 'following the track' ELSE 'fixed region' END AS provenance_velocity_time, CASE WHEN has_map THEN 'map' ELSE 'points' END AS provenance_envelope, round(vf, 6) AS provenance_valid_fraction,
+      CAST(bins AS BIGINT) AS geometry_range_bins, round(3e8 * ksps * 1e3 / (2 * slope_actual * 1e12 * bins), 6) AS geometry_range_spacing, round(3e8 / (2 * centre * 1e9 * chirp * tx * loops), 6) AS geometry_velocity_spacing, round(3e8 / (4 * centre * 1e9 * chirp * tx), 6) AS geometry_max_velocity, round(1000 / (c.k % 90 + 10), 6) AS geometry_fps, CAST(tx * 4 AS BIGINT) AS geometry_n_virtual,
+      round(duration, 6) + 0.0 AS metrics_duration, round(t_walk, 6) + 0.0 AS metrics_t_walk, n_segments AS metrics_n_segments, n_steps AS metrics_n_steps, round(mean_interval, 6) AS metrics_mean_interval, round(sd_interval, 6) AS metrics_sd_interval, round(median_interval, 6) AS metrics_median_interval,
+      round(CASE WHEN su.recording_id % 3 = 0 AND su.recording_id % 5 > 0 THEN 100.0e0 * abs(n_steps - su.recording_id % 5) / (su.recording_id % 5) END, 6) + 0.0 AS metrics_mape_percent, round(cadence, 6) + 0.0 AS metrics_cadence, round(CASE WHEN mean_interval > 0 THEN 100 * sd_interval / mean_interval END, 6) AS metrics_cv_percent,
+      round(CASE WHEN duration > 0 THEN t_walk / duration ELSE 0 END, 6) + 0.0 AS metrics_walking_fraction, round(cadence_spectral, 6) AS metrics_cadence_spectral, round(confidence, 6) AS metrics_confidence, round(CASE WHEN cadence > 0 THEN 100 * abs(cadence - cadence_spectral) / cadence END, 6) + 0.0 AS metrics_cadence_gap_percent,
+      round(greatest(0.2e0, 3e8 / (2 * centre * 1e9 * chirp * tx * loops)), 6) AS parameters_v_min, round(least(8.0e0, bins * 3e8 * ksps * 1e3 / (2 * slope_actual * 1e12 * bins)), 6) AS parameters_far_m,
+      tg.method AS method_name, tg.n AS method_n_points, tg.tagged AS method_n_tagged, round(tg.tagged / tg.n, 6) AS method_fraction
+    FROM su JOIN tg USING (recording_id) LEFT JOIN fl USING (recording_id) LEFT JOIN tq USING (recording_id) LEFT JOIN met USING (recording_id) LEFT JOIN sp USING (recording_id) LEFT JOIN c ON c.k = su.recording_id""", "points", "frame_spine", "audit_frames", "envelope"),
     "s10_in_order": sql("SELECT recording_id, frame_idx, CAST(CASE WHEN frame_idx < 50 THEN 0 ELSE 1 END AS BIGINT) AS part FROM frame_spine", "frame_spine"),
     "l01_reassemble": sql(SIZES + "SELECT recording_id, i AS frame_idx, byte_offset, CAST(gap AS BIGINT) AS skipped_before, length, round(((byte_offset + length - 1) // 1000 - min((byte_offset + length - 1) // 1000) OVER (PARTITION BY recording_id)) / 10, 6) + 0.0 AS t FROM po", "points"),
     "l02_raw": sql(SIZES + "SELECT recording_id, i AS frame_idx, byte_offset, length FROM po", "points"),

@@ -213,7 +213,7 @@ fr AS MATERIALIZED (SELECT recording_id, frame_idx, row_number() OVER (PARTITION
 ONE = """walk AS (
   SELECT DISTINCT recording_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame_idx, CAST(NULL AS DOUBLE) AS x, 0 AS missed FROM fr
   UNION ALL
-  SELECT recording_id, i, frame_idx, CASE WHEN x IS NULL THEN c[1] WHEN best.d <= 0.6 THEN best.y ELSE x END, CASE WHEN x IS NULL OR best.d <= 0.6 THEN 0 ELSE missed + 1 END
+  SELECT recording_id, i, frame_idx, CASE WHEN i = 1 THEN c[1] WHEN best.d <= 0.6 THEN best.y ELSE x END, CASE WHEN i = 1 OR x IS NULL OR best.d <= 0.6 THEN 0 ELSE missed + 1 END
   FROM (SELECT fr.*, x, missed, list_sort(list_transform(c, lambda y: {'d': abs(y - x), 'y': y}))[1] AS best FROM walk JOIN fr ON fr.recording_id = walk.recording_id AND fr.i = walk.i + 1))
 SELECT recording_id, frame_idx, CAST(0 AS BIGINT) AS target, round(CASE WHEN missed <= 10 THEN x END, 6) AS range_m, x IS NOT NULL AND missed BETWEEN 1 AND 10 AS coasted FROM walk WHERE i > 0"""
 _GREEDY = """SELECT *, list_filter(pairs, lambda q: q.i <> p.i AND q.j <> p.j)[1] AS q FROM (SELECT *, pairs[1] AS p FROM (SELECT *, list_sort(list_concat(
@@ -224,8 +224,8 @@ _OPTIMAL = """SELECT *, CASE WHEN len(c) = 0 THEN NULL WHEN len(c) = 1 THEN CASE
 _two = lambda match: f"""walk AS (
   SELECT DISTINCT recording_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS frame_idx, CAST(NULL AS DOUBLE) AS x0, CAST(NULL AS DOUBLE) AS x1, 0 AS m0, 0 AS m1 FROM fr
   UNION ALL
-  SELECT recording_id, i, frame_idx, CASE WHEN x0 IS NULL THEN CASE WHEN len(c) >= 2 THEN c[1] END ELSE coalesce(c[j0], x0) END, CASE WHEN x0 IS NULL THEN CASE WHEN len(c) >= 2 THEN c[2] END ELSE coalesce(c[j1], x1) END,
-    CASE WHEN x0 IS NULL OR j0 IS NOT NULL THEN 0 ELSE m0 + 1 END, CASE WHEN x0 IS NULL OR j1 IS NOT NULL THEN 0 ELSE m1 + 1 END
+  SELECT recording_id, i, frame_idx, CASE WHEN i = 1 THEN c[1] ELSE coalesce(c[j0], x0) END, CASE WHEN i = 1 THEN c[2] ELSE coalesce(c[j1], x1) END,
+    CASE WHEN i = 1 OR x0 IS NULL OR j0 IS NOT NULL THEN 0 ELSE m0 + 1 END, CASE WHEN i = 1 OR x1 IS NULL OR j1 IS NOT NULL THEN 0 ELSE m1 + 1 END
   FROM (SELECT *, CASE WHEN p.i = 0 AND p.d <= 0.6 THEN p.j WHEN q.i = 0 AND q.d <= 0.6 THEN q.j END AS j0, CASE WHEN p.i = 1 AND p.d <= 0.6 THEN p.j WHEN q.i = 1 AND q.d <= 0.6 THEN q.j END AS j1 FROM ({match.replace('FROM st', 'FROM (SELECT fr.*, x0, x1, m0, m1 FROM walk JOIN fr ON fr.recording_id = walk.recording_id AND fr.i = walk.i + 1)')})))
 SELECT recording_id, frame_idx, CAST(0 AS BIGINT) AS target, round(CASE WHEN m0 <= 10 THEN x0 END, 6) AS range_m, x0 IS NOT NULL AND m0 BETWEEN 1 AND 10 AS coasted FROM walk WHERE i > 0
 UNION ALL SELECT recording_id, frame_idx, CAST(1 AS BIGINT), round(CASE WHEN m1 <= 10 THEN x1 END, 6), x1 IS NOT NULL AND m1 BETWEEN 1 AND 10 FROM walk WHERE i > 0"""

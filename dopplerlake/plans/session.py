@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -26,9 +27,12 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, which all executors share; a temporary folder only where it is unset."""
+    """The session's spark.checkpoint.dir, which all executors share. Where it is unset, a temporary folder of this machine serves,
+    but only if the tasks run in this process: elsewhere it would be a folder of each executor's own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="dopplerlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -239,12 +239,6 @@ def background_runs(runs: DataFrame) -> DataFrame:
     return runs.withColumn("parent", parent("dir")).join(empty, "parent", "left").where("background is null or dir <> background").select("dir", "background")
 
 
-def write_manifest(rows: DataFrame, path: str) -> DataFrame:
-    """Writes one JSON row a run, partitioned by bucket, and reads it back."""
-    rows.write.partitionBy("bucket").mode("overwrite").json(path)
-    return rows.sparkSession.read.schema(rows.schema).json(path)
-
-
 def write_sessions(features: DataFrame, label: str, path: str) -> str:
     """raw features of labelled sessions, one folder a label; times count from each session's start."""
     start = F.min("t").over(Window.partitionBy("recording_id"))

@@ -76,6 +76,13 @@ def test_an_incomplete_mask_is_an_error(spark):
         points.keep(p, labels).collect()
 
 
+def test_accumulated_points_equal_the_copied_ones(spark):
+    p = cloud(spark, [(f, f * 0.5, 10 - f, 0, 1) for f in (0, 0, 3, 4, 9)])
+    spine = spark.createDataFrame([(1, f) for f in range(12)], "recording_id long, frame_idx long")
+    want = points.accumulate(p, 3, 11).groupBy("recording_id", "shown_at").agg(F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.max("y").alias("max_y"))
+    assert values(points.accumulated(p, spine, 3), "shown_at") == values(want, "shown_at") and want.count() == 10
+
+
 def test_density_closes_the_last_bin_and_widens_a_flat_axis(spark):
     d = points.density(cloud(spark, [(0, 0, 1, 0, 1), (1, 0, 1, 5, 1), (2, 0, 1, 10, 1)]), F.col("v"), F.col("x"), 10, 4)
     assert values(d.select("bx", "by", "n"), "bx") == [(0, 2, 1), (5, 2, 1), (9, 2, 1)]
@@ -363,6 +370,14 @@ def test_tracking_rejects_jumps_and_coasts(spark):
     assert [(x["range_m"], x["coasted"]) for x in r] == [(1.0, False), (1.2, False), (1.2, True), (None, False), (1.3, False)]
 
 
+def test_targets_are_seeded_at_the_first_frame_only(spark):
+    r = track(spark, [[1.0], [1.1, 3.0], [3.0]], targets=2)
+    assert [x["range_m"] for x in r] == [1.0, None, 1.1, None, 1.1, None]
+    assert [x["range_m"] for x in track(spark, [[], [1.0], [1.0]])] == [None, None, None]
+    # a pair beyond the jump does not use up its track or its peak
+    assert [x["range_m"] for x in track(spark, [[1.0, 2.0], [2.5, 2.7]], targets=2)] == [1.0, 2.0, 1.0, 2.5]
+
+
 def test_optimal_assignment_beats_greedy(spark):
     frames = [[1.0, 1.4], [1.39, 1.9]]
     near = [x["range_m"] for x in track(spark, frames, targets=2)]

@@ -9,8 +9,12 @@ page's articles (article or main elements, all of them) if half of the regions'
 that holds them all. Of that place every block is kept, however short, since headings, lists and one-line paragraphs weigh
 little in a window.
 
-An element is left out for what HTML says it is, or for a class, id or role of which every word is in the lists below and one
-at least is in `BESIDE`: "cookie-notice" goes, "notice-period" and "related-work" stay.
+Headings that stand right before that place, with no other text between, belong to it.
+
+An element is left out for what HTML says it is, or for a class, id or role that holds a word of `ALWAYS` and none of `UNLESS`
+("post-comments", "cookie-law-info" go; "with-sidebar" and "comments-open" say something of what is inside), or of which every
+word is in the lists below and one at least is in `BESIDE`: "related-posts" goes, "notice-period" and "related-work" stay. A
+main element is never beside the main text, whatever is around it is called.
 
 Null or empty html, and pages without text: empty text, zero characters. Unclosed tags end with their parents; a page that
 breaks off inside a tag loses that tag only. Pages of links alone are measured by their links. Ties: a region opens at the
@@ -42,8 +46,10 @@ GONE = frozenset("nav footer aside form menu search dialog button select option
 SCOPE = frozenset(("article", "main"))
 BOXES = frozenset("article body center div main section table tbody td tr".split())
 #: Words of class, id or role that mark blocks beside the article, and words that say only where or how.
-BESIDE = frozenset("ad ads advert adverts advertisement advertisements advertising alert alerts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus footer login menu menus modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser teasers toolbar widget widgets".split())
-PLAIN = frozenset("area bar block bottom box button buttons center container content fixed form global group inner item items left link links list main middle module outer page panel primary right row secondary section site slot small thread top unit wrap wrapper".split())
+BESIDE = frozenset("ad ads advert adverts advertisement advertisements advertising alert alerts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus footer login menu menus modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended recommendations related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser teasers toolbar trending widget widgets".split())
+ALWAYS = frozenset("ad ads adsense advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments cookie cookies disqus navbar newsletter pagination popup sidebar sponsored".split())
+UNLESS = frozenset("closed disabled enabled has have hoc no not off on open policy recipe recipes with without".split())
+PLAIN = frozenset("area articles bar block bottom box button buttons center container content fixed form global group inner item items latest left link links list main middle module outer page panel posts primary recent right row secondary section site slot small stories thread top unit wrap wrapper".split())
 HEADING = frozenset(("header", "masthead"))
 #: Of these, what also marks an article element as no article.
 REMARKS = frozenset("comment comments disqus replies reply respond teaser teasers".split())
@@ -51,25 +57,29 @@ REMARKS = frozenset("comment comments disqus replies reply respond teaser teaser
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^<>]*\Z")
 HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 WORD = re.compile(r"[a-z]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 def hinted(attributes: str) -> set[str]:
-    """Words of those names in an element's class, id and role that are made of listed words only."""
+    """Words in an element's class, id and role that count: of names made of listed words only all, of others those of ALWAYS."""
     out: set[str] = set()
     for m in HINT.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
+        for name in HUMP.sub("-", m[1] or m[2] or m[3] or "").lower().split():
             words = WORD.findall(name)
             if words and all(w in BESIDE or w in PLAIN or w in HEADING for w in words):
                 out.update(words)
+            elif not UNLESS.intersection(words):
+                out.update(ALWAYS.intersection(words))
     return out
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
-    """(text, scope, characters in links, box) of each block in page order, and each box's parent; what was left out becomes
-    WINDOW empty lines."""
+def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, bool]], list[int]]:
+    """(text, scope, characters in links, box, heading) of each block in page order, and each box's parent; what was left out
+    becomes WINDOW empty lines."""
     page = RAW.sub("", page)
-    out: list[tuple[str, int, int, int]] = []
+    out: list[tuple[str, int, int, int, bool]] = []
     parents = [0]
     stack: list[tuple[str, bool, int, int]] = []  # element, left out, scope, box
     buffer: list[str] = []
@@ -81,7 +91,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
         text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
-            out.append((text, scope, min(links, len(text)), box))
+            out.append((text, scope, min(links, len(text)), box, any(x[0] in HEADINGS for x in stack[-2:])))
         links = 0
 
     def reset() -> None:
@@ -113,7 +123,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
                 was = left_out
                 reset()
                 if was and not left_out:
-                    out += [("", scope, 0, box)] * WINDOW
+                    out += [("", scope, 0, box, False)] * WINDOW
             continue
         if name in VOID:
             continue
@@ -123,7 +133,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
         if name == "body" and left_out:
             stack.clear()
             reset()
-        if name in SCOPE and left_out and stack[-1][0] in ("nav", "head", "menu"):
+        if left_out and (name == "main" or name in SCOPE and stack[-1][0] in ("nav", "head", "menu")):
             while stack and stack[-1][1]:
                 stack.pop()
             reset()
@@ -135,7 +145,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
         else:
             leaves = name in GONE or (name == "header" and not scope) or bool(hints & BESIDE) or (not scope and bool(hints & HEADING))
         if leaves and not left_out:
-            out += [("", scope, 0, box)] * WINDOW
+            out += [("", scope, 0, box, False)] * WINDOW
         if name in SCOPE and not scope:
             scopes += 1
             scope = scopes
@@ -194,7 +204,7 @@ def around(boxes: set[int], parents: list[int]) -> set[int]:
 def main_text(page: str) -> str:
     """The article's blocks joined by newlines; empty if there is no text."""
     lines, parents = lines_of(page)
-    sizes = [max(0, len(text) - 2 * linked) for text, _, linked, _ in lines]
+    sizes = [max(0, len(text) - 2 * linked) for text, _, linked, _, _ in lines]
     if not any(sizes):
         sizes = [len(x[0]) for x in lines]
     dense = [i for a, b in regions(sizes) for i in range(a, b)]
@@ -202,7 +212,13 @@ def main_text(page: str) -> str:
     if 2 * scoped >= sum(sizes[i] for i in dense):
         return "\n".join(x[0] for x in lines if x[1] and x[0])
     boxes = around({lines[i][3] for i in dense if sizes[i]}, parents)
-    return "\n".join(x[0] for x in lines if x[3] in boxes and x[0])
+    kept = [i for i, x in enumerate(lines) if x[3] in boxes and x[0]]
+    heads = []
+    for i in range(min(kept, default=0) - 1, -1, -1):
+        if lines[i][0] and not lines[i][4]:
+            break
+        heads += [lines[i][0]] if lines[i][0] else []
+    return "\n".join([*heads[::-1], *(lines[i][0] for i in kept)])
 
 
 def extract_text(pages: DataFrame, source: str = "html", target: str = "text") -> DataFrame:

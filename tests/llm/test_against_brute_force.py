@@ -476,6 +476,26 @@ def test_html(spark):
     assert sorted((r[0], r[3]) for r in html_text.op7_html_text(df).collect()) == [(1, 46), (1, 46), (2, 0)]
 
 
+@pytest.mark.parametrize("name,stays", [
+    ("post-comments", False), ("user-comments", False), ("userComments", False), ("cookie-law-info", False), ("related-posts", False), ("RelatedArticles", False), ("google-ads", False), ("top-ad-970x250", False), ("latest-news sidebar-right", False),
+    ("comments-open", True), ("with-sidebar", True), ("no-ads", True), ("ad-hoc", True), ("related-work", True), ("notice-period", True), ("cookie-recipe", True), ("commentary", True), ("posts", True), ("shadow", True),
+])
+def test_names_of_elements_beside_the_text(name, stays):
+    long = "A sentence of prose that is long enough to weigh. " * 3
+    inside = f"<article><h1>Head</h1><p>{long}</p><section class='{name}'><p>Of another kind.</p></section><p>{long}</p></article>"
+    want = ["Head", long.strip(), *["Of another kind."] * stays, long.strip()]
+    assert html_text.main_text(f"<body>{inside}</body>").split("\n") == want
+    assert html_text.main_text(f"<body><div>{inside.replace('article', 'div')}</div></body>").split("\n") == want
+
+
+def test_headings_before_the_place_of_the_text():
+    assert html_text.main_text("<body><h1>Title</h1><div class=x>Prose that says what there is to say here.</div></body>") == "Title\nProse that says what there is to say here."
+    prose = "".join(f"<p>Sentence {i} of some prose that is long enough to weigh something.</p>" for i in range(4))
+    page = f"<body><div>Imprint and more</div><hgroup><h1>Title</h1><p>Second</p></hgroup><div class=ad>Buy</div><h2>Part</h2><div class=q>{prose}</div><div>Imprint</div></body>"
+    assert html_text.main_text(page).split("\n")[:3] == ["Title", "Second", "Part"] and "Imprint" not in html_text.main_text(page)
+    assert html_text.main_text(f"<body><div class='layout sidebar'><main>{prose}</main></div></body>").count("\n") == 3
+
+
 def test_surge_and_dive_points():
     assert html_text.regions([0, 0, 100, 3, 90, 0, 0, 0, 0, 20, 0, 0, 0]) == [(2, 5)]
     assert html_text.regions([0, 80, 0, 0, 0, 0, 70, 60, 0]) == [(6, 8)]

@@ -12,13 +12,13 @@ the table until CELLS cells are full. Up to PROBES cells the search visits all.
 by hash, and so are the queries that visit a cell beyond `BLOCK`, so no group grows with the table. The originals travel with
 their codes, once: a shortlist of hundreds for one query in fifty would fetch each of them several times.
 
-Equal vectors are indexed once, with their `k + 1` smallest ids, which is all that an exact answer can use. Only codebooks,
+Equal vectors are indexed once, with their `k + 1` smallest different ids, which is all that an exact answer can use. Only codebooks,
 centres and the counts of cells are broadcast, all of a fixed size.
 
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no part. All
 others are scaled by a power of two first, so that no square overflows or vanishes; the cosine is the same. Ties go to the
-smaller vec_id. Repeated ids with different vectors count as different rows, and so does each as a query; exact repeats of
-a query ask once. Empty table: no rows.
+smaller vec_id. Exact repeats of a row count once, as candidates and as queries. Rows that share an id but not their vector are
+rows of their own, each a query, but none is a neighbour of another. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -205,7 +205,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, shortlist: int = SH
     d = dims["d"] if dims else 1
     all_rows = all_rows.where(F.size("v") == d)
     order = Window.partitionBy("v").orderBy("vec_id")
-    same = all_rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    same = all_rows.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     same = written(same.select("ids", "v"), "vectors")
     sample = same.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").toArrow()
     x = unit(_matrix(sample.column("v"))) if sample.num_rows else np.ones((1, d))

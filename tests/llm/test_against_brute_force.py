@@ -453,6 +453,18 @@ def test_ann_probes_a_part_of_the_cells(spark):
     assert len(got) == 200 and hits >= 0.9 * 1000
 
 
+def test_neighbours_behind_many_copies_of_the_query(spark):
+    v, w, u = [1.0, 2.0, 0.5], [1.0, 1.9, 0.6], [-1.0, 0.2, 3.0]
+    rows = [(50, v, 1)] * 8 + [(60, v, 1), (9, w, 1), (11, u, 1), (60, v, 1), (61, v, 1), (50, u, 1)]
+    got = {}
+    for r in ann.op3_ann(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 4)))
+    cos = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 4)
+    of_v, of_u = [(60, 1.0), (61, 1.0), (9, cos(v, w)), (11, cos(v, u))], [(11, 1.0), (9, cos(u, w)), (60, cos(u, v)), (61, cos(u, v))]
+    of_u = sorted(of_u, key=lambda x: (-x[1], x[0]))
+    assert sorted(got[50]) == sorted((i + 1, *x) for xs in (of_v, of_u) for i, x in enumerate(xs))
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body><header><h1>Site</h1></header>
     <nav><ul><li><a href=/x>Menu</a></li></ul></nav><div class="cookie-notice">We use cookies</div><main><article><header><h1>Title &amp; more</h1></header>

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dopplerlake.functions.scalars import rounded
 from dopplerlake.operators import gesture as g
+from dopplerlake.operators import network
 from dopplerlake.plans.points import AZIMUTH, RANGE
 from dopplerlake.sources import fixtures as fx
 from dopplerlake.sources.fixtures import sql
@@ -84,14 +85,13 @@ def _angle_cells(s, d):
 
 
 def _trained(s, d):
-    """Windows of all sessions, fitted on some sessions, confusion on the others."""
+    """Windows of all sessions, a network fitted on some sessions, confusion on the others."""
     w = _windows(s, d).where("ready").join(g.training_windows(_features(s, d).withColumn("label", (F.col("recording_id") % 3).cast("int")), ["f0", "f5"]), FRAME)
     rows = g.split_by_session(w.select(*FRAME, "window", "target"), 0.3)
-    from pyspark.ml.functions import array_to_vector
-
-    model = g.train(rows.where("not validation"), hidden=(8,), classes=3, rounds=10)
-    told = model.transform(rows.where("validation").select("target", array_to_vector("window").alias("features")))
-    return g.confusion(told.select("target", F.col("prediction").cast("int").alias("predicted")))
+    net = network.fit(rows, hidden=(8,), classes=3, rounds=20).layers
+    told = g.score(rows.where("validation"), net)
+    best = F.expr("array_position(probs, array_max(probs))").cast("int") - 1
+    return g.confusion(told.select("target", best.alias("predicted")))
 
 
 def _argmax(s, d):

@@ -7,13 +7,15 @@ codebook entries make a lookup table; candidates are scored by table look-ups an
 each chunk are reranked exactly on the original vectors.
 
 Every vector lies in the coarse cell of its nearest centre (spherical k-means on the sample, one cell for each `CELL`
-vectors, `CELLS` at most), and a query visits the `PROBES` cells whose centres are nearest to it: its cost does not grow with
-the table until CELLS cells are full. Up to PROBES cells the search visits all. Cells of more than `CHUNK` vectors are split
-by hash, and so are the queries that visit a cell beyond `BLOCK`, so no group grows with the table. The originals travel with
-their codes, once: a shortlist of hundreds for one query in fifty would fetch each of them several times.
+vectors, `CELLS` at most), and a query visits the `PROBES` cells whose centres are nearest to it. Up to PROBES cells the search
+visits all. A cell of more than `CHUNK` vectors has a second level: about one in CHUNK of its own vectors, chosen by hash, are
+the centres of its parts, and a query visits the `PARTS` parts nearest to it in each cell. So a query's cost, and the copies of
+a vector for the queries that meet it, stay the same however large the table is. Parts still above CHUNK are split by hash,
+and so are the queries of a part beyond `BLOCK`, so no group grows with the table. The originals travel with their codes: a
+shortlist of hundreds for one query in fifty would fetch each of them several times.
 
-Equal vectors are indexed once, with their `k + 1` smallest different ids, which is all that an exact answer can use. Only codebooks,
-centres and the counts of cells are broadcast, all of a fixed size.
+Equal vectors are indexed once, with their `k + 1` smallest different ids, which is all that an exact answer can use. Only codebooks and
+centres are broadcast, of a fixed size.
 
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no part. All
 others are scaled by a power of two first, so that no square overflows or vanishes; the cosine is the same. Ties go to the
@@ -30,6 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import written
 
@@ -42,6 +46,7 @@ CELL = 8192
 CELLS = 2048
 PROBES = 16
 CHUNK = 16_384
+PARTS = 4
 BLOCK = 4096
 K = 5
 
@@ -152,6 +157,39 @@ def _probe(shared, probes: int):
     return run
 
 
+def _nearest_parts(n: int, names: list[str], kinds: list[pa.DataType]):
+    """Rows (`v` among the columns) with the places of the `n` centres of their cell nearest to them, as the list `parts`."""
+
+    def run(rows: pa.Table, centres: pa.Table) -> pa.Table:
+        near = np.zeros((rows.num_rows, 1), np.int32)
+        if rows.num_rows and centres.num_rows:
+            order = np.argsort(centres.column("part").to_numpy())
+            c = unit(_matrix(centres.column("v"))[order]).astype(np.float32)
+            k = min(n, len(c))
+            near = np.concatenate([np.argpartition(-(_matrix(rows.column("v"))[at : at + 4096].astype(np.float32) @ c.T), k - 1, axis=1)[:, :k] for at in range(0, rows.num_rows, 4096)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(rows.num_rows + 1) * near.shape[1], pa.int32()), pa.array(near.ravel(), pa.int32()))
+        return pa.table([*(rows.column(c).cast(k) for c, k in zip(names, kinds)), lists], [*names, "parts"])
+
+    return run
+
+
+def _in_parts(rows: DataFrame, centres: DataFrame, key: str, n: int, chunk: int) -> DataFrame:
+    """Rows (with `cell`) once for each of the `n` parts nearest to them in their cell (column `part`; 0 in cells without parts).
+
+    The rows of a cell meet its centres in slices of `chunk`; rows of cells without centres meet nothing.
+    """
+    held = centres.groupBy("cell").agg(F.count("*").alias("m"))
+    split = rows.join(held, "cell", "left_semi")
+    slices = split.groupBy("cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("slices"))
+    left = split.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64(key, F.lit(3)), "slices").cast("int")).drop("slices")
+    right = centres.join(slices, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    names, schema = rows.columns, rows.schema
+    kinds = [f.type for f in to_arrow_schema(schema)]
+    made = left.groupBy("cell", "slice").cogroup(right.groupBy("cell", "slice")).applyInArrow(_nearest_parts(n, names, kinds), T.StructType([*schema, T.StructField("parts", T.ArrayType(T.IntegerType()))]))
+    met = made.select(*names, F.explode("parts").alias("part"))
+    return met.unionByName(rows.join(held, "cell", "left_anti").withColumn("part", F.lit(0)))
+
+
 def _search(shared, k: int, shortlist: int):
     def run(c: pa.Table, q: pa.Table) -> pa.Table:
         out = {"asked": [], "query_id": [], "vec_id": [], "score": []}
@@ -197,8 +235,9 @@ def _search(shared, k: int, shortlist: int):
     return run
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = K, shortlist: int = SHORTLIST, cell: int = CELL, probes: int = PROBES) -> DataFrame:
-    """The k nearest rows (vec_id, embedding) of each query by cosine: query_id, rank, vec_id, score."""
+def nearest(rows: DataFrame, queries: DataFrame, k: int = K, shortlist: int = SHORTLIST, cell: int = CELL, probes: int = PROBES, most: int = CELLS, chunk: int = CHUNK, parts: int = PARTS) -> DataFrame:
+    """The k nearest rows (vec_id, embedding) of each query by cosine: query_id, rank, vec_id, score. With as many `probes` and
+    `parts` as there are the search visits all; the shortlist alone is then approximate."""
     spark = rows.sparkSession
     all_rows = usable(rows)
     dims = all_rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -209,21 +248,27 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, shortlist: int = SH
     same = written(same.select("ids", "v"), "vectors")
     sample = same.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").toArrow()
     x = unit(_matrix(sample.column("v"))) if sample.num_rows else np.ones((1, d))
-    cells = max(1, min(CELLS, math.ceil(same.count() / cell)))
+    cells = max(1, min(most, math.ceil(same.count() / cell)))
     shared = spark.sparkContext.broadcast((fit_books(x), fit_centres(x, cells)))
     asked = usable(queries).where(F.size("v") == d).distinct()
     asked = asked.select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("vec_id", "v").alias("asked"))
     probed = asked.mapInArrow(_probe(shared, probes), "query_id long, v array<double>, asked long, cells array<int>")
     probed = written(probed.select("query_id", "v", "asked", F.explode("cells").alias("cell")), "probes")
     indexed = written(same.mapInArrow(_index(shared), "ids array<long>, v array<double>, code binary, norm float, cell int"), "codes")
-    held = indexed.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    visits = probed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    plan = F.broadcast(held.join(visits, "cell"))  # one row a cell
+    large = indexed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    chosen = F.pmod(F.xxhash64("v", F.lit(5)), F.lit(chunk)) == 0
+    centres = indexed.where(chosen).join(large, "cell", "left_semi").select("cell", "v", (F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("v"), "norm")) - 1).cast("int").alias("part"))
+    centres = written(centres, "parts")
+    placed = written(_in_parts(indexed, centres, "v", 1, chunk), "placed")
+    asking = written(_in_parts(probed, centres, "asked", parts, chunk), "asking")
+    held = placed.groupBy("cell", "part").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    visits = asking.groupBy("cell", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    plan = held.join(visits, ["cell", "part"])
     part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = indexed.join(plan, "cell").select("ids", "v", "code", "norm", "cell", part("v", "chunks").alias("chunk"), each("blocks").alias("block"))
-    right = probed.join(plan, "cell").select("query_id", "asked", "v", "cell", each("chunks").alias("chunk"), part("asked", "blocks").alias("block"))
-    keys = ("cell", "chunk", "block")
+    left = placed.join(plan, ["cell", "part"]).select("ids", "v", "code", "norm", "cell", "part", part("v", "chunks").alias("chunk"), each("blocks").alias("block"))
+    right = asking.join(plan, ["cell", "part"]).select("query_id", "asked", "v", "cell", "part", each("chunks").alias("chunk"), part("asked", "blocks").alias("block"))
+    keys = ("cell", "part", "chunk", "block")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(shared, k, shortlist), "asked long, query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("asked", "query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

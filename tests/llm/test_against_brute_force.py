@@ -453,6 +453,25 @@ def test_ann_probes_a_part_of_the_cells(spark):
     assert len(got) == 200 and hits >= 0.9 * 1000
 
 
+def test_neighbours_through_parts_of_large_cells(spark):
+    """Few cells of many vectors: each has parts, a query visits four of them in each cell, and finds what it should."""
+    rng = np.random.default_rng(17)
+    heads = rng.normal(size=(300, 24))
+    x = (heads[rng.integers(0, 300, 12_000)] + 0.35 * rng.normal(size=(12_000, 24))).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(rows, rows.where("vec_id % 60 = 0"), cell=1500, probes=8, most=8, chunk=250, parts=4).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    n = x.astype(np.float64)
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 12_000, 60):
+        s = n @ n[q]
+        s[q] = -9
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert len(got) == 200 and all(len(v) == 5 for v in got.values()) and hits >= 0.9 * 1000, hits
+
+
 def test_neighbours_behind_many_copies_of_the_query(spark):
     v, w, u = [1.0, 2.0, 0.5], [1.0, 1.9, 0.6], [-1.0, 0.2, 3.0]
     rows = [(50, v, 1)] * 8 + [(60, v, 1), (9, w, 1), (11, u, 1), (60, v, 1), (61, v, 1), (50, u, 1)]

@@ -152,8 +152,11 @@ def source(spark: SparkSession, path: str, schema: T.StructType, files: int = 8)
 
 def staged(rows: DataFrame, order: str, path: str, pieces: int = 3, files: int = 4, key: str | None = R) -> DataFrame:
     """A table as a stream: written in `pieces` by `order`, one after the other, `files` files each, read two pieces a
-    micro-batch at most. Within a piece the rows of one `key` are in one file (of none: dealt round)."""
-    spark = rows.sparkSession
+    micro-batch at most. Within a piece the rows of one `key` are in one file (of none: dealt round). The table is computed once,
+    into a folder beside `path`, and divided from there."""
+    spark, schema = rows.sparkSession, rows.schema
+    rows.write.parquet(f"{path}-whole")
+    rows = spark.read.schema(schema).parquet(f"{path}-whole")
     # cut points by the whole table: a fixed number of quantiles
     cuts = rows.approxQuantile(order, [k / pieces for k in range(1, pieces)], 0.01) if pieces > 1 else []
     bounds = [None, *cuts, None]
@@ -164,4 +167,4 @@ def staged(rows: DataFrame, order: str, path: str, pieces: int = 3, files: int =
         if high is not None:
             part = part.where(part[order] < high)
         (part.repartition(files, key) if key else part.repartition(files)).write.mode("append").parquet(path)
-    return source(spark, path, rows.schema, 2 * files if key else files)
+    return source(spark, path, schema, 2 * files if key else files)

@@ -3,7 +3,8 @@
 Writing: a payload becomes one track of fixed-size samples (`UNIT` bytes each, so lossless 8-bit samples), every
 `KEY_EVERY`-th sample marked as a sync sample, laid out in chunks of `PER_CHUNK` samples behind file type and movie boxes.
 Reading: boxes are walked level by level; time-to-sample, sample-to-chunk, size, chunk-offset and sync tables are decoded,
-which gives codec, duration and the byte range of every keyframe. Payload bytes are only ever sliced, never decoded.
+which gives codec, duration and the byte range of every keyframe, those of movie fragments too. Payload bytes are only ever
+sliced, never decoded.
 
 Null or empty text: one unit of bytes 255. Broken containers: `probe` raises ValueError with the box that is wrong.
 """
@@ -97,31 +98,81 @@ def walk(data: bytes, start: int = 0, stop: int | None = None, path: tuple = ())
         start += size
 
 
+def _box_start(data: bytes, kind: bytes, body: int) -> int:
+    """Where the box begins whose body is at `body`."""
+    return body - 8 if data[body - 4 : body] == kind else body - 16
+
+
+def _run(data: bytes, a: int, defaults: dict, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Sizes, durations and sync marks of a fragment's run, and where its samples begin (`at` where it does not say)."""
+    flags, n = int.from_bytes(data[a + 1 : a + 4], "big"), struct.unpack_from(">I", data, a + 4)[0]
+    place, first = a + 8, None
+    if flags & 0x1:
+        at, place = defaults["base"] + struct.unpack_from(">i", data, place)[0], place + 4
+    if flags & 0x4:
+        first, place = struct.unpack_from(">I", data, place)[0], place + 4
+    fields = [name for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+    table = np.frombuffer(data, ">u4", n * len(fields), place).reshape(n, len(fields)).astype(np.int64)
+    column = lambda name: table[:, fields.index(name)] if name in fields else np.full(n, defaults[name], np.int64)
+    marks = column("flags").copy()
+    if first is not None and n:
+        marks[0] = first
+    return column("size"), column("duration"), marks & 0x10000 == 0, at
+
+
 def probe(data: bytes) -> list[dict]:
-    """One dict for each track: codec, timescale, duration, sizes and places of all samples, sync samples."""
+    """One dict for each track: codec, timescale, duration, sizes and places of all samples, sync samples. Samples of movie
+    fragments follow those of the track's own tables."""
     tracks: list[dict] = []
+    extends: dict[int, dict] = {}
+    moof, into, defaults, after = 0, None, {}, 0
     for path, a, _ in walk(data):
         kind = path[-1]
+        word = lambda at: struct.unpack_from(">I", data, at)[0]
         if kind == b"trak":
-            tracks.append({"codec": "", "timescale": 1, "duration": 0, "sync": None})
+            tracks.append({"codec": "", "timescale": 1, "duration": 0, "sync": None, "id": None, "more": []})
+        elif kind == b"trex":
+            extends[word(a + 4)] = dict(zip(("duration", "size", "flags"), struct.unpack_from(">III", data, a + 12)))
+        elif kind == b"moof":
+            moof = after = _box_start(data, kind, a)
+        elif kind == b"tfhd":
+            flags, ident, place = int.from_bytes(data[a + 1 : a + 4], "big"), word(a + 4), a + 8
+            into = next((t for t in tracks if t["id"] == ident), None)
+            if into is None:
+                raise ValueError(f"a fragment is of track {ident}, which is not there")
+            defaults = {"duration": 0, "size": 0, "flags": 0, "shift": 0, "base": moof if flags & 0x20000 else after} | extends.get(ident, {})
+            for bit, name, form in ((0x1, "base", ">Q"), (0x2, "", ">I"), (0x8, "duration", ">I"), (0x10, "size", ">I"), (0x20, "flags", ">I")):
+                if flags & bit:
+                    defaults[name] = struct.unpack_from(form, data, place)[0]
+                    place += struct.calcsize(form)
+            after = defaults["base"]
+        elif kind == b"trun":
+            if into is None:
+                raise ValueError("a fragment's run has no header")
+            sizes, durations, sync, at = _run(data, a, defaults, after)
+            ends = at + np.cumsum(sizes)
+            after = int(ends[-1]) if len(ends) else at
+            into["more"].append((sizes, ends - sizes, sync, int(durations.sum())))
         if not tracks or b"trak" not in path:
             continue
-        t, count = tracks[-1], (lambda at: struct.unpack_from(">I", data, at)[0])
-        if kind == b"mdhd":
+        t = tracks[-1]
+        if kind == b"tkhd":
+            t["id"] = word(a + 20) if data[a] else word(a + 12)
+        elif kind == b"mdhd":
             t["timescale"], t["duration"] = struct.unpack_from(">IQ", data, a + 20) if data[a] else struct.unpack_from(">II", data, a + 12)
         elif kind == b"stsd":
             t["codec"] = data[a + 12 : a + 16].decode("latin-1")
         elif kind == b"stts":
-            t["times"] = np.frombuffer(data, ">u4", 2 * count(a + 4), a + 8).reshape(-1, 2).astype(np.int64)
+            t["times"] = np.frombuffer(data, ">u4", 2 * word(a + 4), a + 8).reshape(-1, 2).astype(np.int64)
         elif kind == b"stss":
-            t["sync"] = np.frombuffer(data, ">u4", count(a + 4), a + 8).astype(np.int64)
+            t["sync"] = np.frombuffer(data, ">u4", word(a + 4), a + 8).astype(np.int64)
         elif kind == b"stsc":
-            t["runs"] = np.frombuffer(data, ">u4", 3 * count(a + 4), a + 8).reshape(-1, 3).astype(np.int64)
+            t["runs"] = np.frombuffer(data, ">u4", 3 * word(a + 4), a + 8).reshape(-1, 3).astype(np.int64)
         elif kind == b"stsz":
             same, n = struct.unpack_from(">II", data, a + 4)
             t["sizes"] = np.full(n, same, np.int64) if same else np.frombuffer(data, ">u4", n, a + 12).astype(np.int64)
         elif kind in (b"stco", b"co64"):
-            t["chunks"] = np.frombuffer(data, ">u4" if kind == b"stco" else ">u8", count(a + 4), a + 8).astype(np.int64)
+            t["chunks"] = np.frombuffer(data, ">u4" if kind == b"stco" else ">u8", word(a + 4), a + 8).astype(np.int64)
     for t in tracks:
         missing = {"sizes", "runs", "chunks", "times"} - t.keys()
         if missing:
@@ -132,14 +183,22 @@ def probe(data: bytes) -> list[dict]:
         before = np.cumsum(t["sizes"]) - t["sizes"]
         starts = np.concatenate([[0], np.cumsum(per)[:-1]])
         t["places"] = t["chunks"][in_chunk] + before - before[starts[in_chunk]]
-        sync = np.arange(1, len(t["sizes"]) + 1) if t["sync"] is None else t["sync"]
-        t["keyframes"] = np.stack([t["places"][sync - 1], t["places"][sync - 1] + t["sizes"][sync - 1]], axis=1)
+        sync = np.arange(len(t["sizes"])) if t["sync"] is None else t["sync"] - 1
+        for sizes, places, marks, duration in t.pop("more"):
+            sync = np.concatenate([sync, len(t["sizes"]) + np.flatnonzero(marks)])
+            t["sizes"], t["places"] = np.concatenate([t["sizes"], sizes]), np.concatenate([t["places"], places])
+            t["duration"] += duration
+        t["keyframes"] = np.stack([t["places"][sync], t["places"][sync] + t["sizes"][sync]], axis=1)
+        if len(t["sizes"]) and (t["places"] + t["sizes"]).max() > len(data):
+            raise ValueError("samples lie beyond the end of the file")
     return tracks
 
 
 def read_back(data: bytes) -> tuple[bytes, list[dict]]:
     """The first track's sample bytes in order, by its tables, and all tracks. Touching samples are sliced as one run."""
     tracks = probe(data)
+    if not tracks or not len(tracks[0]["sizes"]):
+        raise ValueError("there is no track with samples")
     t = tracks[0]
     ends = t["places"] + t["sizes"]
     cuts = np.flatnonzero(t["places"][1:] != ends[:-1]) + 1
@@ -149,6 +208,8 @@ def read_back(data: bytes) -> tuple[bytes, list[dict]]:
 
 def feature(tracks: list[dict]) -> str:
     """Codec, duration, samples and keyframe byte ranges (count, first, last and a checksum over all) of the first track."""
+    if not tracks or not len(tracks[0]["keyframes"]):
+        raise ValueError("there is no track with keyframes")
     t = tracks[0]
     k = t["keyframes"]
     seconds = t["duration"] / t["timescale"]

@@ -153,6 +153,53 @@ def test_media(docs, rows):
     assert Counter(tuple(x)[:7] for x in got) == want
 
 
+def fragmented(parts, defaults=True):
+    """A movie without samples of its own, and two fragments: runs with all fields, with defaults, and one that goes on after another."""
+    import struct
+
+    b, f = media.box, media.full
+    empty = b(b"stbl", f(b"stsd", struct.pack(">I", 1), b(b"raw ", bytes(28))), f(b"stts", bytes(4)), f(b"stsc", bytes(4)), f(b"stsz", bytes(8)), f(b"stco", bytes(4)))
+    trak = b(b"trak", f(b"tkhd", struct.pack(">IIII", 0, 0, 7, 0), bytes(64)), b(b"mdia", f(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), b(b"minf", empty)))
+    out = b(b"ftyp", b"isom") + b(b"moov", trak, b(b"mvex", f(b"trex", struct.pack(">IIIII", 7, 1, 40, 9, 0x10000))))
+    sync, plain = 0x2000000, 0x10000
+    for k, samples in enumerate(parts):
+        if k % 2 == 0:
+            rows = b"".join(struct.pack(">III", 30, len(x), sync if i % 3 == 0 else plain) for i, x in enumerate(samples))
+            run = lambda at: f(b"trun", struct.pack(">Ii", len(samples), at), rows, flags=0x701)
+            traf = lambda at: b(b"traf", f(b"tfhd", struct.pack(">I", 7), flags=0x20000), run(at))
+        else:  # equal samples by the movie's defaults, the first a sync sample, in two runs
+            half = len(samples) // 2
+            first = lambda at: f(b"trun", struct.pack(">IiI", half, at, sync), flags=0x5)
+            traf = lambda at: b(b"traf", f(b"tfhd", struct.pack(">I", 7)), first(at), f(b"trun", struct.pack(">I", len(samples) - half)))
+        moof = lambda at: b(b"moof", f(b"mfhd", struct.pack(">I", k)), traf(at))
+        out += moof(len(moof(0)) + 8) + b(b"mdat", b"".join(samples))
+    return out
+
+
+def test_media_fragments():
+    one, two = [bytes([65 + i]) * (5 + i) for i in range(7)], [bytes([97 + i]) * 9 for i in range(5)]
+    data = fragmented([one, two, one])
+    payload, tracks = media.read_back(data)
+    assert payload == b"".join(one + two + one)
+    t = tracks[0]
+    assert (t["codec"], len(t["sizes"]), t["duration"]) == ("raw ", 19, 7 * 30 + 5 * 40 + 7 * 30)
+    assert [data[a:b] for a, b in t["keyframes"].tolist()] == [one[0], one[3], one[6], two[0], one[0], one[3], one[6]]
+    assert media.feature(tracks).startswith("codec=raw;seconds=0.620000;samples=19;keyframes=7;")
+
+
+def test_broken_containers_raise_one_kind_of_error():
+    import struct
+
+    whole = media.store(media.padded(b"x" * 2000))
+    no_samples = fragmented([])
+    stray = no_samples + media.box(b"moof", media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 8))))
+    headless = no_samples + media.box(b"moof", media.box(b"traf", media.full(b"trun", struct.pack(">I", 1))))
+    far = whole.replace(b"stco" + bytes(4) + struct.pack(">I", 1), b"stco" + bytes(4) + struct.pack(">I", 1))[: -600 - 8] + b""
+    for data in (b"", b"short", whole[:40], whole + b"1234567", no_samples, stray, headless, far, media.box(b"ftyp", b"isom")):
+        with pytest.raises(ValueError):
+            media.feature(media.read_back(data)[1])
+
+
 def test_media_tables():
     payload = bytes(range(256)) * 9 * 45
     t = media.probe(media.store(payload))[0]

@@ -6,8 +6,11 @@ word between boundary marks (those that touch a mark are affixes) and lexicon en
 segments whose transfer matrices are multiplied, so that all segments of many texts advance together and the result is
 exactly that of the plain recursion. The language of a text is the one with the largest mean posterior, which is the score.
 
+The runs of a text, its stretches of words whose own languages are the same, come with their places (`runs`).
+
 The classifier is fitted by gradient ascent on the conditional likelihood of a bounded sample: at most `SAMPLE` texts of
-each language with a label (smallest by hash of their id), whole. Labels are given for whole texts, so code-switched chains
+each language with a label (smallest by hash of their id), whole, and of `SAMPLE_BYTES` together, for the `LANGUAGES` most
+frequent labels. So what reaches the driver is bounded. Labels are given for whole texts, so code-switched chains
 are made from them: every other pair of chains swaps runs of a few to some tens of words, which keep their languages. From
 these the transitions learn how long a language lasts and what may follow it. Everything else runs over all rows.
 
@@ -25,11 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import remainder
 
 BUCKETS = 1 << 15
 SAMPLE = 150
+SAMPLE_BYTES = 16 << 20
+LANGUAGES = 64
 #: Lengths in words of the runs that mixed training chains swap, at least and at most.
 RUNS = (4, 60)
 LEXICON = 4000
@@ -177,8 +183,8 @@ class Tagger:
             self.rows.update(zip(keys[at : at + 20_000], range(self.used, self.used + len(part))))
             self.used += len(part)
 
-    def emissions(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of all words with letters, and how many each text has."""
+    def emissions(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of all words with letters, how many each text has, and each one's number among the words of its text."""
         every = [w for t in texts for w in t]
         missing = set(every).difference(self.rows)
         if missing:
@@ -186,17 +192,21 @@ class Tagger:
                 missing = set(every)
             self._learn(missing)
         rows = np.fromiter(map(self.rows.__getitem__, every), np.int64, len(every))
-        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        place = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         ok = rows >= 0
-        return self.table[rows[ok]].astype(np.float64), np.bincount(owner[ok], minlength=len(texts))
+        return self.table[rows[ok]].astype(np.float64), np.bincount(owner[ok], minlength=len(texts)), place[ok]
 
-    def tag(self, texts: list[str]) -> list[tuple[str, float, int, int, float]]:
-        """(language, score, words, switches between languages, mean posterior of each word's own language) of each text."""
-        scores, counts = self.emissions([t.lower().split() for t in texts])
+    def tag(self, texts: list[str]) -> tuple[list[tuple[str, float, int, int, float]], tuple[np.ndarray, ...]]:
+        """(language, score, words, switches between languages, mean posterior of each word's own language) of each text, and all
+        runs: (their number in each text; first word, word after the last, language of each)."""
+        scores, counts, place = self.emissions([t.lower().split() for t in texts])
         out = [(UNKNOWN, 0.0, 0, 0, 0.0)] * len(texts)
         full = np.flatnonzero(counts)
+        none = np.zeros(0, np.int64)
         if not len(full) or not self.langs:
-            return out
+            return out, (np.zeros(len(texts), np.int64), none, none, none)
         gamma, _ = posteriors(scores, counts[full], self.start, self.trans)
         edges = np.cumsum(counts[full]) - counts[full]
         mean = np.add.reduceat(gamma, edges, axis=0) / counts[full][:, None]
@@ -208,7 +218,11 @@ class Tagger:
         for i, row, n, k, c in zip(full.tolist(), mean, counts[full].tolist(), turns.tolist(), sure.tolist()):
             j = int(row.argmax())
             out[i] = (self.langs[j], float(min(1.0, max(0.0, row[j]))), n, k, c)
-        return out
+        turned[edges] = 1
+        first = np.flatnonzero(turned)
+        many = np.zeros(len(texts), np.int64)
+        many[full] = turns + 1
+        return out, (many, place[first], place[np.append(first[1:], len(best)) - 1] + 1, best[first])
 
 
 def mixed_chains(chains: list[tuple[list[str], np.ndarray]], rng: np.random.Generator) -> list[tuple[list[str], np.ndarray]]:
@@ -274,42 +288,60 @@ def fit(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.3, seed: i
     return tagger
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
-    """Fits on at most `sample` labelled texts of each language, smallest by hash of doc_id and text, whole."""
+def learn(docs: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> Tagger:
+    """Fits on at most `sample` labelled texts of each of the `languages` most frequent labels, smallest by hash of doc_id and
+    text, whole, as many as fit in `most_bytes` a label."""
     rows = docs.where(F.col("lang").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return Tagger([], {}, np.zeros((BUCKETS + LEXICON, 0)), np.zeros(0), np.zeros((0, 0)))
     # a hash threshold for each language first, so that only about the sample's texts are sorted
-    share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, 1.3 * sample / n + 20 / n))) for lang, n in sizes.items()))
-    near = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30))
-    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))))
-    picked = ranked.where(F.col("k") <= sample).orderBy("lang", "k").collect()
+    shares = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.3 * sample / n + 20 / n))))
+    near = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.try_element_at(shares, F.col("lang")) * (1 << 30))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
+    ranked = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
+    ranked = ranked.withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    picked = ranked.where(F.col("bytes") <= most_bytes).orderBy("lang", "k").collect()
     return fit([(r["text"], r["lang"]) for r in picked])
 
 
-def identify(docs: DataFrame, tagger: Tagger, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, `extra` columns, lang_pred, score, n_words, n_switches and confidence of every row; only the text is an input."""
+RUN = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("lang", T.StringType())])
+
+
+def identify(docs: DataFrame, tagger: Tagger, extra: tuple[str, ...] = (), runs: bool = False) -> DataFrame:
+    """doc_id, `extra` columns, lang_pred, score, n_words, n_switches and confidence of every row; only the text is an input.
+
+    With `runs` also the runs of one language (start, stop, lang): words are numbered from 0 between white space, those without
+    letters too; `stop` is the word after the last.
+    """
     spark, state = docs.sparkSession, (tagger.langs, tagger.lexicon, tagger.weights.astype(np.float32), tagger.start, tagger.trans)
     shared = spark.sparkContext.broadcast(state)
     keep = ["doc_id", *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tagger(*shared.value)
+        names = pa.array(t.langs, pa.string())
         for b in batches:
-            texts, rows, at, total = b.column("text").to_pylist(), [], 0, 0
+            texts, rows, found, at, total = b.column("text").to_pylist(), [], [], 0, 0
             for i, x in enumerate(texts):
                 total += len(x or "")
                 if total >= CHUNK or i == len(texts) - 1:
-                    rows += t.tag([y or "" for y in texts[at : i + 1]])
+                    told, more = t.tag([y or "" for y in texts[at : i + 1]])
+                    rows += told
+                    found.append(more)
                     at, total = i + 1, 0
             cols = list(zip(*rows)) or [()] * 5
             made = [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], [*keep, "lang_pred", "score", "n_words", "n_switches", "confidence"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_words", T.LongType()), T.StructField("n_switches", T.LongType()), T.StructField("confidence", T.DoubleType())])
+            if runs:
+                many, start, stop, lang = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4))
+                cells = pa.StructArray.from_arrays([pa.array(start), pa.array(stop), names.take(pa.array(lang))], ["start", "stop", "lang"])
+                made.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), cells))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], [*keep, *told_names])
+
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_words", T.LongType()), T.StructField("n_switches", T.LongType()), T.StructField("confidence", T.DoubleType())]
+    fields += [T.StructField("runs", T.ArrayType(RUN))] if runs else []
+    told_names = [f.name for f in fields]
+    schema = T.StructType([*(docs.schema[c] for c in keep), *fields])
     return docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"]))).mapInArrow(run, schema)
 
 
@@ -317,4 +349,4 @@ def op6_language(docs: DataFrame) -> DataFrame:
     """Language of every whole text, learned from the documents that are not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").withColumn("held_out", remainder("doc_id", 4) == 2)
     tagger = learn(rows.where(~F.col("held_out")))
-    return identify(rows, tagger, ("held_out",)).select("doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches")
+    return identify(rows, tagger, ("held_out",), runs=True).select("doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches", "runs")

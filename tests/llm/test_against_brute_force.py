@@ -394,11 +394,61 @@ def test_switches_inside_a_text_are_found(docs, rows):
     texts = {lang: next(r[1] for r in rows if r[2] == lang and r[1] and len(r[1].split()) > 80).split()[:80] for lang in tagger.langs if any(r[2] == lang and r[1] and len(r[1].split()) > 80 for r in rows)}
     a, b = sorted(texts)[:2]
     mixed = " ".join(texts[a][:40] + texts[b][:40] + texts[a][40:])
-    (_, _, n, switches, sure), = tagger.tag([mixed])
-    assert 2 <= switches <= 6 and sure > 0.8
+    ((_, _, n, switches, sure),), (many, start, stop, lang) = tagger.tag([mixed])
+    assert 2 <= switches <= 6 and sure > 0.8 and many.tolist() == [switches + 1]
+    right = sum(tagger.langs[l] == (b if 40 <= i < 80 else a) for x, y, l in zip(start, stop, lang) for i in range(x, y))
+    assert right > 0.85 * 120
     assert np.count_nonzero(tagger.trans - np.diag(np.diag(tagger.trans))) > 0
 
 
+def plain_tags(tagger, text):
+    """Languages of a text's words by the recursions written out: (language, score, runs)."""
+    words = [(i, w) for i, w in enumerate(text.lower().split()) if any(c.isalpha() for c in w)]
+    k = len(tagger.langs)
+    if not words:
+        return "und", 0.0, []
+    e = []
+    for _, w in words:
+        ids, _ = crf.word_features(["".join(c for c in w if c.isalpha())], tagger.lexicon)
+        e.append(np.exp(sum(tagger.weights[j].astype(np.float32).astype(np.float64) for j in ids)))
+    t, n = np.exp(tagger.trans), len(words)
+    f, b = [np.exp(tagger.start) * e[0]], [np.ones(k)]
+    for i in range(1, n):
+        f.append((f[-1] / f[-1].sum()) @ t * e[i])
+    for i in range(n - 1, 0, -1):
+        x = t @ (e[i] * b[0])
+        b.insert(0, x / x.sum())
+    gamma = np.array([x * y / (x @ y) for x, y in zip(f, b)])
+    mean, best, runs = gamma.mean(axis=0), gamma.argmax(axis=1), []
+    for (i, _), l in zip(words, best):
+        if runs and runs[-1][2] == l:
+            runs[-1][1] = i + 1
+        else:
+            runs.append([i, i + 1, l])
+    return tagger.langs[int(mean.argmax())], float(mean.max()), [(x, y, tagger.langs[l]) for x, y, l in runs]
+
+
+def test_tags_against_plain_recursions(spark, docs, rows):
+    tagger = crf.learn(docs)
+    by_lang = {lang: next(r[1] for r in rows if r[2] == lang and r[1] and len(r[1].split()) > 60).split()[:60] for lang in ("en", "de")}
+    texts = [r[1] for r in rows if r[1] is not None and len(r[1]) < 1500][:60] + ["", "12 !! 34", " ".join(by_lang["en"][:30] + ["--", "7"] + by_lang["de"][:30] + ["..."] + by_lang["en"][30:])]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(99_999, None, "x")], "doc_id long, text string, runs string").repartition(3)
+    got = {r["doc_id"]: r for r in crf.identify(df, tagger, runs=True).collect()}
+    for i, t in enumerate(texts):
+        lang, score, runs = plain_tags(tagger, t)
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, abs=1e-4), i
+        assert [(r["start"], r["stop"], r["lang"]) for r in got[i]["runs"]] == runs and len(runs) == (got[i]["n_switches"] + 1 if runs else 0)
+    assert len(got[len(texts) - 1]["runs"]) >= 3 and got[99_999]["lang_pred"] == "und" and got[99_999]["runs"] == []
+
+
+def test_the_sample_is_bounded(spark):
+    rows = [(i, f"word{i % 7} " * 50, f"l{i % 9:02d}") for i in range(900)] + [(1000 + i, "text of a rare language here", "zz") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert crf.learn(df, sample=5).langs == [f"l{k:02d}" for k in range(9)] + ["zz"]
+    assert crf.learn(df, sample=5, languages=4).langs == ["l00", "l01", "l02", "l03"]
+    assert crf.learn(df, sample=5, most_bytes=100).langs == ["zz"]
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     lengths = np.array([1, 5, 70, 33, 32, 64, 200])
@@ -636,10 +686,10 @@ def test_preference_sql(spark):
 def test_clashing_columns_and_a_single_source_change_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
     clash = docs
-    for c in ("bundle", "fp", "variant", "component_id", "ids", "n_tokens", "kept", "held_out", "score", "uid", "h", "media", "n_bytes", "lang_pred", "sequence_id", "piece", "length", "key", "kind", "a", "b", "node", "root"):
+    for c in ("bundle", "fp", "variant", "component_id", "ids", "n_tokens", "kept", "held_out", "score", "uid", "h", "media", "n_bytes", "lang_pred", "sequence_id", "piece", "length", "key", "kind", "a", "b", "node", "root", "runs"):
         clash = clash.withColumn(c, F.lit("x"))
     for op in (bpe.op2_bpe_round_trip, suffix_dedup.op4_suffix_dedup, simhash.op8_simhash, media.op10_media, crf.op6_language):
-        assert Counter(map(tuple, op(docs).collect())) == Counter(map(tuple, op(clash).collect())), op
+        assert Counter(map(str, op(docs).collect())) == Counter(map(str, op(clash).collect())), op  # runs are lists
     left = suffix_dedup.remove_repeats(clash.select("doc_id", "text", "bundle", "key", "kind"))
     assert left.count() == docs.count() and left.where("bundle = 'x' and key = 'x'").count() == docs.count()
 

@@ -14,6 +14,13 @@ POINTS, PROFILE, NOISE, SIDE = 1, 2, 3, 7
 KNOWN = (1, 2, 3, 4, 5, 6, 7, 8, 9, 1050, 1051)
 SMALLEST, LARGEST, MOST_TLVS, MOST_SUB, MOST_OBJ = 40, 4 << 20, 64, 3, 4096
 LIMIT = 8 << 20
+#: How anomalies of a packet are told; they are counted by what stands before the bracket.
+HEADER_OVERRUN = "tlv_header_overruns_frame (tlv {} of {})"
+PAYLOAD_OVERRUN = "tlv_payload_overruns_frame (type {} len {})"
+WITH_HEADER = "tlv_length_includes_header (type {})"
+UNKNOWN_TYPE = "unknown_tlv_type ({}, {} bytes)"
+OTHER_COUNT = "tlv_count_mismatch (header says {}, parsed {})"
+LEFT_OVER = "trailing_bytes_in_frame ({})"
 
 
 def directory(packet: bytes) -> tuple[list[tuple[int, int, int]], list[str], int]:
@@ -25,26 +32,26 @@ def directory(packet: bytes) -> tuple[list[tuple[int, int, int]], list[str], int
     count, at, end, found, odd = struct.unpack_from("<I", packet, 32)[0], HEADER, len(packet), [], []
     for i in range(count):
         if at + 8 > end:
-            odd.append(f"tlv_header_overruns_frame (tlv {i} of {count})")
+            odd.append(HEADER_OVERRUN.format(i, count))
             break
         kind, size = struct.unpack_from("<II", packet, at)
         if at + 8 + size > end:
             if size < 8 or at + size > end:
-                odd.append(f"tlv_payload_overruns_frame (type {kind} len {size})")
+                odd.append(PAYLOAD_OVERRUN.format(kind, size))
                 break
-            odd.append(f"tlv_length_includes_header (type {kind})")
+            odd.append(WITH_HEADER.format(kind))
             size -= 8
         if kind not in KNOWN:
-            odd.append(f"unknown_tlv_type ({kind}, {size} bytes)")
+            odd.append(UNKNOWN_TYPE.format(kind, size))
         found.append((kind, at + 8, size))
         at += 8 + size
     if len(found) != count:
-        odd.append(f"tlv_count_mismatch (header says {count}, parsed {len(found)})")
+        odd.append(OTHER_COUNT.format(count, len(found)))
     rest, padding = end - at, 0
     if 0 < rest < PAD and end % PAD == 0:
         padding = rest
     elif rest > 0:
-        odd.append(f"trailing_bytes_in_frame ({rest})")
+        odd.append(LEFT_OVER.format(rest))
     return found, odd, padding
 
 

@@ -230,6 +230,19 @@ _two = lambda match: f"""walk AS (
 SELECT recording_id, frame_idx, CAST(0 AS BIGINT) AS target, round(CASE WHEN m0 <= 10 THEN x0 END, 6) AS range_m, x0 IS NOT NULL AND m0 BETWEEN 1 AND 10 AS coasted FROM walk WHERE i > 0
 UNION ALL SELECT recording_id, frame_idx, CAST(1 AS BIGINT), round(CASE WHEN m1 <= 10 THEN x1 END, 6), x1 IS NOT NULL AND m1 BETWEEN 1 AND 10 FROM walk WHERE i > 0"""
 _recursive = lambda body, *views: sql(body, *views).replace("WITH", "WITH RECURSIVE", 1)
+#: Steps of the envelope: level stretches above both neighbours, thinned highest first, with the prominence of a scan to either side.
+STEPS = WALK.rstrip() + """, sx AS MATERIALIZED (SELECT recording_id, frame_idx, t, v, coalesce(v, 0) AS x, row_number() OVER (PARTITION BY recording_id ORDER BY frame_idx) - 1 AS i FROM sm),
+st1 AS (SELECT *, sum(step) OVER (PARTITION BY recording_id ORDER BY i) AS g FROM (SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY recording_id ORDER BY i) THEN 0 ELSE 1 END AS step FROM sx)),
+lv AS (SELECT recording_id, g, (min(i) + max(i)) // 2 AS i, any_value(x) AS x FROM st1 GROUP BY 1, 2),
+th AS (SELECT recording_id, greatest(1, coalesce(round_even(0.25e0 / median(dt), 0), 1)) AS apart, greatest(0.15e0 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)), 1e-6) AS least FROM (SELECT *, t - lag(t) OVER (PARTITION BY recording_id ORDER BY i) AS dt FROM sx) GROUP BY 1),
+pk AS (SELECT recording_id, i, x, apart, coalesce(least, 1e-6) AS least, row_number() OVER (PARTITION BY recording_id ORDER BY x DESC, i DESC) AS k FROM (SELECT *, lag(x) OVER w AS a, lead(x) OVER w AS z FROM lv WINDOW w AS (PARTITION BY recording_id ORDER BY g)) JOIN th USING (recording_id) WHERE x > a AND x > z AND x >= 0.2e0),
+thin AS (SELECT DISTINCT recording_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM pk
+  UNION ALL SELECT recording_id, k, CASE WHEN list_any_value(list_filter(kept, lambda o: abs(o - i) < apart)) IS NULL THEN list_append(kept, i) ELSE kept END FROM (SELECT pk.*, kept FROM thin JOIN pk ON pk.recording_id = thin.recording_id AND pk.k = thin.k + 1)),
+al AS (SELECT recording_id, unnest(kept) AS i FROM thin QUALIFY k = max(k) OVER (PARTITION BY recording_id)),
+bs AS (SELECT recording_id, i, any_value(least) AS least, any_value(x) AS x, any_value(lo) AS lo, any_value(hi) AS hi FROM (SELECT pk.*, max(o.i) FILTER (o.i < pk.i AND o.x > pk.x) OVER p AS lo, min(o.i) FILTER (o.i > pk.i AND o.x > pk.x) OVER p AS hi FROM pk JOIN al USING (recording_id, i) JOIN sx o ON o.recording_id = pk.recording_id WINDOW p AS (PARTITION BY pk.recording_id, pk.i)) GROUP BY 1, 2),
+pr AS (SELECT bs.recording_id, bs.i FROM bs JOIN sx o ON o.recording_id = bs.recording_id AND o.i > coalesce(lo, -1) AND o.i < coalesce(hi, 9e9) GROUP BY 1, 2, bs.x, least HAVING bs.x - greatest(min(o.x) FILTER (o.i <= bs.i), min(o.x) FILTER (o.i >= bs.i)) >= least),
+hit AS (SELECT sx.recording_id, frame_idx, t, v, segment FROM pr JOIN sx USING (recording_id, i) LEFT JOIN walk ON walk.recording_id = sx.recording_id AND frame_idx BETWEEN "first" AND "last")
+SELECT recording_id, frame_idx, round(t, 6) + 0.0 AS t, round(v, 6) + 0.0 AS v, segment FROM hit WHERE segment IS NOT NULL OR recording_id NOT IN (SELECT recording_id FROM walk)"""
 FOLLOW_TWO = _recursive(CANDIDATES + FOLLOW_TWO_BODY, "points", "frame_spine")
 SQL = {
     "t02_track_one": _recursive(_lists(3) + ONE, "emb_cells"),
@@ -245,6 +258,7 @@ SQL = {
         + ") GROUP BY 1, 2) SELECT recording_id, frame_idx, round(t, 6) AS t, round(v, 6) + 0.0 AS v FROM frame_spine LEFT JOIN e USING (recording_id, frame_idx)", "points", "frame_spine"),
     "g04_smooth": sql(f"SELECT recording_id, frame_idx, round(t, 6) + 0.0 AS t, round(v, 6) + 0.0 AS v FROM ({SMOOTH})", "envelope"),
     "g05_segments": sql(WALK + 'SELECT recording_id, "first", "last", round(t0, 6) + 0.0 AS t0, round(t1, 6) + 0.0 AS t1, segment FROM walk', "envelope"),
+    "g07_steps": _recursive(STEPS, "envelope"),
     "g08_intervals": sql(WALK + 'SELECT recording_id, segment, frame_idx, round(interval_s, 6) AS "interval" FROM iv', "envelope"),
     "g09_metrics": sql(WALK + """SELECT recording_id, round(duration, 6) + 0.0 AS duration, round(t_walk, 6) + 0.0 AS t_walk, n_segments, n_steps, round(mean_interval, 6) AS mean_interval, round(sd_interval, 6) AS sd_interval, round(median_interval, 6) AS median_interval,
       round(cadence, 6) + 0.0 AS cadence, round(CASE WHEN mean_interval > 0 THEN 100 * sd_interval / mean_interval END, 6) AS cv_percent, round(CASE WHEN duration > 0 THEN t_walk / duration ELSE 0 END, 6) + 0.0 AS walking_fraction, round(CASE WHEN recording_id % 3 = 0 AND recording_id % 5 > 0 THEN 100.0e0 * abs(n_steps - recording_id % 5) / (recording_id % 5) END, 6) + 0.0 AS mape_percent FROM met""", "envelope"),

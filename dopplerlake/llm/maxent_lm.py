@@ -192,7 +192,7 @@ def count_events(train: DataFrame, singles, classes) -> DataFrame:
         for b in batches:
             for _, texts in texts_of(b):
                 _, _, cls, c1, skip = histories(words, texts)
-                np.add.at(seen, (c1 * SKIPS + skip) * CLASSES + cls, 1)
+                np.add.at(seen, (c1 * SKIPS + skip) * CLASSES + cls, np.int32(1))
         at = np.flatnonzero(seen)
         for k in range(0, len(at), 100_000):
             part = at[k : k + 100_000]

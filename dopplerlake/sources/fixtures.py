@@ -97,7 +97,7 @@ def angle_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adc_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw samples, 8 chirps x 8 samples in one array a frame."""
+    """64 raw samples in one array a frame; their cube (chirps, receivers, samples) is named where they are used."""
     return dense_frames(spark, sf_dir).withColumnRenamed("values", "adc")
 
 

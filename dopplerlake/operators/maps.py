@@ -6,8 +6,6 @@ so they shuffle nothing; sparse maps are partial and final hash aggregates.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

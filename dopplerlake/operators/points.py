@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dopplerlake.functions.scalars import azimuth_of, clip, elevation_of, half_even, range_of
+from dopplerlake.functions.scalars import azimuth_of, elevation_of, half_even, range_of
 
 FRAME = ["recording_id", "frame_idx"]
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dopplerlake.functions.scalars import rounded
 from dopplerlake.operators import audit as a
 from dopplerlake.operators import gait as g_
-from dopplerlake.operators import gesture as g
 from dopplerlake.operators import ghosts as h
 from dopplerlake.operators import maps as m
 from dopplerlake.operators import points as p

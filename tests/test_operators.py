@@ -11,7 +11,6 @@ from dopplerlake.operators import angle, audit, gait, gesture, ghosts, maps, poi
 from dopplerlake.sources import captures, wire
 from dopplerlake.sources import fixture_captures as made
 from dopplerlake.streaming import apps, stateful
-from dopplerlake.streaming.fold import run_batch
 
 P = "recording_id long, frame_idx long, point_idx long, t double, x double, y double, z double, v double, snr_db double, noise_db double"
 

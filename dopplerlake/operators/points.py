@@ -93,13 +93,12 @@ def accumulate(points: DataFrame, frames: int, last: int) -> DataFrame:
     return points.withColumn("shown_at", F.explode(shown))
 
 
-def accumulated(points: DataFrame, spine: DataFrame, frames: int) -> DataFrame:
-    """Number, mean x and largest y of the points that each frame of the spine shows, its own and those of the `frames` - 1
-    before; frames that show none are not there. Points are added up once, by frame; a window over frames does the rest."""
+def accumulated(points: DataFrame, frames: int, last: int) -> DataFrame:
+    """Number, mean x and largest y of the points that each frame up to `last` shows, its own and those of the `frames` - 1
+    before; frames that show none are not there. Points are added up by frame first, and only these sums are shown in later ones."""
     own = points.groupBy(*FRAME).agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.max("y").alias("y"))
-    w = Window.partitionBy("recording_id").orderBy("frame_idx").rangeBetween(-(frames - 1), 0)
-    shown = spine.select(*FRAME).join(own, FRAME, "left").select(F.col("recording_id"), F.col("frame_idx").alias("shown_at"), F.sum("n").over(w).alias("n"), F.sum("x").over(w).alias("x"), F.max("y").over(w).alias("max_y"))
-    return shown.where("n > 0").select("recording_id", "shown_at", "n", (F.col("x") / F.col("n")).alias("mean_x"), "max_y")
+    shown = accumulate(own, frames, last).groupBy("recording_id", "shown_at").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.max("y").alias("max_y"))
+    return shown.select("recording_id", "shown_at", "n", (F.col("x") / F.col("n")).alias("mean_x"), "max_y")
 
 
 def mark_static(profile: DataFrame, points: DataFrame, range_bin: float, velocity_bin: float, bins: int) -> DataFrame:

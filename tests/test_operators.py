@@ -77,9 +77,8 @@ def test_an_incomplete_mask_is_an_error(spark):
 
 def test_accumulated_points_equal_the_copied_ones(spark):
     p = cloud(spark, [(f, f * 0.5, 10 - f, 0, 1) for f in (0, 0, 3, 4, 9)])
-    spine = spark.createDataFrame([(1, f) for f in range(12)], "recording_id long, frame_idx long")
     want = points.accumulate(p, 3, 11).groupBy("recording_id", "shown_at").agg(F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.max("y").alias("max_y"))
-    assert values(points.accumulated(p, spine, 3), "shown_at") == values(want, "shown_at") and want.count() == 10
+    assert values(points.accumulated(p, 3, 11), "shown_at") == values(want, "shown_at") and want.count() == 10
 
 
 def test_density_closes_the_last_bin_and_widens_a_flat_axis(spark):

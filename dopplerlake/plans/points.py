@@ -52,7 +52,7 @@ QUERIES = {
     "p06_gate": lambda s, d: p.gate(fx.points(s, d)).select(*p.FRAME, "point_idx", "x", "y", "z", "v", "snr_db"),
     "p07_notch": lambda s, d: p.notch(fx.points(s, d), 0.5, 1).select(*p.FRAME, "point_idx", "v"),
     "p09_strongest": lambda s, d: p.strongest(fx.points(s, d)).select(*p.FRAME, "point_idx", "place", "snr_db"),
-    "p10_subtract_background": lambda s, d: p.subtract_background(fx.points(s, d), p.gate(fx.background_points(s, d).withColumn("v", F.lit(1.0)))).select(*p.FRAME, "point_idx"),
+    "p10_subtract_background": lambda s, d: p.subtract_background(fx.points(s, d, by=tuple(p.FRAME)), p.gate(fx.background_points(s, d).withColumn("v", F.lit(1.0)))).select(*p.FRAME, "point_idx"),
     "p12_accumulate": lambda s, d: p.accumulated(fx.points(s, d), 10, 99),
     "p13_mark_static": lambda s, d: p.mark_static(fx.profile_cells(s, d), fx.points(s, d), 0.25, 0.5, 64),
     "p14_density_velocity": lambda s, d: p.density(fx.points(s, d), F.col("t"), F.col("v"), 350, 150),

@@ -16,13 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections, about six a frame; frames of 17 have no side information."""
-    frame = F.col("l_partkey") % 100
-    order = Window.partitionBy("l_suppkey", frame).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    dark = frame % 17 == 0
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("recording_id"), frame.alias("frame_idx"), (F.row_number().over(order) - 1).cast("long").alias("point_idx"), (frame * 0.04).alias("t"),
+def points(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Detections, about six a frame; frames of 17 have no side information.
+
+    Rows are shuffled as they were read, before anything is derived from them, for the places in their frames. `by` names the
+    columns of the key to shuffle by, where that serves what follows too; the frame's number is then not carried along.
+    """
+    order = Window.partitionBy("recording_id", "frame_idx").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    keys = {"recording_id": F.col("recording_id"), "frame_idx": F.col("l_partkey") % 100}
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "recording_id")
+    rows = (rows.repartition(*(keys[k] for k in by)) if by else rows).withColumn("frame_idx", keys["frame_idx"])
+    frame, dark = F.col("frame_idx"), F.col("frame_idx") % 17 == 0
+    return rows.withColumn("point_idx", (F.row_number().over(order) - 1).cast("long")).select(
+        "recording_id", "frame_idx", "point_idx", (frame * 0.04).alias("t"),
         ((F.col("l_quantity") - 25.5) / 10).alias("x"), (F.col("l_extendedprice") / 20000).alias("y"), ((F.col("l_discount") - 0.05) * 20).alias("z"),
         F.round((F.col("l_tax") - 0.04) * 50, 1).alias("v"),
         F.when(~dark, ((F.col("l_orderkey") % 400) - 50) * 0.1).alias("snr_db"), F.when(~dark, (F.col("l_partkey") % 300) * 0.1).alias("noise_db"),

@@ -25,38 +25,38 @@ def register(name: str):
 
 
 def trend(points: DataFrame) -> DataFrame:
-    """H3: SNR above its range trend: 16 equal bins, medians of bins with 3 points or more, linear between their centres."""
-    measured = points.where("snr_db is not null")
-    extent = measured.groupBy("recording_id").agg(F.min("range_m").alias("lo"), F.max("range_m").alias("hi"), F.percentile("snr_db", F.lit(0.5)).alias("overall"))
-    p = points.join(extent, "recording_id", "left")
+    """H3: SNR above its range trend: 16 equal bins, medians of bins with 3 points or more, linear between their centres.
+
+    All of it is windows over the recording, so that points are shuffled once at most.
+    """
+    whole, measured = Window.partitionBy("recording_id"), F.when(F.col("snr_db").isNotNull(), F.col("range_m"))
+    p = points.withColumns({"lo": F.min(measured).over(whole), "hi": F.max(measured).over(whole), "overall": F.percentile("snr_db", F.lit(0.5)).over(whole)})
     width = (F.col("hi") - F.col("lo")) / BINS
-    bin_of = F.when(F.col("hi") > F.col("lo"), clip(F.floor((F.col("range_m") - F.col("lo")) / width), 0, BINS - 1))
-    known = measured.join(extent, "recording_id").withColumn("b", bin_of).where("b is not null")
-    knots = known.groupBy("recording_id", "b").agg(F.percentile("snr_db", F.lit(0.5)).alias("m"), F.count("*").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi")).where("n >= 3")
+    p = p.withColumn("b", F.when(F.col("hi") > F.col("lo"), clip(F.floor((F.col("range_m") - F.col("lo")) / width), 0, BINS - 1)))
+    part = Window.partitionBy("recording_id", "b")
+    p = p.withColumns({"m": F.percentile("snr_db", F.lit(0.5)).over(part), "known": F.count("snr_db").over(part)})
     knot = F.struct((F.col("lo") + (F.col("b") + 0.5) * (F.col("hi") - F.col("lo")) / BINS).alias("x"), F.col("m").alias("m"))
-    curve = knots.groupBy("recording_id").agg(F.array_sort(F.collect_list(knot)).alias("knots"))
-    q = p.join(curve, "recording_id", "left")
+    q = p.withColumn("knots", F.array_sort(F.collect_set(F.when(F.col("b").isNotNull() & (F.col("known") >= 3), knot)).over(whole)))
     below = F.array_max(F.filter("knots", lambda k: k["x"] <= F.col("range_m")))
     above = F.array_min(F.filter("knots", lambda k: k["x"] > F.col("range_m")))
     q = q.withColumns({"k0": below, "k1": above})
     inner = F.col("k0.m") + (F.col("k1.m") - F.col("k0.m")) * (F.col("range_m") - F.col("k0.x")) / (F.col("k1.x") - F.col("k0.x"))
-    level = F.when(F.coalesce(F.size("knots"), F.lit(0)) < 2, F.col("overall")).otherwise(F.coalesce(inner, F.col("k0.m"), F.col("k1.m")))
-    return q.withColumn("excess_db", F.coalesce(F.col("snr_db") - level, F.lit(0.0))).drop("lo", "hi", "overall", "knots", "k0", "k1")
+    level = F.when(F.size("knots") < 2, F.col("overall")).otherwise(F.coalesce(inner, F.col("k0.m"), F.col("k1.m")))
+    return q.withColumn("excess_db", F.coalesce(F.col("snr_db") - level, F.lit(0.0))).drop("lo", "hi", "overall", "b", "m", "known", "knots", "k0", "k1")
 
 
 def features(points: DataFrame, range_bin: float, velocity_bin: float) -> DataFrame:
-    """H1-H4: bins, co-cell count and secondary flag, SNR excess, and offsets from the frame's primary point."""
+    """H1-H4: bins, co-cell count and secondary flag, SNR excess, and offsets from the frame's primary point. Points without a
+    recording or a frame have none. Points that come partitioned by recording are not shuffled again."""
     p = points.withColumns({"range_m": range_of(), "azimuth_deg": azimuth_of()})
     p = p.withColumns({"range_bin": half_even(F.col("range_m") / range_bin), "doppler_bin": half_even(F.col("v") / velocity_bin)})
-    cell = Window.partitionBy(*FRAME, "range_bin", "doppler_bin")
-    p = p.withColumns({"cocell": F.count("*").over(cell), "secondary": F.row_number().over(cell.orderBy(F.desc_nulls_last("snr_db"), "point_idx")) > 1})
-    p = trend(p)
-    per = p.groupBy(*FRAME).agg(F.percentile("snr_db", F.lit(0.75)).alias("q"), F.count("*").alias("n"))
-    p = p.join(per, FRAME)
+    p = trend(p).where("recording_id is not null and frame_idx is not null")
+    frame, cell = Window.partitionBy(*FRAME), Window.partitionBy(*FRAME, "range_bin", "doppler_bin")
+    p = p.withColumns({"q": F.percentile("snr_db", F.lit(0.75)).over(frame), "n": F.count("*").over(frame)})
     eligible = F.when((F.col("n") > 2) & F.col("q").isNotNull(), F.coalesce(F.col("snr_db") >= F.col("q"), F.lit(False))).otherwise(F.lit(True))
-    primary = F.min(F.when(eligible, F.struct("range_m", "point_idx", "azimuth_deg", "v"))).over(Window.partitionBy(*FRAME))
-    p = p.withColumn("primary", primary)
-    return p.withColumns({"d_range": F.col("range_m") - F.col("primary.range_m"), "d_azimuth": F.col("azimuth_deg") - F.col("primary.azimuth_deg"), "d_v": F.col("v") - F.col("primary.v")}).drop("q", "n", "primary")
+    p = p.withColumn("primary", F.min(F.when(eligible, F.struct("range_m", "point_idx", "azimuth_deg", "v"))).over(frame))
+    p = p.withColumns({"d_range": F.col("range_m") - F.col("primary.range_m"), "d_azimuth": F.col("azimuth_deg") - F.col("primary.azimuth_deg"), "d_v": F.col("v") - F.col("primary.v")}).drop("q", "n", "primary")
+    return p.withColumns({"cocell": F.count("*").over(cell), "secondary": F.row_number().over(cell.orderBy(F.desc_nulls_last("snr_db"), "point_idx")) > 1})
 
 
 @register("method0")
@@ -121,3 +121,16 @@ def tagged(label_rows: DataFrame) -> DataFrame:
     """Points tagged by each method and their share, before and after, with all recordings as a rollup row."""
     n = label_rows.rollup("method", "recording_id").agg(F.count("*").alias("n"), F.count_if("is_ghost").alias("tagged"), F.grouping("method").alias("g"))
     return n.where("g = 0").select("method", "recording_id", "n", "tagged", (F.col("n") - F.col("tagged")).alias("kept"), (F.col("tagged") / F.col("n")).alias("fraction"))
+
+
+def tag_counts(velocity_bin: float) -> list[Column]:
+    """Aggregates of feature rows: how many points there are, and how many of them each method tags."""
+    return [F.count("*").alias("n"), *(F.count_if(ghost(velocity_bin)[1]).alias(m) for m, ghost in METHODS.items())]
+
+
+def tagged_of(counts: DataFrame) -> DataFrame:
+    """H13 from `tag_counts` of any parts of recordings: what `tagged` says of each recording, without one row a point and method."""
+    s = counts.groupBy("recording_id").agg(*(F.sum(c).alias(c) for c in ("n", *METHODS)))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).alias("tagged")) for m in METHODS)))
+    rows = s.select("recording_id", "n", each.alias("e")).select("e.method", "recording_id", "n", "e.tagged")
+    return rows.withColumns({"kept": F.col("n") - F.col("tagged"), "fraction": F.col("tagged") / F.col("n")})

@@ -66,10 +66,15 @@ def keep(points: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.where(~checked).drop("is_ghost")
 
 
+def ranked(points: DataFrame) -> DataFrame:
+    """Points with their place by SNR in their frame, from 1; ties and missing SNR by wire order."""
+    w = Window.partitionBy(*FRAME).orderBy(F.desc_nulls_last("snr_db"), "point_idx")
+    return points.withColumn("place", F.row_number().over(w))
+
+
 def strongest(points: DataFrame, n: int = 5) -> DataFrame:
     """The n points of highest SNR of each frame; ties and missing SNR by wire order."""
-    w = Window.partitionBy(*FRAME).orderBy(F.desc_nulls_last("snr_db"), "point_idx")
-    return points.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).withColumn("place", F.col("place").cast("long"))
+    return ranked(points).where(F.col("place") <= n).withColumn("place", F.col("place").cast("long"))
 
 
 def subtract_background(points: DataFrame, background: DataFrame, distance: float = 0.25) -> DataFrame:

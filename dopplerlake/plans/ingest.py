@@ -13,7 +13,8 @@ from dopplerlake.operators import points as p
 from dopplerlake.operators import tracking as t
 from dopplerlake.plans.gestures import EASY, FEW, STATES, _features, _probs
 from dopplerlake.plans.maps import FEATURES, TRACKS
-from dopplerlake.plans.points import PAYLOADS, _payload_frames, _tracks
+from dopplerlake.plans.maps import _features as _ghost_features
+from dopplerlake.plans.points import PAYLOADS, TARGET, _payload_frames, _tracks
 from dopplerlake.plans.series import FOLLOW_TWO, SPECTRUM, WALK, _metrics
 from dopplerlake.plans.session import shared_folder
 from dopplerlake.sources import captures as c
@@ -146,6 +147,16 @@ def _decoded(s, d):
     return p.flatten(c.decode(c.shred(c.cut(_pieces(s, d)))))
 
 
+def _frame_counts(s, d):
+    """What a manifest says of points, by frame: points that each method tags, and the range of the target. One pass over the points,
+    written to the shared folder, since two parts of the manifest need it."""
+    points = p.ranked(_ghost_features(s, d))
+    rows = points.groupBy(*FRAME).agg(*h.tag_counts(0.5), F.max(F.when(F.expr(f"place = 1 and {TARGET}"), F.col("range_m"))).alias("range_m"))
+    path = f"{shared_folder(s)}/{_unique('frame-counts')}"
+    rows.write.parquet(path)
+    return s.read.schema(rows.schema).parquet(path)
+
+
 def _manifest(s, d):
     """Manifests of all recordings and ghost methods, written by bucket and read back."""
     frames = fx.audit_frames(s, d)
@@ -153,9 +164,10 @@ def _manifest(s, d):
     geometry = cfg.select("recording_id", "range_bins", "range_spacing", "velocity_spacing", "max_velocity", "fps", "n_virtual")
     # thresholds as the configuration allows: no step slower than a velocity bin, no region beyond the last range bin
     parameters = cfg.select("recording_id", F.greatest(F.lit(0.2), "velocity_spacing").alias("v_min"), F.least(F.lit(8.0), F.col("range_bins") * F.col("range_spacing")).alias("far_m"))
-    tagged = h.tagged(h.labels(h.features(fx.points(s, d), 0.25, 0.5), 0.5)).where("recording_id is not null")
+    found = _frame_counts(s, d)
     rows = mf.manifest(
-        a.summary(frames).drop("fps"), a.anomaly_counts(frames), a.availability(_payload_frames(s, d)), geometry, _metrics(s, d), g_.spectral_cadence(fx.envelope(s, d), 0.2, 0.5, 2.4), tagged, a.track_quality(_tracks(s, d)), parameters,
+        a.summary(frames).drop("fps"), a.anomaly_counts(frames), a.availability(_payload_frames(s, d)), geometry, _metrics(s, d), g_.spectral_cadence(fx.envelope(s, d), 0.2, 0.5, 2.4), h.tagged_of(found),
+        a.track_quality(_tracks(s, d, found.select(*FRAME, "range_m"))), parameters,
     )
     path = mf.write_manifest(rows, f"{shared_folder(s)}/{_unique('manifest')}")
     read = mf.read_manifest(s, path, rows.schema)

@@ -27,7 +27,7 @@ def _noise(s, d):
 
 
 def _features(s, d):
-    return h.features(fx.points(s, d), 0.25, 0.5)
+    return h.features(fx.points(s, d, by=("recording_id",)), 0.25, 0.5)
 
 
 def _configs(s, d):

@@ -24,9 +24,14 @@ def _clock(s, d):
     return fx.audit_frames(s, d).withColumn("cycles", (F.col("frame_idx") * 1500000007) % 2**32)
 
 
-def _tracks(s, d):
-    """The strongest point of each frame with side information, over all frames."""
-    best = p.geometry(p.strongest(fx.points(s, d), 1).where("snr_db >= 25")).select("recording_id", "frame_idx", "range_m")
+#: Where the strongest point of a frame is a target.
+TARGET = "snr_db >= 25"
+
+
+def _tracks(s, d, best=None):
+    """The strongest point of each frame with side information, over all frames; `best` has its range where it is known already."""
+    if best is None:
+        best = p.geometry(p.strongest(fx.points(s, d), 1).where(TARGET)).select("recording_id", "frame_idx", "range_m")
     return fx.frame_spine(s, d).join(best, ["recording_id", "frame_idx"], "left")
 
 

@@ -46,14 +46,20 @@ def background_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).where(F.col("recording_id") % 2 == 1).select((F.col("recording_id") - 1).alias("recording_id"), "x", "y", "z", "snr_db")
 
 
+def _in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events, numbered in each recording by time. What is derived from them stays partitioned by recording."""
+    order = Window.partitionBy("recording_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").withColumnRenamed("user_id", "recording_id")
+    return rows.withColumn("frame_idx", (F.row_number().over(order) - 1).cast("long"))
+
+
 def audit_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame headers and what was skipped before them, one recording for each user."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     whole = F.floor("value")
     tlv = F.when(F.col("event_type") == "view", "1,7,2,6").when(F.col("event_type") == "click", "1,2").when(F.col("event_type") == "error", "2,6").when(F.col("event_type") == "signup", "1,7").otherwise("1,2,7,6,9")
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("recording_id"), (F.row_number().over(order) - 1).cast("long").alias("frame_idx"), e.alias("frame_number"), (whole % 6).alias("num_obj"),
+    return _in_order(spark, sf_dir).select(
+        "recording_id", "frame_idx", e.alias("frame_number"), (whole % 6).alias("num_obj"),
         F.when(e % 11 == 0, F.lit(0).cast("long")).otherwise(whole % 6).alias("num_points"), (32 * (2 + whole % 40)).alias("total_len"),
         F.when(e % 97 == 0, e % 31).otherwise(F.lit(0).cast("long")).alias("skipped_before"), tlv.alias("tlv_order"), F.unix_timestamp("ts").alias("t"),
         F.when(e % 13 == 0, F.concat(F.lit("unknown_tlv_type ("), "event_type", F.lit(")"))).alias("anomaly"),
@@ -62,11 +68,7 @@ def audit_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foot-velocity envelopes; a fifth of the frames is missing."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    frame = (F.row_number().over(order) - 1).cast("long")
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("recording_id"), frame.alias("frame_idx"), (frame * 0.2).alias("t"), F.when(F.col("event_type") != "error", F.col("value") / 100).alias("v")
-    )
+    return _in_order(spark, sf_dir).select("recording_id", "frame_idx", (F.col("frame_idx") * 0.2).alias("t"), F.when(F.col("event_type") != "error", F.col("value") / 100).alias("v"))
 
 
 def emb_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,10 +40,12 @@ def manifest(summary: DataFrame, anomalies: DataFrame, availability: DataFrame,
     runs = integrity.join(payloads, R, "left").join(provenance(availability, quality), R, "left")
     for df, name in ((geometry, "geometry"), (gait, "metrics"), (parameters, "parameters")):
         runs = runs.join(_struct(df, name, [c for c in df.columns if c != R]), R, "left")
-    none = F.lit(None).cast("struct<name:string,n_points:bigint,n_tagged:bigint,fraction:double>")
-    raw = runs.withColumns({"method": none, "bucket": F.lit(RAW)})
-    by_method = tagged.select(R, F.struct(F.col("method").alias("name"), F.col("n").alias("n_points"), F.col("tagged").alias("n_tagged"), "fraction").alias("method"), F.col("method").alias("bucket"))
-    return raw.unionByName(runs.join(by_method, R))
+    made = F.struct(F.col("method").alias("bucket"), F.struct(F.col("method").alias("name"), F.col("n").alias("n_points"), F.col("tagged").alias("n_tagged"), "fraction").alias("method"))
+    by_method = tagged.groupBy(R).agg(F.collect_list(made).alias("made"))
+    raw = F.array(F.struct(F.lit(RAW).alias("bucket"), F.lit(None).cast("struct<name:string,n_points:bigint,n_tagged:bigint,fraction:double>").alias("method")))
+    # each run is joined once, and stands in its buckets after that
+    each = F.explode(F.coalesce(F.concat(raw, F.col("made")), raw))
+    return runs.join(by_method, R, "left").select(*runs.columns, each.alias("each")).select(*runs.columns, "each.method", "each.bucket")
 
 
 def write_manifest(rows: DataFrame, path: str) -> str:

@@ -36,7 +36,7 @@ def trend(points: DataFrame) -> DataFrame:
     part = Window.partitionBy("recording_id", "b")
     p = p.withColumns({"m": F.percentile("snr_db", F.lit(0.5)).over(part), "known": F.count("snr_db").over(part)})
     knot = F.struct((F.col("lo") + (F.col("b") + 0.5) * (F.col("hi") - F.col("lo")) / BINS).alias("x"), F.col("m").alias("m"))
-    q = p.withColumn("knots", F.array_sort(F.collect_set(F.when(F.col("b").isNotNull() & (F.col("known") >= 3), knot)).over(whole)))
+    q = p.withColumn("knots", F.collect_set(F.when(F.col("b").isNotNull() & (F.col("known") >= 3), knot)).over(whole))
     below = F.array_max(F.filter("knots", lambda k: k["x"] <= F.col("range_m")))
     above = F.array_min(F.filter("knots", lambda k: k["x"] > F.col("range_m")))
     q = q.withColumns({"k0": below, "k1": above})
@@ -50,13 +50,15 @@ def features(points: DataFrame, range_bin: float, velocity_bin: float) -> DataFr
     recording or a frame have none. Points that come partitioned by recording are not shuffled again."""
     p = points.withColumns({"range_m": range_of(), "azimuth_deg": azimuth_of()})
     p = p.withColumns({"range_bin": half_even(F.col("range_m") / range_bin), "doppler_bin": half_even(F.col("v") / velocity_bin)})
-    p = trend(p).where("recording_id is not null and frame_idx is not null")
     frame, cell = Window.partitionBy(*FRAME), Window.partitionBy(*FRAME, "range_bin", "doppler_bin")
     p = p.withColumns({"q": F.percentile("snr_db", F.lit(0.75)).over(frame), "n": F.count("*").over(frame)})
     eligible = F.when((F.col("n") > 2) & F.col("q").isNotNull(), F.coalesce(F.col("snr_db") >= F.col("q"), F.lit(False))).otherwise(F.lit(True))
     p = p.withColumn("primary", F.min(F.when(eligible, F.struct("range_m", "point_idx", "azimuth_deg", "v"))).over(frame))
     p = p.withColumns({"d_range": F.col("range_m") - F.col("primary.range_m"), "d_azimuth": F.col("azimuth_deg") - F.col("primary.azimuth_deg"), "d_v": F.col("v") - F.col("primary.v")}).drop("q", "n", "primary")
-    return p.withColumns({"cocell": F.count("*").over(cell), "secondary": F.row_number().over(cell.orderBy(F.desc_nulls_last("snr_db"), "point_idx")) > 1})
+    p = trend(p).where("recording_id is not null and frame_idx is not null")
+    # the ordered window before the other, which is content with its order
+    p = p.withColumn("secondary", F.row_number().over(cell.orderBy(F.desc_nulls_last("snr_db"), "point_idx")) > 1)
+    return p.withColumn("cocell", F.count("*").over(cell))
 
 
 @register("method0")

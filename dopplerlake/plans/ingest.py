@@ -13,7 +13,6 @@ from dopplerlake.operators import points as p
 from dopplerlake.operators import tracking as t
 from dopplerlake.plans.gestures import EASY, FEW, STATES, _features, _probs
 from dopplerlake.plans.maps import FEATURES, TRACKS
-from dopplerlake.plans.maps import _features as _ghost_features
 from dopplerlake.plans.points import PAYLOADS, TARGET, _payload_frames, _tracks
 from dopplerlake.plans.series import FOLLOW_TWO, SPECTRUM, WALK, _metrics
 from dopplerlake.plans.session import shared_folder
@@ -150,7 +149,7 @@ def _decoded(s, d):
 def _frame_counts(s, d):
     """What a manifest says of points, by frame: points that each method tags, and the range of the target. One pass over the points,
     written to the shared folder, since two parts of the manifest need it."""
-    points = p.ranked(_ghost_features(s, d))
+    points = h.features(p.ranked(fx.points(s, d, by=("recording_id",))), 0.25, 0.5)
     rows = points.groupBy(*FRAME).agg(*h.tag_counts(0.5), F.max(F.when(F.expr(f"place = 1 and {TARGET}"), F.col("range_m"))).alias("range_m"))
     path = f"{shared_folder(s)}/{_unique('frame-counts')}"
     rows.write.parquet(path)
